@@ -87,3 +87,64 @@ def q_effective_setting(spark, d):
          .alias("vac_sf"),
         X.effective_setting("reloptions", debt.VAC_THR, "def_vac_threshold", "bigint")
          .alias("vac_threshold")))
+
+
+# ---- sparse logging and rollups -----------------------------------------------------
+from vacfleet.operators import rollup as R  # noqa: E402
+from vacfleet.operators import sparse  # noqa: E402
+
+
+@register("collection_filter")
+def q_collection_filter(spark, d):
+    i = inputs(spark, d)
+    return finish(sparse.collection_filter(i.dense, i.collection_policy))
+
+
+@register("sparse_log")
+def q_sparse_log(spark, d):
+    i = inputs(spark, d)
+    return finish(sparse.sparse_log(sparse.collection_filter(i.dense, i.collection_policy)))
+
+
+def _tiers(spark, d):
+    i = inputs(spark, d)
+    return R.rollup(i.samples, i.snapshots)
+
+
+@register("rollup_1m")
+def q_rollup_1m(spark, d):
+    return finish(_tiers(spark, d)[0])
+
+
+@register("rollup_1h")
+def q_rollup_1h(spark, d):
+    return finish(_tiers(spark, d)[1])
+
+
+@register("rollup_1d")
+def q_rollup_1d(spark, d):
+    return finish(_tiers(spark, d)[2])
+
+
+@register("rollup_as_of")
+def q_rollup_as_of(spark, d):
+    """Tier 1h as of one day before the newest snapshot."""
+    i = inputs(spark, d)
+    t = i.snapshots.agg(F.max("collected_at")).scalar() - F.expr("INTERVAL 1 DAY")
+    return finish(asof.rollup_as_of(_tiers(spark, d)[1], "1h", t))
+
+
+@register("rollup_retention")
+def q_rollup_retention(spark, d):
+    i = inputs(spark, d)
+    return finish(R.rollup_retention(i.inventory, i.inventory.agg(F.max("range_end")).scalar()))
+
+
+@register("raw_retention")
+def q_raw_retention(spark, d):
+    return finish(R.raw_retention(inputs(spark, d).samples))
+
+
+@register("partition_inventory")
+def q_partition_inventory(spark, d):
+    return finish(R.partition_inventory(inputs(spark, d).inventory))

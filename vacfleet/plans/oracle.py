@@ -233,3 +233,146 @@ SELECT c.cluster_id, c.relid,
   COALESCE(TRY_CAST({opt('c.reloptions', 'autovacuum_vacuum_threshold')} AS BIGINT),
            h.def_vac_threshold) AS vac_threshold
 FROM cur c JOIN hdr h ON c.cluster_id = h.cluster_id""")
+
+# ---- sparse logging and rollups -----------------------------------------------------
+cte("dense", ["samples", "snapshots"], """
+SELECT n.* EXCLUDE (snapshot_id, slot, collected_day, nxt, relfrozenxid_age, relminmxid_age),
+  h.snapshot_id, h.slot, h.collected_day,
+  'r' AS relkind, CASE WHEN n.relid % 13 = 0 THEN 't' ELSE 'p' END AS relpersistence,
+  n.relid % 4 = 0 AS relispartition, n.relid % 17 = 0 AS extension_owned
+FROM (SELECT *, lead(snapshot_id) OVER (PARTITION BY cluster_id, relid ORDER BY snapshot_id) AS nxt
+      FROM samples) n
+JOIN snapshots h ON h.cluster_id = n.cluster_id AND h.snapshot_id >= n.snapshot_id
+                AND (n.nxt IS NULL OR h.snapshot_id < n.nxt)""")
+
+cte("collection_policy", [], """
+SELECT 'c0' AS cluster_id, true AS exclude_temp, false AS include_extension_owned,
+       CAST(81920 AS BIGINT) AS min_partition_size_bytes, ['staging'] AS excluded_schemas""")
+
+cte("collected", ["dense", "collection_policy"], """
+SELECT d.* EXCLUDE (relkind, relpersistence, relispartition, extension_owned)
+FROM dense d LEFT JOIN collection_policy p ON p.cluster_id = d.cluster_id
+WHERE d.schemaname NOT IN ('pg_catalog', 'information_schema')
+  AND d.relkind IN ('r', 'm', 'p')
+  AND (NOT COALESCE(p.exclude_temp, true) OR d.relpersistence <> 't')
+  AND NOT list_contains(COALESCE(p.excluded_schemas, []), d.schemaname)
+  AND (COALESCE(p.include_extension_owned, false) OR NOT d.extension_owned)
+  AND (COALESCE(p.min_partition_size_bytes, 0) = 0 OR NOT d.relispartition
+       OR d.total_size_bytes >= p.min_partition_size_bytes)""")
+
+_SIG = """schemaname, relname, n_live_tup, n_dead_tup, n_mod_since_analyze, n_ins_since_vacuum,
+  n_tup_ins, n_tup_upd, n_tup_del, n_tup_hot_upd, last_autovacuum, last_autoanalyze,
+  vacuum_count, autovacuum_count, analyze_count, autoanalyze_count, total_autovacuum_time,
+  reltuples, relpages, relallvisible, relfrozenxid, relminmxid, relation_size_bytes,
+  total_size_bytes, reloptions"""
+
+q("collection_filter", ["collected"], """
+SELECT * REPLACE (array_to_string(reloptions, ',') AS reloptions,
+                  round(total_autovacuum_time, 6) AS total_autovacuum_time) FROM collected""")
+
+q("sparse_log", ["collected"], f"""
+SELECT * EXCLUDE (_prev) REPLACE (array_to_string(reloptions, ',') AS reloptions,
+                  round(total_autovacuum_time, 6) AS total_autovacuum_time)
+FROM (SELECT *, lag(struct_pack({_SIG})) OVER (PARTITION BY cluster_id, relid
+                                               ORDER BY snapshot_id) AS _prev
+      FROM collected)
+WHERE _prev IS NULL OR _prev IS DISTINCT FROM struct_pack({_SIG})""")
+
+cte("r1m", ["samples", "snapshots"], """
+SELECT s.cluster_id,
+  CAST(epoch_us(date_trunc('minute', h.collected_at)) // 86400000000 AS INTEGER) AS bucket_part,
+  CAST(date_trunc('minute', h.collected_at) AS TIMESTAMP) AS bucket_start, s.relid,
+  max(s.schemaname) AS schemaname, max(s.relname) AS relname,
+  CAST(count(*) AS INTEGER) AS sample_count,
+  avg(s.n_dead_tup) AS avg_dead_tup, max(s.n_dead_tup) AS max_dead_tup,
+  avg(s.n_live_tup) AS avg_live_tup, max(s.n_live_tup) AS max_live_tup,
+  avg(s.n_mod_since_analyze) AS avg_mod_since_analyze,
+  max(s.n_mod_since_analyze) AS max_mod_since_analyze,
+  CAST(avg(greatest(s.reltuples, 0)) AS DOUBLE) AS avg_reltuples,
+  CAST(max(greatest(s.reltuples, 0)) AS BIGINT) AS max_reltuples,
+  max(s.relfrozenxid_age) AS max_relfrozenxid_age,
+  max(s.relminmxid_age) AS max_relminmxid_age,
+  max(s.n_tup_ins) AS max_n_tup_ins, max(s.n_tup_upd) AS max_n_tup_upd,
+  max(s.n_tup_del) AS max_n_tup_del, max(s.vacuum_count) AS max_vacuum_count,
+  max(s.autovacuum_count) AS max_autovacuum_count, max(s.analyze_count) AS max_analyze_count,
+  max(s.autoanalyze_count) AS max_autoanalyze_count,
+  avg(s.total_size_bytes) AS avg_total_size_bytes,
+  max(s.total_size_bytes) AS max_total_size_bytes
+FROM samples s JOIN snapshots h ON h.cluster_id = s.cluster_id AND h.snapshot_id = s.snapshot_id
+GROUP BY s.cluster_id, date_trunc('minute', h.collected_at), s.relid""")
+
+
+def _coarsen_sql(src: str, unit: str) -> str:
+    w = "sum({c} * sample_count) / NULLIF(sum(sample_count), 0) AS {c}"
+    avgs = ",\n  ".join(w.format(c=f"avg_{m}") for m in
+                        ["dead_tup", "live_tup", "mod_since_analyze", "reltuples",
+                         "total_size_bytes"])
+    maxes = ",\n  ".join(f"max({c}) AS {c}" for c in
+                         ["max_dead_tup", "max_live_tup", "max_mod_since_analyze",
+                          "max_reltuples", "max_total_size_bytes", "max_relfrozenxid_age",
+                          "max_relminmxid_age", "max_n_tup_ins", "max_n_tup_upd",
+                          "max_n_tup_del", "max_vacuum_count", "max_autovacuum_count",
+                          "max_analyze_count", "max_autoanalyze_count"])
+    b = f"date_trunc('{unit}', bucket_start)"
+    return f"""
+SELECT cluster_id,
+  CAST((year({b}) - 1970) * 12 + month({b}) - 1 AS INTEGER) AS bucket_part,
+  CAST({b} AS TIMESTAMP) AS bucket_start, relid,
+  max(schemaname) AS schemaname, max(relname) AS relname,
+  CAST(sum(sample_count) AS INTEGER) AS sample_count,
+  {avgs},
+  {maxes}
+FROM {src} GROUP BY cluster_id, {b}, relid"""
+
+
+cte("r1h", ["r1m"], _coarsen_sql("r1m", "hour"))
+cte("r1d", ["r1h"], _coarsen_sql("r1h", "day"))
+
+_TIER_ROUND = """* REPLACE (round(avg_dead_tup, 6) AS avg_dead_tup, round(avg_live_tup, 6) AS avg_live_tup,
+  round(avg_mod_since_analyze, 6) AS avg_mod_since_analyze,
+  round(avg_reltuples, 6) AS avg_reltuples,
+  round(avg_total_size_bytes, 6) AS avg_total_size_bytes)"""
+q("rollup_1m", ["r1m"], f"SELECT {_TIER_ROUND} FROM r1m")
+q("rollup_1h", ["r1h"], f"SELECT {_TIER_ROUND} FROM r1h")
+q("rollup_1d", ["r1d"], f"SELECT {_TIER_ROUND} FROM r1d")
+q("rollup_as_of", ["r1h", "snapshots"], f"""
+SELECT {_TIER_ROUND} FROM (SELECT * EXCLUDE (bucket_part) FROM r1h)
+WHERE bucket_start <= (SELECT max(collected_at) - INTERVAL 1 DAY FROM snapshots)
+QUALIFY row_number() OVER (PARTITION BY cluster_id, relid ORDER BY bucket_start DESC) = 1""")
+
+cte("inventory", [], """
+SELECT 'c0' AS cluster_id, schema_name, relation,
+  relation || '_' || strftime(m, '%Y%m') AS partition, 'month' AS span,
+  CAST(m AS TIMESTAMP) AS range_start, CAST(m + INTERVAL 1 MONTH AS TIMESTAMP) AS range_end,
+  CAST(n AS BIGINT) AS approx_rows, CAST(n * 100 AS BIGINT) AS bytes,
+  CAST(dead AS BIGINT) AS dead_tuples
+FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 'govern' ELSE 'observe' END AS schema_name,
+             CASE WHEN l_linestatus = 'O' THEN 'relation_samples' ELSE 'rollup_1h' END AS relation,
+             date_trunc('month', l_shipdate) AS m, count(*) AS n,
+             count(*) FILTER (WHERE l_discount > 0.08) AS dead
+      FROM lineitem GROUP BY ALL)""")
+
+q("rollup_retention", ["inventory"], """
+SELECT cluster_id, schema_name, relation, partition, range_start, range_end, approx_rows, bytes
+FROM inventory
+WHERE relation IN ('rollup_1m', 'rollup_1h', 'rollup_1d')
+  AND range_end <= (SELECT max(range_end) FROM inventory)
+      - to_days(CASE relation WHEN 'rollup_1m' THEN 7 WHEN 'rollup_1h' THEN 90 ELSE 365 END)""")
+
+q("raw_retention", ["samples"], """
+SELECT cluster_id, collected_day, slot, count(*) AS rows,
+  CASE WHEN collected_day >= max(max(collected_day)) OVER (PARTITION BY cluster_id) - 7
+       THEN 'keep' ELSE 'drop' END AS action
+FROM samples GROUP BY cluster_id, collected_day, slot""")
+
+q("partition_inventory", ["inventory"], r"""
+SELECT cluster_id, schema_name, relation, partition,
+  CASE WHEN length(k) = 8 THEN 'day' ELSE 'month' END AS decoded_span,
+  CAST(CASE WHEN length(k) = 8 THEN epoch_us(strptime(k, '%Y%m%d')) // 86400000000
+            ELSE (CAST(substr(k, 1, 4) AS INTEGER) - 1970) * 12 + CAST(substr(k, 5, 2) AS INTEGER) - 1
+       END AS INTEGER) AS part_key,
+  CAST(strptime(CASE WHEN length(k) = 8 THEN k ELSE k || '01' END, '%Y%m%d') AS TIMESTAMP) AS decoded_start,
+  CAST(strptime(CASE WHEN length(k) = 8 THEN k ELSE k || '01' END, '%Y%m%d')
+       + CASE WHEN length(k) = 8 THEN INTERVAL 1 DAY ELSE INTERVAL 1 MONTH END AS TIMESTAMP) AS decoded_end,
+  approx_rows, bytes
+FROM (SELECT *, regexp_extract(partition, '_(\d{6,8})$', 1) AS k FROM inventory)""")
