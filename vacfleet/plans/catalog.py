@@ -148,3 +148,144 @@ def q_raw_retention(spark, d):
 @register("partition_inventory")
 def q_partition_inventory(spark, d):
     return finish(R.partition_inventory(inputs(spark, d).inventory))
+
+
+# ---- experiment analytics ------------------------------------------------------------
+from vacfleet.operators import experiment as XP  # noqa: E402
+
+# Stand-in roles: arms are the event types of the derived latency log.
+ROLES = XP.Roles(defaults="view", expert="click", candidate="purchase", oracle="signup")
+WINDOW_S = 86400          # one-day windows over the month of events
+SHIFT_S = 15 * 86400      # phase B starts after 15 days
+
+
+def _p95(spark, d):
+    return XP.window_p95(inputs(spark, d).tx_log, WINDOW_S)
+
+
+def _arm_p95(spark, d):
+    return _p95(spark, d).filter(F.col("arm") != ROLES.oracle).drop("probe_sf")
+
+
+def _best(spark, d):
+    return XP.best_of_sweep(_p95(spark, d).filter(F.col("arm") == ROLES.oracle))
+
+
+def _verdicts(spark, d):
+    i = inputs(spark, d)
+    gaps = XP.gap_closed(_arm_p95(spark, d), _best(spark, d), ROLES)
+    return XP.verdict(gaps, XP.cost_gates(i.metrics, ROLES),
+                      XP.safety_floor(i.metrics, i.run_meta, ROLES))
+
+
+@register("window_p95")
+def q_window_p95(spark, d):
+    return finish(_p95(spark, d))
+
+
+@register("best_of_sweep")
+def q_best_of_sweep(spark, d):
+    return finish(_best(spark, d))
+
+
+@register("gap_closed")
+def q_gap_closed(spark, d):
+    return finish(XP.gap_closed(_arm_p95(spark, d), _best(spark, d), ROLES))
+
+
+@register("cost_gates")
+def q_cost_gates(spark, d):
+    return finish(XP.cost_gates(inputs(spark, d).metrics, ROLES))
+
+
+@register("safety_floor")
+def q_safety_floor(spark, d):
+    i = inputs(spark, d)
+    return finish(XP.safety_floor(i.metrics, i.run_meta, ROLES))
+
+
+@register("verdict")
+def q_verdict(spark, d):
+    return finish(_verdicts(spark, d))
+
+
+@register("cell_verdict")
+def q_cell_verdict(spark, d):
+    return finish(XP.cell_verdict(_verdicts(spark, d)))
+
+
+@register("interval_check")
+def q_interval_check(spark, d):
+    return finish(XP.interval_check(inputs(spark, d).run_meta))
+
+
+@register("coverage")
+def q_coverage(spark, d):
+    return finish(XP.coverage(inputs(spark, d).run_meta, seeds=[0, 1, 2, 3],
+                              required_arms=[ROLES.defaults, ROLES.expert,
+                                             ROLES.candidate, ROLES.oracle]))
+
+
+@register("newest_run")
+def q_newest_run(spark, d):
+    return finish(XP.newest_run(inputs(spark, d).run_meta))
+
+
+@register("tolerance_join")
+def q_tolerance_join(spark, d):
+    """The probe run behind each window's best scale factor (sf equal within 1e-9)."""
+    i = inputs(spark, d)
+    runs = i.run_meta.filter(F.col("oracle_sf").isNotNull()).select(
+        *XP.CELL, "oracle_sf", "run_id")
+    j = XP.tolerance_join(_best(spark, d), runs, "best_sf", "oracle_sf", exact=XP.CELL)
+    return finish(j.select(*XP.CELL, "win", "best_sf", "best_p95_us", "run_id"))
+
+
+@register("weighted_median")
+def q_weighted_median(spark, d):
+    m = inputs(spark, d).metrics
+    return finish(XP.weighted_median(m, ["arm", "seed"], "dead_frac", "rel_size", 0.01))
+
+
+@register("percentiles_tps")
+def q_percentiles_tps(spark, d):
+    return finish(XP.percentiles_tps(inputs(spark, d).tx_log, WINDOW_S))
+
+
+@register("steady_state")
+def q_steady_state(spark, d):
+    keys = ["arm", "fixture", "scenario", "seed"]
+    return finish(XP.steady_state(_arm_p95(spark, d), keys, "p95_us"))
+
+
+@register("band_grading")
+def q_band_grading(spark, d):
+    keys = ["arm", "fixture", "scenario", "seed"]
+    return finish(XP.band_grading(_arm_p95(spark, d), keys, "p95_us"))
+
+
+@register("phase_split")
+def q_phase_split(spark, d):
+    g = XP.gap_closed(_arm_p95(spark, d), _best(spark, d), ROLES)
+    return finish(XP.phase_split(g, WINDOW_S, SHIFT_S).select(
+        *XP.CELL, "win", "phase", "gap_closed"))
+
+
+@register("safety_monotone")
+def q_safety_monotone(spark, d):
+    s = inputs(spark, d).samples
+    return finish(XP.safety_monotone(s, ["cluster_id", "relid"], "snapshot_id", "relfrozenxid"))
+
+
+@register("proxy_outcome_corr")
+def q_proxy_outcome_corr(spark, d):
+    i = inputs(spark, d)
+    keys = ["arm", "fixture", "scenario", "seed"]
+    m = i.metrics.withColumn("epoch_s", F.floor(X.epoch_seconds("sampled_at")).cast("long"))
+    base = i.tx_log.filter(F.col("arm") != ROLES.oracle).groupBy(*keys).agg(
+        F.min("epoch_s").alias("_t0"))
+    mw = (m.join(base, keys)
+          .withColumn("win", F.floor((F.col("epoch_s") - F.col("_t0")) / WINDOW_S).cast("long")))
+    proxy = mw.groupBy(*keys, "win").agg(F.avg("dead_frac").alias("proxy"))
+    outcome = _arm_p95(spark, d).select(*keys, "win", F.col("p95_us").cast("double").alias("outcome"))
+    return finish(XP.proxy_outcome_corr(proxy, outcome, keys))

@@ -65,7 +65,7 @@ SELECT 'c0' AS cluster_id, CAST(sid AS BIGINT) AS snapshot_id,
   CAST(0 AS INTEGER) AS relallvisible,
   CAST(dead * 10000000 AS BIGINT) AS relfrozenxid_age,
   CAST(dead * 1000000 AS BIGINT) AS relminmxid_age,
-  CAST(NULL AS BIGINT) AS relfrozenxid, CAST(NULL AS BIGINT) AS relminmxid,
+  CAST(avc * 1000 + 1000 AS BIGINT) AS relfrozenxid, CAST(NULL AS BIGINT) AS relminmxid,
   CAST(floor((1000 + ins - del) / 10) AS BIGINT) * 8192 AS relation_size_bytes,
   CAST(floor((1000 + ins - del) / 10) AS BIGINT) * 8192 + 16384 AS total_size_bytes,
   CASE WHEN relid % 5 = 0 THEN ['autovacuum_vacuum_scale_factor=0.05', 'fillfactor=90']
@@ -376,3 +376,235 @@ SELECT cluster_id, schema_name, relation, partition,
        + CASE WHEN length(k) = 8 THEN INTERVAL 1 DAY ELSE INTERVAL 1 MONTH END AS TIMESTAMP) AS decoded_end,
   approx_rows, bytes
 FROM (SELECT *, regexp_extract(partition, '_(\d{6,8})$', 1) AS k FROM inventory)""")
+
+# ---- experiment analytics ------------------------------------------------------------
+_RUN = "arm, fixture, scenario, seed, probe_sf"
+_CELL = "fixture, scenario, seed"
+_GRID = "[" + ", ".join(f"CAST({g} AS DOUBLE)" for g in
+                        ("0.005", "0.01", "0.02", "0.05", "0.10", "0.20", "0.30", "0.50")) + "]"
+
+cte("tx_log", [], f"""
+SELECT event_type AS arm, 'events' AS fixture, 'steady' AS scenario,
+  CAST(user_id % 3 AS INTEGER) AS seed,
+  CASE WHEN event_type = 'signup' THEN {_GRID}[user_id % 8 + 1] END AS probe_sf,
+  CAST(user_id AS INTEGER) AS client, event_id AS tx_no,
+  CAST(round(value * 1000) AS BIGINT) AS latency_us, 0 AS script,
+  epoch_us(ts) // 1000000 AS epoch_s
+FROM events""")
+
+cte("tx_w", ["tx_log"], f"""
+SELECT *, (epoch_s - min(epoch_s) OVER (PARTITION BY {_RUN})) // 86400 AS win FROM tx_log""")
+
+# nearest rank the way the awk script does it: sort, idx = int(0.95 n + 0.5) clamped
+cte("p95", ["tx_w"], f"""
+SELECT {_RUN}, win, max(CASE WHEN rn = k THEN latency_us END) AS p95_us,
+       CAST(max(n) AS BIGINT) AS tx_count
+FROM (SELECT *, least(greatest(CAST(floor(CAST(0.95 AS DOUBLE) * n + 0.5) AS BIGINT), 1), n) AS k
+      FROM (SELECT *, row_number() OVER (PARTITION BY {_RUN}, win ORDER BY latency_us) AS rn,
+                   count(*) OVER (PARTITION BY {_RUN}, win) AS n FROM tx_w))
+GROUP BY {_RUN}, win""")
+
+cte("best", ["p95"], f"""
+SELECT {_CELL}, win, probe_sf AS best_sf, p95_us AS best_p95_us FROM p95 WHERE arm = 'signup'
+QUALIFY row_number() OVER (PARTITION BY {_CELL}, win ORDER BY p95_us, probe_sf) = 1""")
+
+cte("gaps", ["p95", "best"], f"""
+WITH e AS (SELECT {_CELL}, win, p95_us AS expert_p95 FROM p95 WHERE arm = 'click'),
+     c AS (SELECT {_CELL}, win, p95_us AS pgfc_p95 FROM p95 WHERE arm = 'purchase'),
+     o AS (SELECT {_CELL}, win, best_p95_us AS oracle_p95 FROM best),
+     r AS (SELECT *, count(*) OVER (PARTITION BY {_CELL}) AS n,
+                  row_number() OVER (PARTITION BY {_CELL} ORDER BY win) AS rk
+           FROM e JOIN c USING ({_CELL}, win) JOIN o USING ({_CELL}, win)),
+     r2 AS (SELECT *, greatest(1, CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT)) AS warm FROM r)
+SELECT {_CELL}, win, expert_p95, pgfc_p95, oracle_p95, rk <= warm AS warmup,
+  n AS total_windows, warm AS warmup_discarded,
+  CASE WHEN rk > warm AND expert_p95 - oracle_p95 > 0
+       THEN (expert_p95 - pgfc_p95)::DOUBLE / (expert_p95 - oracle_p95) END AS gap_closed,
+  CASE WHEN rk > warm THEN expert_p95 - oracle_p95 <= 0 END AS dropped,
+  CASE WHEN rk > warm AND expert_p95 - oracle_p95 <= 0 THEN 'denom_le_zero' END AS drop_reason
+FROM r2""")
+
+cte("metrics", [], """
+SELECT event_id AS sample_id, ts AS sampled_at, event_type AS arm, 'events' AS fixture,
+  'steady' AS scenario, CAST(user_id % 3 AS INTEGER) AS seed,
+  'rel_' || CAST(user_id AS VARCHAR) AS relname, value / CAST(100 AS DOUBLE) AS dead_frac,
+  CAST(round(value * 1000) AS BIGINT) AS rel_size,
+  CAST(round(value * 4000000) AS BIGINT) AS xid_age,
+  CAST(round(value * 1000) AS BIGINT) AS mxid_age, CAST(round(value) AS BIGINT) AS av_count,
+  ts AS av_last, CAST(round(value * 10) AS BIGINT) AS pgfc_applied
+FROM events""")
+
+cte("run_meta", ["tx_log"], """
+SELECT concat_ws('-', arm, fixture, scenario, 's' || CAST(seed AS VARCHAR),
+                 CAST(probe_sf AS VARCHAR)) AS run_id,
+  arm, fixture, scenario, seed, probe_sf AS oracle_sf, 86400 AS sample_interval_s,
+  CASE WHEN arm <> 'error' THEN CAST(200000000 AS BIGINT) END AS autovacuum_freeze_max_age,
+  make_timestamp(min(epoch_s) * 1000000) AS started_at
+FROM tx_log GROUP BY arm, fixture, scenario, seed, probe_sf""")
+
+cte("gates", ["metrics"], f"""
+SELECT {_CELL}, d AS defaults_av_count, p AS pgfc_av_count, a AS pgfc_applied,
+  (d > 0 AND p > 2 * d) AS av_ceiling_breach, a > 500 AS mutation_ceiling_breach,
+  ((d > 0 AND p > 2 * d) OR a > 500) AS cost_ceiling_breach
+FROM (SELECT {_CELL},
+        COALESCE(max(av_count) FILTER (WHERE arm = 'view'), 0) AS d,
+        COALESCE(max(av_count) FILTER (WHERE arm = 'purchase'), 0) AS p,
+        COALESCE(max(pgfc_applied) FILTER (WHERE arm = 'purchase'), 0) AS a
+      FROM metrics GROUP BY {_CELL})""")
+
+cte("safety", ["metrics", "run_meta"], f"""
+WITH w AS (SELECT {_CELL}, max(xid_age) AS w FROM metrics
+           WHERE arm IN ('view', 'purchase') GROUP BY {_CELL}),
+     l AS (SELECT {_CELL}, COALESCE(max(autovacuum_freeze_max_age) FILTER (WHERE arm = 'view'),
+                                    max(autovacuum_freeze_max_age) FILTER (WHERE arm = 'purchase'))
+                  AS fma
+           FROM run_meta WHERE arm IN ('view', 'purchase') GROUP BY {_CELL}),
+     k AS (SELECT {_CELL} FROM metrics UNION SELECT {_CELL} FROM run_meta)
+SELECT k.fixture, k.scenario, k.seed, l.fma AS freeze_max_age,
+  CAST(COALESCE(w.w, 0) AS BIGINT) AS worst_xid_age,
+  l.fma IS NOT NULL AS safety_floor_evaluated,
+  CASE WHEN l.fma IS NOT NULL THEN COALESCE(w.w, 0) < l.fma END AS safety_floor_holds
+FROM k LEFT JOIN w USING ({_CELL}) LEFT JOIN l USING ({_CELL})""")
+
+
+def _ladder(med: str, safety_fail: str, cost: str) -> str:
+    return (f"CASE WHEN {med} IS NULL THEN 'inconclusive' WHEN {safety_fail} THEN 'fail' "
+            f"WHEN {cost} AND {med} > 0 THEN 'fail' WHEN {med} < 0 THEN 'fail' "
+            f"WHEN {med} >= 0.25 THEN 'strong_pass' ELSE 'pass' END")
+
+
+cte("verdicts", ["gaps", "gates", "safety"], f"""
+SELECT s.fixture, s.scenario, s.seed,
+  {_ladder('s.med', 'COALESCE(f.safety_floor_evaluated AND NOT f.safety_floor_holds, false)',
+           'COALESCE(g.cost_ceiling_breach, false)')} AS verdict,
+  round(s.med, 6) + 0.0 AS median_gap_closed, s.total_windows, s.warmup_discarded,
+  s.graded_windows, s.windows_dropped_denom, s.windows_scored, g.cost_ceiling_breach,
+  g.av_ceiling_breach, g.mutation_ceiling_breach, g.defaults_av_count, g.pgfc_av_count,
+  g.pgfc_applied, f.safety_floor_evaluated, f.safety_floor_holds, f.freeze_max_age,
+  f.worst_xid_age
+FROM (SELECT {_CELL}, max(total_windows) AS total_windows,
+             max(warmup_discarded) AS warmup_discarded,
+             CAST(count(*) FILTER (WHERE NOT warmup) AS BIGINT) AS graded_windows,
+             CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS windows_dropped_denom,
+             CAST(count(gap_closed) AS BIGINT) AS windows_scored,
+             quantile_cont(gap_closed, 0.5) AS med
+      FROM gaps GROUP BY {_CELL}) s
+LEFT JOIN gates g USING ({_CELL}) LEFT JOIN safety f USING ({_CELL})""")
+
+q("window_p95", ["p95"], "SELECT * FROM p95")
+q("best_of_sweep", ["best"], "SELECT * FROM best")
+q("gap_closed", ["gaps"], "SELECT * REPLACE (round(gap_closed, 6) AS gap_closed) FROM gaps")
+q("cost_gates", ["gates"], "SELECT * FROM gates")
+q("safety_floor", ["safety"], "SELECT * FROM safety")
+q("verdict", ["verdicts"], "SELECT * FROM verdicts")
+q("cell_verdict", ["verdicts"], f"""
+SELECT fixture, scenario,
+  {_ladder('m', 'any_safety_floor_violation', 'any_cost_ceiling_breach')} AS cell_verdict,
+  round(m, 6) + 0.0 AS median_gap_closed, round(lo, 6) + 0.0 AS iqr_low,
+  round(hi, 6) + 0.0 AS iqr_high, n_seeds, any_cost_ceiling_breach, any_av_ceiling_breach,
+  any_mutation_ceiling_breach, any_safety_floor_violation,
+  any_cost_ceiling_breach OR any_safety_floor_violation AS any_gate_failure
+FROM (SELECT fixture, scenario, count(*) AS n_seeds,
+        quantile_cont(median_gap_closed, 0.5) AS m, quantile_cont(median_gap_closed, 0.25) AS lo,
+        quantile_cont(median_gap_closed, 0.75) AS hi,
+        bool_or(COALESCE(cost_ceiling_breach, false)) AS any_cost_ceiling_breach,
+        bool_or(COALESCE(av_ceiling_breach, false)) AS any_av_ceiling_breach,
+        bool_or(COALESCE(mutation_ceiling_breach, false)) AS any_mutation_ceiling_breach,
+        bool_or(COALESCE(safety_floor_evaluated AND NOT safety_floor_holds, false))
+          AS any_safety_floor_violation
+      FROM verdicts GROUP BY fixture, scenario)""")
+
+q("interval_check", ["run_meta"], f"""
+SELECT {_CELL}, count(*) AS n_runs, count(DISTINCT sample_interval_s) AS n_intervals,
+  CASE WHEN count(DISTINCT sample_interval_s) = 1 THEN min(sample_interval_s) END AS window_s,
+  count(DISTINCT sample_interval_s) = 1 AS consistent
+FROM run_meta GROUP BY {_CELL}""")
+
+q("coverage", ["run_meta"], f"""
+WITH fs AS (SELECT DISTINCT fixture, scenario FROM run_meta),
+     k AS (SELECT fixture, scenario, CAST(s AS INTEGER) AS seed FROM fs, (VALUES (0), (1), (2), (3)) t(s)),
+     have AS (SELECT {_CELL}, list(DISTINCT arm) AS arms FROM run_meta GROUP BY {_CELL}),
+     m AS (SELECT k.*, have.arms,
+             list_filter(['click', 'purchase', 'signup', 'view'],
+                         lambda a: NOT list_contains(COALESCE(have.arms, []), a)) AS miss
+           FROM k LEFT JOIN have USING ({_CELL}))
+SELECT {_CELL}, CASE WHEN arms IS NULL THEN 'missing' WHEN len(miss) > 0 THEN 'incomplete'
+                     ELSE 'complete' END AS status,
+       array_to_string(miss, ',') AS missing_arms
+FROM m""")
+
+q("newest_run", ["run_meta"], f"""
+SELECT arm, {_CELL}, max(run_id) AS run_id, count(*) AS n_runs FROM run_meta
+GROUP BY arm, {_CELL}""")
+
+q("tolerance_join", ["best", "run_meta"], f"""
+SELECT b.fixture, b.scenario, b.seed, b.win, b.best_sf, b.best_p95_us, r.run_id
+FROM best b JOIN run_meta r ON b.fixture = r.fixture AND b.scenario = r.scenario
+  AND b.seed = r.seed AND abs(b.best_sf - r.oracle_sf) < 1e-9""")
+
+q("weighted_median", ["metrics"], """
+SELECT arm, seed, min(dead_frac) AS weighted_median
+FROM (SELECT arm, seed, dead_frac,
+        sum(rel_size) OVER (PARTITION BY arm, seed ORDER BY dead_frac
+                            RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw,
+        sum(rel_size) OVER (PARTITION BY arm, seed) AS tot
+      FROM metrics)
+WHERE cw >= tot / 2.0 GROUP BY arm, seed""")
+
+q("percentiles_tps", ["tx_w"], f"""
+SELECT {_RUN}, win, CAST(max(n) AS BIGINT) AS tx_count,
+  max(CASE WHEN rn = least(greatest((n + 1) // 2, 1), n) THEN latency_us END) AS p50_us,
+  max(CASE WHEN rn = least(greatest(CAST(floor(CAST(0.95 AS DOUBLE) * n + 0.5) AS BIGINT), 1), n)
+           THEN latency_us END) AS p95_us,
+  max(CASE WHEN rn = least(greatest((99 * n + 50) // 100, 1), n) THEN latency_us END) AS p99_us,
+  round(max(n) / CAST(86400 AS DOUBLE), 6) AS tps
+FROM (SELECT *, row_number() OVER (PARTITION BY {_RUN}, win ORDER BY latency_us) AS rn,
+             count(*) OVER (PARTITION BY {_RUN}, win) AS n FROM tx_w)
+GROUP BY {_RUN}, win""")
+
+_KEYS4 = "arm, fixture, scenario, seed"
+cte("arm_p95", ["p95"], f"SELECT {_KEYS4}, win, p95_us, tx_count FROM p95 WHERE arm <> 'signup'")
+
+q("steady_state", ["arm_p95"], f"""
+SELECT {_KEYS4}, win, p95_us,
+  CASE WHEN c = 5 THEN round(sd / NULLIF(av, 0), 6) END AS cv,
+  CASE WHEN c = 5 THEN sd / NULLIF(av, 0) < 0.10 END AS steady
+FROM (SELECT *, stddev_samp(p95_us) OVER w AS sd, avg(p95_us) OVER w AS av, count(p95_us) OVER w AS c
+      FROM arm_p95
+      WINDOW w AS (PARTITION BY {_KEYS4} ORDER BY win ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))""")
+
+q("band_grading", ["arm_p95"], f"""
+SELECT {_KEYS4}, win, p95_us, t0 AS t0_value, round(p95_us / NULLIF(t0, 0)::DOUBLE, 6) AS ratio,
+  CASE WHEN p95_us / NULLIF(t0, 0)::DOUBLE IS NULL THEN NULL
+       WHEN p95_us / NULLIF(t0, 0)::DOUBLE <= 1 + 0.10 THEN 'healthy'
+       WHEN p95_us / NULLIF(t0, 0)::DOUBLE > 1 + 0.25 THEN 'unhealthy' ELSE 'between' END AS band
+FROM (SELECT *, arg_min(p95_us, win) OVER (PARTITION BY {_KEYS4}) AS t0 FROM arm_p95)""")
+
+q("phase_split", ["gaps"], f"""
+SELECT {_CELL}, win, CASE WHEN win * 86400 >= 15 * 86400 THEN 'B' ELSE 'A' END AS phase,
+       round(gap_closed, 6) AS gap_closed FROM gaps""")
+
+q("safety_monotone", ["samples"], """
+SELECT cluster_id, relid, count(*) AS checkpoints,
+  count(*) FILTER (WHERE relfrozenxid < prev) AS regressions,
+  count(*) FILTER (WHERE relfrozenxid < prev) = 0 AS monotone
+FROM (SELECT *, lag(relfrozenxid) OVER (PARTITION BY cluster_id, relid ORDER BY snapshot_id) AS prev
+      FROM samples)
+GROUP BY cluster_id, relid""")
+
+q("proxy_outcome_corr", ["metrics", "tx_log", "arm_p95"], f"""
+WITH b AS (SELECT {_KEYS4}, min(epoch_s) AS t0 FROM tx_log WHERE arm <> 'signup' GROUP BY {_KEYS4}),
+     px AS (SELECT m.arm, m.fixture, m.scenario, m.seed,
+                   (epoch_us(m.sampled_at) // 1000000 - b.t0) // 86400 AS win,
+                   avg(m.dead_frac) AS proxy
+            FROM metrics m JOIN b USING ({_KEYS4}) GROUP BY ALL),
+     j AS (SELECT px.*, CAST(o.p95_us AS DOUBLE) AS outcome FROM px JOIN arm_p95 o USING ({_KEYS4}, win)),
+     d AS (SELECT *, proxy - lag(proxy) OVER w AS dp, outcome - lag(outcome) OVER w AS dout
+           FROM j WINDOW w AS (PARTITION BY {_KEYS4} ORDER BY win)),
+     r AS (SELECT *,
+             rank() OVER (PARTITION BY {_KEYS4} ORDER BY dp)
+               + (count(*) OVER (PARTITION BY {_KEYS4}, dp) - 1) / 2.0 AS rp,
+             rank() OVER (PARTITION BY {_KEYS4} ORDER BY dout)
+               + (count(*) OVER (PARTITION BY {_KEYS4}, dout) - 1) / 2.0 AS ro
+           FROM d WHERE dp IS NOT NULL AND dout IS NOT NULL)
+SELECT {_KEYS4}, count(*) AS n_deltas, round(corr(rp, ro), 6) AS spearman FROM r GROUP BY {_KEYS4}""")

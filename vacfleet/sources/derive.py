@@ -120,7 +120,7 @@ def relation_samples(events: DataFrame) -> DataFrame:
         F.lit(0).alias("relallvisible"),
         (F.col("dead") * 10000000).cast("long").alias("relfrozenxid_age"),
         (F.col("dead") * 1000000).cast("long").alias("relminmxid_age"),
-        F.lit(None).cast("long").alias("relfrozenxid"),
+        (F.col("avc") * 1000 + 1000).cast("long").alias("relfrozenxid"),
         F.lit(None).cast("long").alias("relminmxid"),
         (relpages.cast("long") * 8192).alias("relation_size_bytes"),
         (relpages.cast("long") * 8192 + 16384).alias("total_size_bytes"),
@@ -438,11 +438,11 @@ def efficacy_metrics(events: DataFrame) -> DataFrame:
 def run_meta(events: DataFrame) -> DataFrame:
     """One run per (arm, seed) seen in the events; the 'error' arm lost its freeze setting."""
     t = tx_log(events)
-    return t.groupBy("arm", "fixture", "scenario", "seed").agg(
+    return t.groupBy("arm", "fixture", "scenario", "seed", "probe_sf").agg(
         F.min("epoch_s").alias("first_s")).select(
-        F.concat_ws("-", "arm", "fixture", "scenario", F.concat(F.lit("s"), F.col("seed").cast("string")))
-         .alias("run_id"),
-        "arm", "fixture", "scenario", "seed",
+        F.concat_ws("-", "arm", "fixture", "scenario", F.concat(F.lit("s"), F.col("seed").cast("string")),
+                    F.col("probe_sf").cast("string")).alias("run_id"),
+        "arm", "fixture", "scenario", "seed", F.col("probe_sf").alias("oracle_sf"),
         F.lit(86400).alias("sample_interval_s"),
         F.when(F.col("arm") != "error", F.lit(200000000).cast("long"))
          .alias("autovacuum_freeze_max_age"),
