@@ -429,9 +429,9 @@ SELECT event_id AS sample_id, ts AS sampled_at, event_type AS arm, 'events' AS f
   'steady' AS scenario, CAST(user_id % 3 AS INTEGER) AS seed,
   'rel_' || CAST(user_id AS VARCHAR) AS relname, value / CAST(100 AS DOUBLE) AS dead_frac,
   CAST(round(value * 1000) AS BIGINT) AS rel_size,
-  CAST(round(value * 4000000) AS BIGINT) AS xid_age,
+  CAST(round(value * 1000000) AS BIGINT) AS xid_age,
   CAST(round(value * 1000) AS BIGINT) AS mxid_age, CAST(round(value) AS BIGINT) AS av_count,
-  ts AS av_last, CAST(round(value * 10) AS BIGINT) AS pgfc_applied
+  ts AS av_last, CAST(round(value * 5) AS BIGINT) AS pgfc_applied
 FROM events""")
 
 cte("run_meta", ["tx_log"], """

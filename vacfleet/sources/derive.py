@@ -427,11 +427,11 @@ def efficacy_metrics(events: DataFrame) -> DataFrame:
         F.concat(F.lit("rel_"), F.col("user_id").cast("string")).alias("relname"),
         (v / 100.0).alias("dead_frac"),
         F.round(v * 1000).cast("long").alias("rel_size"),
-        F.round(v * 4000000).cast("long").alias("xid_age"),
+        F.round(v * 1000000).cast("long").alias("xid_age"),
         F.round(v * 1000).cast("long").alias("mxid_age"),
         F.round(v).cast("long").alias("av_count"),
         F.col("ts").alias("av_last"),
-        F.round(v * 10).cast("long").alias("pgfc_applied"),
+        F.round(v * 5).cast("long").alias("pgfc_applied"),
     )
 
 
