@@ -18,15 +18,23 @@ from vacfleet.functions import exprs as X
 ENTITY = ["cluster_id", "relid"]
 
 
-def target_snapshot(snapshots: DataFrame, as_of: int | None = None) -> DataFrame:
+def target_snapshot(snapshots: DataFrame, as_of=None, back: int = 0) -> DataFrame:
     """(cluster_id, _p): the snapshot to reconstruct per cluster; default the newest.
 
-    One row per cluster, so its size is bounded by the fleet size (broadcast-safe).
+    ``as_of`` (an id, a DataFrame (cluster_id, _p), or None) bounds it; ``back`` steps
+    to earlier snapshots (1 = the one before the newest). One row per cluster, so its
+    size is bounded by the fleet size (broadcast-safe).
     """
-    if as_of is None:
-        return snapshots.groupBy("cluster_id").agg(F.max("snapshot_id").alias("_p"))
-    return (snapshots.filter(F.col("snapshot_id") <= F.lit(as_of))
-            .groupBy("cluster_id").agg(F.max("snapshot_id").alias("_p")))
+    if isinstance(as_of, DataFrame):
+        return as_of
+    s = snapshots.select("cluster_id", "snapshot_id")
+    if as_of is not None:
+        s = s.filter(F.col("snapshot_id") <= F.lit(as_of))
+    t = s.groupBy("cluster_id").agg(F.max("snapshot_id").alias("_p"))
+    for _ in range(back):
+        t = (s.join(F.broadcast(t), "cluster_id").filter(F.col("snapshot_id") < F.col("_p"))
+             .groupBy("cluster_id").agg(F.max("snapshot_id").alias("_p")))
+    return t
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: str | Column,
@@ -59,7 +67,7 @@ STATE_COLS = [
 
 
 def state_and_previous(samples: DataFrame, snapshots: DataFrame,
-                       as_of: int | None = None,
+                       as_of=None,
                        prev_cols: Sequence[str] = ()) -> DataFrame:
     """D3 + J3 in one aggregation: per entity the newest row at or before p (``cur``)
     and, if asked, the newest row strictly before p (``prev_*`` columns).
@@ -84,7 +92,7 @@ def state_and_previous(samples: DataFrame, snapshots: DataFrame,
     return g.select(*out)
 
 
-def header_at(snapshots: DataFrame, as_of: int | None = None) -> DataFrame:
+def header_at(snapshots: DataFrame, as_of=None) -> DataFrame:
     """The header row of each cluster's target snapshot: one row per cluster, so the
     result is bounded by the fleet size and is the broadcast side of header joins."""
     tgt = target_snapshot(snapshots, as_of)
@@ -106,8 +114,7 @@ def with_live_ages(state: DataFrame, header: DataFrame) -> DataFrame:
              .drop("current_xid", "current_mxid"))
 
 
-def state_as_of(samples: DataFrame, snapshots: DataFrame,
-                as_of: int | None = None) -> DataFrame:
+def state_as_of(samples: DataFrame, snapshots: DataFrame, as_of=None) -> DataFrame:
     """D3: dense state of every relation as of p, stamped p, with live ages."""
     st = state_and_previous(samples, snapshots, as_of)
     return with_live_ages(st, header_at(snapshots, as_of)).drop("relfrozenxid", "relminmxid")

@@ -289,3 +289,69 @@ def q_proxy_outcome_corr(spark, d):
     proxy = mw.groupBy(*keys, "win").agg(F.avg("dead_frac").alias("proxy"))
     outcome = _arm_p95(spark, d).select(*keys, "win", F.col("p95_us").cast("double").alias("outcome"))
     return finish(XP.proxy_outcome_corr(proxy, outcome, keys))
+
+
+# ---- estimate --------------------------------------------------------------------------
+from vacfleet.operators import estimate as EST  # noqa: E402
+
+
+def _estimate_chain(spark, d, ticks: int = 3):
+    """Run ``ticks`` consecutive estimate ticks ending at the newest snapshot; each tick's
+    output is the next tick's prior state. Returns the last tick's full calculation."""
+    i = inputs(spark, d)
+    prior = None
+    for back in range(ticks - 1, 0, -1):
+        t = asof.target_snapshot(i.snapshots, back=back)
+        prior = EST.estimate_tick(i.samples, i.snapshots, prior, t)
+    return EST.estimate_calc(i.samples, i.snapshots, prior, None)
+
+
+@register("estimate_tick")
+def q_estimate_tick(spark, d):
+    return finish(_estimate_chain(spark, d).select(*EST.ESTIMATE_COLS))
+
+
+@register("counter_deltas")
+def q_counter_deltas(spark, d):
+    return finish(_estimate_chain(spark, d).select(
+        *EST.KEY, "snapshot_id", "boot", "dt", "d_ins", "d_upd", "d_del", "d_dead", "d_reltup"))
+
+
+@register("cycle_flags")
+def q_cycle_flags(spark, d):
+    return finish(_estimate_chain(spark, d).select(*EST.KEY, "alpha", "reset", "cycle_boundary"))
+
+
+@register("ewma_rates")
+def q_ewma_rates(spark, d):
+    return finish(_estimate_chain(spark, d).select(
+        *EST.KEY, "churn_rate", "dead_accum_rate", "growth_rate"))
+
+
+@register("cycle_stats")
+def q_cycle_stats(spark, d):
+    return finish(_estimate_chain(spark, d).select(
+        *EST.KEY, "cleanup_per_run", "f_peak_current", "f_trigger_ewma", "effectiveness",
+        "freeze_progressing", "mxid_freeze_debt"))
+
+
+@register("saturation")
+def q_saturation(spark, d):
+    return finish(_estimate_chain(spark, d).select(
+        *EST.KEY, "av_running", "debt_high", "eff_low", "horizon_pinned",
+        "saturation_candidate", "saturation_streak", "saturation_cause"))
+
+
+@register("burstiness")
+def q_burstiness(spark, d):
+    return finish(EST.burstiness(inputs(spark, d).samples))
+
+
+@register("maintenance_lag")
+def q_maintenance_lag(spark, d):
+    i = inputs(spark, d)
+    hdr = i.snapshots.select("cluster_id", "snapshot_id", "collected_at", "def_vac_threshold",
+                             "def_vac_scale_factor", "def_ana_threshold",
+                             "def_ana_scale_factor", "def_freeze_max_age")
+    series = debt.debt_columns(i.samples.join(hdr, ["cluster_id", "snapshot_id"]))
+    return finish(EST.maintenance_lag(series))

@@ -608,3 +608,143 @@ WITH b AS (SELECT {_KEYS4}, min(epoch_s) AS t0 FROM tx_log WHERE arm <> 'signup'
                + (count(*) OVER (PARTITION BY {_KEYS4}, dout) - 1) / 2.0 AS ro
            FROM d WHERE dp IS NOT NULL AND dout IS NOT NULL)
 SELECT {_KEYS4}, count(*) AS n_deltas, round(corr(rp, ro), 6) AS spearman FROM r GROUP BY {_KEYS4}""")
+
+# ---- estimate --------------------------------------------------------------------------
+cte("tgt_b1", ["snapshots", "tgt"], """
+SELECT s.cluster_id, max(s.snapshot_id) AS p FROM snapshots s JOIN tgt t USING (cluster_id)
+WHERE s.snapshot_id < t.p GROUP BY s.cluster_id""")
+cte("tgt_b2", ["snapshots", "tgt_b1"], """
+SELECT s.cluster_id, max(s.snapshot_id) AS p FROM snapshots s JOIN tgt_b1 t USING (cluster_id)
+WHERE s.snapshot_id < t.p GROUP BY s.cluster_id""")
+
+
+def ewma_sql(prior: str, sample: str, alpha: str) -> str:
+    return (f"(CASE WHEN ({sample}) IS NULL THEN {prior} WHEN {prior} IS NULL OR ({alpha}) IS NULL "
+            f"THEN {sample} ELSE ({alpha}) * ({sample}) + (1 - ({alpha})) * {prior} END)")
+
+
+def _tick_sql(tgt: str, prior: str | None) -> str:
+    pe = (f"SELECT * FROM {prior}" if prior else
+          "SELECT CAST(NULL AS VARCHAR) AS cluster_id, CAST(NULL AS BIGINT) AS relid, "
+          "CAST(NULL AS DOUBLE) AS churn_rate, CAST(NULL AS DOUBLE) AS dead_accum_rate, "
+          "CAST(NULL AS DOUBLE) AS growth_rate, CAST(NULL AS DOUBLE) AS f_peak_current, "
+          "CAST(NULL AS DOUBLE) AS f_trigger_ewma, CAST(NULL AS DOUBLE) AS effectiveness, "
+          "CAST(NULL AS BOOLEAN) AS freeze_progressing, "
+          "CAST(NULL AS VARCHAR) AS saturation_candidate, CAST(NULL AS INTEGER) AS saturation_streak "
+          "WHERE false")
+    return f"""
+WITH c0 AS (SELECT s.* EXCLUDE (snapshot_id), t.p AS snapshot_id
+            FROM samples s JOIN {tgt} t USING (cluster_id) WHERE s.snapshot_id <= t.p
+            QUALIFY row_number() OVER (PARTITION BY s.cluster_id, s.relid ORDER BY s.snapshot_id DESC) = 1),
+     pv AS (SELECT s.cluster_id, s.relid, s.n_tup_ins, s.n_tup_upd, s.n_tup_del, s.n_dead_tup,
+                   s.autovacuum_count, s.reltuples, s.relfrozenxid_age, h.collected_at
+            FROM samples s JOIN {tgt} t USING (cluster_id)
+            JOIN snapshots h ON h.cluster_id = s.cluster_id AND h.snapshot_id = s.snapshot_id
+            WHERE s.snapshot_id < t.p
+            QUALIFY row_number() OVER (PARTITION BY s.cluster_id, s.relid ORDER BY s.snapshot_id DESC) = 1),
+     pe AS ({pe}),
+     calc AS (
+       SELECT c.cluster_id, c.relid, c.snapshot_id, h.collected_at, c.last_autovacuum,
+         c.autovacuum_count, c.n_dead_tup, c.reltuples, c.relfrozenxid_age, c.relminmxid_age,
+         h.def_mxid_freeze_max_age, h.oldest_xmin_owner,
+         md.dead_tuple_fraction, md.vacuum_debt_ratio, md.analyze_debt_ratio, md.freeze_debt,
+         p.relid IS NULL AS boot,
+         (epoch_us(h.collected_at) - epoch_us(p.collected_at)) / 1000000.0 AS dt,
+         c.n_tup_ins - p.n_tup_ins AS d_ins, c.n_tup_upd - p.n_tup_upd AS d_upd,
+         c.n_tup_del - p.n_tup_del AS d_del, c.n_dead_tup - p.n_dead_tup AS d_dead,
+         c.reltuples - p.reltuples AS d_reltup,
+         p.n_dead_tup AS prev_dead, p.autovacuum_count AS prev_avc, p.relfrozenxid_age AS prev_frzage,
+         pe.churn_rate AS pe_churn, pe.dead_accum_rate AS pe_dead_rate, pe.growth_rate AS pe_growth,
+         pe.f_peak_current AS pe_fpeak, pe.f_trigger_ewma AS pe_ftrig, pe.effectiveness AS pe_eff,
+         pe.freeze_progressing AS pe_frzprog, pe.saturation_candidate AS pe_cand,
+         pe.saturation_streak AS pe_streak
+       FROM c0 c JOIN snapshots h ON h.cluster_id = c.cluster_id AND h.snapshot_id = c.snapshot_id
+       LEFT JOIN pv p ON p.cluster_id = c.cluster_id AND p.relid = c.relid
+       LEFT JOIN pe ON pe.cluster_id = c.cluster_id AND pe.relid = c.relid
+       LEFT JOIN debt md ON md.cluster_id = c.cluster_id AND md.relid = c.relid),
+     der AS (SELECT *, CASE WHEN dt > 0 THEN 1 - exp(-dt / 3600.0) END AS alpha,
+                  (NOT boot AND (d_ins < 0 OR d_upd < 0 OR d_del < 0)) AS reset,
+                  (NOT boot AND autovacuum_count > prev_avc) AS cycle_boundary FROM calc),
+     ds AS (SELECT *,
+       {ewma_sql('pe_churn', 'CASE WHEN boot OR reset OR dt <= 0 THEN NULL ELSE (d_ins + d_upd + d_del) / dt END', 'alpha')} AS churn_rate,
+       {ewma_sql('pe_dead_rate', 'CASE WHEN boot OR reset OR dt <= 0 THEN NULL ELSE d_dead / dt END', 'alpha')} AS dead_accum_rate,
+       {ewma_sql('pe_growth', 'CASE WHEN boot OR dt <= 0 OR reltuples < 0 OR d_reltup < 0 THEN NULL ELSE d_reltup / dt END', 'alpha')} AS growth_rate,
+       CASE WHEN cycle_boundary THEN greatest(prev_dead - n_dead_tup, 0) END AS cleanup_per_run,
+       CASE WHEN cycle_boundary OR pe_fpeak IS NULL THEN dead_tuple_fraction
+            ELSE greatest(pe_fpeak, dead_tuple_fraction) END AS f_peak_current,
+       CASE WHEN cycle_boundary THEN {ewma_sql('pe_ftrig', 'pe_fpeak', '0.5')} ELSE pe_ftrig END AS f_trigger_ewma,
+       CASE WHEN cycle_boundary THEN {ewma_sql('pe_eff', 'CASE WHEN greatest(prev_dead - n_dead_tup, 0) > 0 THEN 1.0 ELSE 0.0 END', '0.5')}
+            ELSE pe_eff END AS effectiveness,
+       CASE WHEN cycle_boundary THEN relfrozenxid_age < prev_frzage ELSE pe_frzprog END AS freeze_progressing,
+       relminmxid_age::DOUBLE / NULLIF(def_mxid_freeze_max_age, 0) AS mxid_freeze_debt
+       FROM der),
+     sat AS (SELECT *,
+       (last_autovacuum IS NOT NULL AND last_autovacuum > collected_at - INTERVAL 3600 SECOND) AS av_running,
+       COALESCE(vacuum_debt_ratio, 0) > 1 AS debt_high,
+       COALESCE(effectiveness, 1) < 0.5 AS eff_low,
+       (oldest_xmin_owner IS NOT NULL AND oldest_xmin_owner <> 'none') AS horizon_pinned FROM ds),
+     fin AS (SELECT *, CASE WHEN debt_high AND NOT av_running THEN 'config'
+                            WHEN debt_high AND av_running AND eff_low AND horizon_pinned THEN 'inhibited'
+                            WHEN debt_high AND av_running THEN 'io_limited' END AS saturation_candidate
+             FROM sat),
+     st AS (SELECT *, CAST(CASE WHEN saturation_candidate IS NULL THEN 0
+                                WHEN saturation_candidate IS NOT DISTINCT FROM pe_cand THEN pe_streak + 1
+                                ELSE 1 END AS INTEGER) AS saturation_streak FROM fin)
+SELECT *, CASE WHEN saturation_streak >= 3 THEN saturation_candidate END AS saturation_cause FROM st"""
+
+
+cte("e_b2", ["samples", "snapshots", "tgt_b2", "debt"], _tick_sql("tgt_b2", None))
+cte("e_b1", ["samples", "snapshots", "tgt_b1", "debt", "e_b2"], _tick_sql("tgt_b1", "e_b2"))
+cte("e_b0", ["samples", "snapshots", "tgt", "debt", "e_b1"], _tick_sql("tgt", "e_b1"))
+
+
+def _rcols(cols: list[str], doubles: set[str]) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" if c in doubles else c for c in cols)
+
+
+_EDBL = {"f_trigger_ewma", "f_peak_current", "vacuum_debt_ratio", "analyze_debt_ratio",
+         "freeze_debt", "mxid_freeze_debt", "churn_rate", "dead_accum_rate", "growth_rate",
+         "effectiveness", "dt", "alpha"}
+q("estimate_tick", ["e_b0"], "SELECT " + _rcols(
+    ["cluster_id", "relid", "snapshot_id", "f_trigger_ewma", "f_peak_current",
+     "vacuum_debt_ratio", "analyze_debt_ratio", "freeze_debt", "mxid_freeze_debt",
+     "churn_rate", "dead_accum_rate", "growth_rate", "cleanup_per_run", "effectiveness",
+     "freeze_progressing", "saturation_cause", "saturation_candidate", "saturation_streak"],
+    _EDBL) + " FROM e_b0")
+q("counter_deltas", ["e_b0"], "SELECT " + _rcols(
+    ["cluster_id", "relid", "snapshot_id", "boot", "dt", "d_ins", "d_upd", "d_del", "d_dead",
+     "d_reltup"], _EDBL) + " FROM e_b0")
+q("cycle_flags", ["e_b0"], "SELECT " + _rcols(
+    ["cluster_id", "relid", "alpha", "reset", "cycle_boundary"], _EDBL) + " FROM e_b0")
+q("ewma_rates", ["e_b0"], "SELECT " + _rcols(
+    ["cluster_id", "relid", "churn_rate", "dead_accum_rate", "growth_rate"], _EDBL) + " FROM e_b0")
+q("cycle_stats", ["e_b0"], "SELECT " + _rcols(
+    ["cluster_id", "relid", "cleanup_per_run", "f_peak_current", "f_trigger_ewma",
+     "effectiveness", "freeze_progressing", "mxid_freeze_debt"], _EDBL) + " FROM e_b0")
+q("saturation", ["e_b0"], """SELECT cluster_id, relid, av_running, debt_high, eff_low,
+  horizon_pinned, saturation_candidate, saturation_streak, saturation_cause FROM e_b0""")
+
+q("burstiness", ["samples"], """
+WITH r AS (SELECT DISTINCT cluster_id, relid, last_autovacuum FROM samples
+           WHERE last_autovacuum IS NOT NULL),
+     g AS (SELECT *, (epoch_us(last_autovacuum) - epoch_us(lag(last_autovacuum) OVER
+                     (PARTITION BY cluster_id, relid ORDER BY last_autovacuum))) / 1000000.0 AS gap
+           FROM r)
+SELECT cluster_id, relid, count(*) AS n_gaps, round(avg(gap), 6) AS mean_gap_s,
+       round(stddev_samp(gap), 6) AS sd_gap_s,
+       round(stddev_samp(gap) / NULLIF(avg(gap), 0), 6) AS burstiness
+FROM g WHERE gap IS NOT NULL GROUP BY cluster_id, relid""")
+
+q("maintenance_lag", ["samples", "snapshots"], f"""
+WITH j AS (SELECT s.*, h.collected_at,
+             s.n_dead_tup::DOUBLE / NULLIF(
+               COALESCE(TRY_CAST({opt('s.reloptions', 'autovacuum_vacuum_threshold')} AS BIGINT), h.def_vac_threshold)
+               + COALESCE(TRY_CAST({opt('s.reloptions', 'autovacuum_vacuum_scale_factor')} AS DOUBLE), h.def_vac_scale_factor)
+                 * greatest(s.reltuples, 0), 0) AS vacuum_debt_ratio
+           FROM samples s JOIN snapshots h USING (cluster_id, snapshot_id))
+SELECT cluster_id, relid, snapshot_id, round(vacuum_debt_ratio, 6) AS vacuum_debt_ratio,
+  round(CASE WHEN vacuum_debt_ratio > 1 THEN (epoch_us(collected_at) - epoch_us(
+    min(CASE WHEN vacuum_debt_ratio > 1 THEN collected_at END) OVER (
+      PARTITION BY cluster_id, relid, last_autovacuum ORDER BY snapshot_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) / 1000000.0 END, 6) AS maintenance_lag_s
+FROM j""")
