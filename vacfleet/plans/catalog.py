@@ -355,3 +355,243 @@ def q_maintenance_lag(spark, d):
                              "def_ana_scale_factor", "def_freeze_max_age")
     series = debt.debt_columns(i.samples.join(hdr, ["cluster_id", "snapshot_id"]))
     return finish(EST.maintenance_lag(series))
+
+
+# ---- classify, plan, admit -------------------------------------------------------------
+from vacfleet.operators import admit as ADM  # noqa: E402
+from vacfleet.operators import classify as CL  # noqa: E402
+from vacfleet.operators import governance as GOV  # noqa: E402
+from vacfleet.operators import health as H  # noqa: E402
+from vacfleet.operators import plan as PL  # noqa: E402
+from vacfleet.operators import retention as RET  # noqa: E402
+
+TICK_ID = 1
+BUDGET_BYTES = 4_000_000
+OSC_WINDOW_S = 3650 * 86400     # the whole action history
+TRAILING_S = 6 * 3600
+
+
+def _classify_chain(spark, d, ticks: int = 3):
+    i = inputs(spark, d)
+    prior = None
+    for back in range(ticks - 1, 0, -1):
+        t = asof.target_snapshot(i.snapshots, back=back)
+        prior = CL.classify_tick(i.samples, i.snapshots, prior, i.policy, t)
+    return CL.classify_calc(i.samples, i.snapshots, prior, i.policy, None)
+
+
+def _classes(spark, d):
+    return _classify_chain(spark, d).select(*CL.CLASS_COLS)
+
+
+def _estimates(spark, d):
+    return _estimate_chain(spark, d).select(*EST.ESTIMATE_COLS)
+
+
+def _actuator_state(spark, d):
+    return ADM.fold_actions(inputs(spark, d).actions)
+
+
+def _plan(spark, d):
+    i = inputs(spark, d)
+    return PL.plan_calc(_classes(spark, d), _estimates(spark, d), i.samples, i.snapshots,
+                        _actuator_state(spark, d), i.policy, TICK_ID)
+
+
+def _clock(spark, d):
+    """The governor's clock for the audit-table jobs: the newest recorded action."""
+    return inputs(spark, d).actions.agg(F.max("applied_at")).scalar()
+
+
+@register("classify_tick")
+def q_classify_tick(spark, d):
+    return finish(_classes(spark, d))
+
+
+@register("write_mix")
+def q_write_mix(spark, d):
+    return finish(CL.write_mix(_classify_chain(spark, d)))
+
+
+@register("classify_trailing")
+def q_classify_trailing(spark, d):
+    i = inputs(spark, d)
+    return finish(CL.classify_trailing(i.samples, i.snapshots, TRAILING_S))
+
+
+@register("snap_grid")
+def q_snap_grid(spark, d):
+    li = inputs(spark, d).table("lineitem")
+    x = li.select((F.col("l_discount") * 4 + F.col("l_tax")).alias("x")).distinct()
+    return finish(x.select("x", X.snap_to_grid("x").alias("snapped")))
+
+
+@register("plan_decisions")
+def q_plan_decisions(spark, d):
+    return finish(_plan(spark, d).select(*PL.DECISION_COLS).drop(
+        "observation", "prev_state", "desired_state"))
+
+
+@register("ownership")
+def q_ownership(spark, d):
+    return finish(_plan(spark, d).select(
+        *PL.KEY, X.reloption("reloptions", PL.VAC_SF).alias("explicit_value"),
+        "ast_baseline_explicit", "ast_current_value", "sf_user_set"))
+
+
+def _findings(spark, d):
+    i = inputs(spark, d)
+    return PL.findings(_estimates(spark, d), i.samples, i.snapshots)
+
+
+@register("findings")
+def q_findings(spark, d):
+    return finish(_findings(spark, d).drop("evidence"))
+
+
+@register("reconcile")
+def q_reconcile(spark, d):
+    i = inputs(spark, d)
+    live = asof.state_and_previous(i.samples, i.snapshots).select(*PL.KEY)
+    return finish(PL.reconcile(_findings(spark, d), i.diagnostics, live))
+
+
+def _oscillating(spark, d):
+    i = inputs(spark, d)
+    return PL.oscillation(i.actions, _clock(spark, d), OSC_WINDOW_S, 2)
+
+
+@register("oscillation")
+def q_oscillation(spark, d):
+    return finish(_oscillating(spark, d))
+
+
+@register("tick_summary")
+def q_tick_summary(spark, d):
+    return finish(PL.tick_summary(inputs(spark, d).decisions))
+
+
+@register("static_settings")
+def q_static_settings(spark, d):
+    i = inputs(spark, d)
+    return finish(PL.static_settings(_classes(spark, d), asof.state_as_of(i.samples, i.snapshots)))
+
+
+@register("sustained_deviation")
+def q_sustained_deviation(spark, d):
+    return finish(PL.sustained_deviation(inputs(spark, d).decisions))
+
+
+@register("fold_actions")
+def q_fold_actions(spark, d):
+    return finish(_actuator_state(spark, d))
+
+
+def _self_health(spark, d):
+    return RET.self_health(inputs(spark, d).inventory, BUDGET_BYTES)
+
+
+def _metrics(spark, d):
+    i = inputs(spark, d)
+    return H.governor_metrics(i.actions, i.snapshots, i.ticks, _self_health(spark, d),
+                              _oscillating(spark, d), _clock(spark, d))
+
+
+def _gov_state(spark, d):
+    i = inputs(spark, d)
+    return H.override_floor(H.evaluate_health(_metrics(spark, d), i.policy), i.override_events)
+
+
+@register("admit_actions")
+def q_admit_actions(spark, d):
+    i = inputs(spark, d)
+    last_tick = i.decisions.agg(F.max("tick_id")).scalar()
+    dec = i.decisions.filter(F.col("tick_id") == last_tick)
+    live = asof.state_as_of(i.samples, i.snapshots)
+    return finish(ADM.admit_actions(dec, live, _actuator_state(spark, d), i.actions,
+                                    _gov_state(spark, d), i.policy, as_of=_clock(spark, d)))
+
+
+@register("governor_status")
+def q_governor_status(spark, d):
+    i = inputs(spark, d)
+    return finish(H.governor_status(_classes(spark, d), _estimates(spark, d), i.decisions,
+                                    _actuator_state(spark, d), i.policy))
+
+
+@register("catalog_health")
+def q_catalog_health(spark, d):
+    i = inputs(spark, d)
+    return finish(H.catalog_health(i.actions, i.snapshots, _clock(spark, d)))
+
+
+@register("active_diagnostics")
+def q_active_diagnostics(spark, d):
+    return finish(H.active_diagnostics(inputs(spark, d).diagnostics))
+
+
+@register("governor_metrics")
+def q_governor_metrics(spark, d):
+    return finish(_metrics(spark, d))
+
+
+@register("health_state")
+def q_health_state(spark, d):
+    return finish(H.evaluate_health(_metrics(spark, d), inputs(spark, d).policy))
+
+
+@register("override_floor")
+def q_override_floor(spark, d):
+    return finish(_gov_state(spark, d))
+
+
+@register("state_transitions")
+def q_state_transitions(spark, d):
+    return finish(H.state_transitions(H.snapshot_health_series(inputs(spark, d).snapshots)))
+
+
+@register("failure_taxonomy")
+def q_failure_taxonomy(spark, d):
+    return finish(H.failure_taxonomy(_metrics(spark, d), inputs(spark, d).actions,
+                                     _clock(spark, d)))
+
+
+# ---- retention and governance ------------------------------------------------------------
+@register("storage_budget")
+def q_storage_budget(spark, d):
+    return finish(RET.storage_budget(inputs(spark, d).inventory))
+
+
+@register("self_health")
+def q_self_health(spark, d):
+    return finish(_self_health(spark, d))
+
+
+@register("audit_retention")
+def q_audit_retention(spark, d):
+    i = inputs(spark, d)
+    return finish(RET.audit_retention(i.actions, i.decisions, i.ticks, i.diagnostics,
+                                      _clock(spark, d)))
+
+
+@register("shedding_plan")
+def q_shedding_plan(spark, d):
+    i = inputs(spark, d)
+    return finish(RET.shedding_plan(i.inventory, i.diagnostics, i.actions, _clock(spark, d),
+                                    BUDGET_BYTES))
+
+
+@register("validate_parameters")
+def q_validate_parameters(spark, d):
+    return finish(GOV.validate_parameters(inputs(spark, d).policy, BUDGET_BYTES))
+
+
+@register("policy_history")
+def q_policy_history(spark, d):
+    i = inputs(spark, d)
+    return finish(GOV.policy_history(i.policy, i.policy_next).drop("old_row", "new_row"))
+
+
+@register("literal_audit")
+def q_literal_audit(spark, d):
+    return finish(GOV.literal_audit(inputs(spark, d).table("documents"), "doc_id", "text"))

@@ -71,6 +71,10 @@ class Inputs:
     def policy_next(self) -> DataFrame:
         return D.policy_next(self.table("nation"), self.table("region"))
 
+    @cached_property
+    def override_events(self) -> DataFrame:
+        return D.override_events(self.table("region"))
+
     @cached_property
     def tx_log(self) -> DataFrame:
         return D.tx_log(self.events)

@@ -447,3 +447,18 @@ def run_meta(events: DataFrame) -> DataFrame:
         F.when(F.col("arm") != "error", F.lit(200000000).cast("long"))
          .alias("autovacuum_freeze_max_age"),
         X.as_ntz(F.timestamp_seconds("first_s")).alias("started_at"))
+
+
+def override_events(region: DataFrame) -> DataFrame:
+    """Operator force/clear events: one per region, on consecutive days; even regions
+    force a state, odd ones clear it."""
+    k = F.col("r_regionkey")
+    state = (F.when(k == 0, F.lit("degraded")).when(k == 2, F.lit("diagnostic"))
+             .when(k == 4, F.lit("emergency")))
+    return region.select(
+        F.lit(CLUSTER).alias("cluster_id"),
+        X.as_ntz(F.make_timestamp(F.lit(2001), F.lit(7), k + 1, F.lit(0), F.lit(0), F.lit(0)))
+         .alias("event_at"),
+        F.when(F.pmod(k, F.lit(2)) == 0, F.lit("force")).otherwise(F.lit("clear")).alias("action"),
+        state.alias("forced_state"),
+        F.concat(F.lit("maintenance window "), F.lower(F.col("r_name"))).alias("forced_reason"))
