@@ -154,6 +154,8 @@ def with_ctes(names: list[str], final: str) -> str:
         visit(n)
     parts = [f"{n} AS ({CTE[n][1].strip()})" for n in order]
     final = final.strip()
+    if not parts:
+        return final
     if final[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(parts) + ",\n" + final[5:]
     return "WITH " + ",\n".join(parts) + "\n" + final
@@ -748,3 +750,713 @@ SELECT cluster_id, relid, snapshot_id, round(vacuum_debt_ratio, 6) AS vacuum_deb
       PARTITION BY cluster_id, relid, last_autovacuum ORDER BY snapshot_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) / 1000000.0 END, 6) AS maintenance_lag_s
 FROM j""")
+
+# ---- audit-table stand-ins ------------------------------------------------------------
+_GRID_TXT = "['0.005', '0.01', '0.02', '0.05', '0.1', '0.2', '0.3', '0.5']"
+_SF = "'autovacuum_vacuum_scale_factor'"
+
+cte("actions", [], f"""
+SELECT 'c0' AS cluster_id, o_orderkey AS action_id, o_orderkey AS batch_id,
+  o_orderkey AS decision_id, o_custkey AS relid, 'rel_' || CAST(o_custkey AS VARCHAR) AS relname,
+  {_SF} AS actuator, {_GRID_TXT}[(o_orderkey + 3) % 8 + 1] AS old_value,
+  {_GRID_TXT}[o_orderkey % 8 + 1] AS new_value,
+  CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'applied' END AS status,
+  CASE WHEN o_orderstatus = 'P' THEN CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH')
+       THEN 'lock_timeout' ELSE 'insufficient_privilege' END END AS failure_reason,
+  CASE WHEN o_orderstatus = 'P' THEN 'actuation' END AS failure_class,
+  o_orderdate AS applied_at
+FROM orders""")
+
+cte("decisions", [], f"""
+SELECT 'c0' AS cluster_id, o_orderkey AS decision_id,
+  CAST((year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS BIGINT) AS tick_id,
+  o_custkey AS relid, {_SF} AS actuator,
+  CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'adjust'
+       WHEN o_orderpriority = '3-MEDIUM' THEN 'hold'
+       WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'suppressed:user_owned'
+       ELSE 'escalate:io_limited' END AS decision,
+  {_GRID_TXT}[o_orderkey % 8 + 1] AS proposed_value, o_orderstatus = 'F' AS applied,
+  o_orderdate AS created_at
+FROM orders""")
+
+cte("ticks", [], """
+SELECT 'c0' AS cluster_id, o_orderkey AS tick_id, o_orderkey AS snapshot_id,
+  o_orderdate AS started_at,
+  o_orderdate + to_microseconds(CAST(round(round(o_totalprice / 1000.0, 3) * 1000000) AS BIGINT))
+    AS finished_at,
+  CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 'statement timeout' END AS error
+FROM orders""")
+
+cte("diagnostics", [], """
+SELECT 'c0' AS cluster_id, o_orderkey AS diagnostic_id, o_custkey AS relid,
+  o_orderdate AS detected_at,
+  CASE WHEN o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED') THEN 'critical' ELSE 'warning' END
+    AS severity,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'long_running_txn' WHEN '2-HIGH' THEN 'io_limited'
+       WHEN '3-MEDIUM' THEN 'autovacuum_not_running' WHEN '4-NOT SPECIFIED' THEN 'control_oscillation'
+       ELSE 'replication_slot' END AS inhibitor_class,
+  CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 1 DAY END AS resolved_at
+FROM orders""")
+
+
+def _policy_sql(src: str, key: str, name: str, region: str) -> str:
+    return f"""
+SELECT 'r' || CAST({region} AS VARCHAR) AS cluster_id, lower({name}) AS policy_name,
+  'policy of ' || {name} AS description,
+  (({key} % 5) - 1) * CAST(0.5 AS DOUBLE) AS aggressiveness,
+  ({key} % 4) * CAST(0.1 AS DOUBLE) AS io_budget_fraction,
+  CASE WHEN {key} % 2 = 0 THEN 'standard' ELSE 'conservative' END AS freeze_posture,
+  to_seconds(CAST(({key} % 3) * 1800 AS BIGINT)) AS min_interval,
+  CAST(({key} % 6) * 20 AS INTEGER) AS global_max_changes_per_cycle,
+  CAST(({key} % 7) * 150 AS INTEGER) AS daily_mutation_budget,
+  CAST({key} % 5 + 1 AS INTEGER) AS n_sustain, {key} % 3 = 1 AS manage_user_owned,
+  {key} % 4 <> 3 AS enabled, {key} % 2 = 0 AS advisory_only
+FROM {src}"""
+
+
+cte("policy", [], _policy_sql("nation", "n_nationkey", "n_name", "n_regionkey"))
+cte("policy_next", ["policy"], f"""
+SELECT * REPLACE (aggressiveness + CAST(substr(cluster_id, 2) AS INTEGER) * CAST(0.25 AS DOUBLE)
+                  AS aggressiveness) FROM policy WHERE cluster_id <> 'r4'
+UNION ALL {_policy_sql("region", "r_regionkey", "r_name", "r_regionkey")}""")
+
+cte("active_policy", ["policy"], """
+SELECT * FROM policy WHERE enabled
+QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY policy_name) = 1""")
+
+cte("override_events", [], """
+SELECT 'c0' AS cluster_id, make_timestamp(2001, 7, r_regionkey + 1, 0, 0, 0) AS event_at,
+  CASE WHEN r_regionkey % 2 = 0 THEN 'force' ELSE 'clear' END AS action,
+  CASE r_regionkey WHEN 0 THEN 'degraded' WHEN 2 THEN 'diagnostic' WHEN 4 THEN 'emergency' END
+    AS forced_state,
+  'maintenance window ' || lower(r_name) AS forced_reason
+FROM region""")
+
+cte("clock", ["actions"], "SELECT max(applied_at) AS now FROM actions")
+
+# ---- classify (three ticks) ----------------------------------------------------------------
+
+
+def _classify_sql(tgt: str, prior: str | None) -> str:
+    rcp = (f"SELECT * FROM {prior}" if prior else
+           "SELECT CAST(NULL AS VARCHAR) AS cluster_id, CAST(NULL AS BIGINT) AS relid, "
+           "CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS source, "
+           "CAST(NULL AS VARCHAR) AS candidate, CAST(NULL AS INTEGER) AS candidate_streak WHERE false")
+    frac = "CAST({x} AS DOUBLE) / (din + dupd + ddel)"
+    fi, fu, fd = (frac.format(x="din"), frac.format(x="dupd"), frac.format(x="ddel"))
+    sustained = "target_kind IS NOT DISTINCT FROM cur_cand AND cur_streak + 1 >= nsus"
+    return f"""
+WITH c0 AS (SELECT s.cluster_id, s.relid, s.schemaname, s.relname, s.n_tup_ins, s.n_tup_upd,
+                   s.n_tup_del, s.reltuples
+            FROM samples s JOIN {tgt} t USING (cluster_id) WHERE s.snapshot_id <= t.p
+            QUALIFY row_number() OVER (PARTITION BY s.cluster_id, s.relid ORDER BY s.snapshot_id DESC) = 1),
+     pv AS (SELECT s.cluster_id, s.relid, s.n_tup_ins, s.n_tup_upd, s.n_tup_del
+            FROM samples s JOIN {tgt} t USING (cluster_id) WHERE s.snapshot_id < t.p
+            QUALIFY row_number() OVER (PARTITION BY s.cluster_id, s.relid ORDER BY s.snapshot_id DESC) = 1),
+     rcp AS ({rcp}),
+     calc AS (SELECT c.*, greatest(c.n_tup_ins - p.n_tup_ins, 0) AS din,
+                     greatest(c.n_tup_upd - p.n_tup_upd, 0) AS dupd,
+                     greatest(c.n_tup_del - p.n_tup_del, 0) AS ddel,
+                     r.kind AS cur_kind, r.source AS cur_source, r.candidate AS cur_cand,
+                     r.candidate_streak AS cur_streak, COALESCE(ap.n_sustain, 3) AS nsus
+              FROM c0 c LEFT JOIN pv p USING (cluster_id, relid)
+              LEFT JOIN rcp r USING (cluster_id, relid) LEFT JOIN active_policy ap USING (cluster_id)),
+     cls AS (SELECT *, din + dupd + ddel AS total,
+               CASE WHEN din + dupd + ddel >= 50 THEN
+                 CASE WHEN {fi} > 0.95 AND {fd} < 0.01 THEN 'append_only'
+                      WHEN {fd} > 0.30 AND abs({fd} - {fi}) < 0.10 THEN 'queue'
+                      WHEN {fd} > 0.30 THEN 'delete_heavy'
+                      WHEN {fu} > 0.30 THEN 'oltp' ELSE 'mixed' END END AS rule_kind
+             FROM calc),
+     dec AS (SELECT *, COALESCE(rule_kind, cur_kind,
+                       CASE WHEN reltuples > 100000 THEN 'archive' ELSE 'mixed' END) AS target_kind
+             FROM cls)
+SELECT cluster_id, relid, schemaname, relname,
+  CASE WHEN cur_kind IS NULL THEN target_kind WHEN cur_source = 'manual' THEN cur_kind
+       WHEN target_kind = cur_kind THEN cur_kind WHEN {sustained} THEN target_kind
+       ELSE cur_kind END AS kind,
+  COALESCE(cur_source, 'auto') AS source,
+  CASE WHEN cur_kind IS NULL THEN NULL WHEN cur_source = 'manual' THEN cur_cand
+       WHEN target_kind = cur_kind THEN NULL WHEN {sustained} THEN NULL
+       ELSE target_kind END AS candidate,
+  CAST(CASE WHEN cur_kind IS NULL THEN 0 WHEN cur_source = 'manual' THEN cur_streak
+       WHEN target_kind = cur_kind THEN 0 WHEN {sustained} THEN 0
+       WHEN target_kind IS NOT DISTINCT FROM cur_cand THEN cur_streak + 1 ELSE 1 END AS INTEGER)
+    AS candidate_streak,
+  din, dupd, ddel, total, rule_kind
+FROM dec"""
+
+
+cte("c_b2", ["samples", "tgt_b2", "active_policy"], _classify_sql("tgt_b2", None))
+cte("c_b1", ["samples", "tgt_b1", "active_policy", "c_b2"], _classify_sql("tgt_b1", "c_b2"))
+cte("c_b0", ["samples", "tgt", "active_policy", "c_b1"], _classify_sql("tgt", "c_b1"))
+
+q("classify_tick", ["c_b0"], """SELECT cluster_id, relid, schemaname, relname, kind, source,
+  candidate, candidate_streak FROM c_b0""")
+q("write_mix", ["c_b0"], """
+SELECT cluster_id, relid, din, dupd, ddel, total,
+  round(CASE WHEN rule_kind IS NOT NULL THEN din / total END, 6) AS ins_frac,
+  round(CASE WHEN rule_kind IS NOT NULL THEN dupd / total END, 6) AS upd_frac,
+  round(CASE WHEN rule_kind IS NOT NULL THEN ddel / total END, 6) AS del_frac, rule_kind
+FROM c_b0""")
+
+q("classify_trailing", ["samples", "snapshots"], """
+WITH s AS (SELECT s.*, epoch_us(h.collected_at) // 1000000 AS t
+           FROM samples s JOIN snapshots h USING (cluster_id, snapshot_id)),
+     f AS (SELECT *,
+             arg_min(n_tup_ins, t) OVER w AS f_ins, arg_min(n_tup_upd, t) OVER w AS f_upd,
+             arg_min(n_tup_del, t) OVER w AS f_del
+           FROM s WINDOW w AS (PARTITION BY cluster_id, relid ORDER BY t
+                               RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW)),
+     d AS (SELECT cluster_id, relid, snapshot_id, greatest(n_tup_ins - f_ins, 0) AS din,
+             greatest(n_tup_upd - f_upd, 0) AS dupd, greatest(n_tup_del - f_del, 0) AS ddel FROM f)
+SELECT *, round((din + dupd + ddel) / 21600.0, 6) AS write_rate,
+  CASE WHEN (din + dupd + ddel) / 21600.0 >= 0 AND din + dupd + ddel >= 50 THEN
+    CASE WHEN din / (din + dupd + ddel) > 0.95 AND ddel / (din + dupd + ddel) < 0.01 THEN 'append_only'
+         WHEN ddel / (din + dupd + ddel) > 0.30
+              AND abs(ddel / (din + dupd + ddel) - din / (din + dupd + ddel)) < 0.10 THEN 'queue'
+         WHEN ddel / (din + dupd + ddel) > 0.30 THEN 'delete_heavy'
+         WHEN dupd / (din + dupd + ddel) > 0.30 THEN 'oltp' ELSE 'mixed' END END AS trailing_kind
+FROM d""")
+
+_GRIDD = "[0.005::DOUBLE, 0.01::DOUBLE, 0.02::DOUBLE, 0.05::DOUBLE, 0.10::DOUBLE, 0.20::DOUBLE, 0.30::DOUBLE, 0.50::DOUBLE]"
+
+
+def snap_sql(x: str) -> str:
+    return f"(SELECT g FROM unnest({_GRIDD}) u(g) ORDER BY abs(g - ({x})), g LIMIT 1)"
+
+
+q("snap_grid", [], f"""
+SELECT round(x, 6) AS x, round({snap_sql('x')}, 6) AS snapped
+FROM (SELECT DISTINCT l_discount * 4 + l_tax AS x FROM lineitem)""")
+
+# ---- plan ------------------------------------------------------------------------------------
+cte("fold", ["actions"], """
+WITH a AS (SELECT * FROM actions WHERE status = 'applied'),
+     f AS (SELECT cluster_id, relid, actuator, old_value AS baseline_value FROM a
+           QUALIFY row_number() OVER (PARTITION BY cluster_id, relid, actuator
+                                      ORDER BY applied_at, action_id) = 1),
+     l AS (SELECT cluster_id, relid, actuator, new_value AS current_value FROM a
+           QUALIFY row_number() OVER (PARTITION BY cluster_id, relid, actuator
+                                      ORDER BY applied_at DESC, action_id DESC) = 1),
+     g AS (SELECT cluster_id, relid, actuator, count(*) AS n_applied, max(applied_at) AS set_at
+           FROM a GROUP BY ALL)
+SELECT g.cluster_id, g.relid, g.actuator, l.current_value,
+  f.baseline_value IS NOT NULL AS baseline_explicit, f.baseline_value, g.n_applied, g.set_at,
+  CASE WHEN f.baseline_value IS NOT NULL THEN 'SET' ELSE 'RESET' END AS revert_kind
+FROM g JOIN f USING (cluster_id, relid, actuator) JOIN l USING (cluster_id, relid, actuator)""")
+
+_CT = ("CASE kind WHEN 'queue' THEN 0.02::DOUBLE WHEN 'delete_heavy' THEN 0.02::DOUBLE "
+       "WHEN 'oltp' THEN 0.02::DOUBLE WHEN 'mixed' THEN 0.05::DOUBLE "
+       "WHEN 'append_only' THEN 0.20::DOUBLE WHEN 'archive' THEN 0.20::DOUBLE END")
+_XSF = opt("s.reloptions", "autovacuum_vacuum_scale_factor")
+
+cte("plan", ["c_b0", "e_b0", "cur", "hdr", "fold", "active_policy"], f"""
+WITH base AS (
+  SELECT c.cluster_id, c.relid, c.kind, s.reltuples, s.reloptions, {_XSF} AS explicit_value,
+    h.def_vac_scale_factor, h.def_vac_threshold, h.oldest_xmin_owner,
+    e.saturation_cause, e.freeze_debt, e.mxid_freeze_debt, e.vacuum_debt_ratio, e.effectiveness,
+    a.baseline_explicit AS ast_baseline_explicit, a.current_value AS ast_current_value,
+    CASE WHEN ap.aggressiveness > 0 THEN ap.aggressiveness ELSE 1.0::DOUBLE END AS aggr,
+    COALESCE(ap.manage_user_owned, false) AS manage
+  FROM c_b0 c JOIN e_b0 e USING (cluster_id, relid) JOIN cur s USING (cluster_id, relid)
+  JOIN hdr h ON h.cluster_id = c.cluster_id
+  LEFT JOIN (SELECT * FROM fold WHERE actuator = {_SF}) a USING (cluster_id, relid)
+  LEFT JOIN active_policy ap ON ap.cluster_id = c.cluster_id),
+t AS (SELECT *, {_CT} AS f_template,
+        COALESCE(TRY_CAST(explicit_value AS DOUBLE), def_vac_scale_factor) AS cur_sf,
+        COALESCE(TRY_CAST({opt('reloptions', 'autovacuum_vacuum_threshold')} AS BIGINT),
+                 def_vac_threshold) AS cur_base,
+        (explicit_value IS NOT NULL AND NOT (ast_baseline_explicit IS NOT NULL
+           AND NOT ast_baseline_explicit AND explicit_value IS NOT DISTINCT FROM ast_current_value))
+          AS sf_user_set,
+        (freeze_debt > 0.6 OR COALESCE(mxid_freeze_debt, 0) > 0.6) AS freeze_stress,
+        (oldest_xmin_owner IS NOT NULL AND oldest_xmin_owner <> 'none') AS horizon_pinned
+      FROM base),
+d AS (SELECT *, CASE WHEN freeze_stress THEN 0.005::DOUBLE
+                     ELSE least(greatest(f_template / aggr, 0.005::DOUBLE), 0.5::DOUBLE) END AS eff_f
+      FROM t),
+q AS (SELECT *, {snap_sql('least(greatest(eff_f - CAST(cur_base AS DOUBLE) / greatest(CAST(reltuples AS DOUBLE), 1.0), 0.005), 0.5)')}
+               AS sf_target FROM d)
+SELECT *, CASE
+    WHEN freeze_stress AND horizon_pinned THEN 'escalate:inhibited:' || COALESCE(oldest_xmin_owner, 'unknown')
+    WHEN freeze_stress AND sf_target = cur_sf THEN 'hold'
+    WHEN freeze_stress THEN 'adjust'
+    WHEN saturation_cause = 'inhibited' THEN 'escalate:inhibited:' || COALESCE(oldest_xmin_owner, 'unknown')
+    WHEN saturation_cause = 'io_limited' THEN 'escalate:io_limited'
+    WHEN saturation_cause = 'config' THEN 'suppressed:not_firing'
+    WHEN NOT manage AND sf_user_set THEN 'suppressed:user_owned'
+    WHEN sf_target = cur_sf THEN 'hold' ELSE 'adjust' END AS decision
+FROM q""")
+
+q("plan_decisions", ["plan"], f"""
+SELECT cluster_id, CAST(1 AS BIGINT) AS tick_id, relid, {_SF} AS actuator, decision,
+  CAST(sf_target AS VARCHAR) AS proposed_value,
+  'class=' || kind || ' f*=' || CAST(f_template AS VARCHAR) AS policy_rule,
+  round(CASE WHEN decision = 'adjust' THEN cur_sf - sf_target END, 6) AS estimated_benefit
+FROM plan""")
+
+q("ownership", ["plan"], """SELECT cluster_id, relid, explicit_value, ast_baseline_explicit,
+  ast_current_value, sf_user_set FROM plan""")
+
+_FRZ = "(e.freeze_debt > 0.6 OR COALESCE(e.mxid_freeze_debt, 0) > 0.6)"
+cte("found", ["e_b0", "hdr", "cur"], f"""
+SELECT e.cluster_id, e.relid,
+  CASE WHEN e.saturation_cause = 'io_limited' THEN 'io_limited'
+       WHEN e.saturation_cause = 'config' THEN 'autovacuum_not_running'
+       ELSE h.oldest_xmin_owner END AS inhibitor_class,
+  CASE WHEN {_FRZ} AND h.oldest_xmin_owner <> 'none' THEN 'critical'
+       WHEN e.saturation_cause = 'inhibited' THEN 'critical' ELSE 'warning' END AS severity,
+  CASE WHEN e.saturation_cause = 'io_limited'
+       THEN 'Vacuum runs but cannot keep up (I/O-bound). More aggressive settings will not help; consider cost limits / more workers (Phase 3).'
+       WHEN e.saturation_cause = 'config'
+       THEN 'Debt is high but autovacuum has not run. Check that autovacuum is enabled and keeping up; lowering thresholds will not help an already-overdue table.'
+       ELSE 'Cleanup blocked by ' || h.oldest_xmin_owner || ' (' || COALESCE(h.oldest_xmin_owner_detail, '?')
+            || '); clear it -- more vacuuming cannot advance past a pinned xmin horizon.' END
+    AS recommendation
+FROM e_b0 e JOIN hdr h ON h.cluster_id = e.cluster_id
+WHERE (e.cluster_id, e.relid) IN (SELECT (cluster_id, relid) FROM cur)
+  AND (e.saturation_cause IN ('inhibited', 'io_limited', 'config')
+       OR ({_FRZ} AND h.oldest_xmin_owner <> 'none'))""")
+
+q("findings", ["found"], "SELECT * FROM found")
+
+q("reconcile", ["found", "diagnostics", "cur"], """
+WITH d AS (SELECT * FROM diagnostics WHERE resolved_at IS NULL),
+     j AS (SELECT f.cluster_id AS fc, f.relid AS fr, f.inhibitor_class AS fcls,
+                  d.cluster_id AS dc, d.relid AS dr, d.inhibitor_class AS dcls, d.diagnostic_id
+           FROM found f FULL OUTER JOIN d ON f.cluster_id = d.cluster_id AND f.relid = d.relid
+             AND f.inhibitor_class IS NOT DISTINCT FROM d.inhibitor_class),
+     a AS (SELECT j.*, CASE WHEN dr IS NULL THEN 'open' WHEN fr IS NOT NULL THEN 'keep'
+                    WHEN c.relid IS NOT NULL AND dcls IS DISTINCT FROM 'control_oscillation'
+                    THEN 'resolve' END AS action
+           FROM j LEFT JOIN (SELECT DISTINCT cluster_id, relid FROM cur) c
+             ON c.cluster_id = j.dc AND c.relid = j.dr)
+SELECT COALESCE(fc, dc) AS cluster_id, COALESCE(fr, dr) AS relid,
+  CASE WHEN fr IS NOT NULL THEN fcls ELSE dcls END AS inhibitor_class, diagnostic_id, action
+FROM a WHERE action IS NOT NULL""")
+
+cte("osc", ["actions", "clock"], f"""
+WITH seq AS (SELECT cluster_id, relid, relname, action_id, applied_at,
+                    TRY_CAST(new_value AS DOUBLE) AS v
+             FROM actions, clock
+             WHERE status = 'applied' AND actuator = {_SF} AND relid <> 0
+               AND applied_at > clock.now - INTERVAL 3650 DAY),
+     dir AS (SELECT *, sign(v - lag(v) OVER w) AS d FROM seq
+             WINDOW w AS (PARTITION BY cluster_id, relid ORDER BY applied_at, action_id)),
+     rev AS (SELECT *, lag(d) OVER w AS prev_d FROM dir
+             WINDOW w AS (PARTITION BY cluster_id, relid ORDER BY applied_at, action_id))
+SELECT cluster_id, relid, max(relname) AS relname,
+  count(*) FILTER (WHERE d <> 0 AND prev_d <> 0 AND d <> prev_d) AS reversals,
+  count(*) AS n_changes, min(applied_at) AS first_at, max(applied_at) AS last_at,
+  array_to_string(list(CAST(v AS VARCHAR) ORDER BY applied_at, action_id), ',') AS recent_values
+FROM rev GROUP BY cluster_id, relid
+HAVING count(*) FILTER (WHERE d <> 0 AND prev_d <> 0 AND d <> prev_d) >= 2""")
+
+q("oscillation", ["osc"], "SELECT * FROM osc")
+
+q("tick_summary", ["decisions"], """
+SELECT cluster_id, tick_id, count(*) AS n_decisions, count(DISTINCT relid) AS n_relations,
+  count(*) FILTER (WHERE applied) AS n_applied,
+  count(*) FILTER (WHERE decision = 'adjust') AS n_adjust
+FROM decisions GROUP BY cluster_id, tick_id""")
+
+q("static_settings", ["c_b0", "cur"], """
+SELECT c.cluster_id, c.relid, c.kind,
+  CASE c.kind WHEN 'oltp' THEN 0.02::DOUBLE WHEN 'queue' THEN 0.005::DOUBLE
+       WHEN 'delete_heavy' THEN 0.01::DOUBLE WHEN 'mixed' THEN 0.05::DOUBLE
+       WHEN 'append_only' THEN 0.20::DOUBLE WHEN 'archive' THEN 0.20::DOUBLE END AS static_sf,
+  CASE WHEN s.reltuples >= 1e8 THEN CAST(100000 AS BIGINT) END AS static_threshold
+FROM c_b0 c JOIN cur s USING (cluster_id, relid)""")
+
+q("sustained_deviation", ["decisions"], f"""
+WITH d AS (SELECT cluster_id, relid, tick_id, decision_id,
+             CAST(list_position({_GRIDD}, TRY_CAST(proposed_value AS DOUBLE)) AS INTEGER) AS level
+           FROM decisions),
+     n AS (SELECT *, COALESCE(level <> lag(level) OVER w, true) AS isnew FROM d
+           WINDOW w AS (PARTITION BY cluster_id, relid ORDER BY tick_id, decision_id)),
+     r AS (SELECT *, sum(CAST(isnew AS INTEGER)) OVER (PARTITION BY cluster_id, relid
+             ORDER BY tick_id, decision_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_id
+           FROM n),
+     r2 AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, relid, run_id
+                                         ORDER BY tick_id, decision_id) AS run_len FROM r),
+     runs AS (SELECT cluster_id, relid, run_id, any_value(level) AS run_level FROM r GROUP BY ALL),
+     runs2 AS (SELECT *, lag(run_level) OVER w AS prev_level,
+                 sign(lag(run_level) OVER w - lag(run_level, 2) OVER w) AS prev_dir
+               FROM runs WINDOW w AS (PARTITION BY cluster_id, relid ORDER BY run_id)),
+     j AS (SELECT r2.*, runs2.prev_level, runs2.prev_dir, r2.level - runs2.prev_level AS step
+           FROM r2 JOIN runs2 USING (cluster_id, relid, run_id))
+SELECT cluster_id, relid, tick_id, decision_id, level, run_len, abs(step) AS level_distance,
+  COALESCE(sign(step) * prev_dir < 0, false) AS reversal,
+  run_len >= 3 AND COALESCE(abs(step) >= CASE WHEN COALESCE(sign(step) * prev_dir < 0, false)
+                                              THEN 2 ELSE 1 END, true) AS eligible
+FROM j""")
+
+q("fold_actions", ["fold"], "SELECT * FROM fold")
+
+# ---- health ---------------------------------------------------------------------------------
+cte("self_health", ["inventory"], """
+SELECT cluster_id, CAST(sum(bytes) AS BIGINT) AS total_bytes,
+  CAST(sum(dead_tuples) AS BIGINT) AS total_dead_tuples,
+  count(*) FILTER (WHERE relation = 'relation_samples') AS raw_partitions,
+  count(*) FILTER (WHERE relation IN ('rollup_1m', 'rollup_1h', 'rollup_1d')) AS rollup_partitions,
+  min(CASE WHEN relation = 'relation_samples' THEN range_start END) AS oldest_raw_partition,
+  CAST(4000000 AS BIGINT) AS budget_bytes,
+  CAST(4000000 - sum(bytes) AS BIGINT) AS bytes_under_budget,
+  sum(bytes) > 4000000 AS over_budget
+FROM inventory GROUP BY cluster_id""")
+
+_H = "INTERVAL 3600 SECOND"
+_D = "INTERVAL 86400 SECOND"
+cte("gmetrics", ["actions", "snapshots", "ticks", "self_health", "osc", "clock"], f"""
+WITH k AS (SELECT cluster_id FROM actions UNION SELECT cluster_id FROM snapshots
+           UNION SELECT cluster_id FROM ticks),
+     a AS (SELECT cluster_id,
+       count(*) FILTER (WHERE status = 'applied' AND applied_at > now - {_H}) AS applied_actions_last_hour,
+       count(*) FILTER (WHERE status = 'applied' AND applied_at > now - {_D}) AS applied_actions_last_day,
+       count(*) FILTER (WHERE status = 'failed' AND applied_at > now - {_H}) AS failed_actions_last_hour,
+       count(*) FILTER (WHERE status = 'failed' AND applied_at > now - {_D}) AS failed_actions_last_day,
+       count(*) FILTER (WHERE failure_reason = 'lock_timeout' AND applied_at > now - {_H}) AS lock_timeouts_last_hour,
+       count(*) FILTER (WHERE failure_reason = 'lock_timeout' AND applied_at > now - {_D}) AS lock_timeouts_last_day,
+       min(applied_at) AS oldest_action_at
+       FROM actions, clock GROUP BY cluster_id),
+     s AS (SELECT cluster_id, max(collected_at) AS newest_snapshot_at,
+                  arg_max(client_backends, snapshot_id) AS client_backends,
+                  arg_max(max_connections, snapshot_id) AS max_connections
+           FROM snapshots GROUP BY cluster_id),
+     t AS (SELECT cluster_id, arg_max(started_at, tick_id) AS last_tick_started_at,
+                  arg_max(finished_at, tick_id) AS last_tick_finished_at,
+                  arg_max(dur, tick_id) AS last_tick_duration_s,
+                  max(dur) FILTER (WHERE started_at > now - {_D}) AS max_tick_duration_last_day_s,
+                  count(*) FILTER (WHERE error IS NOT NULL AND started_at > now - {_D}) AS tick_errors_last_day,
+                  max(finished_at) AS last_successful_tick_at
+           FROM (SELECT *, (epoch_us(finished_at) - epoch_us(started_at)) / 1000000.0 AS dur FROM ticks), clock
+           GROUP BY cluster_id),
+     o AS (SELECT cluster_id, count(*) AS c FROM osc GROUP BY cluster_id)
+SELECT k.cluster_id, sh.total_bytes AS storage_bytes, sh.over_budget,
+  COALESCE(a.applied_actions_last_hour, 0) AS applied_actions_last_hour,
+  COALESCE(a.applied_actions_last_day, 0) AS applied_actions_last_day,
+  COALESCE(a.failed_actions_last_hour, 0) AS failed_actions_last_hour,
+  COALESCE(a.failed_actions_last_day, 0) AS failed_actions_last_day,
+  COALESCE(a.lock_timeouts_last_hour, 0) AS lock_timeouts_last_hour,
+  COALESCE(a.lock_timeouts_last_day, 0) AS lock_timeouts_last_day,
+  a.oldest_action_at, s.newest_snapshot_at, s.client_backends, s.max_connections,
+  s.client_backends::DOUBLE / NULLIF(s.max_connections, 0) AS connection_pressure,
+  round(100.0 * s.client_backends::DOUBLE / NULLIF(s.max_connections, 0)) AS connection_pressure_pct,
+  t.last_tick_started_at, t.last_tick_finished_at, t.last_tick_duration_s,
+  t.max_tick_duration_last_day_s, COALESCE(t.tick_errors_last_day, 0) AS tick_errors_last_day,
+  t.last_successful_tick_at, COALESCE(o.c, 0) AS oscillating_relations,
+  (epoch_us(clock.now) - epoch_us(s.newest_snapshot_at)) / 1000000.0 AS observation_lag_s,
+  (epoch_us(clock.now) - epoch_us(t.last_successful_tick_at)) / 1000000.0 AS control_loop_lag_s
+FROM k CROSS JOIN clock LEFT JOIN self_health sh USING (cluster_id) LEFT JOIN a USING (cluster_id)
+LEFT JOIN s USING (cluster_id) LEFT JOIN t USING (cluster_id) LEFT JOIN o USING (cluster_id)""")
+
+_ORD = ("CASE {s} WHEN 'normal' THEN 0 WHEN 'degraded' THEN 1 WHEN 'diagnostic' THEN 2 "
+        "WHEN 'emergency' THEN 3 WHEN 'disabled' THEN 4 END")
+
+cte("health", ["gmetrics", "active_policy"], """
+WITH m AS (SELECT g.*, COALESCE(ap.daily_mutation_budget, 500) AS budget
+           FROM gmetrics g LEFT JOIN active_policy ap USING (cluster_id)),
+ c AS (
+  SELECT cluster_id, 'normal' AS state, 'all self-monitoring signals within bounds' AS reason, 0 AS sig FROM m
+  UNION ALL SELECT cluster_id,
+    CASE WHEN observation_lag_s > 3600 THEN 'emergency' WHEN observation_lag_s > 600 THEN 'degraded' ELSE 'normal' END,
+    CASE WHEN observation_lag_s > 600 THEN format('observation lag {}s — telemetry is stale', CAST(round(observation_lag_s) AS BIGINT)) END, 1 FROM m
+  UNION ALL SELECT cluster_id,
+    CASE WHEN control_loop_lag_s > 3600 THEN 'emergency' WHEN control_loop_lag_s > 1200 THEN 'degraded' ELSE 'normal' END,
+    CASE WHEN control_loop_lag_s > 1200 THEN format('control loop lag {}s — no successful control cycle', CAST(round(control_loop_lag_s) AS BIGINT)) END, 2 FROM m
+  UNION ALL SELECT cluster_id,
+    CASE WHEN failed_actions_last_hour > 10 THEN 'diagnostic' WHEN failed_actions_last_hour > 3 THEN 'degraded' ELSE 'normal' END,
+    CASE WHEN failed_actions_last_hour > 3 THEN format('{} failed actions in the last hour', failed_actions_last_hour) END, 3 FROM m
+  UNION ALL SELECT cluster_id,
+    CASE WHEN lock_timeouts_last_hour > 10 THEN 'diagnostic' ELSE 'normal' END,
+    CASE WHEN lock_timeouts_last_hour > 10 THEN format('{} lock timeouts in the last hour', lock_timeouts_last_hour) END, 4 FROM m
+  UNION ALL SELECT cluster_id, CASE WHEN over_budget THEN 'degraded' ELSE 'normal' END,
+    CASE WHEN over_budget THEN 'governor storage footprint over budget' END, 5 FROM m
+  UNION ALL SELECT cluster_id, CASE WHEN applied_actions_last_day >= budget THEN 'degraded' ELSE 'normal' END,
+    CASE WHEN applied_actions_last_day >= budget THEN format('daily mutation budget spent ({} applied in the last day)', applied_actions_last_day) END, 6 FROM m
+  UNION ALL SELECT cluster_id, CASE WHEN oscillating_relations > 0 THEN 'diagnostic' ELSE 'normal' END,
+    CASE WHEN oscillating_relations > 0 THEN format('{} relation(s) oscillating — control is flapping', oscillating_relations) END, 7 FROM m
+  UNION ALL SELECT cluster_id, CASE WHEN connection_pressure >= 0.9 THEN 'diagnostic' ELSE 'normal' END,
+    CASE WHEN connection_pressure >= 0.9 THEN format('connection pressure {}% ({}/{} client backends) — shedding load, actuation suspended',
+      CAST(connection_pressure_pct AS BIGINT), client_backends, max_connections) END, 8 FROM m)
+SELECT cluster_id, state, reason FROM c
+QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY """ + _ORD.format(s="state") + """ DESC,
+                                        (reason IS NOT NULL) DESC, sig) = 1""")
+
+cte("gov_state", ["health", "override_events"], f"""
+WITH ev AS (SELECT cluster_id, arg_max(action, event_at) AS action,
+                   arg_max(forced_state, event_at) AS forced_state,
+                   arg_max(forced_reason, event_at) AS forced_reason
+            FROM override_events GROUP BY cluster_id),
+     j AS (SELECT h.*, CASE WHEN ev.action = 'force' AND ev.forced_state <> 'normal'
+                            THEN ev.forced_state END AS forced, ev.forced_reason
+           FROM health h LEFT JOIN ev USING (cluster_id))
+SELECT cluster_id, state AS computed_state, forced,
+  CASE WHEN forced IS NOT NULL AND {_ORD.format(s='forced')} >= {_ORD.format(s='state')}
+       THEN forced ELSE state END AS state,
+  CASE WHEN forced IS NOT NULL AND {_ORD.format(s='forced')} >= {_ORD.format(s='state')}
+       THEN format('operator-forced {{}}: {{}}', forced, COALESCE(forced_reason, '(no reason given)'))
+       ELSE reason END AS reason
+FROM j""")
+
+_GM_ROUND = ("* REPLACE (round(connection_pressure, 6) AS connection_pressure, "
+             "round(connection_pressure_pct, 6) AS connection_pressure_pct, "
+             "round(last_tick_duration_s, 6) AS last_tick_duration_s, "
+             "round(max_tick_duration_last_day_s, 6) AS max_tick_duration_last_day_s, "
+             "round(observation_lag_s, 6) AS observation_lag_s, "
+             "round(control_loop_lag_s, 6) AS control_loop_lag_s)")
+q("governor_metrics", ["gmetrics"], f"SELECT {_GM_ROUND} FROM gmetrics")
+q("health_state", ["health"], "SELECT * FROM health")
+q("override_floor", ["gov_state"], "SELECT * FROM gov_state")
+
+q("state_transitions", ["snapshots"], """
+WITH s AS (SELECT cluster_id, snapshot_id, collected_at,
+             (epoch_us(collected_at) - epoch_us(lag(collected_at) OVER
+               (PARTITION BY cluster_id ORDER BY snapshot_id))) / 1000000.0 AS gap,
+             client_backends::DOUBLE / NULLIF(max_connections, 0) AS pressure
+           FROM snapshots),
+     st AS (SELECT cluster_id, collected_at AS evaluated_at,
+              CASE WHEN gap > 3600 THEN 'emergency' WHEN pressure >= 0.9 THEN 'diagnostic'
+                   WHEN gap > 600 THEN 'degraded' ELSE 'normal' END AS state FROM s),
+     l AS (SELECT *, lag(state) OVER (PARTITION BY cluster_id ORDER BY evaluated_at) AS from_state FROM st)
+SELECT cluster_id, from_state, state AS to_state, evaluated_at AS transitioned_at
+FROM l WHERE state IS DISTINCT FROM from_state""")
+
+q("failure_taxonomy", ["gmetrics", "actions", "clock"], f"""
+WITH m AS (SELECT * FROM gmetrics),
+ rec AS (SELECT cluster_id, failure_class, count(*) AS n FROM actions, clock
+         WHERE status = 'failed' AND failure_class IS NOT NULL AND applied_at > now - {_D}
+         GROUP BY ALL),
+ c AS (
+  SELECT cluster_id, 'observation' AS failure_class, COALESCE(observation_lag_s > 600, false) AS condition_present,
+    CASE WHEN COALESCE(observation_lag_s > 600, false)
+         THEN format('observation lag {{}}s — telemetry is stale', CAST(round(observation_lag_s) AS BIGINT))
+         ELSE 'telemetry fresh' END AS detail FROM m
+  UNION ALL SELECT cluster_id, 'decision',
+    tick_errors_last_day > 0 OR COALESCE(control_loop_lag_s > 1200, false),
+    CASE WHEN tick_errors_last_day > 0 THEN format('{{}} control cycle(s) errored in the last day', tick_errors_last_day)
+         WHEN COALESCE(control_loop_lag_s > 1200, false)
+         THEN format('no successful control cycle in {{}}s — the control loop is stalled', CAST(round(control_loop_lag_s) AS BIGINT))
+         ELSE 'no cycle errors' END FROM m
+  UNION ALL SELECT cluster_id, 'actuation', failed_actions_last_hour > 0,
+    CASE WHEN failed_actions_last_day > 0
+         THEN format('{{}} failed action(s) in the last hour, {{}} in the last day', failed_actions_last_hour, failed_actions_last_day)
+         ELSE 'no failed actions' END FROM m
+  UNION ALL SELECT cluster_id, 'resource', COALESCE(over_budget, false),
+    CASE WHEN COALESCE(over_budget, false) THEN format('governor storage footprint over budget ({{}} bytes)', storage_bytes)
+         ELSE 'within storage budget' END FROM m
+  UNION ALL SELECT cluster_id, 'safety', oscillating_relations > 0,
+    CASE WHEN oscillating_relations > 0 THEN format('{{}} relation(s) oscillating — control is flapping', oscillating_relations)
+         ELSE 'no safety-class failures' END FROM m)
+SELECT c.cluster_id, c.failure_class, c.condition_present,
+  COALESCE(rec.n, 0) AS recorded_failures_last_day, c.detail
+FROM c LEFT JOIN rec USING (cluster_id, failure_class)""")
+
+q("catalog_health", ["actions", "snapshots", "clock"], f"""
+WITH a AS (SELECT cluster_id,
+             count(*) FILTER (WHERE status = 'applied' AND applied_at > now - {_H}) AS mutations_last_hour,
+             count(*) FILTER (WHERE status = 'applied' AND applied_at > now - {_D}) AS mutations_last_day,
+             count(*) FILTER (WHERE status = 'failed' AND applied_at > now - {_D}) AS failed_last_day,
+             count(DISTINCT relid) FILTER (WHERE status = 'applied' AND applied_at > now - {_D})
+               AS relations_changed_last_day
+           FROM actions, clock GROUP BY cluster_id),
+     s AS (SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY snapshot_id DESC) = 1)
+SELECT s.cluster_id, COALESCE(a.mutations_last_hour, 0) AS mutations_last_hour,
+  COALESCE(a.mutations_last_day, 0) AS mutations_last_day,
+  COALESCE(a.failed_last_day, 0) AS failed_last_day,
+  COALESCE(a.relations_changed_last_day, 0) AS relations_changed_last_day,
+  s.pg_class_size_bytes, s.pg_class_n_dead_tup, s.pg_class_n_live_tup,
+  s.pg_class_last_autovacuum, s.collected_at
+FROM s LEFT JOIN a USING (cluster_id)""")
+
+q("active_diagnostics", ["diagnostics"], """
+SELECT cluster_id, diagnostic_id, detected_at, severity, relid, inhibitor_class
+FROM diagnostics WHERE resolved_at IS NULL""")
+
+q("governor_status", ["c_b0", "e_b0", "decisions", "fold", "active_policy"], f"""
+WITH last AS (SELECT * FROM decisions
+              QUALIFY row_number() OVER (PARTITION BY cluster_id, relid ORDER BY decision_id DESC) = 1)
+SELECT c.cluster_id, c.relid, c.schemaname, c.relname, c.kind,
+  round(e.f_trigger_ewma, 6) AS observed_dead_fraction,
+  round(least(greatest({_CT.replace('kind', 'c.kind')} /
+        CASE WHEN ap.aggressiveness > 0 THEN ap.aggressiveness ELSE 1.0::DOUBLE END, 0.005), 0.5), 6)
+    AS target_dead_fraction,
+  round(e.vacuum_debt_ratio, 6) AS vacuum_debt_ratio, round(e.freeze_debt, 6) AS freeze_debt,
+  e.saturation_cause, l.decision, l.proposed_value, l.applied, l.created_at AS last_decision_at,
+  f.current_value AS current_scale_factor
+FROM c_b0 c LEFT JOIN active_policy ap ON ap.cluster_id = c.cluster_id
+LEFT JOIN e_b0 e ON e.cluster_id = c.cluster_id AND e.relid = c.relid
+LEFT JOIN last l ON l.cluster_id = c.cluster_id AND l.relid = c.relid
+LEFT JOIN (SELECT * FROM fold WHERE actuator = {_SF}) f ON f.cluster_id = c.cluster_id AND f.relid = c.relid""")
+
+q("admit_actions", ["decisions", "cur", "fold", "actions", "gov_state", "active_policy", "clock"], f"""
+WITH dec AS (SELECT * FROM decisions WHERE tick_id = (SELECT max(tick_id) FROM decisions)
+               AND actuator = {_SF}
+             QUALIFY row_number() OVER (PARTITION BY cluster_id, tick_id, relid ORDER BY decision_id DESC) = 1),
+ d AS (SELECT * FROM dec WHERE decision = 'adjust'),
+ applied AS (SELECT * FROM actions WHERE status = 'applied'),
+ recent AS (SELECT cluster_id, relid, max(applied_at) AS last_applied FROM applied, clock
+            WHERE applied_at > now - INTERVAL 3600 SECOND GROUP BY ALL),
+ day_used AS (SELECT cluster_id, count(*) AS day_used FROM applied, clock
+              WHERE applied_at > now - {_D} GROUP BY cluster_id),
+ tick_used AS (SELECT a.cluster_id, dd.tick_id, count(*) AS tick_used
+               FROM applied a JOIN decisions dd ON dd.decision_id = a.decision_id GROUP BY ALL),
+ j AS (SELECT d.cluster_id, d.tick_id, d.decision_id, d.relid, d.proposed_value,
+         g.state AS gov_state, c.relid IS NOT NULL AS is_live,
+         {opt('c.reloptions', 'autovacuum_vacuum_scale_factor')} AS live_value,
+         f.relid IS NOT NULL AS have_state, f.baseline_explicit AS bexp, f.current_value AS gov_value,
+         r.last_applied, COALESCE(du.day_used, 0) AS day_used, COALESCE(tu.tick_used, 0) AS tick_used,
+         COALESCE(epoch(ap.min_interval), 3600) AS min_int_s,
+         COALESCE(ap.global_max_changes_per_cycle, 50) AS cap,
+         COALESCE(ap.daily_mutation_budget, 500) AS budget,
+         COALESCE(ap.manage_user_owned, false) AS manage, clock.now
+       FROM d CROSS JOIN clock
+       LEFT JOIN gov_state g ON g.cluster_id = d.cluster_id
+       LEFT JOIN cur c ON c.cluster_id = d.cluster_id AND c.relid = d.relid
+       LEFT JOIN (SELECT * FROM fold WHERE actuator = {_SF}) f ON f.cluster_id = d.cluster_id AND f.relid = d.relid
+       LEFT JOIN recent r ON r.cluster_id = d.cluster_id AND r.relid = d.relid
+       LEFT JOIN day_used du ON du.cluster_id = d.cluster_id
+       LEFT JOIN tick_used tu ON tu.cluster_id = d.cluster_id AND tu.tick_id = d.tick_id
+       LEFT JOIN active_policy ap ON ap.cluster_id = d.cluster_id),
+ p AS (SELECT *, CASE
+         WHEN gov_state IN ('diagnostic', 'emergency', 'disabled') THEN 'authority'
+         WHEN NOT is_live THEN 'vanished'
+         WHEN live_value IS NOT DISTINCT FROM proposed_value THEN 'noop'
+         WHEN NOT COALESCE(TRY_CAST(proposed_value AS DOUBLE) BETWEEN 0.005 AND 0.5
+                           AND NOT isnan(TRY_CAST(proposed_value AS DOUBLE)), false) THEN 'invalid_value'
+         WHEN NOT manage AND live_value IS NOT NULL
+              AND NOT COALESCE(have_state AND NOT bexp AND live_value IS NOT DISTINCT FROM gov_value, false)
+              THEN 'user_owned'
+         WHEN last_applied IS NOT NULL AND last_applied > now - to_microseconds(CAST(min_int_s * 1000000 AS BIGINT))
+              THEN 'min_interval' END AS pre
+       FROM j),
+ rk AS (SELECT *, CASE WHEN pre IS NULL THEN sum(CASE WHEN pre IS NULL THEN 1 ELSE 0 END) OVER
+                 (PARTITION BY cluster_id, tick_id ORDER BY decision_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS rnk FROM p)
+SELECT cluster_id, tick_id, decision_id, relid, proposed_value,
+  reason IS NULL AS admitted, reason AS refusal_reason
+FROM (SELECT *, CASE WHEN pre IS NOT NULL THEN pre WHEN tick_used + rnk > cap THEN 'cycle_cap'
+                     WHEN day_used + rnk > budget THEN 'daily_budget' END AS reason FROM rk)""")
+
+# ---- retention and governance -------------------------------------------------------------------
+q("storage_budget", ["inventory"], """
+SELECT * FROM (
+  SELECT cluster_id, schema_name, relation,
+    CASE WHEN relation IS NOT NULL THEN 'relation' WHEN schema_name IS NOT NULL THEN 'schema'
+         ELSE 'cluster' END AS level,
+    CAST(COALESCE(sum(bytes), 0) AS BIGINT) AS bytes,
+    CAST(COALESCE(sum(dead_tuples), 0) AS BIGINT) AS dead_tuples, count(*) AS partitions
+  FROM inventory GROUP BY ROLLUP (cluster_id, schema_name, relation))
+WHERE cluster_id IS NOT NULL""")
+
+q("self_health", ["self_health"], "SELECT * FROM self_health")
+
+q("audit_retention", ["actions", "decisions", "ticks", "diagnostics", "clock"], """
+WITH a AS (SELECT a.*, a.applied_at < clock.now - INTERVAL 180 DAY AS dr FROM actions a, clock),
+ kept AS (SELECT DISTINCT cluster_id, decision_id FROM a WHERE NOT dr),
+ d AS (SELECT d.*, d.created_at < clock.now - INTERVAL 180 DAY AND k.decision_id IS NULL AS dr
+       FROM decisions d CROSS JOIN clock
+       LEFT JOIN kept k ON k.cluster_id = d.cluster_id AND k.decision_id = d.decision_id),
+ t AS (SELECT t.*, t.started_at < clock.now - INTERVAL 180 DAY AS dr FROM ticks t, clock),
+ g AS (SELECT g.*, g.resolved_at IS NOT NULL AND g.detected_at < clock.now - INTERVAL 365 DAY AS dr
+       FROM diagnostics g, clock)
+SELECT cluster_id, 'action_history' AS relation, count(*) FILTER (WHERE dr) AS deleted,
+       count(*) FILTER (WHERE NOT dr) AS kept FROM a GROUP BY cluster_id
+UNION ALL SELECT cluster_id, 'decision_log', count(*) FILTER (WHERE dr), count(*) FILTER (WHERE NOT dr) FROM d GROUP BY cluster_id
+UNION ALL SELECT cluster_id, 'tick_log', count(*) FILTER (WHERE dr), count(*) FILTER (WHERE NOT dr) FROM t GROUP BY cluster_id
+UNION ALL SELECT cluster_id, 'diagnostics', count(*) FILTER (WHERE dr), count(*) FILTER (WHERE NOT dr) FROM g GROUP BY cluster_id""")
+
+q("shedding_plan", ["inventory", "diagnostics", "actions", "clock"], """
+WITH inv AS (SELECT cluster_id, sum(bytes) AS inv_total,
+               sum(bytes) FILTER (WHERE relation = 'relation_samples' AND range_end <= now - INTERVAL 7 DAY) AS raw,
+               sum(bytes) FILTER (WHERE relation = 'rollup_1m' AND range_end <= now - INTERVAL 2 DAY) AS fine,
+               sum(bytes) FILTER (WHERE relation IN ('rollup_1h', 'rollup_1d') AND range_end <= now - INTERVAL 30 DAY) AS coarse
+             FROM inventory, clock GROUP BY cluster_id),
+ dg AS (SELECT cluster_id, count(*) * 200 AS diag_total,
+          count(*) FILTER (WHERE resolved_at IS NOT NULL AND detected_at <= now - INTERVAL 30 DAY) * 200 AS diag
+        FROM diagnostics, clock GROUP BY cluster_id),
+ ac AS (SELECT cluster_id, count(*) * 200 AS act_total,
+          count(*) FILTER (WHERE applied_at <= now - INTERVAL 30 DAY) * 200 AS act
+        FROM actions, clock GROUP BY cluster_id),
+ j AS (SELECT COALESCE(inv.cluster_id, dg.cluster_id, ac.cluster_id) AS cluster_id,
+          COALESCE(inv_total, 0) + COALESCE(diag_total, 0) + COALESCE(act_total, 0) AS total,
+          raw, fine, coarse, diag, act
+       FROM inv FULL OUTER JOIN dg USING (cluster_id) FULL OUTER JOIN ac USING (cluster_id)),
+ steps AS (SELECT cluster_id, total, 1 AS step, 'raw' AS level, COALESCE(raw, 0) AS reclaim FROM j
+   UNION ALL SELECT cluster_id, total, 2, 'rollups_fine', COALESCE(fine, 0) FROM j
+   UNION ALL SELECT cluster_id, total, 3, 'rollups_coarse', COALESCE(coarse, 0) FROM j
+   UNION ALL SELECT cluster_id, total, 4, 'diagnostics', COALESCE(diag, 0) FROM j
+   UNION ALL SELECT cluster_id, total, 5, 'actions', COALESCE(act, 0) FROM j
+   UNION ALL SELECT cluster_id, total, 6, 'policy', 0 FROM j),
+ b AS (SELECT *, total - COALESCE(sum(reclaim) OVER (PARTITION BY cluster_id ORDER BY step
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM steps),
+ e AS (SELECT *, level <> 'policy' AND before > 4000000 AS executed FROM b)
+SELECT cluster_id, step, level,
+  CASE WHEN level = 'policy' THEN 'preserved' WHEN executed AND level = 'raw' THEN 'swept'
+       WHEN executed THEN 'pruned' ELSE 'skipped:under_budget' END AS action,
+  CAST(total - sum(CASE WHEN executed THEN reclaim ELSE 0 END) OVER (PARTITION BY cluster_id
+       ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS bytes_after
+FROM e""")
+
+q("validate_parameters", ["policy", "active_policy"], """
+WITH k AS (SELECT cluster_id, bool_or(enabled) AS anyen FROM policy GROUP BY cluster_id),
+ j AS (SELECT k.cluster_id, k.anyen, ap.* EXCLUDE (cluster_id), ap.policy_name IS NOT NULL AS present,
+         CAST(epoch(ap.min_interval) AS BIGINT) AS mi
+       FROM k LEFT JOIN active_policy ap USING (cluster_id)),
+ c AS (
+  SELECT cluster_id, true AS present, 'enabled_policy' AS parameter,
+    CASE WHEN anyen THEN 'OK' ELSE 'WARNING' END AS status,
+    CASE WHEN anyen THEN 'an enabled policy drives the loop'
+         ELSE 'no enabled policy — the governor plans and applies nothing' END AS message FROM j
+  UNION ALL SELECT cluster_id, present, 'aggressiveness',
+    CASE WHEN aggressiveness IS NULL OR aggressiveness <= 0 THEN 'CRITICAL' ELSE 'OK' END,
+    format('aggressiveness = {}; must be > 0 (targets are class_template / aggressiveness, clamped to [{}, {}])',
+           printf('%.3f', aggressiveness), '0.005', '0.50') FROM j
+  UNION ALL SELECT cluster_id, present, 'daily_mutation_budget',
+    CASE WHEN daily_mutation_budget < 0 THEN 'CRITICAL' WHEN daily_mutation_budget = 0 THEN 'WARNING' ELSE 'OK' END,
+    format('daily_mutation_budget = {} (0 means the governor can never apply a change)', daily_mutation_budget) FROM j
+  UNION ALL SELECT cluster_id, present, 'global_max_changes_per_cycle',
+    CASE WHEN global_max_changes_per_cycle < 0 THEN 'CRITICAL' WHEN global_max_changes_per_cycle = 0 THEN 'WARNING' ELSE 'OK' END,
+    format('global_max_changes_per_cycle = {} (0 means no change is ever applied per cycle)', global_max_changes_per_cycle) FROM j
+  UNION ALL SELECT cluster_id, present, 'min_interval',
+    CASE WHEN mi < 0 THEN 'CRITICAL' WHEN mi = 0 THEN 'WARNING' ELSE 'OK' END,
+    format('min_interval = {}s (0 removes the per-relation rate limit)', mi) FROM j
+  UNION ALL SELECT cluster_id, present, 'n_sustain', CASE WHEN n_sustain < 1 THEN 'WARNING' ELSE 'OK' END,
+    format('n_sustain = {} (below 1 disables classification hysteresis — risks flapping)', n_sustain) FROM j
+  UNION ALL SELECT cluster_id, present, 'manage_user_owned', CASE WHEN manage_user_owned THEN 'WARNING' ELSE 'OK' END,
+    format('manage_user_owned = {} (true lets the governor overwrite user/other-system reloptions)',
+           lower(CAST(manage_user_owned AS VARCHAR))) FROM j
+  UNION ALL SELECT cluster_id, present, 'advisory_only', CASE WHEN advisory_only THEN 'OK' ELSE 'WARNING' END,
+    format('advisory_only = {} (false: the governor actively applies changes under the health-state gate; true: plans only)',
+           lower(CAST(advisory_only AS VARCHAR))) FROM j
+  UNION ALL SELECT cluster_id, true, 'storage_budget_bytes', 'OK',
+    'budget_bytes = 4000000 (NULL = no storage cap, degrade() disabled)' FROM j)
+SELECT cluster_id, parameter, status, message FROM c WHERE present""")
+
+_PF = ["description", "aggressiveness", "io_budget_fraction", "freeze_posture", "min_interval",
+       "global_max_changes_per_cycle", "daily_mutation_budget", "n_sustain", "manage_user_owned",
+       "enabled", "advisory_only"]
+_CHANGED = ("array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN o.{f} IS DISTINCT FROM n.{f} THEN '{f}' END" for f in _PF) + "], lambda x: x IS NOT NULL), ',')")
+q("policy_history", ["policy", "policy_next"], f"""
+WITH j AS (
+  SELECT o.cluster_id AS oc, n.cluster_id AS nc, o.policy_name AS on_, n.policy_name AS nn_,
+    o.aggressiveness AS oa, n.aggressiveness AS na, {_CHANGED} AS ch,
+    CASE WHEN o.policy_name IS NULL THEN 'insert' WHEN n.policy_name IS NULL THEN 'delete'
+         WHEN {" OR ".join(f"o.{f} IS DISTINCT FROM n.{f}" for f in _PF)} THEN 'update' END AS op
+  FROM policy o FULL OUTER JOIN policy_next n
+    ON o.cluster_id = n.cluster_id AND o.policy_name = n.policy_name)
+SELECT COALESCE(oc, nc) AS cluster_id, COALESCE(on_, nn_) AS policy_name, op AS operation,
+  CASE WHEN op = 'update' THEN ch END AS changed_fields,
+  round(oa, 6) AS old_aggressiveness, round(na, 6) AS new_aggressiveness
+FROM j WHERE op IS NOT NULL""")
+
+q("literal_audit", [], r"""
+WITH t AS (SELECT doc_id AS text_id, regexp_replace(text, '--[^\n]*', '', 'g') AS b FROM documents),
+ u AS (SELECT text_id, 'quoted' AS kind, unnest(regexp_extract_all(b, '(''[0-9][^'']*'')', 1)) AS literal FROM t
+       UNION ALL
+       SELECT text_id, 'bare', unnest(regexp_extract_all(regexp_replace(b, '''[^'']*''', '', 'g'),
+                                                         '(?:^|[^0-9A-Za-z_.])([0-9]+(?:\.[0-9]+)?)', 1)) FROM t)
+SELECT text_id, kind, literal, count(*) AS n FROM u
+WHERE literal NOT IN ('0', '1', '0.0', '1.0') GROUP BY ALL""")
