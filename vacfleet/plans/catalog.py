@@ -595,3 +595,9 @@ def q_policy_history(spark, d):
 @register("literal_audit")
 def q_literal_audit(spark, d):
     return finish(GOV.literal_audit(inputs(spark, d).table("documents"), "doc_id", "text"))
+
+
+@register("window_p95_lineitem")
+def q_window_p95_lineitem(spark, d):
+    """X1 at bench scale: line items as transactions (arm = return flag), 7-day windows."""
+    return finish(XP.window_p95(inputs(spark, d).tx_log_lineitem, 7 * 86400))

@@ -1460,3 +1460,17 @@ WITH t AS (SELECT doc_id AS text_id, regexp_replace(text, '--[^\n]*', '', 'g') A
                                                          '(?:^|[^0-9A-Za-z_.])([0-9]+(?:\.[0-9]+)?)', 1)) FROM t)
 SELECT text_id, kind, literal, count(*) AS n FROM u
 WHERE literal NOT IN ('0', '1', '0.0', '1.0') GROUP BY ALL""")
+
+cte("tx_log_li", [], """
+SELECT l_returnflag AS arm, 'lineitem' AS fixture, l_linestatus AS scenario, 1 AS seed,
+  CAST(NULL AS DOUBLE) AS probe_sf, CAST(round(l_extendedprice * 100) AS BIGINT) AS latency_us,
+  epoch_us(l_shipdate) // 1000000 AS epoch_s
+FROM lineitem""")
+
+q("window_p95_lineitem", ["tx_log_li"], f"""
+WITH w AS (SELECT *, (epoch_s - min(epoch_s) OVER (PARTITION BY {_RUN})) // 604800 AS win FROM tx_log_li)
+SELECT {_RUN}, win, max(CASE WHEN rn = k THEN latency_us END) AS p95_us, CAST(max(n) AS BIGINT) AS tx_count
+FROM (SELECT *, least(greatest(CAST(floor(CAST(0.95 AS DOUBLE) * n + 0.5) AS BIGINT), 1), n) AS k
+      FROM (SELECT *, row_number() OVER (PARTITION BY {_RUN}, win ORDER BY latency_us) AS rn,
+                   count(*) OVER (PARTITION BY {_RUN}, win) AS n FROM w))
+GROUP BY {_RUN}, win""")
