@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vacfleet.session import ensure_checkpoint_dir
 from vacfleet.sources import derive as D
 
 _CACHE: dict = {}
+_RUN = uuid.uuid4().hex[:12]
 
 
 class Inputs:
@@ -19,21 +22,35 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return D.read(self.spark, self.sf_dir, name)
 
+    def stored(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+        """Write a derived stand-in table once per process under the shared checkpoint
+        folder and read it back: operators then scan parquet (pushdown, pruning) exactly as
+        they would scan the stored telemetry tables, and lineage stops here."""
+        root = ensure_checkpoint_dir(self.spark).rstrip("/")
+        tag = self.sf_dir.strip("/").replace("/", "_")
+        path = f"{root}/vacfleet-inputs-{_RUN}/{tag}/{name}"
+        w = df.write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+        return self.spark.read.parquet(path)
+
     @cached_property
     def events(self) -> DataFrame:
         return self.table("events")
 
     @cached_property
     def samples(self) -> DataFrame:
-        return D.relation_samples(self.events)
+        return self.stored("relation_samples", D.relation_samples(self.events), ["collected_day"])
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        return D.snapshots(self.events)
+        return self.stored("snapshots", D.snapshots(self.events))
 
     @cached_property
     def dense(self) -> DataFrame:
-        return D.dense_samples(self.samples, self.snapshots)
+        return self.stored("dense_samples", D.dense_samples(self.samples, self.snapshots),
+                           ["collected_day"])
 
     @cached_property
     def horizon_sources(self) -> DataFrame:
@@ -61,7 +78,7 @@ class Inputs:
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return D.storage_inventory(self.table("lineitem"))
+        return self.stored("storage_inventory", D.storage_inventory(self.table("lineitem")))
 
     @cached_property
     def policy(self) -> DataFrame:
@@ -89,7 +106,7 @@ class Inputs:
 
     @cached_property
     def run_meta(self) -> DataFrame:
-        return D.run_meta(self.events)
+        return self.stored("run_meta", D.run_meta(self.events))
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
