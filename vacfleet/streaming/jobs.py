@@ -82,10 +82,16 @@ def tier_upsert_batch(tier_root: str, snapshots: DataFrame):
             return
         spark = batch.sparkSession
         raw_path = f"{tier_root}/raw"
+        # one folder per micro-batch, overwritten on replay, so a retried batch never
+        # duplicates raw rows; re-deliveries across batches are dropped by key below
         (batch.drop("collected_at", "current_xid", "current_mxid", "event_time")
-         .write.mode("append").partitionBy("collected_day").parquet(raw_path))
+         .write.mode("overwrite").partitionBy("collected_day")
+         .parquet(f"{raw_path}/batch_id={batch_id}"))
+        # the touched days of one micro-batch: a short list, used as a partition filter
         days = [r[0] for r in batch.select("collected_day").distinct().collect()]
-        raw = spark.read.parquet(raw_path).filter(F.col("collected_day").isin(days))
+        raw = (spark.read.option("basePath", raw_path).parquet(raw_path)
+               .filter(F.col("collected_day").isin(days)).drop("batch_id")
+               .dropDuplicates(["cluster_id", "snapshot_id", "relid"]))
         r1m, r1h, r1d = R.rollup(raw, snapshots)
         for name, df in (("rollup_1m", r1m), ("rollup_1h", r1h), ("rollup_1d", r1d)):
             R.write_tier(df, f"{tier_root}/{name}")
@@ -163,9 +169,15 @@ def control_tick_batch(state_root: str, snapshots_path: str, samples_path: str,
                        policy: DataFrame | None = None, params: P.Params = P.DEFAULT):
     """``foreachBatch`` body: each micro-batch carries new snapshot headers; for each new
     snapshot in order, run classify and estimate against the newest stored state version
-    and write the next version (``v=<snapshot_id>``), never the one being read."""
+    and write the next version (``v=<snapshot_id>``), never the one being read; then
+    reconcile the findings of that snapshot against the open diagnostics (ST7).
+
+    The loop is over the few new snapshots of a micro-batch (a sequential state machine);
+    every step inside it is a distributed operator. Versions are written with dynamic
+    partition overwrite, so a replayed batch rewrites the same versions (idempotent)."""
     from vacfleet.operators import classify as CL
     from vacfleet.operators import estimate as EST
+    from vacfleet.operators import plan as PL
 
     def latest(spark: SparkSession, name: str):
         from py4j.protocol import Py4JJavaError
@@ -179,6 +191,10 @@ def control_tick_batch(state_root: str, snapshots_path: str, samples_path: str,
         v = df.agg(F.max("v")).first()[0]
         return df.filter(F.col("v") == v).drop("v")
 
+    def write_version(df: DataFrame, path: str, v: int) -> None:
+        (df.withColumn("v", F.lit(v)).write.mode("overwrite")
+           .option("partitionOverwriteMode", "dynamic").partitionBy("v").parquet(path))
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         snaps = spark.read.parquet(snapshots_path)
@@ -189,7 +205,38 @@ def control_tick_batch(state_root: str, snapshots_path: str, samples_path: str,
             e = EST.estimate_tick(samples, snaps, prior_e, tgt, params)
             c = CL.classify_tick(samples, snaps, prior_c, policy, tgt, params)
             for name, df in (("estimate", e), ("class", c)):
-                # append a new version; readers take the newest complete one
-                (df.withColumn("v", F.lit(row[1])).write.mode("append")
-                   .partitionBy("v").parquet(f"{state_root}/{name}"))
+                write_version(df, f"{state_root}/{name}", row[1])
+            # ST7: open / keep / resolve against the newest diagnostics version
+            found = PL.findings(latest(spark, "estimate"), samples, snaps, tgt, params)
+            live = samples.join(F.broadcast(tgt), "cluster_id").filter(
+                F.col("snapshot_id") <= F.col("_p")).select(*KEY).distinct()
+            diags = latest(spark, "diagnostics")
+            if diags is None:
+                diags = spark.createDataFrame(
+                    [], "cluster_id string, diagnostic_id bigint, relid bigint, "
+                        "inhibitor_class string, severity string, resolved_at timestamp_ntz")
+            write_version(diagnostics_after(diags, found, live, row[1]),
+                          f"{state_root}/diagnostics", row[1])
     return run
+
+
+def diagnostics_after(diags: DataFrame, found: DataFrame, live: DataFrame, tick: int) -> DataFrame:
+    """The diagnostics table after one reconcile: new findings opened (ids from the tick
+    and the relation, deterministic on replay), cleared ones stamped resolved."""
+    from vacfleet.operators import plan as PL
+    r = PL.reconcile(found, diags, live)
+    resolved = r.filter(F.col("action") == "resolve").select(
+        "diagnostic_id", F.lit(True).alias("_res"))
+    kept = (diags.join(resolved, "diagnostic_id", "left")
+            .withColumn("resolved_at", F.when(F.col("_res") & F.col("resolved_at").isNull(),
+                                              F.current_timestamp().cast("timestamp_ntz"))
+                        .otherwise(F.col("resolved_at")))
+            .drop("_res"))
+    opened = (r.filter(F.col("action") == "open")
+              .join(found.select(*KEY, "inhibitor_class", "severity"),
+                    [*KEY, "inhibitor_class"], "left")
+              .select("cluster_id", (F.lit(tick).cast("long") * 1000000 + F.col("relid"))
+                      .alias("diagnostic_id"),
+                      "relid", "inhibitor_class", "severity",
+                      F.lit(None).cast("timestamp_ntz").alias("resolved_at")))
+    return kept.select(*opened.columns).unionByName(opened)
