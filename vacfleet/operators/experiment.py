@@ -368,3 +368,19 @@ def proxy_outcome_corr(proxy: DataFrame, outcome: DataFrame, keys: Sequence[str]
     r = d.withColumn("rp", avg_rank("dp")).withColumn("ro", avg_rank("do"))
     return r.groupBy(*keys).agg(F.count("*").alias("n_deltas"),
                                 F.corr("rp", "ro").alias("spearman"))
+
+
+def sampler(state: DataFrame, actions: DataFrame) -> DataFrame:
+    """One experiment sample per relation: dead fraction, size, freeze ages,
+    maintenance count and the governor's applied changes (grouped counts joined once,
+    instead of a correlated count per row)."""
+    applied = (actions.filter(F.col("status") == "applied")
+               .groupBy("cluster_id", "relid").agg(F.count("*").alias("pgfc_applied")))
+    s = state.select(
+        "cluster_id", "relid", "relname",
+        X.safe_div("n_dead_tup", F.col("n_live_tup") + F.col("n_dead_tup")).alias("dead_frac"),
+        F.col("total_size_bytes").alias("rel_size"), F.col("relfrozenxid_age").alias("xid_age"),
+        F.col("relminmxid_age").alias("mxid_age"), F.col("autovacuum_count").alias("av_count"),
+        F.col("last_autovacuum").alias("av_last"))
+    return (s.join(applied, ["cluster_id", "relid"], "left")
+            .withColumn("pgfc_applied", F.coalesce(F.col("pgfc_applied"), F.lit(0))))

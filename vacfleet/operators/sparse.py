@@ -69,3 +69,23 @@ def last_state(collected: DataFrame) -> DataFrame:
     from vacfleet.operators.asof import latest_per_key
     return latest_per_key(collected, ["cluster_id", "relid"], "snapshot_id",
                           ["snapshot_id", *SIGNATURE])
+
+
+def change_join(current: DataFrame, state: DataFrame) -> DataFrame:
+    """J9, the per-tick form of D2: current rows (one snapshot) left-joined to the
+    change-detection cache; a row is logged when the relation is new or its signature
+    differs (NULLs equal)."""
+    key = ["cluster_id", "relid"]
+    ls = state.select(*key, F.struct(*SIGNATURE).alias("_ls"))
+    j = current.join(ls, key, "left")
+    return j.filter(F.col("_ls").isNull() | ~F.struct(*SIGNATURE).eqNullSafe(F.col("_ls"))).drop("_ls")
+
+
+def refresh_state(state: DataFrame, current: DataFrame, live: DataFrame) -> DataFrame:
+    """S12 + J5: the cache after the tick: every current relation upserted; relations that
+    vanished from the catalog purged; relations only filtered out keep their old row."""
+    key = ["cluster_id", "relid"]
+    cols = state.columns
+    kept = (state.join(live.select(*key).distinct(), key, "left_semi")
+            .join(current.select(*key), key, "left_anti"))
+    return kept.unionByName(current.select(*cols))

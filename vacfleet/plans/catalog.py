@@ -601,3 +601,44 @@ def q_literal_audit(spark, d):
 def q_window_p95_lineitem(spark, d):
     """X1 at bench scale: line items as transactions (arm = return flag), 7-day windows."""
     return finish(XP.window_p95(inputs(spark, d).tx_log_lineitem, 7 * 86400))
+
+
+@register("experiment_sampler")
+def q_experiment_sampler(spark, d):
+    i = inputs(spark, d)
+    return finish(XP.sampler(asof.state_as_of(i.samples, i.snapshots), i.actions))
+
+
+def _tick_split(spark, d):
+    """The collected history split at the newest snapshot: the tick's rows, the cache
+    built from everything before it, and the live catalog at the tick."""
+    i = inputs(spark, d)
+    collected = sparse.collection_filter(i.dense, i.collection_policy)
+    p = i.snapshots.agg(F.max("snapshot_id")).scalar()
+    cur = collected.filter(F.col("snapshot_id") == p)
+    cache = sparse.last_state(collected.filter(F.col("snapshot_id") < p))
+    live = i.dense.filter(F.col("snapshot_id") == p)
+    return cur, cache, live
+
+
+@register("change_join")
+def q_change_join(spark, d):
+    cur, cache, _ = _tick_split(spark, d)
+    return finish(sparse.change_join(cur, cache).select(
+        "cluster_id", "relid", "snapshot_id", "n_dead_tup", "n_tup_ins", "autovacuum_count"))
+
+
+@register("last_state")
+def q_last_state(spark, d):
+    cur, cache, live = _tick_split(spark, d)
+    return finish(sparse.refresh_state(cache, cur.select(*cache.columns), live).select(
+        "cluster_id", "relid", "snapshot_id", "n_dead_tup", "n_tup_ins", "autovacuum_count"))
+
+
+@register("top_debt")
+def q_top_debt(spark, d):
+    """T5: the 20 most overdue relations (a top-k report: the limit is the feature)."""
+    i = inputs(spark, d)
+    return finish(debt.maintenance_debt(i.samples, i.snapshots)
+                  .orderBy(F.col("vacuum_debt_ratio").desc_nulls_last(), "cluster_id", "relid")
+                  .limit(20))

@@ -1474,3 +1474,50 @@ FROM (SELECT *, least(greatest(CAST(floor(CAST(0.95 AS DOUBLE) * n + 0.5) AS BIG
       FROM (SELECT *, row_number() OVER (PARTITION BY {_RUN}, win ORDER BY latency_us) AS rn,
                    count(*) OVER (PARTITION BY {_RUN}, win) AS n FROM w))
 GROUP BY {_RUN}, win""")
+
+q("experiment_sampler", ["cur", "actions"], """
+WITH ap AS (SELECT cluster_id, relid, count(*) AS pgfc_applied FROM actions
+            WHERE status = 'applied' GROUP BY ALL)
+SELECT c.cluster_id, c.relid, c.relname,
+  round(c.n_dead_tup::DOUBLE / NULLIF(c.n_live_tup + c.n_dead_tup, 0), 6) AS dead_frac,
+  c.total_size_bytes AS rel_size, c.relfrozenxid_age AS xid_age, c.relminmxid_age AS mxid_age,
+  c.autovacuum_count AS av_count, c.last_autovacuum AS av_last,
+  COALESCE(ap.pgfc_applied, 0) AS pgfc_applied
+FROM cur c LEFT JOIN ap USING (cluster_id, relid)""")
+
+cte("tick_split", ["collected", "dense", "tgt"], f"""
+SELECT c.*, c.snapshot_id = t.p AS is_cur FROM collected c JOIN tgt t USING (cluster_id)""")
+
+_SIGF = [c.strip() for c in _SIG.split(",")]
+
+
+def _sig(alias: str) -> str:
+    return "struct_pack(" + ", ".join(f"{f} := {alias}.{f}" for f in _SIGF) + ")"
+
+
+q("change_join", ["tick_split"], f"""
+WITH cur AS (SELECT * FROM tick_split WHERE is_cur),
+     ls AS (SELECT * FROM tick_split WHERE NOT is_cur
+            QUALIFY row_number() OVER (PARTITION BY cluster_id, relid ORDER BY snapshot_id DESC) = 1)
+SELECT c.cluster_id, c.relid, c.snapshot_id, c.n_dead_tup, c.n_tup_ins, c.autovacuum_count
+FROM cur c LEFT JOIN ls l ON l.cluster_id = c.cluster_id AND l.relid = c.relid
+WHERE l.relid IS NULL OR {_sig('c')} IS DISTINCT FROM {_sig('l')}""")
+
+q("last_state", ["tick_split", "dense", "tgt"], """
+WITH cur AS (SELECT * FROM tick_split WHERE is_cur),
+     ls AS (SELECT * FROM tick_split WHERE NOT is_cur
+            QUALIFY row_number() OVER (PARTITION BY cluster_id, relid ORDER BY snapshot_id DESC) = 1),
+     live AS (SELECT DISTINCT d.cluster_id, d.relid FROM dense d JOIN tgt t
+              ON d.cluster_id = t.cluster_id AND d.snapshot_id = t.p),
+     kept AS (SELECT * FROM ls WHERE (cluster_id, relid) IN (SELECT (cluster_id, relid) FROM live)
+                AND (cluster_id, relid) NOT IN (SELECT (cluster_id, relid) FROM cur))
+SELECT cluster_id, relid, snapshot_id, n_dead_tup, n_tup_ins, autovacuum_count FROM kept
+UNION ALL SELECT cluster_id, relid, snapshot_id, n_dead_tup, n_tup_ins, autovacuum_count FROM cur""")
+
+q("top_debt", ["debt"], """
+SELECT cluster_id, relid, schemaname, relname, n_dead_tup, n_mod_since_analyze, reltuples,
+  round(vacuum_threshold, 6) AS vacuum_threshold, round(analyze_threshold, 6) AS analyze_threshold,
+  round(dead_tuple_fraction, 6) AS dead_tuple_fraction, round(mod_fraction, 6) AS mod_fraction,
+  round(vacuum_debt_ratio, 6) AS vacuum_debt_ratio, round(analyze_debt_ratio, 6) AS analyze_debt_ratio,
+  round(freeze_debt, 6) AS freeze_debt
+FROM debt ORDER BY vacuum_debt_ratio DESC NULLS LAST, cluster_id, relid LIMIT 20""")
