@@ -45,28 +45,38 @@ def join_ns(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 # ---- exact rank selection -----------------------------------------------------------
 def first_reaching(df: DataFrame, groups: Sequence[str], value: str, weight: Column,
-                   targets: DataFrame, width: float) -> DataFrame:
+                   targets, width: float) -> DataFrame:
     """Per (group, target name): the smallest ``value`` whose cumulative weight (values in
     ascending order) reaches the target ``tgt``.
 
-    ``targets`` has columns groups + [name, tgt]. Level 1 sums weight per coarse bucket
-    ``floor(value / width)``; level 2 revisits only the bucket that holds each target.
+    ``targets`` is a DataFrame with columns groups + [name, tgt], or a function from the
+    per-group totals (groups + [total]) to one, so totals come from the histogram itself
+    without another pass. The rows are read once into a (group, value) histogram; level 1
+    sums it per coarse bucket ``floor(value / width)`` to find the bucket holding each
+    target, level 2 walks only that bucket's values. A hot group is spread over tasks by
+    value in the histogram stage, and no sort sees more than the buckets of one group or
+    the values of one bucket. Returns the picked values and the totals.
     """
     g = list(groups)
-    b = df.select(*g, F.col(value).alias("_v"), weight.alias("_w"),
-                  F.floor(F.col(value) / F.lit(width)).alias("_b"))
-    coarse = b.groupBy(*g, "_b").agg(F.sum("_w").alias("_bw"))
+    # one pass over the rows: a (group, value) histogram, combined map-side; both levels
+    # below read this one exchange (Spark reuses it), never the raw rows again
+    hist = (df.select(*g, F.col(value).alias("_v"), weight.alias("_w"))
+            .groupBy(*g, "_v").agg(F.sum("_w").alias("_vw"))
+            .withColumn("_b", F.floor(F.col("_v") / F.lit(width))))
+    coarse = hist.groupBy(*g, "_b").agg(F.sum("_vw").alias("_bw"))
+    totals = coarse.groupBy(*g).agg(F.sum("_bw").alias("total"))
+    tg = targets(totals) if callable(targets) else targets
     cw = W.partitionBy(*g).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     coarse = coarse.withColumn("_cum", F.sum("_bw").over(cw))
-    sel = (join_ns(coarse, targets, g)
+    sel = (join_ns(coarse, tg, g)
            .filter((F.col("_cum") - F.col("_bw") < F.col("tgt")) & (F.col("_cum") >= F.col("tgt")))
            .select(*g, "name", "tgt", "_b", (F.col("_cum") - F.col("_bw")).alias("_before")))
-    fine = (join_ns(b, sel, [*g, "_b"])
-            .groupBy(*g, "name", "tgt", "_before", "_v").agg(F.sum("_w").alias("_vw")))
+    fine = join_ns(hist, sel, [*g, "_b"])
     fw = W.partitionBy(*g, "name").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     fine = fine.withColumn("_c2", F.col("_before") + F.sum("_vw").over(fw))
-    return (fine.filter((F.col("_c2") >= F.col("tgt")) & (F.col("_c2") - F.col("_vw") < F.col("tgt")))
-            .select(*g, "name", F.col("_v").alias(value)))
+    picked = (fine.filter((F.col("_c2") >= F.col("tgt")) & (F.col("_c2") - F.col("_vw") < F.col("tgt")))
+              .select(*g, "name", F.col("_v").alias(value)))
+    return picked, totals
 
 
 def nearest_rank_index(n: Column, num: int, den: int) -> Column:
@@ -90,16 +100,19 @@ def window_percentiles(tx: DataFrame, window_s: int, ranks: dict[str, tuple[int,
     """Exact nearest-rank latency percentiles and transaction count per run window."""
     w = assign_windows(tx, window_s, keys)
     g = [*keys, "win"]
-    counts = w.groupBy(*g).agg(F.count("*").alias("tx_count"))
-    tg = None
-    for name, (num, den) in ranks.items():
-        t = counts.select(*g, F.lit(name).alias("name"),
-                          nearest_rank_index(F.col("tx_count"), num, den).alias("tgt"))
-        tg = t if tg is None else tg.unionByName(t)
-    picked = first_reaching(w, g, "latency_us", F.lit(1).cast("long"), tg, width)
+
+    def targets(totals):
+        tg = None
+        for name, (num, den) in ranks.items():
+            t = totals.select(*g, F.lit(name).alias("name"),
+                              nearest_rank_index(F.col("total"), num, den).alias("tgt"))
+            tg = t if tg is None else tg.unionByName(t)
+        return tg
+
+    picked, totals = first_reaching(w, g, "latency_us", F.lit(1).cast("long"), targets, width)
     wide = picked.groupBy(*g).agg(*[F.max(F.when(F.col("name") == n, F.col("latency_us")))
                                     .alias(n) for n in ranks])
-    return join_ns(counts, wide, g)
+    return join_ns(totals.withColumnRenamed("total", "tx_count"), wide, g)
 
 
 def window_p95(tx: DataFrame, window_s: int, keys: Sequence[str] = RUN) -> DataFrame:
@@ -304,8 +317,8 @@ def weighted_median(df: DataFrame, groups: Sequence[str], value: str, weight: st
     """First value (ascending) whose cumulative weight reaches half the total."""
     tot = df.groupBy(*groups).agg(F.sum(weight).alias("_tot"))
     tg = tot.select(*groups, F.lit("median").alias("name"), (F.col("_tot") / 2.0).alias("tgt"))
-    r = first_reaching(df.filter(F.col(weight) > 0), groups, value,
-                       F.col(weight).cast("double"), tg, width)
+    r, _ = first_reaching(df.filter(F.col(weight) > 0), groups, value,
+                          F.col(weight).cast("double"), tg, width)
     return r.select(*groups, F.col(value).alias("weighted_median"))
 
 
