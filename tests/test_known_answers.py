@@ -242,7 +242,7 @@ def _verdict(spark, windows):
     gates = spark.createDataFrame([("events", "s", 1, False, False, False, 0, 0, 0)],
                                   "fixture string, scenario string, seed int, cost_ceiling_breach boolean, "
                                   "av_ceiling_breach boolean, mutation_ceiling_breach boolean, "
-                                  "defaults_av_count long, pgfc_av_count long, pgfc_applied long")
+                                  "defaults_av_count long, candidate_av_count long, candidate_applied long")
     safety = spark.createDataFrame([("events", "s", 1, None, 0, False, None)],
                                    "fixture string, scenario string, seed int, freeze_max_age long, "
                                    "worst_xid_age long, safety_floor_evaluated boolean, "

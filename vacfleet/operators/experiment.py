@@ -145,7 +145,7 @@ def gap_closed(arm_p95: DataFrame, best: DataFrame, roles: Roles,
     def arm(name, col):
         return (arm_p95.filter(F.col("arm") == name)
                 .select(*CELL, "win", F.col("p95_us").alias(col)))
-    j = (arm(roles.expert, "expert_p95").join(arm(roles.candidate, "pgfc_p95"), [*CELL, "win"])
+    j = (arm(roles.expert, "expert_p95").join(arm(roles.candidate, "candidate_p95"), [*CELL, "win"])
          .join(best.select(*CELL, "win", F.col("best_p95_us").alias("oracle_p95")),
                [*CELL, "win"]))
     cw = W.partitionBy(*CELL)
@@ -154,9 +154,9 @@ def gap_closed(arm_p95: DataFrame, best: DataFrame, roles: Roles,
           .withColumn("_warm", F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(warmup))
                                           .cast("long"))))
     denom = F.col("expert_p95") - F.col("oracle_p95")
-    gc = (F.col("expert_p95") - F.col("pgfc_p95")).cast("double") / denom.cast("double")
+    gc = (F.col("expert_p95") - F.col("candidate_p95")).cast("double") / denom.cast("double")
     return j.select(
-        *CELL, "win", "expert_p95", "pgfc_p95", "oracle_p95",
+        *CELL, "win", "expert_p95", "candidate_p95", "oracle_p95",
         (F.col("_rk") <= F.col("_warm")).alias("warmup"),
         F.col("_n").alias("total_windows"), F.col("_warm").alias("warmup_discarded"),
         F.when(F.col("_rk") > F.col("_warm"), F.when(denom > 0, gc)).alias("gap_closed"),
@@ -173,12 +173,12 @@ def cost_gates(metrics: DataFrame, roles: Roles, budget: int = P.DAILY_MUTATION_
         F.coalesce(F.max(F.when(F.col("arm") == roles.defaults, F.col("av_count"))), F.lit(0))
          .alias("defaults_av_count"),
         F.coalesce(F.max(F.when(F.col("arm") == roles.candidate, F.col("av_count"))), F.lit(0))
-         .alias("pgfc_av_count"),
-        F.coalesce(F.max(F.when(F.col("arm") == roles.candidate, F.col("pgfc_applied"))),
-                   F.lit(0)).alias("pgfc_applied"))
-    av = (F.col("defaults_av_count") > 0) & (F.col("pgfc_av_count") > factor * F.col("defaults_av_count"))
-    mut = F.col("pgfc_applied") > budget
-    return m.select(*CELL, "defaults_av_count", "pgfc_av_count", "pgfc_applied",
+         .alias("candidate_av_count"),
+        F.coalesce(F.max(F.when(F.col("arm") == roles.candidate, F.col("candidate_applied"))),
+                   F.lit(0)).alias("candidate_applied"))
+    av = (F.col("defaults_av_count") > 0) & (F.col("candidate_av_count") > factor * F.col("defaults_av_count"))
+    mut = F.col("candidate_applied") > budget
+    return m.select(*CELL, "defaults_av_count", "candidate_av_count", "candidate_applied",
                     av.alias("av_ceiling_breach"), mut.alias("mutation_ceiling_breach"),
                     (av | mut).alias("cost_ceiling_breach"))
 
@@ -237,7 +237,7 @@ def verdict(gaps: DataFrame, gates: DataFrame, safety: DataFrame) -> DataFrame:
                     "total_windows", "warmup_discarded", "graded_windows",
                     "windows_dropped_denom", "windows_scored", "cost_ceiling_breach",
                     "av_ceiling_breach", "mutation_ceiling_breach", "defaults_av_count",
-                    "pgfc_av_count", "pgfc_applied", "safety_floor_evaluated",
+                    "candidate_av_count", "candidate_applied", "safety_floor_evaluated",
                     "safety_floor_holds", "freeze_max_age", "worst_xid_age")
 
 
@@ -388,7 +388,7 @@ def sampler(state: DataFrame, actions: DataFrame) -> DataFrame:
     maintenance count and the governor's applied changes (grouped counts joined once,
     instead of a correlated count per row)."""
     applied = (actions.filter(F.col("status") == "applied")
-               .groupBy("cluster_id", "relid").agg(F.count("*").alias("pgfc_applied")))
+               .groupBy("cluster_id", "relid").agg(F.count("*").alias("candidate_applied")))
     s = state.select(
         "cluster_id", "relid", "relname",
         X.safe_div("n_dead_tup", F.col("n_live_tup") + F.col("n_dead_tup")).alias("dead_frac"),
@@ -396,4 +396,4 @@ def sampler(state: DataFrame, actions: DataFrame) -> DataFrame:
         F.col("relminmxid_age").alias("mxid_age"), F.col("autovacuum_count").alias("av_count"),
         F.col("last_autovacuum").alias("av_last"))
     return (s.join(applied, ["cluster_id", "relid"], "left")
-            .withColumn("pgfc_applied", F.coalesce(F.col("pgfc_applied"), F.lit(0))))
+            .withColumn("candidate_applied", F.coalesce(F.col("candidate_applied"), F.lit(0))))

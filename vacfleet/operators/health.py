@@ -18,6 +18,33 @@ from vacfleet.operators.classify import active_policy
 
 HOUR, DAY = 3600, 86400
 
+# FIXED VALUES: reason and detail texts of the health evaluator and failure taxonomy
+# (printf-style; lags are printed in whole seconds).
+REASON = {
+    "baseline": "all self-monitoring signals within bounds",
+    "observation_lag": "observation lag %ss — telemetry is stale",
+    "control_lag": "control loop lag %ss — no successful control cycle",
+    "failed": "%s failed actions in the last hour",
+    "lock_timeouts": "%s lock timeouts in the last hour",
+    "over_budget": "governor storage footprint over budget",
+    "budget_spent": "daily mutation budget spent (%s applied in the last day)",
+    "oscillating": "%s relation(s) oscillating — control is flapping",
+    "load_shed": "connection pressure %s%% (%s/%s client backends) — shedding load, actuation suspended",
+    "forced": "operator-forced %s: %s",
+    "no_reason": "(no reason given)",
+}
+DETAIL = {
+    "observation_fresh": "telemetry fresh",
+    "cycles_errored": "%s control cycle(s) errored in the last day",
+    "loop_stalled": "no successful control cycle in %ss — the control loop is stalled",
+    "no_cycle_errors": "no cycle errors",
+    "failed_actions": "%s failed action(s) in the last hour, %s in the last day",
+    "no_failed_actions": "no failed actions",
+    "over_budget": "governor storage footprint over budget (%s bytes)",
+    "within_budget": "within storage budget",
+    "no_safety": "no safety-class failures",
+}
+
 
 def clusters(*frames: DataFrame) -> DataFrame:
     out = None
@@ -109,42 +136,38 @@ def health_candidates(metrics: DataFrame, policy: DataFrame | None = None,
     fmt = lambda s, *c: F.format_string(s, *c)
     n = lambda c: F.col(c)
     cands = [
-        _cand(F.lit("normal"), F.lit("all self-monitoring signals within bounds"), 0),
+        _cand(F.lit("normal"), F.lit(REASON["baseline"]), 0),
         _cand(F.when(lag > P.HEALTH_LAG_EMERGENCY_SECS, F.lit("emergency"))
               .when(lag > P.HEALTH_LAG_DEGRADED_SECS, F.lit("degraded")).otherwise(F.lit("normal")),
               F.when(lag > P.HEALTH_LAG_DEGRADED_SECS,
-                     fmt("observation lag %ss — telemetry is stale", F.round(lag, 0).cast("long"))), 1),
+                     fmt(REASON["observation_lag"], F.round(lag, 0).cast("long"))), 1),
         _cand(F.when(clag > P.HEALTH_CONTROL_LAG_EMERGENCY_SECS, F.lit("emergency"))
               .when(clag > P.HEALTH_CONTROL_LAG_DEGRADED_SECS, F.lit("degraded"))
               .otherwise(F.lit("normal")),
               F.when(clag > P.HEALTH_CONTROL_LAG_DEGRADED_SECS,
-                     fmt("control loop lag %ss — no successful control cycle",
-                         F.round(clag, 0).cast("long"))), 2),
+                     fmt(REASON["control_lag"], F.round(clag, 0).cast("long"))), 2),
         _cand(F.when(n("failed_actions_last_hour") > P.HEALTH_FAILED_DIAGNOSTIC, F.lit("diagnostic"))
               .when(n("failed_actions_last_hour") > P.HEALTH_FAILED_DEGRADED, F.lit("degraded"))
               .otherwise(F.lit("normal")),
               F.when(n("failed_actions_last_hour") > P.HEALTH_FAILED_DEGRADED,
-                     fmt("%s failed actions in the last hour", n("failed_actions_last_hour"))), 3),
+                     fmt(REASON["failed"], n("failed_actions_last_hour"))), 3),
         _cand(F.when(n("lock_timeouts_last_hour") > P.HEALTH_LOCK_TIMEOUTS_DIAGNOSTIC,
                      F.lit("diagnostic")).otherwise(F.lit("normal")),
               F.when(n("lock_timeouts_last_hour") > P.HEALTH_LOCK_TIMEOUTS_DIAGNOSTIC,
-                     fmt("%s lock timeouts in the last hour", n("lock_timeouts_last_hour"))), 4),
+                     fmt(REASON["lock_timeouts"], n("lock_timeouts_last_hour"))), 4),
         _cand(F.when(n("over_budget"), F.lit("degraded")).otherwise(F.lit("normal")),
-              F.when(n("over_budget"), F.lit("governor storage footprint over budget")), 5),
+              F.when(n("over_budget"), F.lit(REASON["over_budget"])), 5),
         _cand(F.when(n("applied_actions_last_day") >= budget, F.lit("degraded"))
               .otherwise(F.lit("normal")),
               F.when(n("applied_actions_last_day") >= budget,
-                     fmt("daily mutation budget spent (%s applied in the last day)",
-                         n("applied_actions_last_day"))), 6),
+                     fmt(REASON["budget_spent"], n("applied_actions_last_day"))), 6),
         _cand(F.when(n("oscillating_relations") > 0, F.lit("diagnostic")).otherwise(F.lit("normal")),
               F.when(n("oscillating_relations") > 0,
-                     fmt("%s relation(s) oscillating — control is flapping",
-                         n("oscillating_relations"))), 7),
+                     fmt(REASON["oscillating"], n("oscillating_relations"))), 7),
         _cand(F.when(n("connection_pressure") >= params.load_shed_pct, F.lit("diagnostic"))
               .otherwise(F.lit("normal")),
               F.when(n("connection_pressure") >= params.load_shed_pct,
-                     fmt("connection pressure %s%% (%s/%s client backends) — shedding load, "
-                         "actuation suspended", n("connection_pressure_pct").cast("long"),
+                     fmt(REASON["load_shed"], n("connection_pressure_pct").cast("long"),
                          n("client_backends"), n("max_connections"))), 8),
     ]
     return m.select("cluster_id", F.explode(F.array(*cands)).alias("c")).select(
@@ -173,9 +196,8 @@ def override_floor(computed: DataFrame, override_events: DataFrame) -> DataFrame
     binds = F.col("forced").isNotNull() & (X.health_ordinal("forced") >= X.health_ordinal("state"))
     return j.select("cluster_id", F.col("state").alias("computed_state"), "forced",
                     F.when(binds, F.col("forced")).otherwise(F.col("state")).alias("state"),
-                    F.when(binds, F.format_string("operator-forced %s: %s", F.col("forced"),
-                                                  F.coalesce(F.col("_e.forced_reason"),
-                                                             F.lit("(no reason given)"))))
+                    F.when(binds, F.format_string(REASON["forced"], F.col("forced"),
+                                    F.coalesce(F.col("_e.forced_reason"), F.lit(REASON["no_reason"]))))
                      .otherwise(F.col("reason")).alias("reason"))
 
 
@@ -220,33 +242,31 @@ def failure_taxonomy(metrics: DataFrame, actions: DataFrame, as_of) -> DataFrame
 
     rows = F.array(
         row("observation", obs,
-                 F.when(obs, F.format_string("observation lag %ss — telemetry is stale",
+                 F.when(obs, F.format_string(REASON["observation_lag"],
                                              F.round("observation_lag_s", 0).cast("long")))
-                 .otherwise(F.lit("telemetry fresh"))),
+                 .otherwise(F.lit(DETAIL["observation_fresh"]))),
         row("decision", (F.col("tick_errors_last_day") > 0) | ctl,
                  F.when(F.col("tick_errors_last_day") > 0,
-                        F.format_string("%s control cycle(s) errored in the last day",
+                        F.format_string(DETAIL["cycles_errored"],
                                         F.col("tick_errors_last_day")))
-                 .when(ctl, F.format_string("no successful control cycle in %ss — the control "
-                                            "loop is stalled",
+                 .when(ctl, F.format_string(DETAIL["loop_stalled"],
                                             F.round("control_loop_lag_s", 0).cast("long")))
-                 .otherwise(F.lit("no cycle errors"))),
+                 .otherwise(F.lit(DETAIL["no_cycle_errors"]))),
         row("actuation", F.col("failed_actions_last_hour") > 0,
                  F.when(F.col("failed_actions_last_day") > 0,
-                        F.format_string("%s failed action(s) in the last hour, %s in the last day",
+                        F.format_string(DETAIL["failed_actions"],
                                         F.col("failed_actions_last_hour"),
                                         F.col("failed_actions_last_day")))
-                 .otherwise(F.lit("no failed actions"))),
+                 .otherwise(F.lit(DETAIL["no_failed_actions"]))),
         row("resource", F.coalesce(F.col("over_budget"), F.lit(False)),
                  F.when(F.coalesce(F.col("over_budget"), F.lit(False)),
-                        F.format_string("governor storage footprint over budget (%s bytes)",
+                        F.format_string(DETAIL["over_budget"],
                                         F.col("storage_bytes")))
-                 .otherwise(F.lit("within storage budget"))),
+                 .otherwise(F.lit(DETAIL["within_budget"]))),
         row("safety", F.col("oscillating_relations") > 0,
                  F.when(F.col("oscillating_relations") > 0,
-                        F.format_string("%s relation(s) oscillating — control is flapping",
-                                        F.col("oscillating_relations")))
-                 .otherwise(F.lit("no safety-class failures"))))
+                        F.format_string(REASON["oscillating"], F.col("oscillating_relations")))
+                 .otherwise(F.lit(DETAIL["no_safety"]))))
     cat = m.select("cluster_id", F.inline(rows))
     return (cat.join(rec, ["cluster_id", "failure_class"], "left")
             .select("cluster_id", "failure_class", "condition_present",

@@ -14,6 +14,15 @@ from vacfleet.operators.sequence import previous_row
 
 KEY = ["cluster_id", "relid"]
 VAC_SF, VAC_THR = "autovacuum_vacuum_scale_factor", "autovacuum_vacuum_threshold"
+
+# FIXED VALUES: the advice texts of a finding, worded as the controller words them.
+ADVICE_IO_LIMITED = ("Vacuum runs but cannot keep up (I/O-bound). More aggressive settings "
+                     "will not help; consider cost limits / more workers (Phase 3).")
+ADVICE_NOT_RUNNING = ("Debt is high but autovacuum has not run. Check that autovacuum is "
+                      "enabled and keeping up; lowering thresholds will not help an "
+                      "already-overdue table.")
+ADVICE_BLOCKED = ("Cleanup blocked by ", " (", "); clear it -- more vacuuming cannot advance "
+                  "past a pinned xmin horizon.")
 DECISION_COLS = ["cluster_id", "tick_id", "relid", "actuator", "decision", "proposed_value",
                  "policy_rule", "estimated_benefit", "observation", "prev_state",
                  "desired_state"]
@@ -130,16 +139,11 @@ def findings(estimates: DataFrame, samples: DataFrame, snapshots: DataFrame, as_
            .when(sc == "config", F.lit("autovacuum_not_running")).otherwise(owner))
     sev = (F.when(frz & (owner != "none"), F.lit("critical"))
            .when(sc == "inhibited", F.lit("critical")).otherwise(F.lit("warning")))
-    rec = (F.when(sc == "io_limited", F.lit(
-        "Vacuum runs but cannot keep up (I/O-bound). More aggressive settings will not help; "
-        "consider cost limits / more workers (Phase 3)."))
-        .when(sc == "config", F.lit(
-            "Debt is high but autovacuum has not run. Check that autovacuum is enabled and "
-            "keeping up; lowering thresholds will not help an already-overdue table."))
-        .otherwise(F.concat(F.lit("Cleanup blocked by "), owner, F.lit(" ("),
-                            F.coalesce(F.col("oldest_xmin_owner_detail"), F.lit("?")),
-                            F.lit("); clear it -- more vacuuming cannot advance past a pinned "
-                                  "xmin horizon."))))
+    rec = (F.when(sc == "io_limited", F.lit(ADVICE_IO_LIMITED))
+           .when(sc == "config", F.lit(ADVICE_NOT_RUNNING))
+           .otherwise(F.concat(F.lit(ADVICE_BLOCKED[0]), owner, F.lit(ADVICE_BLOCKED[1]),
+                               F.coalesce(F.col("oldest_xmin_owner_detail"), F.lit("?")),
+                               F.lit(ADVICE_BLOCKED[2]))))
     return e.select(*KEY, cls.alias("inhibitor_class"), sev.alias("severity"),
                     rec.alias("recommendation"),
                     X.evidence_json(saturation_cause="saturation_cause",

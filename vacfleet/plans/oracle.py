@@ -412,16 +412,16 @@ QUALIFY row_number() OVER (PARTITION BY {_CELL}, win ORDER BY p95_us, probe_sf)
 
 cte("gaps", ["p95", "best"], f"""
 WITH e AS (SELECT {_CELL}, win, p95_us AS expert_p95 FROM p95 WHERE arm = 'click'),
-     c AS (SELECT {_CELL}, win, p95_us AS pgfc_p95 FROM p95 WHERE arm = 'purchase'),
+     c AS (SELECT {_CELL}, win, p95_us AS candidate_p95 FROM p95 WHERE arm = 'purchase'),
      o AS (SELECT {_CELL}, win, best_p95_us AS oracle_p95 FROM best),
      r AS (SELECT *, count(*) OVER (PARTITION BY {_CELL}) AS n,
                   row_number() OVER (PARTITION BY {_CELL} ORDER BY win) AS rk
            FROM e JOIN c USING ({_CELL}, win) JOIN o USING ({_CELL}, win)),
      r2 AS (SELECT *, greatest(1, CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT)) AS warm FROM r)
-SELECT {_CELL}, win, expert_p95, pgfc_p95, oracle_p95, rk <= warm AS warmup,
+SELECT {_CELL}, win, expert_p95, candidate_p95, oracle_p95, rk <= warm AS warmup,
   n AS total_windows, warm AS warmup_discarded,
   CASE WHEN rk > warm AND expert_p95 - oracle_p95 > 0
-       THEN (expert_p95 - pgfc_p95)::DOUBLE / (expert_p95 - oracle_p95) END AS gap_closed,
+       THEN (expert_p95 - candidate_p95)::DOUBLE / (expert_p95 - oracle_p95) END AS gap_closed,
   CASE WHEN rk > warm THEN expert_p95 - oracle_p95 <= 0 END AS dropped,
   CASE WHEN rk > warm AND expert_p95 - oracle_p95 <= 0 THEN 'denom_le_zero' END AS drop_reason
 FROM r2""")
@@ -433,7 +433,7 @@ SELECT event_id AS sample_id, ts AS sampled_at, event_type AS arm, 'events' AS f
   CAST(round(value * 1000) AS BIGINT) AS rel_size,
   CAST(round(value * 1000000) AS BIGINT) AS xid_age,
   CAST(round(value * 1000) AS BIGINT) AS mxid_age, CAST(round(value) AS BIGINT) AS av_count,
-  ts AS av_last, CAST(round(value * 5) AS BIGINT) AS pgfc_applied
+  ts AS av_last, CAST(round(value * 5) AS BIGINT) AS candidate_applied
 FROM events""")
 
 cte("run_meta", ["tx_log"], """
@@ -445,13 +445,13 @@ SELECT concat_ws('-', arm, fixture, scenario, 's' || CAST(seed AS VARCHAR),
 FROM tx_log GROUP BY arm, fixture, scenario, seed, probe_sf""")
 
 cte("gates", ["metrics"], f"""
-SELECT {_CELL}, d AS defaults_av_count, p AS pgfc_av_count, a AS pgfc_applied,
+SELECT {_CELL}, d AS defaults_av_count, p AS candidate_av_count, a AS candidate_applied,
   (d > 0 AND p > 2 * d) AS av_ceiling_breach, a > 500 AS mutation_ceiling_breach,
   ((d > 0 AND p > 2 * d) OR a > 500) AS cost_ceiling_breach
 FROM (SELECT {_CELL},
         COALESCE(max(av_count) FILTER (WHERE arm = 'view'), 0) AS d,
         COALESCE(max(av_count) FILTER (WHERE arm = 'purchase'), 0) AS p,
-        COALESCE(max(pgfc_applied) FILTER (WHERE arm = 'purchase'), 0) AS a
+        COALESCE(max(candidate_applied) FILTER (WHERE arm = 'purchase'), 0) AS a
       FROM metrics GROUP BY {_CELL})""")
 
 cte("safety", ["metrics", "run_meta"], f"""
@@ -481,8 +481,8 @@ SELECT s.fixture, s.scenario, s.seed,
            'COALESCE(g.cost_ceiling_breach, false)')} AS verdict,
   round(s.med, 6) + 0.0 AS median_gap_closed, s.total_windows, s.warmup_discarded,
   s.graded_windows, s.windows_dropped_denom, s.windows_scored, g.cost_ceiling_breach,
-  g.av_ceiling_breach, g.mutation_ceiling_breach, g.defaults_av_count, g.pgfc_av_count,
-  g.pgfc_applied, f.safety_floor_evaluated, f.safety_floor_holds, f.freeze_max_age,
+  g.av_ceiling_breach, g.mutation_ceiling_breach, g.defaults_av_count, g.candidate_av_count,
+  g.candidate_applied, f.safety_floor_evaluated, f.safety_floor_holds, f.freeze_max_age,
   f.worst_xid_age
 FROM (SELECT {_CELL}, max(total_windows) AS total_windows,
              max(warmup_discarded) AS warmup_discarded,
@@ -1476,13 +1476,13 @@ FROM (SELECT *, least(greatest(CAST(floor(CAST(0.95 AS DOUBLE) * n + 0.5) AS BIG
 GROUP BY {_RUN}, win""")
 
 q("experiment_sampler", ["cur", "actions"], """
-WITH ap AS (SELECT cluster_id, relid, count(*) AS pgfc_applied FROM actions
+WITH ap AS (SELECT cluster_id, relid, count(*) AS candidate_applied FROM actions
             WHERE status = 'applied' GROUP BY ALL)
 SELECT c.cluster_id, c.relid, c.relname,
   round(c.n_dead_tup::DOUBLE / NULLIF(c.n_live_tup + c.n_dead_tup, 0), 6) AS dead_frac,
   c.total_size_bytes AS rel_size, c.relfrozenxid_age AS xid_age, c.relminmxid_age AS mxid_age,
   c.autovacuum_count AS av_count, c.last_autovacuum AS av_last,
-  COALESCE(ap.pgfc_applied, 0) AS pgfc_applied
+  COALESCE(ap.candidate_applied, 0) AS candidate_applied
 FROM cur c LEFT JOIN ap USING (cluster_id, relid)""")
 
 cte("tick_split", ["collected", "dense", "tgt"], f"""

@@ -431,7 +431,7 @@ def efficacy_metrics(events: DataFrame) -> DataFrame:
         F.round(v * 1000).cast("long").alias("mxid_age"),
         F.round(v).cast("long").alias("av_count"),
         F.col("ts").alias("av_last"),
-        F.round(v * 5).cast("long").alias("pgfc_applied"),
+        F.round(v * 5).cast("long").alias("candidate_applied"),
     )
 
 

@@ -26,7 +26,7 @@ METRICS = T.StructType([
     T.StructField("dead_frac", T.DoubleType()), T.StructField("rel_size", T.LongType()),
     T.StructField("xid_age", T.LongType()), T.StructField("mxid_age", T.LongType()),
     T.StructField("av_count", T.LongType()), T.StructField("av_last", T.TimestampNTZType()),
-    T.StructField("pgfc_applied", T.LongType())])
+    T.StructField("candidate_applied", T.LongType())])
 
 RUN_META = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("arm", T.StringType()),
@@ -106,7 +106,7 @@ def write_verdicts(verdicts: DataFrame, gaps: DataFrame, path: str) -> None:
     """One JSON document per cell with the per-window detail as an ordered array
     (a cell has as many entries as scored windows, a bounded list)."""
     per = gaps.groupBy("fixture", "scenario", "seed").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("win").alias("window"), "expert_p95", F.col("pgfc_p95"), "oracle_p95",
+        F.col("win").alias("window"), "expert_p95", F.col("candidate_p95"), "oracle_p95",
         F.round("gap_closed", 6).alias("gap_closed"), "dropped", "drop_reason"))).alias("per_window"))
     (verdicts.join(per, ["fixture", "scenario", "seed"], "left")
      .write.mode("overwrite").option("ignoreNullFields", "false").json(path))
