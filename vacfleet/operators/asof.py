@@ -139,3 +139,41 @@ def rollup_as_of(tier: DataFrame, tier_name: str, as_of: Column | str) -> DataFr
     t = tier.filter(F.col("bucket_start") <= (F.col(as_of) if isinstance(as_of, str) else as_of))
     cols = [c for c in tier.columns if c not in ("cluster_id", "relid", "bucket_part")]
     return latest_per_key(t, ["cluster_id", "relid"], "bucket_start", cols)
+
+
+def latest_rows(samples: DataFrame, before=None) -> DataFrame:
+    """The change-detection cache: newest stored row per relation (optionally strictly
+    before each cluster's target ``before``: a frame (cluster_id, _p))."""
+    s = samples
+    if before is not None:
+        s = s.join(F.broadcast(before), "cluster_id").filter(F.col("snapshot_id") < F.col("_p"))
+    return latest_per_key(s, ENTITY, "snapshot_id", ["snapshot_id", *STATE_COLS])
+
+
+def tick_state(cache: DataFrame, new: DataFrame, tgt: DataFrame,
+               prev_cols: Sequence[str] = ()) -> DataFrame:
+    """The ``state_and_previous`` columns for tick p from the cache (newest stored row per
+    relation before p) and the rows stored at p, in one full outer join on the entity
+    key: O(relations + new rows) instead of a pass over the stored history.
+
+    Changed relation: cur = its new row, prev = its cached row. Quiet relation: cur = prev
+    = its cached row (trap 1). New relation: cur = new row, no prev (boot).
+    """
+    cols = ["snapshot_id", *STATE_COLS]
+    c = cache.select(*ENTITY, F.struct(*cols).alias("_c"))
+    n = new.select(*ENTITY, F.struct(*cols).alias("_n"))
+    j = c.join(n, ENTITY, "full_outer").join(F.broadcast(tgt), "cluster_id")
+    cur = F.coalesce(F.col("_n"), F.col("_c"))
+    out = [F.col("cluster_id"), F.col("_p").alias("snapshot_id"), F.col("relid")]
+    out += [cur.getField(x).alias(x) for x in STATE_COLS]
+    if prev_cols:
+        out.append(F.col("_c").getField("snapshot_id").alias("prev_snapshot_id"))
+        out += [F.col("_c").getField(x).alias(f"prev_{x}") for x in prev_cols]
+    return j.select(*out)
+
+
+def advance_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """The cache after tick p: new rows replace cached ones (keyed upsert)."""
+    cols = cache.columns
+    return (cache.join(new.select(*ENTITY), ENTITY, "left_anti")
+            .unionByName(new.select(*cols)))

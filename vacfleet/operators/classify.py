@@ -43,11 +43,16 @@ def rule_kind(din: Column, dupd: Column, ddel: Column, params: P.Params = P.DEFA
                   .otherwise(F.lit("mixed")))
 
 
+PREV_COLS = ["n_tup_ins", "n_tup_upd", "n_tup_del"]
+
+
 def classify_calc(samples: DataFrame, snapshots: DataFrame, prior: DataFrame | None,
-                  policy: DataFrame | None, as_of=None, params: P.Params = P.DEFAULT) -> DataFrame:
+                  policy: DataFrame | None, as_of=None, params: P.Params = P.DEFAULT,
+                  state: DataFrame | None = None) -> DataFrame:
+    """All columns of one classify() tick; ``state`` as in ``estimate_calc``."""
     tgt = asof.target_snapshot(snapshots, as_of)
-    st = asof.state_and_previous(samples, snapshots, tgt,
-                                 prev_cols=["n_tup_ins", "n_tup_upd", "n_tup_del"])
+    st = (state if state is not None
+          else asof.state_and_previous(samples, snapshots, tgt, prev_cols=PREV_COLS))
     rcp = (prior if prior is not None else empty_classes(samples.sparkSession)).select(
         *KEY, F.col("kind").alias("cur_kind"), F.col("source").alias("cur_source"),
         F.col("candidate").alias("cur_cand"), F.col("candidate_streak").alias("cur_streak"))
@@ -84,9 +89,10 @@ def classify_calc(samples: DataFrame, snapshots: DataFrame, prior: DataFrame | N
              .withColumn("candidate_streak", streak.cast("int")))
 
 
-def classify_tick(samples, snapshots, prior, policy, as_of=None, params=P.DEFAULT) -> DataFrame:
+def classify_tick(samples, snapshots, prior, policy, as_of=None, params=P.DEFAULT,
+                  state=None) -> DataFrame:
     """The new relation_class rows."""
-    return classify_calc(samples, snapshots, prior, policy, as_of, params).select(*CLASS_COLS)
+    return classify_calc(samples, snapshots, prior, policy, as_of, params, state).select(*CLASS_COLS)
 
 
 def write_mix(calc: DataFrame) -> DataFrame:

@@ -38,11 +38,18 @@ def empty_prior(spark) -> DataFrame:
 
 
 def estimate_calc(samples: DataFrame, snapshots: DataFrame, prior: DataFrame | None,
-                  as_of=None, params: P.Params = P.DEFAULT) -> DataFrame:
-    """Every intermediate column of one estimate() tick at snapshot p (per cluster)."""
+                  as_of=None, params: P.Params = P.DEFAULT, state: DataFrame | None = None,
+                  md: DataFrame | None = None) -> DataFrame:
+    """Every intermediate column of one estimate() tick at snapshot p (per cluster).
+
+    ``state`` may carry precomputed current/previous rows (``asof.tick_state`` from the
+    cache: the incremental form); by default they come from the stored history. ``md``
+    may carry the newest snapshot's debt when the caller computed it once for many ticks.
+    """
     tgt = asof.target_snapshot(snapshots, as_of)
     hdr = asof.header_at(snapshots, tgt)
-    st = asof.state_and_previous(samples, snapshots, tgt, prev_cols=PREV_COLS)
+    st = (state if state is not None
+          else asof.state_and_previous(samples, snapshots, tgt, prev_cols=PREV_COLS))
     cur = asof.with_live_ages(st, hdr).join(
         F.broadcast(hdr.select("cluster_id", "snapshot_id", "collected_at",
                                "def_mxid_freeze_max_age", "oldest_xmin_owner",
@@ -52,8 +59,10 @@ def estimate_calc(samples: DataFrame, snapshots: DataFrame, prior: DataFrame | N
                                 F.col("collected_at").alias("prev_collected_at"))
     cur = cur.join(prev_hdr, ["cluster_id", "prev_snapshot_id"], "left")
     # debt indicators always come from the newest snapshot (trap 5)
-    md = debt.maintenance_debt(samples, snapshots).select(
-        *KEY, "dead_tuple_fraction", "vacuum_debt_ratio", "analyze_debt_ratio", "freeze_debt")
+    if md is None:
+        md = debt.maintenance_debt(samples, snapshots)
+    md = md.select(*KEY, "dead_tuple_fraction", "vacuum_debt_ratio", "analyze_debt_ratio",
+                   "freeze_debt")
     pe = (prior if prior is not None else empty_prior(samples.sparkSession)).select(
         *KEY, *[F.col(c).alias(f"pe_{c}") for c in PRIOR_COLS])
     c = cur.join(pe, KEY, "left").join(md, KEY, "left")
@@ -127,9 +136,10 @@ def estimate_calc(samples: DataFrame, snapshots: DataFrame, prior: DataFrame | N
 
 
 def estimate_tick(samples: DataFrame, snapshots: DataFrame, prior: DataFrame | None,
-                  as_of=None, params: P.Params = P.DEFAULT) -> DataFrame:
+                  as_of=None, params: P.Params = P.DEFAULT, state: DataFrame | None = None,
+                  md: DataFrame | None = None) -> DataFrame:
     """The new relation_estimate rows (one per relation in the snapshot)."""
-    return estimate_calc(samples, snapshots, prior, as_of, params).select(*ESTIMATE_COLS)
+    return estimate_calc(samples, snapshots, prior, as_of, params, state, md).select(*ESTIMATE_COLS)
 
 
 def burstiness(samples: DataFrame) -> DataFrame:

@@ -295,15 +295,35 @@ def q_proxy_outcome_corr(spark, d):
 from vacfleet.operators import estimate as EST  # noqa: E402
 
 
+def tick_targets(snapshots, ticks: int):
+    """The last ``ticks`` snapshots per cluster, oldest first (one-row-per-cluster frames)."""
+    return [asof.target_snapshot(snapshots, back=b) for b in range(ticks - 1, -1, -1)]
+
+
+def rows_at(samples, snapshots, tgt):
+    """Rows stored at each cluster's snapshot p. Joining the (broadcast, one row per
+    cluster) header on the partition column lets the scan prune to p's day."""
+    hdr = asof.header_at(snapshots, tgt).select("cluster_id", "snapshot_id", "collected_day")
+    return samples.join(F.broadcast(hdr), ["cluster_id", "snapshot_id", "collected_day"])
+
+
 def _estimate_chain(spark, d, ticks: int = 3):
-    """Run ``ticks`` consecutive estimate ticks ending at the newest snapshot; each tick's
+    """``ticks`` consecutive estimate ticks ending at the newest snapshot, in the
+    incremental form a control loop runs: the change-detection cache is built once, then
+    each tick reads only the cache and the rows stored at its snapshot, and each tick's
     output is the next tick's prior state. Returns the last tick's full calculation."""
     i = inputs(spark, d)
+    tgts = tick_targets(i.snapshots, ticks)
+    md = debt.maintenance_debt(i.samples, i.snapshots)        # newest snapshot, once
+    cache = asof.latest_rows(i.samples, before=tgts[0])
     prior = None
-    for back in range(ticks - 1, 0, -1):
-        t = asof.target_snapshot(i.snapshots, back=back)
-        prior = EST.estimate_tick(i.samples, i.snapshots, prior, t)
-    return EST.estimate_calc(i.samples, i.snapshots, prior, None)
+    for k, t in enumerate(tgts):
+        new = rows_at(i.samples, i.snapshots, t)
+        st = asof.tick_state(cache, new, t, EST.PREV_COLS)
+        if k == len(tgts) - 1:
+            return EST.estimate_calc(i.samples, i.snapshots, prior, t, state=st, md=md)
+        prior = EST.estimate_tick(i.samples, i.snapshots, prior, t, state=st, md=md)
+        cache = asof.advance_cache(cache, new)
 
 
 @register("estimate_tick")
@@ -372,12 +392,18 @@ TRAILING_S = 6 * 3600
 
 
 def _classify_chain(spark, d, ticks: int = 3):
+    """Consecutive classify ticks in the same incremental form as ``_estimate_chain``."""
     i = inputs(spark, d)
+    tgts = tick_targets(i.snapshots, ticks)
+    cache = asof.latest_rows(i.samples, before=tgts[0])
     prior = None
-    for back in range(ticks - 1, 0, -1):
-        t = asof.target_snapshot(i.snapshots, back=back)
-        prior = CL.classify_tick(i.samples, i.snapshots, prior, i.policy, t)
-    return CL.classify_calc(i.samples, i.snapshots, prior, i.policy, None)
+    for k, t in enumerate(tgts):
+        new = rows_at(i.samples, i.snapshots, t)
+        st = asof.tick_state(cache, new, t, CL.PREV_COLS)
+        if k == len(tgts) - 1:
+            return CL.classify_calc(i.samples, i.snapshots, prior, i.policy, t, state=st)
+        prior = CL.classify_tick(i.samples, i.snapshots, prior, i.policy, t, state=st)
+        cache = asof.advance_cache(cache, new)
 
 
 def _classes(spark, d):
