@@ -189,7 +189,9 @@ def override_floor(computed: DataFrame, override_events: DataFrame) -> DataFrame
     """The latest force/clear event per cluster; a forced state at least as severe
     as the computed one binds ('normal' cannot be forced)."""
     ev = (override_events.groupBy("cluster_id")
-          .agg(F.max_by(F.struct("action", "forced_state", "forced_reason"), "event_at").alias("_e")))
+          .agg(F.max_by(F.struct("action", "forced_state", "forced_reason"),
+                        F.struct("event_at", "action", "forced_state", "forced_reason"))
+               .alias("_e")))
     forced = F.when((F.col("_e.action") == "force") & (F.col("_e.forced_state") != "normal"),
                     F.col("_e.forced_state"))
     j = computed.join(ev, "cluster_id", "left").withColumn("forced", forced)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from vacfleet.functions import exprs as X
 from vacfleet.operators import asof, debt
 from vacfleet.plans.inputs import inputs
+from vacfleet.session import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -314,16 +315,19 @@ def _estimate_chain(spark, d, ticks: int = 3):
     output is the next tick's prior state. Returns the last tick's full calculation."""
     i = inputs(spark, d)
     tgts = tick_targets(i.snapshots, ticks)
-    md = debt.maintenance_debt(i.samples, i.snapshots)        # newest snapshot, once
-    cache = asof.latest_rows(i.samples, before=tgts[0])
+    md = store(debt.maintenance_debt(i.samples, i.snapshots), "debt")   # newest snapshot, once
+    cache = store(asof.latest_rows(i.samples, before=tgts[0]), "cache")
     prior = None
     for k, t in enumerate(tgts):
         new = rows_at(i.samples, i.snapshots, t)
         st = asof.tick_state(cache, new, t, EST.PREV_COLS)
         if k == len(tgts) - 1:
             return EST.estimate_calc(i.samples, i.snapshots, prior, t, state=st, md=md)
-        prior = EST.estimate_tick(i.samples, i.snapshots, prior, t, state=st, md=md)
-        cache = asof.advance_cache(cache, new)
+        # a control loop stores each tick's state; a table in the shared checkpoint folder
+        # is that store here and keeps the next tick's lineage one tick deep
+        prior = store(EST.estimate_tick(i.samples, i.snapshots, prior, t, state=st, md=md),
+                      "estimate")
+        cache = store(asof.advance_cache(cache, new), "cache")
 
 
 @register("estimate_tick")
@@ -395,15 +399,16 @@ def _classify_chain(spark, d, ticks: int = 3):
     """Consecutive classify ticks in the same incremental form as ``_estimate_chain``."""
     i = inputs(spark, d)
     tgts = tick_targets(i.snapshots, ticks)
-    cache = asof.latest_rows(i.samples, before=tgts[0])
+    cache = store(asof.latest_rows(i.samples, before=tgts[0]), "cache")
     prior = None
     for k, t in enumerate(tgts):
         new = rows_at(i.samples, i.snapshots, t)
         st = asof.tick_state(cache, new, t, CL.PREV_COLS)
         if k == len(tgts) - 1:
             return CL.classify_calc(i.samples, i.snapshots, prior, i.policy, t, state=st)
-        prior = CL.classify_tick(i.samples, i.snapshots, prior, i.policy, t, state=st)
-        cache = asof.advance_cache(cache, new)
+        prior = store(CL.classify_tick(i.samples, i.snapshots, prior, i.policy, t, state=st),
+                      "class")
+        cache = store(asof.advance_cache(cache, new), "cache")
 
 
 def _classes(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from functools import cached_property
 
@@ -12,6 +13,7 @@ from vacfleet.sources import derive as D
 
 _CACHE: dict = {}
 _RUN = uuid.uuid4().hex[:12]
+_LOCK = threading.RLock()    # derived tables are written once even if queries run in threads
 
 
 class Inputs:
@@ -26,6 +28,10 @@ class Inputs:
         """Write a derived stand-in table once per process under the shared checkpoint
         folder and read it back: operators then scan parquet (pushdown, pruning) exactly as
         they would scan the stored telemetry tables, and lineage stops here."""
+        with _LOCK:
+            return self._stored(name, df, partition_by)
+
+    def _stored(self, name, df, partition_by):
         root = ensure_checkpoint_dir(self.spark).rstrip("/")
         tag = self.sf_dir.strip("/").replace("/", "_")
         path = f"{root}/vacfleet-inputs-{_RUN}/{tag}/{name}"
@@ -111,6 +117,7 @@ class Inputs:
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     key = (id(spark), sf_dir)
-    if key not in _CACHE:
-        _CACHE[key] = Inputs(spark, sf_dir)
-    return _CACHE[key]
+    with _LOCK:
+        if key not in _CACHE:
+            _CACHE[key] = Inputs(spark, sf_dir)
+        return _CACHE[key]

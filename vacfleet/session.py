@@ -55,3 +55,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def store(df, name: str):
+    """Write ``df`` once as a parquet table in the shared checkpoint folder and return a
+    DataFrame reading it: cuts lineage, computes the input once (``checkpoint()`` would
+    compute it twice), and survives executor loss because the files are on shared storage."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vacfleet-tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
