@@ -85,3 +85,16 @@ def removability_horizons(sources: DataFrame) -> DataFrame:
         F.col("_d.detail").alias("oldest_xmin_owner_detail"),
         F.col("_c.xmin_age").alias("oldest_catalog_xmin_age"),
         F.coalesce(F.col("_c.detail"), F.lit("none")).alias("oldest_catalog_xmin_owner")))
+
+
+def horizon_sources(by_class: dict[str, DataFrame], catalog_classes: tuple[str, ...] = ()) -> DataFrame:
+    """The snapshot-holding sources of every class as one table: each class frame
+    (cluster_id, detail, xmin_age) is tagged with its owner class and kind, then
+    ``unionByName`` (UNION ALL)."""
+    out = None
+    for owner, df in by_class.items():
+        kind = "catalog" if owner in catalog_classes else "data"
+        f = df.select("cluster_id", F.lit(owner).alias("owner"), "detail", "xmin_age",
+                      F.lit(kind).alias("kind"))
+        out = f if out is None else out.unionByName(f)
+    return out

@@ -70,8 +70,11 @@ def q_maintenance_debt(spark, d):
 
 @register("horizons")
 def q_horizons(spark, d):
-    i = inputs(spark, d)
-    return finish(debt.removability_horizons(i.horizon_sources))
+    """U1 + D6: the per-class source views unioned, then the oldest horizon per kind."""
+    from vacfleet.sources import derive as D
+    srcs = debt.horizon_sources(D.horizon_class_sources(inputs(spark, d).events),
+                                catalog_classes=("logical_slot",))
+    return finish(debt.removability_horizons(srcs))
 
 
 @register("effective_setting")

@@ -214,6 +214,19 @@ def collection_policy(spark: SparkSession) -> DataFrame:
         "min_partition_size_bytes bigint, excluded_schemas array<string>")
 
 
+def horizon_class_sources(events: DataFrame) -> dict[str, DataFrame]:
+    """Snapshot-holding sources per class (the five catalog views): each event is one
+    source, its type names the class."""
+    kind_owner = {"view": "long_running_txn", "click": "replication_slot",
+                  "signup": "standby_feedback", "purchase": "prepared_xact",
+                  "error": "logical_slot"}
+    return {owner: events.filter(F.col("event_type") == et).select(
+                F.lit(CLUSTER).alias("cluster_id"),
+                F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("detail"),
+                F.round(F.col("value") * 1000).cast("long").alias("xmin_age"))
+            for et, owner in kind_owner.items()}
+
+
 def horizon_sources(events: DataFrame) -> DataFrame:
     """Snapshot-holding sources: each event is one source of one of five classes."""
     kind_owner = {"view": "long_running_txn", "click": "replication_slot",

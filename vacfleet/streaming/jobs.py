@@ -74,9 +74,11 @@ def minute_rollup_stream(rows: DataFrame, lookback: str = "3 days") -> DataFrame
 
 
 def tier_upsert_batch(tier_root: str, snapshots: DataFrame):
-    """ST2 as ``foreachBatch``: recompute every tier for the buckets this micro-batch
-    touched (from all samples stored so far, which absorbs late rows) and overwrite only
-    those partitions. Idempotent, so a replayed batch after a failure is harmless."""
+    """ST2 as ``foreachBatch``: the A3 cascade for what this micro-batch touched. The 1m
+    tier is recomputed from all raw samples of the touched days (absorbing late rows);
+    1h and 1d are recomputed for the touched months from the tier just written, so each
+    month partition is rewritten whole. Partitions are replaced with dynamic overwrite,
+    so a replayed batch after a failure rewrites the same content."""
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
@@ -87,14 +89,27 @@ def tier_upsert_batch(tier_root: str, snapshots: DataFrame):
         (batch.drop("collected_at", "current_xid", "current_mxid", "event_time")
          .write.mode("overwrite").partitionBy("collected_day")
          .parquet(f"{raw_path}/batch_id={batch_id}"))
-        # the touched days of one micro-batch: a short list, used as a partition filter
+        # the touched days of one micro-batch: a short list, used as partition filters
         days = [r[0] for r in batch.select("collected_day").distinct().collect()]
         raw = (spark.read.option("basePath", raw_path).parquet(raw_path)
                .filter(F.col("collected_day").isin(days)).drop("batch_id")
                .dropDuplicates(["cluster_id", "snapshot_id", "relid"]))
-        r1m, r1h, r1d = R.rollup(raw, snapshots)
-        for name, df in (("rollup_1m", r1m), ("rollup_1h", r1h), ("rollup_1d", r1d)):
-            R.write_tier(df, f"{tier_root}/{name}")
+        R.write_tier(R.rollup_minute(raw, snapshots), f"{tier_root}/rollup_1m")
+        day_start = X.day_start(F.col("bucket_part"))
+        months = (spark.createDataFrame([(int(d),) for d in days], "bucket_part int")
+                  .select(X.epoch_month(day_start).alias("m")).distinct())
+        lo_hi = months.select(
+            X.epoch_day(X.month_start("m")).alias("lo"),
+            X.epoch_day(X.month_start(F.col("m") + 1)).alias("hi")).collect()
+        in_months = None
+        for r in lo_hi:
+            c = (F.col("bucket_part") >= r.lo) & (F.col("bucket_part") < r.hi)
+            in_months = c if in_months is None else (in_months | c)
+        m_ids = [r[0] for r in months.collect()]
+        r1m = spark.read.parquet(f"{tier_root}/rollup_1m").filter(in_months)
+        R.write_tier(R.coarsen(r1m, "hour"), f"{tier_root}/rollup_1h")
+        r1h = spark.read.parquet(f"{tier_root}/rollup_1h").filter(F.col("bucket_part").isin(m_ids))
+        R.write_tier(R.coarsen(r1h, "day"), f"{tier_root}/rollup_1d")
     return run
 
 
