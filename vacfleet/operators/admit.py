@@ -104,10 +104,22 @@ def admit_actions(decisions: DataFrame, live: DataFrame, actuator_state: DataFra
            .when(interval_hit, F.lit("min_interval")))
     j = j.withColumn("_pre", pre)
     ok = F.col("_pre").isNull()
-    rank = F.sum(ok.cast("int")).over(
-        W.partitionBy("cluster_id", tick_id_col).orderBy("decision_id")
-        .rowsBetween(W.unboundedPreceding, W.currentRow))
-    j = j.withColumn("_rank", F.when(ok, rank))
+    # Cap ranks: only the first L passing rows of a (cluster, tick) can be admitted, with
+    # L >= every cycle cap. A row-number filter against a literal is planned as a
+    # WindowGroupLimit (each task keeps its local top L before the shuffle), so a cluster
+    # holding a third of all relations never sorts all its decisions in one task; any
+    # passing row outside the top L is beyond every cap.
+    limit = int(params.max_changes_per_cycle)
+    if policy is not None:
+        top = policy.agg(F.max("global_max_changes_per_cycle")).first()[0]
+        limit = max(limit, int(top or 0))
+    passing = j.filter(ok).select("cluster_id", tick_id_col, "decision_id")
+    ranked = (passing.withColumn("_rank", F.row_number().over(
+        W.partitionBy("cluster_id", tick_id_col).orderBy("decision_id")))
+        .filter(F.col("_rank") <= limit + 1)
+        .select("decision_id", "_rank"))
+    j = j.join(ranked, "decision_id", "left").withColumn(
+        "_rank", F.when(ok, F.coalesce(F.col("_rank"), F.lit(limit + 1))))
     day_used_c = F.coalesce(F.col("_day_used"), F.lit(0))
     reason = (F.when(~ok, F.col("_pre"))
               .when(F.coalesce(F.col("_tick_used"), F.lit(0)) + F.col("_rank") > cap,

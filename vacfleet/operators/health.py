@@ -334,3 +334,10 @@ def governor_status(classes: DataFrame, estimates: DataFrame, decisions: DataFra
                     F.col("_d.proposed_value").alias("proposed_value"),
                     F.col("_d.applied").alias("applied"),
                     F.col("_d.created_at").alias("last_decision_at"), "current_scale_factor")
+
+
+def failures_by_class(actions: DataFrame, as_of) -> DataFrame:
+    """Failed actions per failure category in the last day."""
+    now = X.col(as_of)
+    return (actions.filter((F.col("status") == "failed") & X.within_last("applied_at", now, DAY))
+            .groupBy("cluster_id", "failure_class").agg(F.count("*").alias("failures")))

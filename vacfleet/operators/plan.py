@@ -255,3 +255,10 @@ def sustained_deviation(decisions: DataFrame, n_sustain: int = P.CLASS_PERSISTEN
                     F.abs(step).alias("level_distance"), reversal.alias("reversal"),
                     ((F.col("run_len") >= n_sustain)
                      & F.coalesce(F.abs(step) >= need, F.lit(True))).alias("eligible"))
+
+
+def plannable_snapshot(estimates: DataFrame) -> DataFrame:
+    """The snapshot a control cycle plans on: the newest one every estimate row
+    describes, per cluster (decisions and estimates then refer to the same snapshot)."""
+    return estimates.groupBy("cluster_id").agg(F.max("snapshot_id").alias("plan_snapshot_id"),
+                                               F.count("*").alias("estimated_relations"))

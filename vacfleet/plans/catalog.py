@@ -676,3 +676,13 @@ def q_top_debt(spark, d):
     return finish(debt.maintenance_debt(i.samples, i.snapshots)
                   .orderBy(F.col("vacuum_debt_ratio").desc_nulls_last(), "cluster_id", "relid")
                   .limit(20))
+
+
+@register("failures_by_class")
+def q_failures_by_class(spark, d):
+    return finish(H.failures_by_class(inputs(spark, d).actions, _clock(spark, d)))
+
+
+@register("plannable_snapshot")
+def q_plannable_snapshot(spark, d):
+    return finish(PL.plannable_snapshot(_estimates(spark, d)))

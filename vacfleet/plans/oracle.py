@@ -1521,3 +1521,12 @@ SELECT cluster_id, relid, schemaname, relname, n_dead_tup, n_mod_since_analyze,
   round(vacuum_debt_ratio, 6) AS vacuum_debt_ratio, round(analyze_debt_ratio, 6) AS analyze_debt_ratio,
   round(freeze_debt, 6) AS freeze_debt
 FROM debt ORDER BY vacuum_debt_ratio DESC NULLS LAST, cluster_id, relid LIMIT 20""")
+
+q("failures_by_class", ["actions", "clock"], """
+SELECT cluster_id, failure_class, count(*) AS failures FROM actions, clock
+WHERE status = 'failed' AND applied_at > now - INTERVAL 86400 SECOND
+GROUP BY cluster_id, failure_class""")
+
+q("plannable_snapshot", ["e_b0"], """
+SELECT cluster_id, max(snapshot_id) AS plan_snapshot_id, count(*) AS estimated_relations
+FROM e_b0 GROUP BY cluster_id""")

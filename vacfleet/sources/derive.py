@@ -57,17 +57,19 @@ def relation_samples(events: DataFrame) -> DataFrame:
         F.col("user_id").alias("relid"), "ts", "event_type",
         F.floor(X.epoch_micros("ts") / F.lit(HOUR_US)).cast("long").alias("snapshot_id"))
     is_ud = F.col("event_type").isin("view", "click", "signup")
-    per_hour = e.groupBy("relid", "snapshot_id").agg(
+    # the hour's last error first, then one counting pass keyed by (relation, hour):
+    # both sides are partitioned on that key, so the join adds no shuffle to the count
+    last_err = (e.filter(F.col("event_type") == "error").groupBy("relid", "snapshot_id")
+                .agg(F.max("ts").alias("h_last_err")))
+    per_hour = e.join(last_err, ["relid", "snapshot_id"], "left").groupBy("relid", "snapshot_id").agg(
         F.count_if(F.col("event_type") == "purchase").alias("h_ins"),
         F.count_if(F.col("event_type").isin("view", "click")).alias("h_upd"),
         F.count_if(F.col("event_type") == "signup").alias("h_del"),
         F.count_if(F.col("event_type") == "error").alias("h_err"),
-        F.max(F.when(F.col("event_type") == "error", F.col("ts"))).alias("h_last_err"),
-        F.collect_list(F.when(is_ud, F.col("ts"))).alias("h_ud_ts"))
-    # updates/deletes after the hour's last error (all of them if the hour had none)
-    per_hour = per_hour.withColumn(
-        "h_ud_after", F.size(F.filter("h_ud_ts", lambda t: F.col("h_last_err").isNull()
-                                      | (t > F.col("h_last_err"))))).drop("h_ud_ts")
+        F.max("h_last_err").alias("h_last_err"),
+        # updates/deletes after the hour's last error (all of them if the hour had none)
+        F.count_if(is_ud & (F.col("h_last_err").isNull() | (F.col("ts") > F.col("h_last_err"))))
+         .alias("h_ud_after"))
     w = (W.partitionBy("relid").orderBy("snapshot_id")
          .rowsBetween(W.unboundedPreceding, W.currentRow))
     c = (per_hour
