@@ -1086,7 +1086,8 @@ WITH d AS (SELECT cluster_id, relid, tick_id, decision_id,
                FROM runs WINDOW w AS (PARTITION BY cluster_id, relid ORDER BY run_id)),
      j AS (SELECT r2.*, runs2.prev_level, runs2.prev_dir, r2.level - runs2.prev_level AS step
            FROM r2 JOIN runs2 USING (cluster_id, relid, run_id))
-SELECT cluster_id, relid, tick_id, decision_id, level, run_len, abs(step) AS level_distance,
+SELECT cluster_id, relid, tick_id, decision_id, level, CAST(run_len AS INTEGER) AS run_len,
+  abs(step) AS level_distance,
   COALESCE(sign(step) * prev_dir < 0, false) AS reversal,
   run_len >= 3 AND COALESCE(abs(step) >= CASE WHEN COALESCE(sign(step) * prev_dir < 0, false)
                                               THEN 2 ELSE 1 END, true) AS eligible
