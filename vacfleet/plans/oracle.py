@@ -545,7 +545,7 @@ FROM best b JOIN run_meta r ON b.fixture = r.fixture AND b.scenario = r.scenario
   AND b.seed = r.seed AND abs(b.best_sf - r.oracle_sf) < 1e-9""")
 
 q("weighted_median", ["metrics"], """
-SELECT arm, seed, min(dead_frac) AS weighted_median
+SELECT arm, seed, round(min(dead_frac), 6) AS weighted_median
 FROM (SELECT arm, seed, dead_frac,
         sum(rel_size) OVER (PARTITION BY arm, seed ORDER BY dead_frac
                             RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw,
