@@ -144,3 +144,21 @@ def shedding_plan(inventory: DataFrame, diagnostics: DataFrame, actions: DataFra
          .when(executed, action).otherwise(F.lit("skipped:under_budget")).alias("action"),
         F.when(executed, after).when(first_skip.isNotNull() & (F.col("step") >= first_skip), frozen)
          .otherwise(after).cast("long").alias("bytes_after"))
+
+
+def fold_to_parent(sizes: DataFrame, tree: DataFrame) -> DataFrame:
+    """U3 + J13: bytes and dead tuples per logical relation with its partitions folded in.
+    Members of a top-level relation are itself plus its descendants from the partition
+    tree (parent, child), deduplicated (UNION DISTINCT), then joined to the sizes."""
+    tops = sizes.join(tree.select("cluster_id", F.col("child").alias("name")),
+                      ["cluster_id", "name"], "left_anti").select("cluster_id", "name")
+    members = (tops.select("cluster_id", F.col("name").alias("top"), F.col("name").alias("member"))
+               .union(tree.join(tops.withColumnRenamed("name", "parent"), ["cluster_id", "parent"])
+                      .select("cluster_id", F.col("parent").alias("top"),
+                              F.col("child").alias("member")))
+               .distinct())
+    j = members.join(sizes.withColumnRenamed("name", "member"), ["cluster_id", "member"], "left")
+    return j.groupBy("cluster_id", "top").agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"),
+        F.coalesce(F.sum("dead_tuples"), F.lit(0)).cast("long").alias("dead_tuples"),
+        F.count("*").alias("members")).withColumnRenamed("top", "relation")

@@ -686,3 +686,15 @@ def q_failures_by_class(spark, d):
 @register("plannable_snapshot")
 def q_plannable_snapshot(spark, d):
     return finish(PL.plannable_snapshot(_estimates(spark, d)))
+
+
+@register("storage_by_parent")
+def q_storage_by_parent(spark, d):
+    """U3/J13 over the inventory: partitions and their parent tables as catalog rows."""
+    inv = inputs(spark, d).inventory
+    parts = inv.select("cluster_id", F.col("partition").alias("name"), "bytes", "dead_tuples")
+    parents = inv.select("cluster_id", F.col("relation").alias("name")).distinct().select(
+        "cluster_id", "name", F.lit(8192).cast("long").alias("bytes"),
+        F.lit(0).cast("long").alias("dead_tuples"))
+    tree = inv.select("cluster_id", F.col("relation").alias("parent"), F.col("partition").alias("child"))
+    return finish(RET.fold_to_parent(parts.unionByName(parents), tree))

@@ -1531,3 +1531,19 @@ GROUP BY cluster_id, failure_class""")
 q("plannable_snapshot", ["e_b0"], """
 SELECT cluster_id, max(snapshot_id) AS plan_snapshot_id, count(*) AS estimated_relations
 FROM e_b0 GROUP BY cluster_id""")
+
+q("storage_by_parent", ["inventory"], """
+WITH sizes AS (SELECT cluster_id, partition AS name, bytes, dead_tuples FROM inventory
+               UNION ALL
+               SELECT DISTINCT cluster_id, relation, CAST(8192 AS BIGINT), CAST(0 AS BIGINT) FROM inventory),
+     tree AS (SELECT cluster_id, relation AS parent, partition AS child FROM inventory),
+     tops AS (SELECT cluster_id, name FROM sizes s
+              WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.cluster_id = s.cluster_id AND t.child = s.name)),
+     members AS (SELECT cluster_id, name AS top, name AS member FROM tops
+                 UNION
+                 SELECT t.cluster_id, t.parent, t.child FROM tree t
+                 JOIN tops p ON p.cluster_id = t.cluster_id AND p.name = t.parent)
+SELECT m.cluster_id, m.top AS relation, CAST(COALESCE(sum(s.bytes), 0) AS BIGINT) AS bytes,
+       CAST(COALESCE(sum(s.dead_tuples), 0) AS BIGINT) AS dead_tuples, count(*) AS members
+FROM members m LEFT JOIN sizes s ON s.cluster_id = m.cluster_id AND s.name = m.member
+GROUP BY m.cluster_id, m.top""")
