@@ -300,8 +300,18 @@ from vacfleet.operators import estimate as EST  # noqa: E402
 
 
 def tick_targets(snapshots, ticks: int):
-    """The last ``ticks`` snapshots per cluster, oldest first (one-row-per-cluster frames)."""
-    return [asof.target_snapshot(snapshots, back=b) for b in range(ticks - 1, -1, -1)]
+    """The last ``ticks`` snapshots per cluster, oldest first, as one-row-per-cluster
+    frames. They come from one small stored table (the row-number filter runs as a window
+    group limit, and a cluster's snapshots are bounded by the collection cadence), so the
+    targets are not re-derived wherever a tick refers to them."""
+    from pyspark.sql import Window as W
+    last = (snapshots.select("cluster_id", "snapshot_id")
+            .withColumn("_k", F.row_number().over(
+                W.partitionBy("cluster_id").orderBy(F.col("snapshot_id").desc())))
+            .filter(F.col("_k") <= ticks))
+    last = store(last, "ticks")
+    return [last.filter(F.col("_k") == k).select("cluster_id", F.col("snapshot_id").alias("_p"))
+            for k in range(ticks, 0, -1)]
 
 
 def rows_at(samples, snapshots, tgt):
@@ -330,7 +340,7 @@ def _estimate_chain(spark, d, ticks: int = 3):
         # is that store here and keeps the next tick's lineage one tick deep
         prior = store(EST.estimate_tick(i.samples, i.snapshots, prior, t, state=st, md=md),
                       "estimate")
-        cache = store(asof.advance_cache(cache, new), "cache")
+        cache = asof.advance_cache(cache, new)
 
 
 @register("estimate_tick")
@@ -411,7 +421,7 @@ def _classify_chain(spark, d, ticks: int = 3):
             return CL.classify_calc(i.samples, i.snapshots, prior, i.policy, t, state=st)
         prior = store(CL.classify_tick(i.samples, i.snapshots, prior, i.policy, t, state=st),
                       "class")
-        cache = store(asof.advance_cache(cache, new), "cache")
+        cache = asof.advance_cache(cache, new)
 
 
 def _classes(spark, d):
