@@ -26,12 +26,22 @@ SIGNATURE = [
 
 
 def collection_filter(dense: DataFrame, policy: DataFrame,
-                      own_schemas: tuple[str, ...] = ()) -> DataFrame:
+                      own_schemas: tuple[str, ...] = (),
+                      extension_members: DataFrame | None = None) -> DataFrame:
     """Rows the collector keeps under each cluster's collection policy.
 
     The policy has one row per cluster (bounded by fleet size, so it is broadcast); a
-    cluster without a row reads the safe defaults.
+    cluster without a row reads the safe defaults. Extension ownership comes from the
+    row's ``extension_owned`` flag, or, when ``extension_members`` (cluster_id, relid) is
+    given, from a ``left_anti`` join against it (J5), applied where the policy excludes
+    extension-owned relations.
     """
+    if extension_members is not None:
+        members = extension_members.select("cluster_id", "relid").distinct().withColumn(
+            "_ext", F.lit(True))
+        dense = (dense.drop("extension_owned").join(members, ["cluster_id", "relid"], "left")
+                 .withColumn("extension_owned", F.coalesce(F.col("_ext"), F.lit(False)))
+                 .drop("_ext"))
     pol = policy.select("cluster_id", "exclude_temp", "include_extension_owned",
                         "min_partition_size_bytes", "excluded_schemas")
     j = dense.join(F.broadcast(pol), "cluster_id", "left")

@@ -67,3 +67,25 @@ def store(df, name: str):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vacfleet-tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cluster_conf(total_cores: int, shuffle_bytes_hint: int | None = None) -> dict[str, str]:
+    """Suggested settings for a cluster session (not applied automatically).
+
+    Start with 2-3 shuffle partitions per core (or the shuffle size / 200 MB when known)
+    and let AQE coalesce toward 128 MB; split files at 256 MB; let AQE split skewed join
+    partitions. A job over 100 TB on 1000 executors x 8 cores starts at about 20000
+    shuffle partitions and coalesces from there.
+    """
+    parts = 3 * total_cores
+    if shuffle_bytes_hint:
+        parts = max(parts, shuffle_bytes_hint // (200 * 1024 * 1024))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+    }
