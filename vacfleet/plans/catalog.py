@@ -708,3 +708,44 @@ def q_storage_by_parent(spark, d):
         F.lit(0).cast("long").alias("dead_tuples"))
     tree = inv.select("cluster_id", F.col("relation").alias("parent"), F.col("partition").alias("child"))
     return finish(RET.fold_to_parent(parts.unionByName(parents), tree))
+
+
+# ---- streaming forms under the same gate ----------------------------------------------------
+def _stream_dir(spark, name):
+    import uuid
+
+    from vacfleet.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/vacfleet-streams/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register("stream_change_detection")
+def q_stream_change_detection(spark, d):
+    """ST3: the collected history replayed as a file stream through the stateful change
+    detector (availableNow); the sink's rows are the logged changes."""
+    from vacfleet.streaming import jobs
+    i = inputs(spark, d)
+    root = _stream_dir(spark, "st3")
+    collected = store(sparse.collection_filter(i.dense, i.collection_policy), "collected")
+    src = spark.readStream.schema(collected.schema).parquet(collected.inputFiles()[0].rsplit("/", 1)[0])
+    q = (jobs.change_stream(src).writeStream.outputMode("append").format("parquet")
+         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return finish(spark.read.parquet(f"{root}/out"))
+
+
+@register("stream_rollup_1m")
+def q_stream_rollup_1m(spark, d):
+    """ST1/ST8: the 1m tier as a watermarked streaming aggregation (1-day lookback); the
+    sink holds every minute window the watermark has closed."""
+    from vacfleet.streaming import jobs
+    i = inputs(spark, d)
+    root = _stream_dir(spark, "st1")
+    base = i.samples.inputFiles()[0].split("/collected_day=")[0]
+    src = spark.readStream.schema(i.samples.schema).option("basePath", base).parquet(base)
+    q = (jobs.minute_rollup_stream(jobs.with_event_time(src, i.snapshots), "1 day")
+         .writeStream.outputMode("append").format("parquet")
+         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return finish(spark.read.parquet(f"{root}/out"))

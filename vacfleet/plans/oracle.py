@@ -1547,3 +1547,14 @@ SELECT m.cluster_id, m.top AS relation, CAST(COALESCE(sum(s.bytes), 0) AS BIGINT
        CAST(COALESCE(sum(s.dead_tuples), 0) AS BIGINT) AS dead_tuples, count(*) AS members
 FROM members m LEFT JOIN sizes s ON s.cluster_id = m.cluster_id AND s.name = m.member
 GROUP BY m.cluster_id, m.top""")
+
+q("stream_change_detection", ["collected"], f"""
+SELECT cluster_id, relid, snapshot_id
+FROM (SELECT *, lag(struct_pack({_SIG})) OVER (PARTITION BY cluster_id, relid
+                                               ORDER BY snapshot_id) AS _prev
+      FROM collected)
+WHERE _prev IS NULL OR _prev IS DISTINCT FROM struct_pack({_SIG})""")
+
+q("stream_rollup_1m", ["r1m", "snapshots"], f"""
+SELECT {_TIER_ROUND} FROM r1m
+WHERE bucket_start + INTERVAL 1 MINUTE <= (SELECT max(collected_at) FROM snapshots) - INTERVAL 1 DAY""")
