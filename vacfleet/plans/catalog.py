@@ -749,3 +749,31 @@ def q_stream_rollup_1m(spark, d):
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return finish(spark.read.parquet(f"{root}/out"))
+
+
+@register("stream_control_tick")
+def q_stream_control_tick(spark, d):
+    """ST4/ST5/ST7: the last three snapshot headers replayed as a stream; each micro-batch
+    runs the foreachBatch control tick (classify, estimate, findings reconcile) against
+    versioned state tables. Returns the newest estimate version."""
+    from pyspark.sql import Window as W
+
+    from vacfleet.streaming import jobs
+    i = inputs(spark, d)
+    root = _stream_dir(spark, "st4")
+    heads = (i.snapshots.select("cluster_id", "snapshot_id")
+             .withColumn("_k", F.row_number().over(
+                 W.partitionBy("cluster_id").orderBy(F.col("snapshot_id").desc())))
+             .filter(F.col("_k") <= 3).drop("_k"))
+    heads.write.parquet(f"{root}/ticks")
+    snaps_path = i.snapshots.inputFiles()[0].rsplit("/", 1)[0]
+    samples_path = i.samples.inputFiles()[0].split("/collected_day=")[0]
+    src = spark.readStream.schema(heads.schema).parquet(f"{root}/ticks")
+    q = (src.writeStream.foreachBatch(jobs.control_tick_batch(f"{root}/state", snaps_path,
+                                                              samples_path, i.policy))
+         .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    st = spark.read.parquet(f"{root}/state/estimate")
+    newest = st.groupBy("cluster_id").agg(F.max("v").alias("v"))
+    return finish(st.join(F.broadcast(newest), ["cluster_id", "v"]).drop("v")
+                  .select(*EST.ESTIMATE_COLS))

@@ -1558,3 +1558,5 @@ WHERE _prev IS NULL OR _prev IS DISTINCT FROM struct_pack({_SIG})""")
 q("stream_rollup_1m", ["r1m", "snapshots"], f"""
 SELECT {_TIER_ROUND} FROM r1m
 WHERE bucket_start + INTERVAL 1 MINUTE <= (SELECT max(collected_at) FROM snapshots) - INTERVAL 1 DAY""")
+
+ORACLE["stream_control_tick"] = ORACLE["estimate_tick"]
