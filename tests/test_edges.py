@@ -46,3 +46,11 @@ def test_extension_members_anti_join(spark, samples_df):
     ext = spark.createDataFrame([("c0", 2)], "cluster_id string, relid bigint")
     kept = sparse.collection_filter(dense, pol, extension_members=ext)
     assert [r.relid for r in kept.collect()] == [1]
+
+
+def test_state_as_of_live_filter(spark, samples_df, snaps_df):
+    s = samples_df([sample(relid=1, snapshot_id=1), sample(relid=2, snapshot_id=1)])
+    live = spark.createDataFrame([("c0", 2)], "cluster_id string, relid bigint")
+    snaps = snaps_df([snap(snapshot_id=1)])
+    assert asof.state_as_of(s, snaps).count() == 2                      # never tombstoned
+    assert [r.relid for r in asof.state_as_of(s, snaps, live=live).collect()] == [2]

@@ -114,9 +114,16 @@ def with_live_ages(state: DataFrame, header: DataFrame) -> DataFrame:
              .drop("current_xid", "current_mxid"))
 
 
-def state_as_of(samples: DataFrame, snapshots: DataFrame, as_of=None) -> DataFrame:
-    """D3: dense state of every relation as of p, stamped p, with live ages."""
+def state_as_of(samples: DataFrame, snapshots: DataFrame, as_of=None,
+                live: DataFrame | None = None) -> DataFrame:
+    """D3: dense state of every relation as of p, stamped p, with live ages.
+
+    Dropped relations are never tombstoned in the sample log, so they stay "current"
+    until their rows age out; pass ``live`` (cluster_id, relid) to keep only relations
+    that still exist (a semi join)."""
     st = state_and_previous(samples, snapshots, as_of)
+    if live is not None:
+        st = st.join(live.select(*ENTITY), ENTITY, "left_semi")
     return with_live_ages(st, header_at(snapshots, as_of)).drop("relfrozenxid", "relminmxid")
 
 
