@@ -44,12 +44,15 @@ def user_owned(explicit, base_explicit, gov_value) -> F.Column:
 def plan_calc(classes: DataFrame, estimates: DataFrame, samples: DataFrame,
               snapshots: DataFrame, actuator_state: DataFrame | None,
               policy: DataFrame | None, tick_id: int, as_of=None,
-              params: P.Params = P.DEFAULT) -> DataFrame:
+              params: P.Params = P.DEFAULT, state: DataFrame | None = None) -> DataFrame:
+    """All columns of one plan() tick. ``state`` may carry the tick's current rows (from
+    ``asof.tick_state``); by default they are reconstructed from the stored history."""
     tgt = asof.target_snapshot(snapshots, as_of)
     hdr = asof.header_at(snapshots, tgt).select(
         "cluster_id", "def_vac_scale_factor", "def_vac_threshold", "oldest_xmin_owner",
         "oldest_xmin_owner_detail")
-    st = asof.state_and_previous(samples, snapshots, tgt).select(*KEY, "reltuples", "reloptions")
+    st = (state if state is not None else asof.state_and_previous(samples, snapshots, tgt)
+          ).select(*KEY, "reltuples", "reloptions")
     est = estimates.select(*KEY, "saturation_cause", "freeze_debt", "mxid_freeze_debt",
                            "vacuum_debt_ratio", "effectiveness")
     b = (classes.select(*KEY, "kind").join(est, KEY).join(st, KEY)

@@ -432,14 +432,35 @@ def _estimates(spark, d):
     return _estimate_chain(spark, d).select(*EST.ESTIMATE_COLS)
 
 
+def _both_chains(spark, d, ticks: int = 3):
+    """Classify and estimate ticks together, sharing the tick table, the cache and each
+    tick's current/previous rows (classify needs a subset of estimate's previous-row
+    columns). Returns (classes, estimates, state, target) of the last tick."""
+    i = inputs(spark, d)
+    tgts = tick_targets(i.snapshots, ticks)
+    md = store(debt.maintenance_debt(i.samples, i.snapshots), "debt")
+    cache = store(asof.latest_rows(i.samples, before=tgts[0]), "cache")
+    pe = pc = None
+    for k, t in enumerate(tgts):
+        new = rows_at(i.samples, i.snapshots, t)
+        st = asof.tick_state(cache, new, t, EST.PREV_COLS)
+        e = EST.estimate_tick(i.samples, i.snapshots, pe, t, state=st, md=md)
+        c = CL.classify_tick(i.samples, i.snapshots, pc, i.policy, t, state=st)
+        if k == len(tgts) - 1:
+            return c, e, st, t
+        pe, pc = store(e, "estimate"), store(c, "class")
+        cache = asof.advance_cache(cache, new)
+
+
 def _actuator_state(spark, d):
     return ADM.fold_actions(inputs(spark, d).actions)
 
 
 def _plan(spark, d):
     i = inputs(spark, d)
-    return PL.plan_calc(_classes(spark, d), _estimates(spark, d), i.samples, i.snapshots,
-                        _actuator_state(spark, d), i.policy, TICK_ID)
+    classes, estimates, st, t = _both_chains(spark, d)
+    return PL.plan_calc(classes, estimates, i.samples, i.snapshots,
+                        _actuator_state(spark, d), i.policy, TICK_ID, t, state=st)
 
 
 def _clock(spark, d):
@@ -559,7 +580,8 @@ def q_admit_actions(spark, d):
 @register("governor_status")
 def q_governor_status(spark, d):
     i = inputs(spark, d)
-    return finish(H.governor_status(_classes(spark, d), _estimates(spark, d), i.decisions,
+    classes, estimates, _, _ = _both_chains(spark, d)
+    return finish(H.governor_status(classes, estimates, i.decisions,
                                     _actuator_state(spark, d), i.policy))
 
 

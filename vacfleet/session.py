@@ -66,7 +66,8 @@ def store(df, name: str):
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vacfleet-tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    # the schema is known: reading it back needs no footer-inference job
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cluster_conf(total_cores: int, shuffle_bytes_hint: int | None = None) -> dict[str, str]:
