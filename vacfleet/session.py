@@ -30,12 +30,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _default_driver_memory() -> str:
+    """About 60 % of physical memory, between 1 and 16 GB (local mode runs in the driver)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "vacfleet") -> SparkSession:
     """A local session for tests and the bench (a cluster passes its own session)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", os.environ.get("VACFLEET_DRIVER_MEM", "8g")))
+               .config("spark.driver.memory", os.environ.get("VACFLEET_DRIVER_MEM",
+                                                             _default_driver_memory())))
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
