@@ -26,7 +26,9 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     w_in = W.partitionBy(*keys, "_bkt").orderBy(*order)
     payload = F.struct(*[F.col(v) for v in values], F.lit(True).alias("_e"))
     b = b.withColumn("_lag", F.lag(payload).over(w_in))
-    # last row of every (key, bucket) group, then the previous group's last row
+    # last row of every (key, bucket) group, then the previous group's last row. Catalyst
+    # prunes the window from this branch, so it is a partial (map-side) aggregation over
+    # the rows: only one row per key, bucket and task is shuffled for it.
     last = (b.groupBy(*keys, "_bkt")
             .agg(F.max_by(payload, F.struct(*[F.col(o) for o in order])).alias("_last")))
     w_b = W.partitionBy(*keys).orderBy("_bkt")
