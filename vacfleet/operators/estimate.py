@@ -144,7 +144,8 @@ def estimate_tick(samples: DataFrame, snapshots: DataFrame, prior: DataFrame | N
 
 def burstiness(samples: DataFrame) -> DataFrame:
     """Stddev / mean of the gaps between consecutive maintenance runs per relation
-    (distinct last_autovacuum instants in time order)."""
+    (distinct last_autovacuum instants in time order). The window holds one relation's
+    distinct run times, at most one per stored sample (bounded by the retention window)."""
     runs = samples.filter(F.col("last_autovacuum").isNotNull()).select(
         *KEY, "last_autovacuum").distinct()
     w = W.partitionBy(*KEY).orderBy("last_autovacuum")
@@ -161,6 +162,8 @@ def maintenance_lag(debt_series: DataFrame) -> DataFrame:
     after the most recent maintenance run (gaps and islands over the debt series).
 
     ``debt_series`` has KEY, snapshot_id, collected_at, vacuum_debt_ratio, last_autovacuum.
+    A window group is one relation's samples between two maintenance runs, at most one
+    per snapshot of the retention window.
     """
     w = W.partitionBy(*KEY, "last_autovacuum").orderBy("snapshot_id").rowsBetween(
         W.unboundedPreceding, W.currentRow)

@@ -324,7 +324,8 @@ def weighted_median(df: DataFrame, groups: Sequence[str], value: str, weight: st
 
 def steady_state(series: DataFrame, keys: Sequence[str], value: str,
                  n: int = P.STEADY_STATE_WINDOWS, cv_max: float = P.STEADY_STATE_CV) -> DataFrame:
-    """Coefficient of variation over the last n windows (full frames only)."""
+    """Coefficient of variation over the last n windows (full frames only).
+    A group is one run's measurement windows (run length / window size rows)."""
     w = W.partitionBy(*keys).orderBy("win").rowsBetween(-(n - 1), W.currentRow)
     cv = F.try_divide(F.stddev_samp(value).over(w), F.avg(value).over(w))
     full = F.count(value).over(w) == n
@@ -355,7 +356,8 @@ def phase_split(series: DataFrame, window_s: int, shift_s: int) -> DataFrame:
 
 def safety_monotone(checkpoints: DataFrame, keys: Sequence[str], order: str,
                     frozen: str) -> DataFrame:
-    """The frozen-id horizon of a table never moves backward between checkpoints."""
+    """The frozen-id horizon of a table never moves backward between checkpoints.
+    The window holds one table's checkpoints (one per sample), bounded by the run length."""
     w = W.partitionBy(*keys).orderBy(order)
     d = checkpoints.withColumn("_prev", F.lag(frozen).over(w))
     return d.groupBy(*keys).agg(
