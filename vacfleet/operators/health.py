@@ -205,7 +205,8 @@ def override_floor(computed: DataFrame, override_events: DataFrame) -> DataFrame
 
 def snapshot_health_series(snapshots: DataFrame, params: P.Params = P.DEFAULT) -> DataFrame:
     """The health state evaluated at every snapshot from the signals a snapshot carries:
-    observation lag (gap to the previous snapshot) and connection pressure."""
+    observation lag (gap to the previous snapshot) and connection pressure. The window is
+    one cluster's snapshots: the collection cadence bounds it, whatever the cluster's size."""
     w = W.partitionBy("cluster_id").orderBy("snapshot_id")
     s = snapshots.select("cluster_id", "snapshot_id", "collected_at", "client_backends",
                          "max_connections")

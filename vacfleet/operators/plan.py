@@ -235,7 +235,8 @@ def sustained_deviation(decisions: DataFrame, n_sustain: int = P.CLASS_PERSISTEN
     """Per relation and tick, how many consecutive ticks proposed the same grid value
     (gaps and islands), the grid-level distance from the previous run's value, and whether
     the proposal may act: the run is at least n long and a direction reversal against the
-    previous move clears two grid levels."""
+    previous move clears two grid levels. A window group is one relation's decisions, one
+    per control tick of the retention window."""
     gi = F.array_position(F.array(*[F.lit(float(g)) for g in grid]),
                           F.col("proposed_value").try_cast("double"))
     d = decisions.select(*KEY, "tick_id", "decision_id", gi.cast("int").alias("level"))
