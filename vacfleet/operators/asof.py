@@ -2,8 +2,10 @@
 
 Sparse logging stores a relation only when it changed, so "the state at p" is the
 newest stored row at or before p. Everything here is a keyed ``max_by`` aggregate:
-partial aggregation map-side, one shuffle on the entity key, no sort of raw rows,
-and no entity x snapshot grid.
+partial aggregation map-side (each task sorts only its own rows, as the buffer is a
+struct), then one shuffle of one row per key and task; no global sort and no entity x
+snapshot grid. ``tick_state`` is the incremental form: the cache of newest rows joined
+with the rows stored at p.
 """
 
 from __future__ import annotations

@@ -1,8 +1,10 @@
 """Hidden-state estimation per control tick (D11 and its parts D11a-e, A21, W8).
 
 One tick joins, per relation, the current state, the previous stored sample, the prior
-estimate and the current debt. All four are keyed by (cluster_id, relid), so the plan
-is one aggregation over the samples plus key joins; the header is one row per cluster.
+estimate and the current debt, all keyed by (cluster_id, relid). Current and previous
+rows come from one aggregation over the stored samples, or, in the incremental form,
+from the cache joined with the rows stored at p (``asof.tick_state``); the header is one
+row per cluster (broadcast).
 """
 
 from __future__ import annotations
