@@ -127,3 +127,97 @@ def admit_actions(decisions: DataFrame, live: DataFrame, actuator_state: DataFra
               .when(day_used_c + F.col("_rank") > budget, F.lit("daily_budget")))
     return j.select("cluster_id", tick_id_col, "decision_id", "relid", "proposed_value",
                     reason.isNull().alias("admitted"), reason.alias("refusal_reason"))
+
+
+def admit_over_ticks(decisions: DataFrame, live: DataFrame, actuator_state: DataFrame,
+                     actions: DataFrame, governor_state: DataFrame, policy: DataFrame | None,
+                     clock: str = "tick_now", tick_id_col: str = "tick_id",
+                     params: P.Params = P.DEFAULT) -> DataFrame:
+    """D17 replayed over many ticks, each against its own clock (column ``clock``): the
+    per-relation interval looks at applied actions in (now - interval, now], the daily
+    budget at those in (now - 1 day, now], the cycle cap at actions of the same tick.
+
+    The time windows are equi joins on the relation (interval) or on the cluster and the
+    day (budget, two candidate days per tick) with the exact range as a residual, so no
+    join pairs a tick with more than one relation's or two days' actions.
+    """
+    newest = (decisions.filter(F.col("actuator") == VAC_SF)
+              .groupBy("cluster_id", tick_id_col, "relid")
+              .agg(F.max_by(F.struct("decision_id", "decision", "proposed_value", clock),
+                            "decision_id").alias("_d")))
+    d = newest.select("cluster_id", tick_id_col, "relid", "_d.*").filter(
+        F.col("decision") == "adjust")
+    if policy is not None:
+        pol = active_policy(policy).select("cluster_id", "min_interval",
+                                           "global_max_changes_per_cycle",
+                                           "daily_mutation_budget", "manage_user_owned")
+        d = d.join(F.broadcast(pol), "cluster_id", "left")
+    else:
+        for c, t in (("min_interval", "interval day to second"),
+                     ("global_max_changes_per_cycle", "int"), ("daily_mutation_budget", "int"),
+                     ("manage_user_owned", "boolean")):
+            d = d.withColumn(c, F.lit(None).cast(t))
+    interval_s = (F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp")
+                                + F.col("min_interval")) / 1000000)
+    d = d.withColumn("_min_s", F.coalesce(interval_s, F.lit(float(params.min_interval_s))))
+    cap = F.coalesce(F.col("global_max_changes_per_cycle"), F.lit(params.max_changes_per_cycle))
+    budget = F.coalesce(F.col("daily_mutation_budget"), F.lit(params.daily_mutation_budget))
+    manage = F.coalesce(F.col("manage_user_owned"), F.lit(params.manage_user_owned))
+    now = F.col(clock)
+
+    applied = actions.filter(F.col("status") == "applied").select(
+        "cluster_id", "relid", "decision_id", "applied_at")
+    # per-relation interval: the relation's applied actions inside (now - interval, now]
+    hit = (d.select("decision_id", "cluster_id", "relid", clock, "_min_s")
+           .join(applied.select("cluster_id", "relid", "applied_at"), ["cluster_id", "relid"])
+           .filter((F.col("applied_at") > now - F.make_dt_interval(secs=F.col("_min_s")))
+                   & (F.col("applied_at") <= now))
+           .select("decision_id").distinct().withColumn("_interval_hit", F.lit(True)))
+    # daily budget: applied actions of the cluster inside (now - 1 day, now]
+    ticks = d.select("cluster_id", tick_id_col, clock).distinct()
+    tday = ticks.withColumn("_day", F.explode(F.array(X.epoch_day(now) - 1, X.epoch_day(now))))
+    day_used = (tday.join(applied.withColumn("_day", X.epoch_day("applied_at")),
+                          ["cluster_id", "_day"])
+                .filter(X.within_last("applied_at", now, 86400) & (F.col("applied_at") <= now))
+                .groupBy("cluster_id", tick_id_col).agg(F.count("*").alias("_day_used")))
+    tick_used = (applied.join(decisions.select("decision_id", tick_id_col), "decision_id")
+                 .groupBy("cluster_id", tick_id_col).agg(F.count("*").alias("_tick_used")))
+    gs = governor_state.select("cluster_id", F.col("state").alias("gov_state"))
+    lv = live.select(*KEY, F.lit(True).alias("_live"),
+                     X.reloption("reloptions", VAC_SF).alias("live_value"))
+    ast = actuator_state.filter(F.col("actuator") == VAC_SF).select(
+        *KEY, F.lit(True).alias("_have_state"), F.col("baseline_explicit").alias("_bexp"),
+        F.col("current_value").alias("_gov_value"))
+    j = (d.join(F.broadcast(gs), "cluster_id", "left").join(lv, KEY, "left")
+          .join(ast, KEY, "left").join(hit, "decision_id", "left")
+          .join(day_used, ["cluster_id", tick_id_col], "left")
+          .join(tick_used, ["cluster_id", tick_id_col], "left"))
+    owned_by_gov = (F.coalesce(F.col("_have_state"), F.lit(False)) & ~F.col("_bexp")
+                    & F.col("live_value").eqNullSafe(F.col("_gov_value")))
+    pre = (F.when(F.col("gov_state").isin(*BLOCKED_STATES), F.lit("authority"))
+           .when(F.col("_live").isNull(), F.lit("vanished"))
+           .when(F.col("live_value").eqNullSafe(F.col("proposed_value")), F.lit("noop"))
+           .when(~X.parse_in_range("proposed_value", params.sf_min, params.sf_max),
+                 F.lit("invalid_value"))
+           .when(~manage & F.col("live_value").isNotNull() & ~F.coalesce(owned_by_gov, F.lit(False)),
+                 F.lit("user_owned"))
+           .when(F.coalesce(F.col("_interval_hit"), F.lit(False)), F.lit("min_interval")))
+    j = j.withColumn("_pre", pre)
+    ok = F.col("_pre").isNull()
+    limit = int(params.max_changes_per_cycle)
+    if policy is not None:
+        top = policy.agg(F.max("global_max_changes_per_cycle")).first()[0]
+        limit = max(limit, int(top or 0))
+    ranked = (j.filter(ok).select("cluster_id", tick_id_col, "decision_id")
+              .withColumn("_rank", F.row_number().over(
+                  W.partitionBy("cluster_id", tick_id_col).orderBy("decision_id")))
+              .filter(F.col("_rank") <= limit + 1).select("decision_id", "_rank"))
+    j = j.join(ranked, "decision_id", "left").withColumn(
+        "_rank", F.when(ok, F.coalesce(F.col("_rank"), F.lit(limit + 1))))
+    reason = (F.when(~ok, F.col("_pre"))
+              .when(F.coalesce(F.col("_tick_used"), F.lit(0)) + F.col("_rank") > cap,
+                    F.lit("cycle_cap"))
+              .when(F.coalesce(F.col("_day_used"), F.lit(0)) + F.col("_rank") > budget,
+                    F.lit("daily_budget")))
+    return j.select("cluster_id", tick_id_col, "decision_id", "relid", "proposed_value",
+                    reason.isNull().alias("admitted"), reason.alias("refusal_reason"))

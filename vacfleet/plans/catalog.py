@@ -799,3 +799,19 @@ def q_stream_control_tick(spark, d):
     newest = st.groupBy("cluster_id").agg(F.max("v").alias("v"))
     return finish(st.join(F.broadcast(newest), ["cluster_id", "v"]).drop("v")
                   .select(*EST.ESTIMATE_COLS))
+
+
+@register("admit_over_ticks")
+def q_admit_over_ticks(spark, d):
+    """D17 replayed over every tick of the decision log, each against its own clock (the
+    tick's newest decision time). No governor state was recorded for these historical
+    ticks, so the authority gate is open (a missing state row does not block, as in the
+    controller); ``admit_actions`` covers the gate with the evaluated state."""
+    from pyspark.sql import Window as W
+    i = inputs(spark, d)
+    dec = i.decisions.withColumn("tick_now", F.max("created_at").over(
+        W.partitionBy("cluster_id", "tick_id")))
+    live = asof.state_as_of(i.samples, i.snapshots)
+    no_state = spark.createDataFrame([], "cluster_id string, state string")
+    return finish(ADM.admit_over_ticks(dec, live, _actuator_state(spark, d), i.actions,
+                                       no_state, i.policy))

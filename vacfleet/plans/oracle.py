@@ -1560,3 +1560,51 @@ SELECT {_TIER_ROUND} FROM r1m
 WHERE bucket_start + INTERVAL 1 MINUTE <= (SELECT max(collected_at) FROM snapshots) - INTERVAL 1 DAY""")
 
 ORACLE["stream_control_tick"] = ORACLE["estimate_tick"]
+
+q("admit_over_ticks", ["decisions", "cur", "fold", "actions", "active_policy"], f"""
+WITH dec AS (SELECT *, max(created_at) OVER (PARTITION BY cluster_id, tick_id) AS tick_now
+             FROM decisions WHERE actuator = {_SF}
+             QUALIFY row_number() OVER (PARTITION BY cluster_id, tick_id, relid ORDER BY decision_id DESC) = 1),
+ d AS (SELECT * FROM dec WHERE decision = 'adjust'),
+ applied AS (SELECT * FROM actions WHERE status = 'applied'),
+ tick_used AS (SELECT a.cluster_id, dd.tick_id, count(*) AS tick_used
+               FROM applied a JOIN decisions dd ON dd.decision_id = a.decision_id GROUP BY ALL),
+ j AS (SELECT d.cluster_id, d.tick_id, d.decision_id, d.relid, d.proposed_value, d.tick_now,
+         CAST(NULL AS VARCHAR) AS gov_state, c.relid IS NOT NULL AS is_live,
+         {opt('c.reloptions', 'autovacuum_vacuum_scale_factor')} AS live_value,
+         f.relid IS NOT NULL AS have_state, f.baseline_explicit AS bexp, f.current_value AS gov_value,
+         COALESCE(epoch(ap.min_interval), 3600) AS min_int_s,
+         COALESCE(ap.global_max_changes_per_cycle, 50) AS cap,
+         COALESCE(ap.daily_mutation_budget, 500) AS budget,
+         COALESCE(ap.manage_user_owned, false) AS manage,
+         COALESCE(tu.tick_used, 0) AS tick_used
+       FROM d
+       LEFT JOIN cur c ON c.cluster_id = d.cluster_id AND c.relid = d.relid
+       LEFT JOIN (SELECT * FROM fold WHERE actuator = {_SF}) f ON f.cluster_id = d.cluster_id AND f.relid = d.relid
+       LEFT JOIN active_policy ap ON ap.cluster_id = d.cluster_id
+       LEFT JOIN tick_used tu ON tu.cluster_id = d.cluster_id AND tu.tick_id = d.tick_id),
+ j2 AS (SELECT j.*,
+          EXISTS (SELECT 1 FROM applied a WHERE a.cluster_id = j.cluster_id AND a.relid = j.relid
+                  AND a.applied_at > j.tick_now - to_microseconds(CAST(j.min_int_s * 1000000 AS BIGINT))
+                  AND a.applied_at <= j.tick_now) AS interval_hit,
+          (SELECT count(*) FROM applied a WHERE a.cluster_id = j.cluster_id
+             AND a.applied_at > j.tick_now - INTERVAL 86400 SECOND AND a.applied_at <= j.tick_now) AS day_used
+        FROM j),
+ p AS (SELECT *, CASE
+         WHEN gov_state IN ('diagnostic', 'emergency', 'disabled') THEN 'authority'
+         WHEN NOT is_live THEN 'vanished'
+         WHEN live_value IS NOT DISTINCT FROM proposed_value THEN 'noop'
+         WHEN NOT COALESCE(TRY_CAST(proposed_value AS DOUBLE) BETWEEN 0.005 AND 0.5
+                           AND NOT isnan(TRY_CAST(proposed_value AS DOUBLE)), false) THEN 'invalid_value'
+         WHEN NOT manage AND live_value IS NOT NULL
+              AND NOT COALESCE(have_state AND NOT bexp AND live_value IS NOT DISTINCT FROM gov_value, false)
+              THEN 'user_owned'
+         WHEN interval_hit THEN 'min_interval' END AS pre
+       FROM j2),
+ rk AS (SELECT *, CASE WHEN pre IS NULL THEN sum(CASE WHEN pre IS NULL THEN 1 ELSE 0 END) OVER
+                 (PARTITION BY cluster_id, tick_id ORDER BY decision_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS rnk FROM p)
+SELECT cluster_id, tick_id, decision_id, relid, proposed_value,
+  reason IS NULL AS admitted, reason AS refusal_reason
+FROM (SELECT *, CASE WHEN pre IS NOT NULL THEN pre WHEN tick_used + rnk > cap THEN 'cycle_cap'
+                     WHEN day_used + rnk > budget THEN 'daily_budget' END AS reason FROM rk)""")
