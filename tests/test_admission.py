@@ -88,3 +88,19 @@ def test_cap_with_many_passing_rows(spark, n, cap):
     got = _run(spark, frames, _policy(spark, cap=cap, budget=500))
     assert [k for k, v in sorted(got.items()) if v is None] == list(range(1, cap + 1))
     assert all(v == "cycle_cap" for k, v in got.items() if k > cap)
+
+
+def test_over_ticks_uses_each_ticks_clock(spark):
+    from pyspark.sql import functions as F
+    t1, t2 = NOW, NOW + dt.timedelta(hours=3)
+    d = spark.createDataFrame(
+        [("c0", 1, 1, 10, SF, "adjust", "0.05", t1), ("c0", 2, 2, 10, SF, "adjust", "0.05", t2)],
+        "cluster_id string, tick_id long, decision_id long, relid long, actuator string, "
+        "decision string, proposed_value string, tick_now timestamp_ntz")
+    _, lv, st, ac, _ = _frames(spark, decisions=[], live=[(10, None)],
+                               actions=[(100, 99, 10, "applied", t1 - dt.timedelta(minutes=30))])
+    gs = spark.createDataFrame([], "cluster_id string, state string")
+    got = {r.decision_id: r.refusal_reason
+           for r in admit.admit_over_ticks(d, lv, st, ac, gs, None).collect()}
+    assert got == {1: "min_interval", 2: None}
+    assert F is not None
