@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from vacfleet.functions import exprs as X
 from vacfleet.operators import asof, debt
 from vacfleet.plans.inputs import inputs
-from vacfleet.session import store
+from vacfleet.session import store, store_at
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -747,8 +747,8 @@ def q_stream_change_detection(spark, d):
     from vacfleet.streaming import jobs
     i = inputs(spark, d)
     root = _stream_dir(spark, "st3")
-    collected = store(sparse.collection_filter(i.dense, i.collection_policy), "collected")
-    src = spark.readStream.schema(collected.schema).parquet(collected.inputFiles()[0].rsplit("/", 1)[0])
+    path, collected = store_at(sparse.collection_filter(i.dense, i.collection_policy), "collected")
+    src = spark.readStream.schema(collected.schema).parquet(path)
     q = (jobs.change_stream(src).writeStream.outputMode("append").format("parquet")
          .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
          .trigger(availableNow=True).start())
@@ -763,8 +763,9 @@ def q_stream_rollup_1m(spark, d):
     from vacfleet.streaming import jobs
     i = inputs(spark, d)
     root = _stream_dir(spark, "st1")
-    base = i.samples.inputFiles()[0].split("/collected_day=")[0]
-    src = spark.readStream.schema(i.samples.schema).option("basePath", base).parquet(base)
+    samples = i.samples                                         # stored before its path is read
+    base = i.paths["relation_samples"]
+    src = spark.readStream.schema(samples.schema).option("basePath", base).parquet(base)
     q = (jobs.minute_rollup_stream(jobs.with_event_time(src, i.snapshots), "1 day")
          .writeStream.outputMode("append").format("parquet")
          .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
@@ -788,8 +789,8 @@ def q_stream_control_tick(spark, d):
                  W.partitionBy("cluster_id").orderBy(F.col("snapshot_id").desc())))
              .filter(F.col("_k") <= 3).drop("_k"))
     heads.write.parquet(f"{root}/ticks")
-    snaps_path = i.snapshots.inputFiles()[0].rsplit("/", 1)[0]
-    samples_path = i.samples.inputFiles()[0].split("/collected_day=")[0]
+    i.snapshots, i.samples                                      # stored before paths are read
+    snaps_path, samples_path = i.paths["snapshots"], i.paths["relation_samples"]
     src = spark.readStream.schema(heads.schema).parquet(f"{root}/ticks")
     q = (src.writeStream.foreachBatch(jobs.control_tick_batch(f"{root}/state", snaps_path,
                                                               samples_path, i.policy))

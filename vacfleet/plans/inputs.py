@@ -20,6 +20,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.paths: dict[str, str] = {}      # folder of each stored stand-in table
 
     def table(self, name: str) -> DataFrame:
         return D.read(self.spark, self.sf_dir, name)
@@ -39,6 +40,7 @@ class Inputs:
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
+        self.paths[name] = path
         return self.spark.read.parquet(path)
 
     @cached_property

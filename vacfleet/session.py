@@ -67,17 +67,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def store(df, name: str):
-    """Write ``df`` once as a parquet table in the shared checkpoint folder and return a
-    DataFrame reading it: cuts lineage, computes the input once (``checkpoint()`` would
-    compute it twice), and survives executor loss because the files are on shared storage."""
+def store_at(df, name: str):
+    """Write ``df`` once as a parquet table in the shared checkpoint folder; return the
+    folder and a DataFrame reading it. Cuts lineage, computes the input once
+    (``checkpoint()`` would compute it twice), and survives executor loss because the
+    files are on shared storage."""
     import uuid
 
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vacfleet-tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
     # the schema is known: reading it back needs no footer-inference job
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def store(df, name: str):
+    """``store_at`` without the folder."""
+    return store_at(df, name)[1]
 
 
 def cluster_conf(total_cores: int, shuffle_bytes_hint: int | None = None) -> dict[str, str]:
