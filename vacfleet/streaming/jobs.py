@@ -89,26 +89,22 @@ def tier_upsert_batch(tier_root: str, snapshots: DataFrame):
         (batch.drop("collected_at", "current_xid", "current_mxid", "event_time")
          .write.mode("overwrite").partitionBy("collected_day")
          .parquet(f"{raw_path}/batch_id={batch_id}"))
-        # the touched days of one micro-batch: a short list, used as partition filters
-        days = [r[0] for r in batch.select("collected_day").distinct().collect()]
+        # the touched days and months, as semi joins on the partition columns (tiny
+        # filtering sides, so Spark prunes the partitions dynamically)
+        days = batch.select("collected_day").distinct()
         raw = (spark.read.option("basePath", raw_path).parquet(raw_path)
-               .filter(F.col("collected_day").isin(days)).drop("batch_id")
+               .join(days, "collected_day", "left_semi").drop("batch_id")
                .dropDuplicates(["cluster_id", "snapshot_id", "relid"]))
         R.write_tier(R.rollup_minute(raw, snapshots), f"{tier_root}/rollup_1m")
-        day_start = X.day_start(F.col("bucket_part"))
-        months = (spark.createDataFrame([(int(d),) for d in days], "bucket_part int")
-                  .select(X.epoch_month(day_start).alias("m")).distinct())
-        lo_hi = months.select(
-            X.epoch_day(X.month_start("m")).alias("lo"),
-            X.epoch_day(X.month_start(F.col("m") + 1)).alias("hi")).collect()
-        in_months = None
-        for r in lo_hi:
-            c = (F.col("bucket_part") >= r.lo) & (F.col("bucket_part") < r.hi)
-            in_months = c if in_months is None else (in_months | c)
-        m_ids = [r[0] for r in months.collect()]
-        r1m = spark.read.parquet(f"{tier_root}/rollup_1m").filter(in_months)
+        months = days.select(X.epoch_month(X.day_start("collected_day")).alias("m")).distinct()
+        month_days = months.select(F.explode(F.sequence(
+            X.epoch_day(X.month_start("m")),
+            X.epoch_day(X.month_start(F.col("m") + 1)) - 1)).alias("bucket_part"))
+        r1m = (spark.read.parquet(f"{tier_root}/rollup_1m")
+               .join(month_days, "bucket_part", "left_semi"))
         R.write_tier(R.coarsen(r1m, "hour"), f"{tier_root}/rollup_1h")
-        r1h = spark.read.parquet(f"{tier_root}/rollup_1h").filter(F.col("bucket_part").isin(m_ids))
+        r1h = (spark.read.parquet(f"{tier_root}/rollup_1h")
+               .join(months.withColumnRenamed("m", "bucket_part"), "bucket_part", "left_semi"))
         R.write_tier(R.coarsen(r1h, "day"), f"{tier_root}/rollup_1d")
     return run
 
