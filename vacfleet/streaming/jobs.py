@@ -199,8 +199,7 @@ def control_tick_batch(state_root: str, snapshots_path: str, samples_path: str,
                     or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
             raise
-        v = df.agg(F.max("v")).first()[0]
-        return df.filter(F.col("v") == v).drop("v")
+        return df.filter(F.col("v") == df.agg(F.max("v")).scalar()).drop("v")
 
     def write_version(df: DataFrame, path: str, v: int) -> None:
         (df.withColumn("v", F.lit(v)).write.mode("overwrite")
