@@ -90,11 +90,11 @@ class Inputs:
 
     @cached_property
     def policy(self) -> DataFrame:
-        return D.policy(self.table("nation"))
+        return D.policy(self.table("supplier"))
 
     @cached_property
     def policy_next(self) -> DataFrame:
-        return D.policy_next(self.table("nation"), self.table("region"))
+        return D.policy_next(self.table("supplier"), self.table("nation"))
 
     @cached_property
     def override_events(self) -> DataFrame:

@@ -799,9 +799,9 @@ SELECT 'c0' AS cluster_id, o_orderkey AS diagnostic_id, o_custkey AS relid,
 FROM orders""")
 
 
-def _policy_sql(src: str, key: str, name: str, region: str) -> str:
+def _policy_sql(src: str, key: str, name: str, cluster: str) -> str:
     return f"""
-SELECT 'r' || CAST({region} AS VARCHAR) AS cluster_id, lower({name}) AS policy_name,
+SELECT 'n' || CAST({cluster} AS VARCHAR) AS cluster_id, lower({name}) AS policy_name,
   'policy of ' || {name} AS description,
   (({key} % 5) - 1) * CAST(0.5 AS DOUBLE) AS aggressiveness,
   ({key} % 4) * CAST(0.1 AS DOUBLE) AS io_budget_fraction,
@@ -814,11 +814,11 @@ SELECT 'r' || CAST({region} AS VARCHAR) AS cluster_id, lower({name}) AS policy_n
 FROM {src}"""
 
 
-cte("policy", [], _policy_sql("nation", "n_nationkey", "n_name", "n_regionkey"))
+cte("policy", [], _policy_sql("supplier", "s_suppkey", "s_name", "s_nationkey"))
 cte("policy_next", ["policy"], f"""
 SELECT * REPLACE (aggressiveness + CAST(substr(cluster_id, 2) AS INTEGER) * CAST(0.25 AS DOUBLE)
-                  AS aggressiveness) FROM policy WHERE cluster_id <> 'r4'
-UNION ALL {_policy_sql("region", "r_regionkey", "r_name", "r_regionkey")}""")
+                  AS aggressiveness) FROM policy WHERE cluster_id <> 'n24'
+UNION ALL {_policy_sql("nation", "n_nationkey", "n_name", "n_nationkey")}""")
 
 cte("active_policy", ["policy"], """
 SELECT * FROM policy WHERE enabled

@@ -353,13 +353,13 @@ def storage_inventory(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def policy(nation: DataFrame) -> DataFrame:
-    """One policy per nation; the nation's region is the cluster it governs."""
-    k = F.col("n_nationkey")
-    return nation.select(
-        F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("cluster_id"),
-        F.lower(F.col("n_name")).alias("policy_name"),
-        F.concat(F.lit("policy of "), F.col("n_name")).alias("description"),
+def _policy_rows(df: DataFrame, key: str, name: str, cluster: str) -> DataFrame:
+    """Policy rows with attributes assigned by fixed rules on the row key."""
+    k = F.col(key)
+    return df.select(
+        F.concat(F.lit("n"), F.col(cluster).cast("string")).alias("cluster_id"),
+        F.lower(F.col(name)).alias("policy_name"),
+        F.concat(F.lit("policy of "), F.col(name)).alias("description"),
         ((F.pmod(k, F.lit(5)) - 1) * 0.5).alias("aggressiveness"),
         (F.pmod(k, F.lit(4)) * 0.1).alias("io_budget_fraction"),
         F.when(F.pmod(k, F.lit(2)) == 0, F.lit("standard")).otherwise(F.lit("conservative"))
@@ -374,16 +374,20 @@ def policy(nation: DataFrame) -> DataFrame:
     )
 
 
-def policy_next(nation: DataFrame, region: DataFrame) -> DataFrame:
-    """A later version of the policy table: aggressiveness rises with the region key,
-    region 4's policies are removed, and one policy per region is added."""
-    base = policy(nation).withColumn(
+def policy(supplier: DataFrame) -> DataFrame:
+    """One policy per supplier; the supplier's nation is the cluster it governs (so the
+    fleet's policy table grows with the data)."""
+    return _policy_rows(supplier, "s_suppkey", "s_name", "s_nationkey")
+
+
+def policy_next(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    """A later version of the policy table: aggressiveness rises with the cluster number,
+    cluster n24's policies are removed, and one policy per nation is added."""
+    base = policy(supplier).withColumn(
         "aggressiveness",
         F.col("aggressiveness") + F.substr("cluster_id", F.lit(2)).cast("int") * F.lit(0.25))
-    kept = base.filter(F.col("cluster_id") != "r4")
-    added = policy(region.select(F.col("r_regionkey").alias("n_nationkey"),
-                                 F.col("r_name").alias("n_name"),
-                                 F.col("r_regionkey").alias("n_regionkey")))
+    kept = base.filter(F.col("cluster_id") != "n24")
+    added = _policy_rows(nation, "n_nationkey", "n_name", "n_nationkey")
     return kept.unionByName(added)
 
 
