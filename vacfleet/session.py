@@ -22,14 +22,40 @@ BASE_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings to an existing session (idempotent)."""
+    """Apply the runtime SQL settings to an existing session (idempotent) and make the
+    package importable by the Python workers."""
     for k, v in BASE_CONF.items():
         if k.startswith("spark.ui."):
             continue
         spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Distribute this package to the executors' Python workers once per SparkContext
+    (what ``--py-files`` does): the streaming state functions run there and are pickled
+    by reference. The zip is written next to the checkpoint folder when that is a local
+    path, else in the driver's scratch space, and Spark serves it to the executors."""
+    import shutil
+    import uuid
+
+    import vacfleet
+
+    sc = spark.sparkContext
+    if getattr(sc, "_vacfleet_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(vacfleet.__file__))
+    ck = spark.conf.get("spark.checkpoint.dir", None) or ""
+    base = ck if ck and "://" not in ck and os.path.isdir(ck) else tempfile.gettempdir()
+    out = os.path.join(base, f"vacfleet-pyfiles-{uuid.uuid4().hex[:12]}")
+    os.makedirs(out, exist_ok=True)
+    zip_path = shutil.make_archive(os.path.join(out, "vacfleet"), "zip",
+                                   root_dir=os.path.dirname(pkg), base_dir="vacfleet")
+    sc.addPyFile(zip_path)
+    sc._vacfleet_shipped = True
+
+
 def _default_driver_memory() -> str:
     """About 60 % of physical memory, between 1 and 16 GB (local mode runs in the driver)."""
     try:
