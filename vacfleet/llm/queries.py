@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacfleet.llm import bpe, chat
+from vacfleet.llm import bpe, chat, langid, quality
+from vacfleet.llm.common import in_fold
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -34,9 +35,27 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(rows.unionByName(extra)))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learned from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = in_fold(F.col("doc_id"), 4, 2)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return quality.score(docs.withColumn("held_out", held), model).drop("text")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = in_fold(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs, ~held)
+    return langid.predict(docs.drop("lang").withColumn("held_out", held), model).drop("text")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_windows": op2_chat_windows,
+    "op5_quality": op5_quality,
+    "op7_language": op7_language,
 }
 
 ORACLE = {
