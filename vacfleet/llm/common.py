@@ -79,3 +79,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of a list array whose rows all have ``dim`` items."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of text that one numpy pass works on.
+PASS_BYTES = 2 << 20
+
+
+def word_hashes(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of each row, and a 64-bit hash of every word in order.
+
+    Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased. A hash is the
+    sum of the word's bytes, each times a pseudo-random number for its place in the word.
+    """
+    counts, hashes, row = np.zeros(len(off) - 1, np.int64), [], 0
+    while row < len(off) - 1:
+        last = max(row + 1, int(np.searchsorted(off, off[row] + PASS_BYTES, "right")) - 1)
+        part = _LOWER[data[off[row]:off[last]]]
+        word = ~_SPACE[part]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        cut = off[row:last] - off[row]  # a row's first byte starts a word whatever stands before
+        cut = cut[cut < len(part)]
+        first[cut] |= word[cut]
+        at = np.flatnonzero(first)
+        if len(at):
+            span = part[at[0]:]
+            place = np.arange(len(span)) - np.repeat(at - at[0], np.diff(np.append(at, len(part))))
+            weight = mix64(np.arange(1, int(place.max()) + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            with np.errstate(over="ignore"):
+                terms = (span.astype(np.uint64) + np.uint64(1)) * weight[place] * word[at[0]:]
+                hashes.append(mix64(np.add.reduceat(terms, at - at[0])))
+            counts[row:last] = np.diff(np.searchsorted(at, off[row:last + 1] - off[row]))
+        row = last
+    return counts, np.concatenate(hashes) if hashes else np.empty(0, np.uint64)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacfleet.llm import bpe, chat, langid, quality
+from vacfleet.llm import bpe, chat, langid, lm, quality
 from vacfleet.llm.common import in_fold
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -51,11 +51,20 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang").withColumn("held_out", held), model).drop("text")
 
 
+def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document; learned from all rows that are not held out."""
+    held = in_fold(F.col("doc_id"), 5, 1)
+    out = lm.score(table(spark, sf_dir, "documents"), ~held)
+    return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known",
+                      "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_windows": op2_chat_windows,
     "op5_quality": op5_quality,
     "op7_language": op7_language,
+    "op10_backoff_lm": op10_backoff_lm,
 }
 
 ORACLE = {
