@@ -42,7 +42,7 @@ END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 #: Text bytes for each bucket of the hash range: what a bucket's task holds follows it.
 BUCKET_BYTES = 24 << 20
 #: Weight of the root's distribution against a state's own counts.
-SMOOTHING = 100.0
+SMOOTHING = 1000.0
 
 _ASK = "bucket int, block long, words binary, word_n binary, pairs binary, pair_n binary"
 _ANSWER = "bucket int, block long, word_c binary, pair_c binary, tokens long, known long"
