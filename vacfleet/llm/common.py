@@ -116,3 +116,20 @@ def word_hashes(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
             counts[row:last] = np.diff(np.searchsorted(at, off[row:last + 1] - off[row]))
         row = last
     return counts, np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+
+
+#: A key with at least one in so many of the rows is hot.
+HOT_SHARE = 200
+
+
+def join_by_key(rows: DataFrame, keys: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Join ``rows`` with ``keys`` (one row a key, ``n`` its number of ``rows``) on ``key``.
+
+    A key with ``total / HOT_SHARE`` rows or more is hot; at most ``HOT_SHARE`` keys can be,
+    so these are broadcast and their rows stay where they are. The others are shuffled.
+    ``rows`` is read twice: pass a stored table.
+    """
+    hot = F.broadcast(keys.where(F.col(n) * HOT_SHARE >= total))
+    cold = keys.where(F.col(n) * HOT_SHARE < total)
+    return (rows.join(hot, key)
+            .unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key)))

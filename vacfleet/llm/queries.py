@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacfleet.llm import bpe, chat, langid, lm, quality
+from vacfleet.llm import bpe, chat, langid, lm, minhash, quality
 from vacfleet.llm.common import in_fold
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -43,6 +43,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.withColumn("held_out", held), model).drop("text")
 
 
+def op6_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on two-word shingles at similarity 0.8."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_windows": op2_chat_windows,
     "op5_quality": op5_quality,
+    "op6_near_text": op6_near_text,
     "op7_language": op7_language,
     "op10_backoff_lm": op10_backoff_lm,
 }
