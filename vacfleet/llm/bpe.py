@@ -18,6 +18,7 @@ from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
@@ -160,8 +161,13 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_i
 
     def start():
         of = codec()
-        return lambda column: [pa.array([of.decode(x) if x else b"" for x in column.to_pylist()],
-                                        pa.binary())]
+
+        def make(column: pa.Array) -> list:
+            flat = column.flatten().to_numpy().tolist()
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+            return [pa.array([of.decode(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends)], pa.binary())]
+
+        return make
 
     added = StructType([StructField(bytes_col, BinaryType())])
     return enrich(df, ids_col, added, start, slice_rows=128)
