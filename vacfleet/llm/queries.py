@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacfleet.llm import bpe, chat, langid, lm, minhash, quality
+from vacfleet.llm import bpe, chat, langid, lm, minhash, pq, quality, rabitq
 from vacfleet.llm.common import in_fold
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,16 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(rows.unionByName(extra)))
 
 
+def op3_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of all other vectors for every hundredth id."""
+    return rabitq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link counts and components of all vectors at cosine 0.9."""
+    return pq.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; learned from the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +77,8 @@ def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_windows": op2_chat_windows,
+    "op3_rotated_codes": op3_rotated_codes,
+    "op4_near_vectors": op4_near_vectors,
     "op5_quality": op5_quality,
     "op6_near_text": op6_near_text,
     "op7_language": op7_language,
