@@ -13,8 +13,8 @@ An unknown word leads to the root. A text is scored in one pass from left to rig
 state is carried from token to token, a token without an arc takes the failure arc first,
 and the log weights add up.
 
-The counts grow with the corpus, so no task holds the model. The rows of one file split are
-a block. A block counts its own distinct n-grams and sends them, as packed arrays of hashes,
+The counts grow with the corpus, so no task holds the model. Some consecutive rows of a
+file are a block. A block counts its own distinct n-grams and sends them, as packed arrays of hashes,
 to buckets of the hash range; a bucket adds up the blocks' counts and answers each block with
 the corpus counts of just its n-grams; the block builds the part of the automaton that its
 texts can reach. Each block sends an n-gram once, so a frequent one is no hot key. Everything
@@ -22,7 +22,7 @@ but the answers' file streams through shuffles; a lost executor costs its tasks
 
 A null or empty text is the end token alone. Rows with a null key are not held out. Without
 training rows all counts are 0. Extra columns are left out. Repeated rows count as often as
-they stand there. The input must be read from files (a block is a split of a file).
+they stand there. The input must be read from Parquet files (a block is a piece of a file).
 """
 
 from __future__ import annotations
@@ -40,7 +40,9 @@ from vacfleet.session import store
 
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 #: Text bytes for each bucket of the hash range: what a bucket's task holds follows it.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
+#: Consecutive rows of a file that make up a block.
+BLOCK_ROWS = 2048
 #: Weight of the root's distribution against a state's own counts.
 SMOOTHING = 1000.0
 
@@ -142,7 +144,8 @@ def score(docs: DataFrame, train: Column, key_col: str = "doc_id", text_col: str
     ``train`` marks the rows to learn from; ``docs`` is read from files.
     """
     rows = docs.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("body"), train.alias("trained"),
-                       F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("block"))
+                       F.xxhash64(F.input_file_name(), F.input_file_block_start(),
+                                  F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias("block"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(4, -(-size // bucket_bytes))
 

@@ -8,13 +8,15 @@ allowed errors are enumerated by leaving out each of its symbols in turn, so suc
 shares at least one of 20 keys. Documents of similarity 0.8 differ in 4 symbols on average
 and miss all keys about twice in ten thousand.
 
-Documents with the same set are one class, represented by its smallest id. Of a key's
-representatives only those against the smallest one are compared first; after their links
-are confirmed, keys whose members are not yet in one component give the remaining pairs
-across components. So a large group of near copies costs a row each, not all its pairs, and
-no pair that could join two components is left out. A pair is confirmed on the full sets;
-before that, pairs are dropped only when a sketch of the signatures (3 bits a symbol, so it
-never exceeds the real distance) differs in more than ``MOST_DIFFERENT`` symbols.
+Documents with the same set are one class, represented by its smallest id. Candidates come
+in three rounds, each over the keys whose members are not yet in one component: first a
+key's members against its smallest id; then against the few members nearest to the key's
+majority signature (the likely originals of a group of copies); last, all pairs across the
+components that are left. So a large group of near copies costs a few rows each, not all its
+pairs, and no pair that could join two components is left out. A pair is confirmed on the
+full sets. Before that, pairs are dropped only by sketches that a pair of similarity 0.8
+passes but for a chance below 1 in 10,000: 3 bits of each symbol (never farther apart than
+the signatures) and, in the last round, 512 more one-bit MinHashes.
 
 Null and empty texts, or texts without words, have an empty set and link with nothing; a
 text with fewer words than a shingle has one shingle, all its words. Rows with a null
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, LongType, StructField, StructType)
 
@@ -42,10 +44,17 @@ WIDTH = SYMBOLS // CHUNKS
 #: Symbols in which the sketches of a compared pair differ, at most. Documents of
 #: similarity 0.8 differ in more with a probability below 1 in 10,000.
 MOST_DIFFERENT = 12
+#: One-bit MinHashes of the long sketch, and how many of a compared pair differ, at most
+#: (similarity 0.8: 51 on average, standard deviation 6.8).
+LONG_BITS, MOST_LONG = 512, 78
+#: Members of a key that are compared with all others in the second round.
+HUBS = 3
 #: Shingles that are hashed to all symbols at once.
-PASS_SHINGLES = 4096
+PASS_SHINGLES = 512
 
 _SEEDS = mix64(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LONG_TIMES = (mix64(np.arange(1001, 1001 + LONG_BITS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+               .astype(np.uint32) | np.uint32(1))[:, None]
 _TIMES, _PLUS = _SEEDS[:SYMBOLS, None] | np.uint64(1), _SEEDS[SYMBOLS:, None]
 
 
@@ -70,6 +79,16 @@ def signature(items: np.ndarray) -> np.ndarray:
     return mix64(least) & np.uint64(0xFFFF)
 
 
+def long_sketch(items: np.ndarray) -> np.ndarray:
+    """One bit of each of 512 further minima, as eight numbers."""
+    least = np.full(LONG_BITS, 0xFFFFFFFF, np.uint32)
+    x = (items >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(x), PASS_SHINGLES):
+        least = np.minimum(least, (x[None, i:i + PASS_SHINGLES] * _LONG_TIMES).min(axis=1))
+    bits = ((least * np.uint32(0x9E3779B1)) >> np.uint32(17)) & np.uint32(1)
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
     """A key for each chunk and each of its symbols left out (rows of signatures in, keys out)."""
     out = []
@@ -97,15 +116,25 @@ def different(a: Column, b: Column) -> Column:
     return F.bit_count(any_bit.bitwiseAND(F.lit(sum(1 << 3 * i for i in range(SYMBOLS)))))
 
 
+def long_different(a: Column, b: Column) -> Column:
+    """In how many bits two long sketches differ."""
+    out = F.lit(0)
+    for i in range(LONG_BITS // 64):
+        out = out + F.bit_count(a[i].bitwiseXOR(b[i]))
+    return out
+
+
 def document_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     counts, words = word_hashes(*utf8(column))
     return [shingles(w, size) for w in np.split(words, np.cumsum(counts)[:-1])] if len(counts) else []
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """Add ``n_shingles``, ``set_key`` (names the whole set), ``keys`` and ``sketch``."""
+    """Add ``n_shingles``, ``set_key`` (names the whole set), ``keys``, ``sketch`` and
+    ``long_sketch``."""
     added = StructType([StructField("n_shingles", LongType()), StructField("set_key", BinaryType()),
-                        StructField("keys", ArrayType(LongType(), False)), StructField("sketch", LongType())])
+                        StructField("keys", ArrayType(LongType(), False)), StructField("sketch", LongType()),
+                        StructField("long_sketch", ArrayType(LongType(), False))])
 
     def start():
         def make(column: pa.Array) -> list:
@@ -116,16 +145,15 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]),
                                              pa.array(keys.ravel())),
-                    pa.array(sketch(sig))]
+                    pa.array(sketch(sig)),
+                    pa.array([long_sketch(s) for s in sets], pa.list_(pa.int64()))]
         return make
 
     return enrich(docs.select("doc_id", "text"), "text", added, start)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets have ``100 * intersection >= percent * union``."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = store(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id").dropDuplicates(["id"]), "near_texts")
     both = (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
             .join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a"))
 
@@ -165,30 +193,64 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     pivots = store(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.min_by("sketch", "rep").alias("pivot_sketch"),
                                             F.count("*").alias("n")).where("n > 1"), "near_pivots")
     total = keyed.count()
-    first = store(join_by_key(keyed, pivots, "key", "n", total)
-                  .where((F.col("rep") != F.col("pivot"))
-                         & (different(F.col("sketch"), F.col("pivot_sketch")) <= MOST_DIFFERENT))
-                  .select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "near_first")
-    links = store(confirmed(first, docs, size, percent), "near_links")
-    found = components(links, "near_some")
-
-    # keys whose members are still in several components: all pairs across them
-    seen = store(join_by_key(keyed, pivots.select("key", "n"), "key", "n", total).drop("n")
-                 .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-                 .withColumn("component", F.coalesce("component", "rep")), "near_seen")
-    mixed = (seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo <> hi").select("key"))
-    left = store(seen.join(mixed, "key", "left_semi"), "near_left")
-    right = left.select("key", *(F.col(c).alias(f"{c}_2") for c in ("rep", "sketch", "component")))
-    rest = store(left.join(right, "key")
-                 .where((F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2"))
-                        & (different(F.col("sketch"), F.col("sketch_2")) <= MOST_DIFFERENT))
-                 .select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
-                 .join(first, ["a", "b"], "left_anti"), "near_rest")
-    found = components(links.unionByName(confirmed(rest, docs, size, percent)), "near_all")
+    shared = store(join_by_key(keyed, pivots, "key", "n", total), "near_shared")
+    ids = shared.select(F.col("rep").alias("id")).distinct()
+    texts = store(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id").dropDuplicates(["id"]), "near_texts")
+
+    def link(pairs: DataFrame, name: str) -> DataFrame:
+        return store(confirmed(store(pairs, f"{name}_pairs"), texts, size, percent), f"{name}_links")
+
+    def open_keys(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """The rows of keys whose members are in several components, with these."""
+        found = components(links, name).withColumnRenamed("node", "rep")
+        now = store(rows.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), f"{name}_rows")
+        open_ = (now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                 .where("lo <> hi").select("key"))
+        return store(now.join(open_, "key", "left_semi"), f"{name}_open")
+
+    def pair(a: str, b: str) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    near = different(F.col("sketch"), F.col("other_sketch")) <= MOST_DIFFERENT
+    links = link(shared.withColumnRenamed("pivot_sketch", "other_sketch").where((F.col("rep") != F.col("pivot")) & near)
+                 .select(pair("rep", "pivot")).distinct(), "near_first")
+    left = open_keys(shared.select("key", "rep", "sketch"), links, "near_first")
+
+    hubs = store(_hubs(left, left.count()), "near_hubs")
+    links = links.unionByName(link(
+        join_by_key(left, hubs, "key", "n", left.count())
+        .select("rep", "sketch", "component", F.explode("hubs").alias("hub"))
+        .select("rep", "sketch", "component", F.col("hub.rep").alias("other"), F.col("hub.sketch").alias("other_sketch"),
+                F.col("hub.component").alias("other_component"))
+        .where((F.col("component") != F.col("other_component")) & near)
+        .select(pair("rep", "other")).distinct(), "near_second"))
+    left = open_keys(left.select("key", "rep", "sketch"), links, "near_second")
+
+    left = store(left.join(heads.select(F.col("doc_id").alias("rep"), "long_sketch"), "rep"), "near_left")
+    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("rep", "sketch", "component", "long_sketch")))
+    links = links.unionByName(link(
+        left.join(right, (left["key"] == right["key"]) & (left["rep"] < right["other_rep"])
+                  & (left["component"] != right["other_component"])
+                  & (different(left["sketch"], right["other_sketch"]) <= MOST_DIFFERENT)
+                  & (long_different(left["long_sketch"], right["other_long_sketch"]) <= MOST_LONG))
+        .select(pair("rep", "other_rep")).distinct(), "near_third"))
+    found = components(links, "near_all")
 
     classes = (classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
                .select("set_key", "n", F.coalesce("component", "rep").alias("component_id")))
     linked = join_by_key(full, classes, "set_key", "n", full.count()).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _hubs(rows: DataFrame, total: int) -> DataFrame:
+    """For each key the ``HUBS`` members nearest to the majority of its members' sketches."""
+    bits = [F.sum(F.shiftrightunsigned("sketch", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(3 * SYMBOLS)]
+    most = F.lit(0).cast("long")
+    for i in range(3 * SYMBOLS):
+        most = most + F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0))
+    middle = store(rows.groupBy("key").agg(F.count("*").alias("n"), *bits).select("key", "n", most.alias("middle")), "near_middle")
+    away = join_by_key(rows, middle, "key", "n", total).withColumn("away", different(F.col("sketch"), F.col("middle")))
+    order = Window.partitionBy("key").orderBy("away", "rep")
+    return (away.withColumn("at", F.row_number().over(order)).where(F.col("at") <= HUBS)
+            .groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("rep", "sketch", "component")).alias("hubs")))

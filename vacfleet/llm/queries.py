@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacfleet.llm import bpe, chat, langid, lm, minhash, pq, quality, rabitq
+from vacfleet.llm import bpe, chat, extract, langid, lm, minhash, mixing, pq, quality, rabitq
 from vacfleet.llm.common import in_fold
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -66,6 +66,20 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang").withColumn("held_out", held), model).drop("text")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked sampling probability of every document, and whether it is drawn."""
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
+                      "topic", "n_tokens", "prob", "kept")
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    field = extract.train(extract.labelled_pages(400))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract.extract(pages, field).drop("html")
+
+
 def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document; learned from all rows that are not held out."""
     held = in_fold(F.col("doc_id"), 5, 1)
@@ -82,9 +96,12 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_near_text": op6_near_text,
     "op7_language": op7_language,
+    "op8_mixing": op8_mixing,
+    "op9_main_text": op9_main_text,
     "op10_backoff_lm": op10_backoff_lm,
 }
 
 ORACLE = {
     "op2_chat_windows": chat.oracle(),
+    "op8_mixing": mixing.oracle(),
 }
