@@ -15,8 +15,8 @@ majority signature (the likely originals of a group of copies); last, all pairs
 components that are left. So a large group of near copies costs a few rows each, not all its
 pairs, and no pair that could join two components is left out. A pair is confirmed on the
 full sets. Before that, pairs are dropped only by sketches that a pair of similarity 0.8
-passes but for a chance below 1 in 10,000: 3 bits of each symbol (never farther apart than
-the signatures) and, in the last round, 512 more one-bit MinHashes.
+passes but for a chance of about 3 in 10,000: 3 bits of each symbol (never farther apart than
+the signatures) and, in the last round, 1536 more one-bit MinHashes.
 
 Null and empty texts, or texts without words, have an empty set and link with nothing; a
 text with fewer words than a shingle has one shingle, all its words. Rows with a null
@@ -45,12 +45,12 @@ WIDTH = SYMBOLS // CHUNKS
 #: similarity 0.8 differ in more with a probability below 1 in 10,000.
 MOST_DIFFERENT = 12
 #: One-bit MinHashes of the long sketch, and how many of a compared pair differ, at most
-#: (similarity 0.8: 51 on average, standard deviation 6.8).
-LONG_BITS, MOST_LONG = 512, 78
+#: (similarity 0.8: 154 on average, standard deviation 11.8).
+LONG_BITS, MOST_LONG = 1536, 194
 #: Members of a key that are compared with all others in the second round.
 HUBS = 3
 #: Shingles that are hashed to all symbols at once.
-PASS_SHINGLES = 512
+PASS_SHINGLES = 256
 
 _SEEDS = mix64(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LONG_TIMES = (mix64(np.arange(1001, 1001 + LONG_BITS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -80,7 +80,7 @@ def signature(items: np.ndarray) -> np.ndarray:
 
 
 def long_sketch(items: np.ndarray) -> np.ndarray:
-    """One bit of each of 512 further minima, as eight numbers."""
+    """One bit of each of 1536 further minima, as 24 numbers."""
     least = np.full(LONG_BITS, 0xFFFFFFFF, np.uint32)
     x = (items >> np.uint64(32)).astype(np.uint32)
     for i in range(0, len(x), PASS_SHINGLES):
@@ -226,11 +226,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .select(pair("rep", "other")).distinct(), "near_second"))
     left = open_keys(left.select("key", "rep", "sketch"), links, "near_second")
 
-    left = store(left.join(heads.select(F.col("doc_id").alias("rep"), "long_sketch"), "rep"), "near_left")
-    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("rep", "sketch", "component", "long_sketch")))
+    left = store(left.join(heads.select(F.col("doc_id").alias("rep"), "long_sketch", "keys"), "rep")
+                 .withColumn("at", F.array_position("keys", F.col("key")) - 1), "near_left")
+    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("rep", "sketch", "component", "long_sketch", "keys")))
+    met = F.lit(True)  # a pair is made at the first key that its two members share
+    for i in range(CHUNKS * WIDTH):
+        met = met & ((left["at"] <= i) | (left["keys"][i] != right["other_keys"][i]))
     links = links.unionByName(link(
         left.join(right, (left["key"] == right["key"]) & (left["rep"] < right["other_rep"])
-                  & (left["component"] != right["other_component"])
+                  & (left["component"] != right["other_component"]) & met
                   & (different(left["sketch"], right["other_sketch"]) <= MOST_DIFFERENT)
                   & (long_different(left["long_sketch"], right["other_long_sketch"]) <= MOST_LONG))
         .select(pair("rep", "other_rep")).distinct(), "near_third"))
