@@ -1,17 +1,18 @@
 """Operator 8: mixing sources to target weights by iterative proportional fitting.
 
-The words of all documents are counted by cell (source, language, topic). The cells' weights
+The tokens of all documents (four characters each) are counted by cell (source, language,
+topic). The cells' weights
 are raked: for each of the three columns in turn they are scaled so that their sums meet the
-column's target shares, and so on for ``rounds`` rounds. A cell's raked weight over its words
+column's target shares, and so on for ``rounds`` rounds. A cell's raked weight over its tokens
 times ``keep`` is the probability with which its documents are sampled, at most 1; a document
 is drawn by a hash of its id, so the draw is repeatable. DataFrame functions only.
 
-Targets: each value's share is its share of words to the power ``temper``, scaled to 1.
+Targets: each value's share is its share of tokens to the power ``temper``, scaled to 1.
 Only the counting pass and the draw touch documents; the cells are a small table, and Spark
 broadcasts it only while its size is below the session's limit.
 
 A null source or language, or an empty one, is the value ''. Null and empty texts have no
-words; a cell without words is not sampled. A null id draws like the empty id. Repeated rows
+tokens; a cell without tokens is not sampled. A null id draws like the empty id. Repeated rows
 are drawn alike. Extra columns pass through; columns named like an added one are replaced.
 An empty table stays empty.
 """
@@ -25,52 +26,54 @@ from vacfleet.llm.common import without
 from vacfleet.session import store
 
 TEMPER, KEEP, ROUNDS = 0.7, 0.8, 8
-#: Rounds between two stored tables.
-STORED_ROUNDS = 2
 DIMS = ("source", "lang", "topic")
 
-# Topics by form, the first pattern that a text has; else "prose".
+# Topics by form, the first with one of its strings in the text; else "prose".
 TOPICS = (
-    ("table", r" \| "),
-    ("license", r"[Ll]icen[sc]e|[Cc]opyright"),
-    ("contact", r"[a-z0-9]@[a-z0-9]|https?://"),
-    ("symbols", r"[#$%&*]{3}"),
-    ("shout", r"[A-Z]{2,}!!"),
+    ("table", (" | ",)),
+    ("license", ("icense", "opyright")),
+    ("contact", ("@", "http://", "https://")),
+    ("symbols", ("$$$", "###", "***", "%%%", "&&&")),
+    ("shout", ("!! ",)),
 )
+#: Characters that count as one token.
+TOKEN_CHARS = 4
 
 
 def topic(text: Column) -> Column:
     out = F.lit("prose")
-    for name, pattern in reversed(TOPICS):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
+    for name, marks in reversed(TOPICS):
+        has = F.lit(False)
+        for m in marks:
+            has = has | F.contains(text, F.lit(m))
+        out = F.when(has, F.lit(name)).otherwise(out)
     return out
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Add the cell's columns and the words of each row."""
+    """Add the cell's columns and the tokens of each row."""
     text = F.coalesce("text", F.lit(""))
     return without(docs, ["topic", "n_tokens", "prob", "kept", "mix_source", "mix_lang"]).withColumns({
         "mix_source": F.coalesce("source", F.lit("")), "mix_lang": F.coalesce("lang", F.lit("")),
-        "topic": topic(text), "n_tokens": F.regexp_count(text, F.lit(r"[^ \t\n\r]+")).cast("long")})
+        "topic": topic(text), "n_tokens": F.ceil(F.length(text) / TOKEN_CHARS).cast("long")})
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """Scale ``weight`` of the cells to each column's target shares (``value, share``) in turn."""
-    for k in range(rounds):
-        for dim in DIMS:
+    for _ in range(rounds):
+        for dim in DIMS:  # each step reads the cells twice, so it stores them
             sums = cells.groupBy(dim).agg(F.sum("weight").alias("now"))
             factor = (sums.join(targets[dim].withColumnRenamed("value", dim), dim)
                       .select(dim, F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(F.lit(0.0)).alias("factor")))
-            cells = cells.join(factor, dim).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        if k % STORED_ROUNDS == STORED_ROUNDS - 1 or k == rounds - 1:
-            cells = store(cells, "mix_cells")
+            cells = store(cells.join(factor, dim).withColumn("weight", F.col("weight") * F.col("factor"))
+                          .drop("factor"), "mix_cells")
     return cells
 
 
 def tempered(cells: DataFrame, dim: str, temper: float = TEMPER) -> DataFrame:
-    """Target shares of one column: its shares of words to the power ``temper``."""
+    """Target shares of one column: its shares of tokens to the power ``temper``."""
     sums = cells.groupBy(F.col(dim).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("p"))
-    return store(sums.join(F.broadcast(sums.agg(F.sum("p").alias("all"))))
+    return store(sums.crossJoin(F.broadcast(sums.agg(F.sum("p").alias("all"))))
                  .select("value", F.when(F.col("all") > 0, F.col("p") / F.col("all")).otherwise(F.lit(0.0)).alias("share")), "mix_target")
 
 
@@ -86,8 +89,8 @@ def mix(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, rounds: int
     cells = store(rows.groupBy(F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), "topic")
                   .agg(F.sum("n_tokens").alias("tokens")), "mix_counts")
     total = F.broadcast(cells.agg(F.sum("tokens").alias("total")))
-    start = cells.join(total).withColumn("weight", F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).otherwise(F.lit(0.0)))
-    fitted = rake(start, {d: tempered(cells, d, temper) for d in DIMS}, rounds)
+    start = cells.crossJoin(total).withColumn("weight", F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).otherwise(F.lit(0.0)))
+    fitted = rake(store(start, "mix_start"), {d: tempered(cells, d, temper) for d in DIMS}, rounds)
     ratio = F.col("weight") * F.col("total") / F.col("tokens")
     prob = fitted.select(F.col("source").alias("mix_source"), F.col("lang").alias("mix_lang"), "topic",
                          F.round(F.when(F.col("tokens") > 0, F.least(F.lit(1.0), keep * ratio)).otherwise(F.lit(0.0)), 9).alias("prob"))
@@ -98,9 +101,9 @@ def mix(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, rounds: int
 
 def oracle(keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, seed: str = "mix") -> str:
     """The sampled table in SQL: the rounds written out one after the other."""
-    cases = " ".join(f"when regexp_matches(t, '{p}') then '{n}'" for n, p in TOPICS)
+    cases = " ".join("when " + " or ".join(f"contains(t, '{m}')" for m in marks) + f" then '{n}'" for n, marks in TOPICS)
     ctes = [
-        f"""d as (select *, case {cases} else 'prose' end as topic, len(regexp_extract_all(t, '[^ \\t\\n\\r]+')) as n_tokens
+        f"""d as (select *, case {cases} else 'prose' end as topic, ceil(length(t) / {TOKEN_CHARS}.0)::bigint as n_tokens
   from (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, coalesce(text, '') as t from documents))""",
         "c as (select source, lang, topic, sum(n_tokens)::double as tokens from d group by all)",
         "w0 as (select *, case when sum(tokens) over () > 0 then tokens / sum(tokens) over () else 0 end as weight from c)"]
