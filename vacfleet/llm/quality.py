@@ -103,7 +103,7 @@ def train(features: np.ndarray, labels: np.ndarray, dim: int = 16, epochs: int =
           rate: float = 2.0, batch: int = 16, seed: int = 7) -> Model:
     """SGD on softmax cross entropy; ``features`` rows are bucket frequencies summing to 1."""
     rng = np.random.default_rng(seed)
-    x = features.astype(np.float32)
+    x = features.astype(np.float32, copy=False)
     n, buckets = x.shape
     y = np.eye(2, dtype=np.float32)[labels]
     # both classes weigh the same, however rare one is
