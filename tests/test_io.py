@@ -87,3 +87,13 @@ def test_day_slotted_overwrite_and_upsert(spark):
                    ["collected_day"])
     assert up.count() == again.count()
     assert up.agg(F.sum("n_dead_tup")).first()[0] == again.agg(F.sum("n_dead_tup")).first()[0] + again.count()
+
+
+def test_day_keeps_snapshots_written_one_by_one(spark, samples_df):
+    from conftest import sample
+    p = os.path.join(_d(), "raw")
+    for cluster, snap in (("c0", 1), ("c0", 2), ("c1", 1), ("c0", 2)):
+        io.write_day_slotted(samples_df([sample(cluster_id=cluster, snapshot_id=snap, relid=r) for r in (1, 2)]), p)
+    back = io.read_telemetry(spark, p)
+    assert sorted((r.cluster_id, r.snapshot_id, r.relid) for r in back.collect()) == [
+        ("c0", 1, 1), ("c0", 1, 2), ("c0", 2, 1), ("c0", 2, 2), ("c1", 1, 1), ("c1", 1, 2)]

@@ -111,3 +111,43 @@ def test_incremental_tick_equals_full_history(spark):
                                       asof.target_snapshot(i.snapshots, back=back))
     inc = C._estimate_chain(spark, SF).select(*estimate.ESTIMATE_COLS)
     _same(inc, full)
+
+
+def test_weighted_median_fractional_weights(spark):
+    import random
+    from fractions import Fraction
+
+    from vacfleet.operators.experiment import weighted_median
+    rng = random.Random(4)
+    rows = [(g, rng.randint(1, 9), rng.choice([0.1, 0.2, 0.3, 0.7])) for g in range(300)
+            for _ in range(rng.randint(1, 8))]
+    got = [(r.g, r.weighted_median) for r in weighted_median(
+        spark.createDataFrame(rows, "g int, v int, w double"), ["g"], "v", "w", 3.0).collect()]
+    want = {}
+    for g in range(300):
+        own = sorted((v, Fraction(str(w))) for k, v, w in rows if k == g)
+        total, run = sum(w for _, w in own), Fraction(0)
+        for v, w in own:
+            run += w
+            if 2 * run >= total:
+                want[g] = v
+                break
+    assert len(got) == 300 and dict(got) == want
+
+
+def test_admission_keeps_clusters_apart_and_honours_long_intervals(spark):
+    import datetime as dt
+
+    from vacfleet.operators import admit
+    now = dt.datetime(2024, 1, 2)
+    sf = admit.VAC_SF
+    decisions = spark.createDataFrame(
+        [(c, 1, 1, 7, sf, "adjust", "0.05") for c in ("c0", "c1")],
+        "cluster_id string, tick_id long, decision_id long, relid long, actuator string, decision string, proposed_value string")
+    live = spark.createDataFrame([(c, 7, []) for c in ("c0", "c1")], "cluster_id string, relid long, reloptions array<string>")
+    state = spark.createDataFrame([], "cluster_id string, relid long, actuator string, baseline_explicit boolean, current_value string")
+    actions = spark.createDataFrame([("c1", 7, 0, "applied", now - dt.timedelta(minutes=30))],
+                                    "cluster_id string, relid long, decision_id long, status string, applied_at timestamp_ntz")
+    gov = spark.createDataFrame([("c0", "HEALTHY"), ("c1", "HEALTHY")], "cluster_id string, state string")
+    out = admit.admit_actions(decisions, live, state, actions, gov, None, as_of=F.lit(now)).collect()
+    assert sorted((r.cluster_id, r.refusal_reason) for r in out) == [("c0", None), ("c1", "min_interval")]

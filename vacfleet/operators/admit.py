@@ -79,12 +79,11 @@ def admit_actions(decisions: DataFrame, live: DataFrame, actuator_state: DataFra
         *KEY, F.lit(True).alias("_have_state"), F.col("baseline_explicit").alias("_bexp"),
         F.col("current_value").alias("_gov_value"))
     applied = actions.filter(F.col("status") == "applied")
-    recent = (applied.filter(F.col("applied_at") > now - F.make_dt_interval(
-                  secs=F.lit(float(params.min_interval_s))))
-              .groupBy(*KEY).agg(F.max("applied_at").alias("_last_applied")))
+    # every applied action counts: the policy's own interval, whatever its length, decides below
+    recent = applied.groupBy(*KEY).agg(F.max("applied_at").alias("_last_applied"))
     day_used = (applied.filter(X.within_last("applied_at", now, 86400))
                 .groupBy("cluster_id").agg(F.count("*").alias("_day_used")))
-    tick_used = (applied.join(decisions.select("decision_id", tick_id_col), "decision_id")
+    tick_used = (applied.join(decisions.select("cluster_id", "decision_id", tick_id_col), ["cluster_id", "decision_id"])
                  .groupBy("cluster_id", tick_id_col).agg(F.count("*").alias("_tick_used")))
     j = (d.join(F.broadcast(gs), "cluster_id", "left").join(lv, KEY, "left")
           .join(ast, KEY, "left").join(recent, KEY, "left")
@@ -117,8 +116,8 @@ def admit_actions(decisions: DataFrame, live: DataFrame, actuator_state: DataFra
     ranked = (passing.withColumn("_rank", F.row_number().over(
         W.partitionBy("cluster_id", tick_id_col).orderBy("decision_id")))
         .filter(F.col("_rank") <= limit + 1)
-        .select("decision_id", "_rank"))
-    j = j.join(ranked, "decision_id", "left").withColumn(
+        .select("cluster_id", tick_id_col, "decision_id", "_rank"))
+    j = j.join(ranked, ["cluster_id", tick_id_col, "decision_id"], "left").withColumn(
         "_rank", F.when(ok, F.coalesce(F.col("_rank"), F.lit(limit + 1))))
     day_used_c = F.coalesce(F.col("_day_used"), F.lit(0))
     reason = (F.when(~ok, F.col("_pre"))
@@ -168,11 +167,11 @@ def admit_over_ticks(decisions: DataFrame, live: DataFrame, actuator_state: Data
     applied = actions.filter(F.col("status") == "applied").select(
         "cluster_id", "relid", "decision_id", "applied_at")
     # per-relation interval: the relation's applied actions inside (now - interval, now]
-    hit = (d.select("decision_id", "cluster_id", "relid", clock, "_min_s")
+    hit = (d.select("decision_id", "cluster_id", tick_id_col, "relid", clock, "_min_s")
            .join(applied.select("cluster_id", "relid", "applied_at"), ["cluster_id", "relid"])
            .filter((F.col("applied_at") > now - F.make_dt_interval(secs=F.col("_min_s")))
                    & (F.col("applied_at") <= now))
-           .select("decision_id").distinct().withColumn("_interval_hit", F.lit(True)))
+           .select("cluster_id", tick_id_col, "decision_id").distinct().withColumn("_interval_hit", F.lit(True)))
     # daily budget: applied actions of the cluster inside (now - 1 day, now]
     ticks = d.select("cluster_id", tick_id_col, clock).distinct()
     tday = ticks.withColumn("_day", F.explode(F.array(X.epoch_day(now) - 1, X.epoch_day(now))))
@@ -180,7 +179,7 @@ def admit_over_ticks(decisions: DataFrame, live: DataFrame, actuator_state: Data
                           ["cluster_id", "_day"])
                 .filter(X.within_last("applied_at", now, 86400) & (F.col("applied_at") <= now))
                 .groupBy("cluster_id", tick_id_col).agg(F.count("*").alias("_day_used")))
-    tick_used = (applied.join(decisions.select("decision_id", tick_id_col), "decision_id")
+    tick_used = (applied.join(decisions.select("cluster_id", "decision_id", tick_id_col), ["cluster_id", "decision_id"])
                  .groupBy("cluster_id", tick_id_col).agg(F.count("*").alias("_tick_used")))
     gs = governor_state.select("cluster_id", F.col("state").alias("gov_state"))
     lv = live.select(*KEY, F.lit(True).alias("_live"),
@@ -189,7 +188,7 @@ def admit_over_ticks(decisions: DataFrame, live: DataFrame, actuator_state: Data
         *KEY, F.lit(True).alias("_have_state"), F.col("baseline_explicit").alias("_bexp"),
         F.col("current_value").alias("_gov_value"))
     j = (d.join(F.broadcast(gs), "cluster_id", "left").join(lv, KEY, "left")
-          .join(ast, KEY, "left").join(hit, "decision_id", "left")
+          .join(ast, KEY, "left").join(hit, ["cluster_id", tick_id_col, "decision_id"], "left")
           .join(day_used, ["cluster_id", tick_id_col], "left")
           .join(tick_used, ["cluster_id", tick_id_col], "left"))
     owned_by_gov = (F.coalesce(F.col("_have_state"), F.lit(False)) & ~F.col("_bexp")
@@ -211,8 +210,9 @@ def admit_over_ticks(decisions: DataFrame, live: DataFrame, actuator_state: Data
     ranked = (j.filter(ok).select("cluster_id", tick_id_col, "decision_id")
               .withColumn("_rank", F.row_number().over(
                   W.partitionBy("cluster_id", tick_id_col).orderBy("decision_id")))
-              .filter(F.col("_rank") <= limit + 1).select("decision_id", "_rank"))
-    j = j.join(ranked, "decision_id", "left").withColumn(
+              .filter(F.col("_rank") <= limit + 1)
+              .select("cluster_id", tick_id_col, "decision_id", "_rank"))
+    j = j.join(ranked, ["cluster_id", tick_id_col, "decision_id"], "left").withColumn(
         "_rank", F.when(ok, F.coalesce(F.col("_rank"), F.lit(limit + 1))))
     reason = (F.when(~ok, F.col("_pre"))
               .when(F.coalesce(F.col("_tick_used"), F.lit(0)) + F.col("_rank") > cap,

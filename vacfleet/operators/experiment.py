@@ -314,11 +314,15 @@ def tolerance_join(left: DataFrame, right: DataFrame, lkey: str, rkey: str,
 # ---- A19 / A22 / X10-X14 ------------------------------------------------------------------
 def weighted_median(df: DataFrame, groups: Sequence[str], value: str, weight: str,
                     width: float) -> DataFrame:
-    """First value (ascending) whose cumulative weight reaches half the total."""
-    tot = df.groupBy(*groups).agg(F.sum(weight).alias("_tot"))
-    tg = tot.select(*groups, F.lit("median").alias("name"), (F.col("_tot") / 2.0).alias("tgt"))
-    r, _ = first_reaching(df.filter(F.col(weight) > 0), groups, value,
-                          F.col(weight).cast("double"), tg, width)
+    """First value (ascending) whose cumulative weight reaches half the total.
+
+    Weights are summed as decimals (nine places), so sums do not depend on their order and
+    each group has exactly one median; twice the weights are compared with the total."""
+    w = F.col(weight).cast("decimal(28,9)")
+    rows = df.filter(w > 0)
+    tg = rows.groupBy(*groups).agg(F.sum(w).alias("tgt")).select(
+        *groups, F.lit("median").alias("name"), "tgt")
+    r, _ = first_reaching(rows, groups, value, w + w, tg, width)
     return r.select(*groups, F.col(value).alias("weighted_median"))
 
 

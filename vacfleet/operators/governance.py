@@ -103,7 +103,7 @@ def policy_history(old: DataFrame, new: DataFrame, changed_at=None) -> DataFrame
 # FIXED VALUES: the structural allowlist of the literal audit.
 ALLOWED_LITERALS = ("0", "1", "0.0", "1.0")
 QUOTED = r"('[0-9][^']*')"
-BARE = r"(?:^|[^0-9A-Za-z_.])([0-9]+(?:\.[0-9]+)?)"
+BARE = r"\b([0-9]+\.?[0-9]*)\b"
 
 
 def literal_audit(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -112,10 +112,13 @@ def literal_audit(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     quoted string is removed. One row per (text, literal, kind) with its count."""
     body = F.regexp_replace(F.col(text_col), r"--[^\n]*", "")
     t = texts.select(F.col(id_col).alias("text_id"), body.alias("_b"))
-    quoted = t.select("text_id", F.lit("quoted").alias("kind"),
-                      F.explode(F.regexp_extract_all("_b", F.lit(QUOTED), 1)).alias("literal"))
-    bare = t.select("text_id", F.lit("bare").alias("kind"),
-                    F.explode(F.regexp_extract_all(F.regexp_replace("_b", r"'[^']*'", ""),
-                                                   F.lit(BARE), 1)).alias("literal"))
-    u = quoted.unionByName(bare).filter(~F.col("literal").isin(*ALLOWED_LITERALS))
+
+    def found(kind, where, pattern):
+        return F.transform(F.regexp_extract_all(where, F.lit(pattern), 1),
+                           lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("literal")))
+
+    both = F.concat(found("quoted", F.col("_b"), QUOTED),
+                    found("bare", F.regexp_replace("_b", r"'[^']*'", ""), BARE))
+    u = (t.select("text_id", F.inline(both))  # one scan for both kinds
+         .filter(~F.col("literal").isin(*ALLOWED_LITERALS)))
     return u.groupBy("text_id", "kind", "literal").agg(F.count("*").alias("n"))

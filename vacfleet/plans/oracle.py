@@ -1297,12 +1297,11 @@ WITH dec AS (SELECT * FROM decisions WHERE tick_id = (SELECT max(tick_id) FROM d
              QUALIFY row_number() OVER (PARTITION BY cluster_id, tick_id, relid ORDER BY decision_id DESC) = 1),
  d AS (SELECT * FROM dec WHERE decision = 'adjust'),
  applied AS (SELECT * FROM actions WHERE status = 'applied'),
- recent AS (SELECT cluster_id, relid, max(applied_at) AS last_applied FROM applied, clock
-            WHERE applied_at > now - INTERVAL 3600 SECOND GROUP BY ALL),
+ recent AS (SELECT cluster_id, relid, max(applied_at) AS last_applied FROM applied GROUP BY ALL),
  day_used AS (SELECT cluster_id, count(*) AS day_used FROM applied, clock
               WHERE applied_at > now - {_D} GROUP BY cluster_id),
  tick_used AS (SELECT a.cluster_id, dd.tick_id, count(*) AS tick_used
-               FROM applied a JOIN decisions dd ON dd.decision_id = a.decision_id GROUP BY ALL),
+               FROM applied a JOIN decisions dd ON dd.decision_id = a.decision_id AND dd.cluster_id = a.cluster_id GROUP BY ALL),
  j AS (SELECT d.cluster_id, d.tick_id, d.decision_id, d.relid, d.proposed_value,
          g.state AS gov_state, c.relid IS NOT NULL AS is_live,
          {opt('c.reloptions', 'autovacuum_vacuum_scale_factor')} AS live_value,
@@ -1458,7 +1457,7 @@ WITH t AS (SELECT doc_id AS text_id, regexp_replace(text, '--[^\n]*', '', 'g') A
  u AS (SELECT text_id, 'quoted' AS kind, unnest(regexp_extract_all(b, '(''[0-9][^'']*'')', 1)) AS literal FROM t
        UNION ALL
        SELECT text_id, 'bare', unnest(regexp_extract_all(regexp_replace(b, '''[^'']*''', '', 'g'),
-                                                         '(?:^|[^0-9A-Za-z_.])([0-9]+(?:\.[0-9]+)?)', 1)) FROM t)
+                                                         '\b([0-9]+\.?[0-9]*)\b', 1)) FROM t)
 SELECT text_id, kind, literal, count(*) AS n FROM u
 WHERE literal NOT IN ('0', '1', '0.0', '1.0') GROUP BY ALL""")
 
@@ -1568,7 +1567,7 @@ WITH dec AS (SELECT *, max(created_at) OVER (PARTITION BY cluster_id, tick_id) A
  d AS (SELECT * FROM dec WHERE decision = 'adjust'),
  applied AS (SELECT * FROM actions WHERE status = 'applied'),
  tick_used AS (SELECT a.cluster_id, dd.tick_id, count(*) AS tick_used
-               FROM applied a JOIN decisions dd ON dd.decision_id = a.decision_id GROUP BY ALL),
+               FROM applied a JOIN decisions dd ON dd.decision_id = a.decision_id AND dd.cluster_id = a.cluster_id GROUP BY ALL),
  j AS (SELECT d.cluster_id, d.tick_id, d.decision_id, d.relid, d.proposed_value, d.tick_now,
          CAST(NULL AS VARCHAR) AS gov_state, c.relid IS NOT NULL AS is_live,
          {opt('c.reloptions', 'autovacuum_vacuum_scale_factor')} AS live_value,

@@ -57,7 +57,7 @@ def read_telemetry(spark: SparkSession, path: str, schema: T.StructType | None =
     df = r.parquet(path)
     if days is not None:
         df = df.filter(F.col("collected_day").between(days[0], days[1]))
-    return df
+    return df.drop("in_cluster", "in_snapshot")  # partition copies of two columns
 
 
 # ---- S4 ----------------------------------------------------------------------------------------
@@ -126,11 +126,16 @@ def read_best(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- S10 / S12 ----------------------------------------------------------------------------------
 def write_day_slotted(samples: DataFrame, path: str) -> None:
-    """Raw samples into the partition of their collection day; dynamic partition
-    overwrite replaces a recollected day without touching the others. The ring slot
-    stays a column; expiry is ``raw_retention`` dropping whole day partitions."""
-    (samples.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("collected_day").parquet(path))
+    """Raw samples, one partition per collection day, cluster and snapshot. Writing a
+    snapshot again replaces that snapshot alone; other snapshots of the day and other
+    clusters stay. The ring slot stays a column; expiry is ``raw_retention`` dropping whole
+    day partitions. Snapshot and cluster also stay as columns (``cluster_id``,
+    ``snapshot_id``); their partition copies are ``in_cluster`` and ``in_snapshot``."""
+    (samples.withColumn("in_cluster", F.col("cluster_id"))
+     .withColumn("in_snapshot", F.col("snapshot_id"))
+     .repartition("collected_day", "in_cluster", "in_snapshot")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("collected_day", "in_cluster", "in_snapshot").parquet(path))
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: Sequence[str],
