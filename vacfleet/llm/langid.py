@@ -101,11 +101,13 @@ class Profiles:
 def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE,
         key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles from at most ``per_language`` rows of each non-null language with ``train``."""
-    order = Window.partitionBy("name").orderBy(F.xxhash64("key"), "key", "body")
-    rows = (docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-            .select(F.col(key_col).alias("key"), F.col(text_col).alias("body"), F.col(lang_col).alias("name"))
-            .withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
-            .select("name", "body"))
+    order = Window.partitionBy("name").orderBy(F.xxhash64("key"), "key")
+    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(key_col).alias("key"), F.col(text_col).alias("body"), F.col(lang_col).alias("name"))
+    # ids are ranked without their texts; at most per_language of each language are broadcast
+    ids = (rows.select("key", "name").withColumn("at", F.row_number().over(order))
+           .where(F.col("at") <= per_language).select("key", "name").distinct())
+    rows = rows.join(F.broadcast(ids), ["key", "name"]).dropDuplicates(["key", "name"]).select("name", "body")
     texts: dict[str, list[str]] = {}
     for name, body in rows.collect():  # at most per_language rows of each language
         texts.setdefault(name, []).append(body)
