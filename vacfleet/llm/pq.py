@@ -5,7 +5,8 @@ unit vectors of the representatives go to inverted lists by their nearest coarse
 the residual is cut into subspaces, each replaced by its nearest codeword. A vector probes
 every list that can hold a partner: one at least as similar as ``cosine`` lies within
 ``r = sqrt(2 - 2 cosine)``, so its list's centre must be reachable across the bisector of
-the two centres within ``r``. In a list the asymmetric distance to each code comes from a
+the two centres within ``r``. Of two lists only the vectors of the one with the smaller number
+probe the other, and a link counts for both its ends. In a list the asymmetric distance to each code comes from a
 table of inner products with the codewords; since the distance of a vector from its own code
 is stored, codes farther than ``r`` plus that cannot be partners. What is left is confirmed
 by the exact cosine in double precision on the original vectors. So no link is lost.
@@ -38,7 +39,7 @@ from vacfleet.session import store
 
 #: Vectors that centres and codewords are fitted on, at most.
 FIT_ROWS = 16384
-LISTS, SUBSPACES, CODEWORDS = 256, 8, 256
+LISTS, SUBSPACES, CODEWORDS = 128, 8, 256
 PIECE = 2048
 #: Candidate pairs that are confirmed at once.
 PASS_PAIRS = 1 << 16
@@ -83,12 +84,12 @@ class Quantiser:
                 ((self.centres[own] + stands) ** 2).sum(axis=1))
 
     def probes(self, unit: np.ndarray, r: float) -> list[np.ndarray]:
-        """Every list that can hold a vector within ``r`` of each unit vector."""
+        """Every list from the own one on that can hold a vector within ``r`` of each unit vector."""
         away = (self.centres ** 2).sum(axis=1) - 2 * (unit @ self.centres.T)
         own = np.argmin(away, axis=1)
         apart = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(axis=2), 1e-30))
         gap = (away - away[np.arange(len(unit)), own][:, None]) / (2 * apart[own])
-        return [np.flatnonzero(g <= r + 1e-9) for g in gap]
+        return [k + np.flatnonzero(g[k:] <= r + 1e-9) for k, g in zip(own, gap)]
 
     def tables(self, unit: np.ndarray) -> list[np.ndarray]:
         """Inner products of each vector's subspaces with all codewords."""
@@ -116,7 +117,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept`` (links: cosine >= ``cosine``)."""
     vectors = vectors.where(F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     dim = dimension(vectors)
     good = usable("embedding", dim)
     alone = vectors.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -149,7 +150,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     added = StructType([StructField("list", IntegerType()), StructField("code", BinaryType()), StructField("error", DoubleType()),
                         StructField("norm", DoubleType()), StructField("probes", ArrayType(IntegerType()))])
     coded = store(enrich(heads, "embedding", added, start), "pq_codes")
-    asks = coded.select(F.col("rep").alias("ask"), F.col("embedding").alias("asking"),
+    asks = coded.select(F.col("rep").alias("ask"), F.col("embedding").alias("asking"), F.col("n").alias("ask_n"),
+                        F.col("list").alias("own_list"),
                         F.explode("probes").alias("ask_list"))
     # one row for each list: at most LISTS
     pieces = F.broadcast(coded.groupBy("list").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("member_pieces"))
@@ -160,7 +162,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
                .withColumn("p", spread("ask_pieces")).drop("member_pieces", "ask_pieces"))
     asks = (asks.withColumnRenamed("ask_list", "list").join(pieces, "list").withColumn("p", F.pmod(F.xxhash64("ask"), F.col("ask_pieces")).cast("int"))
             .withColumn("m", spread("member_pieces"))
-            .select(F.col("list").alias("a_list"), F.col("m").alias("a_m"), F.col("p").alias("a_p"), "ask", "asking"))
+            .select(F.col("list").alias("a_list"), F.col("m").alias("a_m"), F.col("p").alias("a_p"), "ask", "asking", "ask_n", "own_list"))
 
     def link(key, near: pd.DataFrame, probing: pd.DataFrame) -> pd.DataFrame:
         if not len(near) or not len(probing):
@@ -188,13 +190,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
                 pairs.append((l[ok], m[ok]))
         left, right = (np.concatenate(p) for p in zip(*pairs)) if pairs else (np.empty(0, int), np.empty(0, int))
         links = np.bincount(left, n[right], len(x)).astype(np.int64)
+        other = probing["own_list"].to_numpy()[left] != int(near["list"].iloc[0])  # from another list: for both ends
+        back = np.bincount(right[other], probing["ask_n"].to_numpy()[left[other]], len(y)).astype(np.int64)
         ids = np.unique(np.concatenate([x_id, y_id]))
         root = forest(len(ids), np.searchsorted(ids, x_id[left]), np.searchsorted(ids, y_id[right]))
-        own = np.flatnonzero(links)
+        own, held = np.flatnonzero(links), np.flatnonzero(back)
         tree = np.flatnonzero(root != np.arange(len(ids)))
-        return pd.DataFrame({"rep": np.concatenate([x_id[own], ids[tree]]),
-                             "links": np.concatenate([links[own], np.zeros(len(tree), np.int64)]),
-                             "other": np.concatenate([x_id[own], ids[root[tree]]])})
+        return pd.DataFrame({"rep": np.concatenate([x_id[own], y_id[held], ids[tree]]),
+                             "links": np.concatenate([links[own], back[held], np.zeros(len(tree), np.int64)]),
+                             "other": np.concatenate([x_id[own], y_id[held], ids[root[tree]]])})
 
     found = store(members.groupBy("list", "m", "p").cogroup(asks.groupBy("a_list", "a_m", "a_p"))
                   .applyInPandas(link, "rep long, links long, other long"), "pq_links")
