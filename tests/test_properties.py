@@ -100,15 +100,54 @@ def test_stand_in_inputs_are_deterministic(spark):
     _same(a, b)
 
 
+def _short_history(i):
+    """The stored rows and headers of eight snapshots around a midnight, as two clusters
+    that share every relation and snapshot id."""
+    day = i.snapshots.agg(F.max("collected_day")).first()[0]
+    first = i.snapshots.filter(F.col("collected_day") == day).agg(F.min("snapshot_id")).first()[0]
+    near = F.col("snapshot_id").between(first - 4, first + 3)
+    both = F.explode(F.array(F.lit("n1"), F.lit("n2")))
+    samples = i.samples.filter(near).withColumn("cluster_id", both)
+    samples = samples.filter((F.col("cluster_id") == "n1") | (F.col("relid") % 2 == 0))
+    return samples, i.snapshots.filter(near).withColumn("cluster_id", both)
+
+
+def test_backfill_equals_repeated_ticks(spark):
+    """The fold over a history in one-day chunks equals one estimate and classify tick after
+    the other, each from full reconstruction and with its own snapshot's debt, for clusters
+    that share all ids and have a policy."""
+    from vacfleet.operators import asof, backfill, classify, debt, estimate
+    i = inputs(spark, SF)
+    samples, snaps = (x.cache() for x in _short_history(i))
+    e = c = None
+    ids = sorted(r[0] for r in snaps.select("snapshot_id").distinct().collect())
+    for sid in ids:
+        tgt = asof.target_snapshot(snaps, sid)
+        md = debt.maintenance_debt(samples, snaps, tgt)
+        e = _fixed(spark, estimate.estimate_tick(samples, snaps, e, tgt, md=md))
+        c = _fixed(spark, classify.classify_tick(samples, snaps, c, i.policy, tgt))
+    want = e.join(c, ["cluster_id", "relid"])
+    for days in (1, 30):
+        got = backfill.control_state(samples, snaps, i.policy, chunk_days=days)
+        _same(got, want.select(got.columns))
+
+
+def _fixed(spark, df):
+    return spark.createDataFrame(df.collect(), df.schema)
+
+
+def test_backfill_of_an_empty_history(spark):
+    from vacfleet.operators import backfill
+    i = inputs(spark, SF)
+    assert backfill.control_state(i.samples.limit(0), i.snapshots.limit(0), None).count() == 0
+
+
 def test_incremental_tick_equals_full_history(spark):
     """The cache-based tick (cache + rows at p) equals reconstructing from all history."""
-    from vacfleet.operators import asof, estimate
+    from vacfleet.operators import estimate
     from vacfleet.plans import catalog as C
     i = inputs(spark, SF)
-    full = None
-    for back in (2, 1, 0):
-        full = estimate.estimate_tick(i.samples, i.snapshots, full,
-                                      asof.target_snapshot(i.snapshots, back=back))
+    full = estimate.estimate_tick(i.samples, i.snapshots, i.carried_state)
     inc = C._estimate_chain(spark, SF).select(*estimate.ESTIMATE_COLS)
     _same(inc, full)
 

@@ -89,29 +89,33 @@ def test_heartbeat_goes_stale(spark):
     assert ("c0", "fresh") in out and ("c1", "fresh") in out
 
 
-def test_control_tick_foreach_batch_equals_batch_chain(spark):
-    from vacfleet.operators import asof, estimate
+def test_control_tick_foreach_batch_equals_backfill(spark):
+    """A fleet of two clusters with equal ids, one of them a snapshot behind: the streamed
+    ticks (and a replay of the second batch) leave the state of the batch fold."""
+    from vacfleet.operators import backfill
+    from test_properties import _short_history
     i = inputs(spark, SF)
     d = _scratch()
-    snaps_path, samples_path = os.path.join(d, "snaps"), os.path.join(d, "samples")
-    i.snapshots.write.parquet(snaps_path)
-    i.samples.write.parquet(samples_path)
-    last3 = (i.snapshots.orderBy(F.col("snapshot_id").desc()).limit(3)
-             .select("cluster_id", "snapshot_id"))
-    src = os.path.join(d, "ticks")
-    last3.write.parquet(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    q = (stream.writeStream.foreachBatch(jobs.control_tick_batch(os.path.join(d, "state"),
-                                                                 snaps_path, samples_path))
-         .option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
-    _run(q)
-    st = spark.read.parquet(os.path.join(d, "state", "estimate"))
-    got = st.filter(F.col("v") == st.agg(F.max("v")).first()[0]).drop("v")
-    prior = None
-    for back in (2, 1, 0):
-        prior = estimate.estimate_tick(i.samples, i.snapshots, prior,
-                                       asof.target_snapshot(i.snapshots, back=back))
-    _same(got, prior)
+    snaps_path, samples_path, root = (os.path.join(d, x) for x in ("snaps", "samples", "state"))
+    samples, snaps = _short_history(i)
+    last = snaps.agg(F.max("snapshot_id")).first()[0]
+    snaps = snaps.filter((F.col("cluster_id") == "n1") | (F.col("snapshot_id") < last))
+    snaps.write.parquet(snaps_path)
+    samples.write.parquet(samples_path)
+    samples, snaps = spark.read.parquet(samples_path), spark.read.parquet(snaps_path)
+    run = jobs.control_tick_batch(root, snaps_path, samples_path, i.policy)
+    recent = snaps.filter(F.col("snapshot_id") > last - 3).select("cluster_id", "snapshot_id")
+    first = recent.groupBy("cluster_id").agg(F.min("snapshot_id").alias("_p"))
+    jobs.start_control_state(backfill.control_state(samples, snaps, i.policy, before=first), root)
+    run(recent.filter(F.col("snapshot_id") < last), 0)
+    newest = recent.filter(F.col("snapshot_id") == last)
+    run(newest, 1)
+    run(newest, 1)                                   # replayed after a failure: idempotent
+    want = backfill.control_state(samples, snaps, i.policy)
+    for name, keep in (("estimate", ["churn_rate", "f_trigger_ewma", "saturation_streak"]),
+                       ("class", ["kind", "candidate", "candidate_streak"])):
+        cols = ["cluster_id", "relid", *keep]
+        _same(jobs.state_version(spark, root, name).select(cols), want.select(cols))
 
 
 def test_tier_upsert_foreach_batch_equals_batch(spark):

@@ -62,31 +62,48 @@ def classify_calc(samples: DataFrame, snapshots: DataFrame, prior: DataFrame | N
         c = c.join(F.broadcast(pol), "cluster_id", "left")
     else:
         c = c.withColumn("n_sustain", F.lit(None).cast("int"))
-    nsus = F.coalesce(F.col("n_sustain"), F.lit(params.n_sustain))
+    c = tick_inputs(c.withColumn("nsus", F.coalesce(F.col("n_sustain"), F.lit(params.n_sustain))),
+                    params)
+    prior_name = {"kind": "cur_kind", "source": "cur_source", "candidate": "cur_cand",
+                  "candidate_streak": "cur_streak"}
+    for name, value in advance(F.col, lambda n: F.col(prior_name[n])):
+        c = c.withColumn(name, value)
+    return c
+
+
+def tick_inputs(c: DataFrame, params: P.Params = P.DEFAULT) -> DataFrame:
+    """What a tick computes from its current and previous row alone: the write mix, the
+    class it shows (NULL below the floor) and the class of a relation that never wrote."""
     c = (c.withColumn("din", F.greatest(F.col("n_tup_ins") - F.col("prev_n_tup_ins"), F.lit(0)))
           .withColumn("dupd", F.greatest(F.col("n_tup_upd") - F.col("prev_n_tup_upd"), F.lit(0)))
           .withColumn("ddel", F.greatest(F.col("n_tup_del") - F.col("prev_n_tup_del"), F.lit(0)))
           .withColumn("total", F.col("din") + F.col("dupd") + F.col("ddel")))
-    c = c.withColumn("rule_kind", rule_kind(F.col("din"), F.col("dupd"), F.col("ddel"), params))
-    c = c.withColumn("target_kind", F.coalesce(
-        F.col("rule_kind"), F.col("cur_kind"),
-        F.when(F.col("reltuples") > params.classify_large, F.lit("archive"))
-         .otherwise(F.lit("mixed"))))
-    new, manual = F.col("cur_kind").isNull(), F.col("cur_source") == "manual"
-    agrees = F.col("target_kind") == F.col("cur_kind")
-    same_cand = F.col("target_kind").eqNullSafe(F.col("cur_cand"))
-    commit = same_cand & (F.col("cur_streak") + 1 >= nsus)
-    kind = (F.when(new, F.col("target_kind")).when(manual, F.col("cur_kind"))
-            .when(agrees, F.col("cur_kind")).when(commit, F.col("target_kind"))
-            .otherwise(F.col("cur_kind")))
-    cand = (F.when(new, F.lit(None)).when(manual, F.col("cur_cand")).when(agrees, F.lit(None))
-            .when(commit, F.lit(None)).otherwise(F.col("target_kind")))
-    streak = (F.when(new, F.lit(0)).when(manual, F.col("cur_streak")).when(agrees, F.lit(0))
-              .when(commit, F.lit(0)).when(same_cand, F.col("cur_streak") + 1).otherwise(F.lit(1)))
-    return (c.withColumn("kind", kind)
-             .withColumn("source", F.coalesce(F.col("cur_source"), F.lit("auto")))
-             .withColumn("candidate", cand.cast("string"))
-             .withColumn("candidate_streak", streak.cast("int")))
+    return (c.withColumn("rule_kind", rule_kind(F.col("din"), F.col("dupd"), F.col("ddel"), params))
+             .withColumn("idle_kind", F.when(F.col("reltuples") > params.classify_large,
+                                             F.lit("archive")).otherwise(F.lit("mixed"))))
+
+
+#: The columns that ``advance`` reads.
+STEP_INPUTS = ["rule_kind", "idle_kind", "nsus"]
+
+
+def advance(now, prior) -> list[tuple[str, Column]]:
+    """One step of the hysteresis as (name, value) pairs; ``now`` and ``prior`` as in the
+    estimate's ``advance``."""
+    cur_kind, cur_cand, cur_streak = prior("kind"), prior("candidate"), prior("candidate_streak")
+    target = F.coalesce(now("rule_kind"), cur_kind, now("idle_kind"))
+    new, manual = cur_kind.isNull(), prior("source") == "manual"
+    agrees = target == cur_kind
+    same_cand = target.eqNullSafe(cur_cand)
+    commit = same_cand & (cur_streak + 1 >= now("nsus"))
+    kind = (F.when(new, target).when(manual, cur_kind).when(agrees, cur_kind)
+            .when(commit, target).otherwise(cur_kind))
+    cand = (F.when(new, F.lit(None)).when(manual, cur_cand).when(agrees, F.lit(None))
+            .when(commit, F.lit(None)).otherwise(target))
+    streak = (F.when(new, F.lit(0)).when(manual, cur_streak).when(agrees, F.lit(0))
+              .when(commit, F.lit(0)).when(same_cand, cur_streak + 1).otherwise(F.lit(1)))
+    return [("kind", kind), ("source", F.coalesce(prior("source"), F.lit("auto"))),
+            ("candidate", cand.cast("string")), ("candidate_streak", streak.cast("int"))]
 
 
 def classify_tick(samples, snapshots, prior, policy, as_of=None, params=P.DEFAULT,

@@ -9,7 +9,7 @@ row per cluster (broadcast).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,8 +69,16 @@ def estimate_calc(samples: DataFrame, snapshots: DataFrame, prior: DataFrame | N
         *KEY, *[F.col(c).alias(f"pe_{c}") for c in PRIOR_COLS])
     c = cur.join(pe, KEY, "left").join(md, KEY, "left")
 
-    boot = F.col("prev_snapshot_id").isNull()
-    c = (c.withColumn("boot", boot)
+    c = tick_inputs(c, params)
+    for name, value in advance(F.col, lambda n: F.col(f"pe_{n}"), params):
+        c = c.withColumn(name, value)
+    return c
+
+
+def tick_inputs(c: DataFrame, params: P.Params = P.DEFAULT) -> DataFrame:
+    """What a tick computes from its current and previous row, header and debt alone (D11a,
+    D11b and the samples of D11c-e): nothing here depends on the prior estimate."""
+    c = (c.withColumn("boot", F.col("prev_snapshot_id").isNull())
           .withColumn("dt", X.seconds_between("collected_at", "prev_collected_at"))
           .withColumn("d_ins", F.col("n_tup_ins") - F.col("prev_n_tup_ins"))
           .withColumn("d_upd", F.col("n_tup_upd") - F.col("prev_n_tup_upd"))
@@ -86,55 +94,64 @@ def estimate_calc(samples: DataFrame, snapshots: DataFrame, prior: DataFrame | N
     no_rate = F.col("boot") | F.col("reset") | (F.col("dt") <= 0)
     writes = F.col("d_ins") + F.col("d_upd") + F.col("d_del")
     cleaned = F.greatest(F.col("prev_n_dead_tup") - F.col("n_dead_tup"), F.lit(0))
-    cb = F.col("cycle_boundary")
-    # D11c / D11d
-    c = (c.withColumn("churn_rate", X.ewma("pe_churn_rate",
-                                           F.when(~no_rate, writes / F.col("dt")), "alpha"))
-          .withColumn("dead_accum_rate", X.ewma("pe_dead_accum_rate",
-                                                F.when(~no_rate, F.col("d_dead") / F.col("dt")),
-                                                "alpha"))
-          .withColumn("growth_rate", X.ewma(
-              "pe_growth_rate",
-              F.when(~(F.col("boot") | (F.col("dt") <= 0) | (F.col("reltuples") < 0)
-                       | (F.col("d_reltup") < 0)), F.col("d_reltup") / F.col("dt")), "alpha"))
-          .withColumn("cleanup_per_run", F.when(cb, cleaned))
-          .withColumn("f_peak_current",
-                      F.when(cb | F.col("pe_f_peak_current").isNull(), F.col("dead_tuple_fraction"))
-                      .otherwise(F.greatest("pe_f_peak_current", "dead_tuple_fraction")))
-          .withColumn("f_trigger_ewma",
-                      F.when(cb, X.ewma("pe_f_trigger_ewma", "pe_f_peak_current",
-                                        F.lit(params.ewma_effa)))
-                      .otherwise(F.col("pe_f_trigger_ewma")))
-          .withColumn("effectiveness",
-                      F.when(cb, X.ewma("pe_effectiveness",
-                                        F.when(cleaned > 0, F.lit(1.0)).otherwise(F.lit(0.0)),
-                                        F.lit(params.ewma_effa)))
-                      .otherwise(F.col("pe_effectiveness")))
-          .withColumn("freeze_progressing",
-                      F.when(cb, F.col("relfrozenxid_age") < F.col("prev_relfrozenxid_age"))
-                      .otherwise(F.col("pe_freeze_progressing")))
-          .withColumn("mxid_freeze_debt", X.safe_div("relminmxid_age", "def_mxid_freeze_max_age")))
-    # D11e: saturation discriminator with k-cycle persistence
-    c = (c.withColumn("av_running", F.col("last_autovacuum").isNotNull()
-                      & (F.col("last_autovacuum")
-                         > X.minus_seconds("collected_at", params.av_window_s)))
-          .withColumn("debt_high", F.coalesce(F.col("vacuum_debt_ratio"), F.lit(0.0)) > 1)
-          .withColumn("eff_low", F.coalesce(F.col("effectiveness"), F.lit(1.0)) < params.eff_low)
-          .withColumn("horizon_pinned", F.col("oldest_xmin_owner").isNotNull()
-                      & (F.col("oldest_xmin_owner") != "none")))
-    dh, avr = F.col("debt_high"), F.col("av_running")
+    return (c.withColumn("churn_sample", F.when(~no_rate, writes / F.col("dt")))
+             .withColumn("dead_sample", F.when(~no_rate, F.col("d_dead") / F.col("dt")))
+             .withColumn("growth_sample", F.when(
+                 ~(F.col("boot") | (F.col("dt") <= 0) | (F.col("reltuples") < 0)
+                   | (F.col("d_reltup") < 0)), F.col("d_reltup") / F.col("dt")))
+             .withColumn("cleanup_per_run", F.when(F.col("cycle_boundary"), cleaned))
+             .withColumn("freeze_sample",
+                         F.col("relfrozenxid_age") < F.col("prev_relfrozenxid_age"))
+             .withColumn("mxid_freeze_debt",
+                         X.safe_div("relminmxid_age", "def_mxid_freeze_max_age"))
+             .withColumn("av_running", F.col("last_autovacuum").isNotNull()
+                         & (F.col("last_autovacuum")
+                            > X.minus_seconds("collected_at", params.av_window_s)))
+             .withColumn("debt_high", F.coalesce(F.col("vacuum_debt_ratio"), F.lit(0.0)) > 1)
+             .withColumn("horizon_pinned", F.col("oldest_xmin_owner").isNotNull()
+                         & (F.col("oldest_xmin_owner") != "none")))
+
+
+#: The columns of ``tick_inputs`` that ``advance`` reads.
+STEP_INPUTS = ["alpha", "cycle_boundary", "churn_sample", "dead_sample", "growth_sample",
+               "cleanup_per_run", "freeze_sample", "dead_tuple_fraction", "av_running",
+               "debt_high", "horizon_pinned"]
+
+
+def advance(now, prior, params: P.Params = P.DEFAULT) -> list[tuple[str, Column]]:
+    """One step of the state machine (D11c-e) as (name, value) pairs: ``now(name)`` gives a
+    column of ``tick_inputs``, ``prior(name)`` one of the prior estimate. The same step
+    serves a single tick (columns) and the backfill's fold (struct fields)."""
+    cb, effa = now("cycle_boundary"), F.lit(params.ewma_effa)
+    eff = F.when(cb, X.ewma(prior("effectiveness"),
+                            F.when(now("cleanup_per_run") > 0, F.lit(1.0)).otherwise(F.lit(0.0)),
+                            effa)).otherwise(prior("effectiveness"))
+    eff_low = F.coalesce(eff, F.lit(1.0)) < params.eff_low
+    dh, avr = now("debt_high"), now("av_running")
     cand = (F.when(dh & ~avr, F.lit("config"))
-            .when(dh & avr & F.col("eff_low") & F.col("horizon_pinned"), F.lit("inhibited"))
+            .when(dh & avr & eff_low & now("horizon_pinned"), F.lit("inhibited"))
             .when(dh & avr, F.lit("io_limited")))
-    c = c.withColumn("saturation_candidate", cand)
-    streak = (F.when(F.col("saturation_candidate").isNull(), F.lit(0))
-              .when(F.col("saturation_candidate").eqNullSafe(F.col("pe_saturation_candidate")),
-                    F.col("pe_saturation_streak") + 1)
-              .otherwise(F.lit(1)))
-    c = (c.withColumn("saturation_streak", streak.cast("int"))
-          .withColumn("saturation_cause", F.when(F.col("saturation_streak") >= params.saturation_k,
-                                                 F.col("saturation_candidate"))))
-    return c
+    streak = (F.when(cand.isNull(), F.lit(0))
+              .when(cand.eqNullSafe(prior("saturation_candidate")),
+                    prior("saturation_streak") + 1)
+              .otherwise(F.lit(1))).cast("int")
+    peak, fraction = prior("f_peak_current"), now("dead_tuple_fraction")
+    return [
+        ("churn_rate", X.ewma(prior("churn_rate"), now("churn_sample"), now("alpha"))),
+        ("dead_accum_rate", X.ewma(prior("dead_accum_rate"), now("dead_sample"), now("alpha"))),
+        ("growth_rate", X.ewma(prior("growth_rate"), now("growth_sample"), now("alpha"))),
+        ("f_peak_current", F.when(cb | peak.isNull(), fraction)
+         .otherwise(F.greatest(peak, fraction))),
+        ("f_trigger_ewma", F.when(cb, X.ewma(prior("f_trigger_ewma"), peak, effa))
+         .otherwise(prior("f_trigger_ewma"))),
+        ("effectiveness", eff),
+        ("freeze_progressing", F.when(cb, now("freeze_sample"))
+         .otherwise(prior("freeze_progressing"))),
+        ("eff_low", eff_low),
+        ("saturation_candidate", cand),
+        ("saturation_streak", streak),
+        ("saturation_cause", F.when(streak >= params.saturation_k, cand)),
+    ]
 
 
 def estimate_tick(samples: DataFrame, snapshots: DataFrame, prior: DataFrame | None,

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from vacfleet.functions import exprs as X
 from vacfleet.operators import asof, debt
-from vacfleet.plans.inputs import inputs
+from vacfleet.plans.inputs import CHUNK_DAYS, inputs
 from vacfleet.session import store, store_at
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,24 +296,10 @@ def q_proxy_outcome_corr(spark, d):
 
 
 # ---- estimate --------------------------------------------------------------------------
+from vacfleet.operators import backfill as BF  # noqa: E402
 from vacfleet.operators import estimate as EST  # noqa: E402
 
 
-def tick_targets(snapshots, ticks: int):
-    """The last ``ticks`` snapshots per cluster, oldest first, as one-row-per-cluster
-    frames. They come from one small stored table (the row-number filter runs as a window
-    group limit, and a cluster's snapshots are bounded by the collection cadence), so the
-    targets are not re-derived wherever a tick refers to them."""
-    from pyspark.sql import Window as W
-    last = (snapshots.select("cluster_id", "snapshot_id")
-            .withColumn("_k", F.row_number().over(
-                W.partitionBy("cluster_id").orderBy(F.col("snapshot_id").desc())))
-            .filter(F.col("_k") <= ticks))
-    last = store(last, "ticks")
-    return [last.filter(F.col("_k") == k).select("cluster_id", F.col("snapshot_id").alias("_p"))
-            for k in range(ticks, 0, -1)]
-
-
 def rows_at(samples, snapshots, tgt):
     """Rows stored at each cluster's snapshot p. Joining the (broadcast, one row per
     cluster) header on the partition column lets the scan prune to p's day."""
@@ -321,26 +307,29 @@ def rows_at(samples, snapshots, tgt):
     return samples.join(F.broadcast(hdr), ["cluster_id", "snapshot_id", "collected_day"])
 
 
-def _estimate_chain(spark, d, ticks: int = 3):
-    """``ticks`` consecutive estimate ticks ending at the newest snapshot, in the
-    incremental form a control loop runs: the change-detection cache is built once, then
-    each tick reads only the cache and the rows stored at its snapshot, and each tick's
-    output is the next tick's prior state. Returns the last tick's full calculation."""
-    i = inputs(spark, d)
-    tgts = tick_targets(i.snapshots, ticks)
-    md = store(debt.maintenance_debt(i.samples, i.snapshots), "debt")   # newest snapshot, once
-    cache = store(asof.latest_rows(i.samples, before=tgts[0]), "cache")
-    prior = None
-    for k, t in enumerate(tgts):
-        new = rows_at(i.samples, i.snapshots, t)
-        st = asof.tick_state(cache, new, t, EST.PREV_COLS)
-        if k == len(tgts) - 1:
-            return EST.estimate_calc(i.samples, i.snapshots, prior, t, state=st, md=md)
-        # a control loop stores each tick's state; a table in the shared checkpoint folder
-        # is that store here and keeps the next tick's lineage one tick deep
-        prior = store(EST.estimate_tick(i.samples, i.snapshots, prior, t, state=st, md=md),
-                      "estimate")
-        cache = asof.advance_cache(cache, new)
+def _last_tick(spark, d):
+    """The inputs of the newest tick in the form a control loop runs it: the state carried
+    through every earlier snapshot, and the tick's current and previous rows from the
+    change-detection cache and the rows stored at the tick."""
+    i = inputs(spark, d)
+    tgt = asof.target_snapshot(i.snapshots)
+    cache = asof.latest_rows(i.samples, before=tgt)
+    st = store(asof.tick_state(cache, rows_at(i.samples, i.snapshots, tgt), tgt, EST.PREV_COLS), "tick")
+    return i, tgt, st, i.carried_state
+
+
+def _estimate_chain(spark, d):
+    """The full calculation of the newest estimate tick."""
+    i, tgt, st, prior = _last_tick(spark, d)
+    return EST.estimate_calc(i.samples, i.snapshots, prior, tgt, state=st)
+
+
+@register("control_state")
+def q_control_state(spark, d):
+    """D11/D12 over the whole history: the state of estimate and classify after the newest
+    snapshot, folded through every snapshot (nothing carried in from elsewhere)."""
+    i = inputs(spark, d)
+    return finish(BF.control_state(i.samples, i.snapshots, i.policy, chunk_days=CHUNK_DAYS))
 
 
 @register("estimate_tick")
@@ -408,20 +397,10 @@ OSC_WINDOW_S = 3650 * 86400     # the whole action history
 TRAILING_S = 6 * 3600
 
 
-def _classify_chain(spark, d, ticks: int = 3):
-    """Consecutive classify ticks in the same incremental form as ``_estimate_chain``."""
-    i = inputs(spark, d)
-    tgts = tick_targets(i.snapshots, ticks)
-    cache = store(asof.latest_rows(i.samples, before=tgts[0]), "cache")
-    prior = None
-    for k, t in enumerate(tgts):
-        new = rows_at(i.samples, i.snapshots, t)
-        st = asof.tick_state(cache, new, t, CL.PREV_COLS)
-        if k == len(tgts) - 1:
-            return CL.classify_calc(i.samples, i.snapshots, prior, i.policy, t, state=st)
-        prior = store(CL.classify_tick(i.samples, i.snapshots, prior, i.policy, t, state=st),
-                      "class")
-        cache = asof.advance_cache(cache, new)
+def _classify_chain(spark, d):
+    """The full calculation of the newest classify tick."""
+    i, tgt, st, prior = _last_tick(spark, d)
+    return CL.classify_calc(i.samples, i.snapshots, prior, i.policy, tgt, state=st)
 
 
 def _classes(spark, d):
@@ -432,24 +411,12 @@ def _estimates(spark, d):
     return _estimate_chain(spark, d).select(*EST.ESTIMATE_COLS)
 
 
-def _both_chains(spark, d, ticks: int = 3):
-    """Classify and estimate ticks together, sharing the tick table, the cache and each
-    tick's current/previous rows (classify needs a subset of estimate's previous-row
-    columns). Returns (classes, estimates, state, target) of the last tick."""
-    i = inputs(spark, d)
-    tgts = tick_targets(i.snapshots, ticks)
-    md = store(debt.maintenance_debt(i.samples, i.snapshots), "debt")
-    cache = store(asof.latest_rows(i.samples, before=tgts[0]), "cache")
-    pe = pc = None
-    for k, t in enumerate(tgts):
-        new = rows_at(i.samples, i.snapshots, t)
-        st = asof.tick_state(cache, new, t, EST.PREV_COLS)
-        e = EST.estimate_tick(i.samples, i.snapshots, pe, t, state=st, md=md)
-        c = CL.classify_tick(i.samples, i.snapshots, pc, i.policy, t, state=st)
-        if k == len(tgts) - 1:
-            return c, e, st, t
-        pe, pc = store(e, "estimate"), store(c, "class")
-        cache = asof.advance_cache(cache, new)
+def _both_chains(spark, d):
+    """Classify and estimate of the newest tick on the same current and previous rows.
+    Returns (classes, estimates, state, target)."""
+    i, tgt, st, prior = _last_tick(spark, d)
+    return (CL.classify_tick(i.samples, i.snapshots, prior, i.policy, tgt, state=st),
+            EST.estimate_tick(i.samples, i.snapshots, prior, tgt, state=st), st, tgt)
 
 
 def _actuator_state(spark, d):
@@ -774,11 +741,15 @@ def q_stream_rollup_1m(spark, d):
     return finish(spark.read.parquet(f"{root}/out"))
 
 
+REPLAYED = 3       # newest snapshots that the streaming query replays
+
+
 @register("stream_control_tick")
 def q_stream_control_tick(spark, d):
-    """ST4/ST5/ST7: the last three snapshot headers replayed as a stream; each micro-batch
-    runs the foreachBatch control tick (classify, estimate, findings reconcile) against
-    versioned state tables. Returns the newest estimate version."""
+    """ST4/ST5/ST7: a stream that starts from the state of the stored history and replays
+    each cluster's newest ``REPLAYED`` snapshot headers; each micro-batch runs the
+    foreachBatch control tick (classify, estimate, findings reconcile) against versioned
+    state tables. Returns the newest estimate version."""
     from pyspark.sql import Window as W
 
     from vacfleet.streaming import jobs
@@ -787,19 +758,20 @@ def q_stream_control_tick(spark, d):
     heads = (i.snapshots.select("cluster_id", "snapshot_id")
              .withColumn("_k", F.row_number().over(
                  W.partitionBy("cluster_id").orderBy(F.col("snapshot_id").desc())))
-             .filter(F.col("_k") <= 3).drop("_k"))
+             .filter(F.col("_k") <= REPLAYED).drop("_k"))
     heads.write.parquet(f"{root}/ticks")
     i.snapshots, i.samples                                      # stored before paths are read
     snaps_path, samples_path = i.paths["snapshots"], i.paths["relation_samples"]
     src = spark.readStream.schema(heads.schema).parquet(f"{root}/ticks")
+    first = spark.read.parquet(f"{root}/ticks").groupBy("cluster_id").agg(
+        F.min("snapshot_id").alias("_p"))
+    jobs.start_control_state(BF.control_state(i.samples, i.snapshots, i.policy, before=first,
+                                              chunk_days=CHUNK_DAYS), f"{root}/state")
     q = (src.writeStream.foreachBatch(jobs.control_tick_batch(f"{root}/state", snaps_path,
                                                               samples_path, i.policy))
          .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
-    st = spark.read.parquet(f"{root}/state/estimate")
-    newest = st.groupBy("cluster_id").agg(F.max("v").alias("v"))
-    return finish(st.join(F.broadcast(newest), ["cluster_id", "v"]).drop("v")
-                  .select(*EST.ESTIMATE_COLS))
+    return finish(jobs.state_version(spark, f"{root}/state", "estimate").select(*EST.ESTIMATE_COLS))
 
 
 @register("admit_over_ticks")

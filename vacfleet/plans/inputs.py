@@ -8,9 +8,13 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vacfleet.operators.asof import target_snapshot
+from vacfleet.operators.backfill import control_state
 from vacfleet.session import ensure_checkpoint_dir
 from vacfleet.sources import derive as D
 
+#: Days of a backfill chunk: 384 of the stand-in's hourly snapshots.
+CHUNK_DAYS = 16
 _CACHE: dict = {}
 _RUN = uuid.uuid4().hex[:12]
 _LOCK = threading.RLock()    # derived tables are written once even if queries run in threads
@@ -55,6 +59,14 @@ class Inputs:
     def snapshots(self) -> DataFrame:
         return self.stored("snapshots", D.snapshots(self.events))
 
+    @cached_property
+    def carried_state(self) -> DataFrame:
+        """The state that a control loop has carried through every snapshot before the
+        newest one of each cluster."""
+        state = control_state(self.samples, self.snapshots, self.policy,
+                              before=target_snapshot(self.snapshots), chunk_days=CHUNK_DAYS)
+        return self.stored("carried_state", state)
+
     @cached_property
     def dense(self) -> DataFrame:
         return self.stored("dense_samples", D.dense_samples(self.samples, self.snapshots),
@@ -118,7 +130,7 @@ class Inputs:
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     with _LOCK:
         if key not in _CACHE:
             _CACHE[key] = Inputs(spark, sf_dir)

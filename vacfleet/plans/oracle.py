@@ -612,14 +612,6 @@ WITH b AS (SELECT {_KEYS4}, min(epoch_s) AS t0 FROM tx_log WHERE arm <> 'signup'
 SELECT {_KEYS4}, count(*) AS n_deltas, round(corr(rp, ro), 6) AS spearman FROM r GROUP BY {_KEYS4}""")
 
 # ---- estimate --------------------------------------------------------------------------
-cte("tgt_b1", ["snapshots", "tgt"], """
-SELECT s.cluster_id, max(s.snapshot_id) AS p FROM snapshots s JOIN tgt t USING (cluster_id)
-WHERE s.snapshot_id < t.p GROUP BY s.cluster_id""")
-cte("tgt_b2", ["snapshots", "tgt_b1"], """
-SELECT s.cluster_id, max(s.snapshot_id) AS p FROM snapshots s JOIN tgt_b1 t USING (cluster_id)
-WHERE s.snapshot_id < t.p GROUP BY s.cluster_id""")
-
-
 def ewma_sql(prior: str, sample: str, alpha: str) -> str:
     return (f"(CASE WHEN ({sample}) IS NULL THEN {prior} WHEN {prior} IS NULL OR ({alpha}) IS NULL "
             f"THEN {sample} ELSE ({alpha}) * ({sample}) + (1 - ({alpha})) * {prior} END)")
@@ -695,8 +687,79 @@ WITH c0 AS (SELECT s.* EXCLUDE (snapshot_id), t.p AS snapshot_id
 SELECT *, CASE WHEN saturation_streak >= 3 THEN saturation_candidate END AS saturation_cause FROM st"""
 
 
-cte("e_b2", ["samples", "snapshots", "tgt_b2", "debt"], _tick_sql("tgt_b2", None))
-cte("e_b1", ["samples", "snapshots", "tgt_b1", "debt", "e_b2"], _tick_sql("tgt_b1", "e_b2"))
+# Every tick of every relation since its first row, in order, as a recursion over the ticks.
+cte("relation_ticks", ["samples", "snapshots"], f"""
+SELECT g.*, row_number() OVER (PARTITION BY cluster_id, relid ORDER BY snapshot_id) AS k,
+  n_dead_tup::DOUBLE / NULLIF(rt, 0) AS dead_tuple_fraction,
+  n_dead_tup::DOUBLE / NULLIF(
+    COALESCE(TRY_CAST({opt('reloptions', 'autovacuum_vacuum_threshold')} AS BIGINT), def_vac_threshold)
+    + COALESCE(TRY_CAST({opt('reloptions', 'autovacuum_vacuum_scale_factor')} AS DOUBLE),
+               def_vac_scale_factor) * rt, 0) AS vacuum_debt_ratio
+FROM (
+  SELECT h.cluster_id, h.snapshot_id, h.collected_at, h.oldest_xmin_owner, h.def_vac_threshold,
+    h.def_vac_scale_factor, f.relid, c.schemaname, c.relname, c.reloptions, c.n_dead_tup,
+    c.reltuples, greatest(c.reltuples, 0) AS rt, c.last_autovacuum, c.autovacuum_count,
+    c.relfrozenxid_age, p.relid IS NULL AS boot,
+    (epoch_us(h.collected_at) - epoch_us(ph.collected_at)) / 1000000.0 AS dt,
+    c.n_tup_ins - p.n_tup_ins AS d_ins, c.n_tup_upd - p.n_tup_upd AS d_upd,
+    c.n_tup_del - p.n_tup_del AS d_del, c.n_dead_tup - p.n_dead_tup AS d_dead,
+    c.reltuples - p.reltuples AS d_reltup, p.n_dead_tup AS prev_dead,
+    p.autovacuum_count AS prev_avc, p.relfrozenxid_age AS prev_frzage
+  FROM snapshots h
+  JOIN (SELECT cluster_id, relid, min(snapshot_id) AS born FROM samples GROUP BY ALL) f
+    ON f.cluster_id = h.cluster_id AND h.snapshot_id >= f.born
+  ASOF JOIN samples c ON c.cluster_id = h.cluster_id AND c.relid = f.relid AND h.snapshot_id >= c.snapshot_id
+  ASOF LEFT JOIN samples p ON p.cluster_id = h.cluster_id AND p.relid = f.relid AND h.snapshot_id > p.snapshot_id
+  LEFT JOIN snapshots ph ON ph.cluster_id = p.cluster_id AND ph.snapshot_id = p.snapshot_id) g""")
+
+_ESTATE = ("churn_rate, dead_accum_rate, growth_rate, f_peak_current, f_trigger_ewma, effectiveness, "
+           "freeze_progressing, saturation_candidate, saturation_streak")
+
+
+def _estimate_step(source: str) -> str:
+    """One estimate step over rows that carry a tick's inputs and the prior state as pe_*."""
+    boundary = "(NOT boot AND autovacuum_count > prev_avc)"
+    reset = "(NOT boot AND (d_ins < 0 OR d_upd < 0 OR d_del < 0))"
+    alpha = "CASE WHEN dt > 0 THEN 1 - exp(-dt / 3600.0) END"
+    cleaned = "CASE WHEN greatest(prev_dead - n_dead_tup, 0) > 0 THEN 1.0 ELSE 0.0 END"
+    rate = f"CASE WHEN boot OR {reset} OR dt <= 0 THEN NULL ELSE {{x}} / dt END"
+    grow = "CASE WHEN boot OR dt <= 0 OR reltuples < 0 OR d_reltup < 0 THEN NULL ELSE d_reltup / dt END"
+    return f"""
+SELECT cluster_id, relid, k, snapshot_id, {_ESTATE.replace(", saturation_streak", "")},
+  CAST(CASE WHEN saturation_candidate IS NULL THEN 0
+            WHEN saturation_candidate IS NOT DISTINCT FROM pe_cand THEN pe_streak + 1
+            ELSE 1 END AS INTEGER) AS saturation_streak
+FROM (SELECT *, CASE WHEN COALESCE(vacuum_debt_ratio, 0) > 1 THEN
+        CASE WHEN NOT COALESCE(last_autovacuum > collected_at - INTERVAL 3600 SECOND, false) THEN 'config'
+             WHEN COALESCE(effectiveness, 1) < 0.5 AND COALESCE(oldest_xmin_owner, 'none') <> 'none'
+             THEN 'inhibited' ELSE 'io_limited' END END AS saturation_candidate
+      FROM (SELECT *,
+        {ewma_sql('pe_churn', rate.format(x='(d_ins + d_upd + d_del)'), alpha)} AS churn_rate,
+        {ewma_sql('pe_dead_rate', rate.format(x='d_dead'), alpha)} AS dead_accum_rate,
+        {ewma_sql('pe_growth', grow, alpha)} AS growth_rate,
+        CASE WHEN {boundary} OR pe_fpeak IS NULL THEN dead_tuple_fraction
+             ELSE greatest(pe_fpeak, dead_tuple_fraction) END AS f_peak_current,
+        CASE WHEN {boundary} THEN {ewma_sql('pe_ftrig', 'pe_fpeak', '0.5')} ELSE pe_ftrig END AS f_trigger_ewma,
+        CASE WHEN {boundary} THEN {ewma_sql('pe_eff', cleaned, '0.5')} ELSE pe_eff END AS effectiveness,
+        CASE WHEN {boundary} THEN relfrozenxid_age < prev_frzage ELSE pe_frzprog END AS freeze_progressing
+      FROM ({source})))"""
+
+
+_PE = [("DOUBLE", "churn_rate", "pe_churn"), ("DOUBLE", "dead_accum_rate", "pe_dead_rate"),
+       ("DOUBLE", "growth_rate", "pe_growth"), ("DOUBLE", "f_peak_current", "pe_fpeak"),
+       ("DOUBLE", "f_trigger_ewma", "pe_ftrig"), ("DOUBLE", "effectiveness", "pe_eff"),
+       ("BOOLEAN", "freeze_progressing", "pe_frzprog"), ("VARCHAR", "saturation_candidate", "pe_cand"),
+       ("INTEGER", "saturation_streak", "pe_streak")]
+_first = ", ".join(f"CAST(NULL AS {t}) AS {pe}" for t, _, pe in _PE)
+_next = ", ".join(f"r.{c} AS {pe}" for _, c, pe in _PE)
+cte("e_all", ["relation_ticks"], f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT * FROM relation_ticks),
+rec AS ({_estimate_step(f"SELECT t.*, {_first} FROM t WHERE k = 1")}
+  UNION ALL {_estimate_step(f"SELECT t.*, {_next} FROM rec r JOIN t ON t.cluster_id = r.cluster_id AND t.relid = r.relid AND t.k = r.k + 1")})
+SELECT * FROM rec""")
+cte("e_b1", ["e_all", "tgt"], """
+SELECT e.* FROM e_all e JOIN tgt USING (cluster_id) WHERE e.snapshot_id < tgt.p
+QUALIFY row_number() OVER (PARTITION BY e.cluster_id, e.relid ORDER BY e.k DESC) = 1""")
 cte("e_b0", ["samples", "snapshots", "tgt", "debt", "e_b1"], _tick_sql("tgt", "e_b1"))
 
 
@@ -834,7 +897,7 @@ FROM region""")
 
 cte("clock", ["actions"], "SELECT max(applied_at) AS now FROM actions")
 
-# ---- classify (three ticks) ----------------------------------------------------------------
+# ---- classify --------------------------------------------------------------
 
 
 def _classify_sql(tgt: str, prior: str | None) -> str:
@@ -887,8 +950,47 @@ SELECT cluster_id, relid, schemaname, relname,
 FROM dec"""
 
 
-cte("c_b2", ["samples", "tgt_b2", "active_policy"], _classify_sql("tgt_b2", None))
-cte("c_b1", ["samples", "tgt_b1", "active_policy", "c_b2"], _classify_sql("tgt_b1", "c_b2"))
+
+
+def _hysteresis_step(source: str) -> str:
+    """One classify step over rows with a tick's write mix and the prior class as o_*."""
+    done = "target IS NOT DISTINCT FROM o_cand AND o_streak + 1 >= nsus"
+    return f"""
+SELECT cluster_id, relid, k, snapshot_id,
+  CASE WHEN o_kind IS NULL OR {done} THEN target ELSE o_kind END AS kind, 'auto' AS source,
+  CASE WHEN o_kind IS NULL OR target = o_kind OR ({done}) THEN NULL ELSE target END AS candidate,
+  CAST(CASE WHEN o_kind IS NULL OR target = o_kind OR ({done}) THEN 0
+            WHEN target IS NOT DISTINCT FROM o_cand THEN o_streak + 1 ELSE 1 END AS INTEGER)
+    AS candidate_streak
+FROM (SELECT *, COALESCE(shown, o_kind, CASE WHEN reltuples > 100000 THEN 'archive' ELSE 'mixed' END)
+             AS target FROM ({source}))"""
+
+
+cte("mixes", ["relation_ticks", "active_policy"], """
+SELECT cluster_id, relid, k, snapshot_id, reltuples, nsus,
+  CASE WHEN w >= 50 THEN CASE WHEN i / w > 0.95 AND d / w < 0.01 THEN 'append_only'
+    WHEN d / w > 0.30 AND abs(d / w - i / w) < 0.10 THEN 'queue' WHEN d / w > 0.30 THEN 'delete_heavy'
+    WHEN u / w > 0.30 THEN 'oltp' ELSE 'mixed' END END AS shown
+FROM (SELECT *, i + u + d AS w
+      FROM (SELECT t.*, COALESCE(ap.n_sustain, 3) AS nsus, greatest(d_ins, 0)::DOUBLE AS i,
+              greatest(d_upd, 0)::DOUBLE AS u, greatest(d_del, 0)::DOUBLE AS d
+            FROM relation_ticks t LEFT JOIN active_policy ap USING (cluster_id)))""")
+cte("c_all", ["mixes"], f"""
+WITH RECURSIVE m AS MATERIALIZED (SELECT * FROM mixes),
+rec AS ({_hysteresis_step("SELECT m.*, CAST(NULL AS VARCHAR) AS o_kind, CAST(NULL AS VARCHAR) AS o_cand, CAST(NULL AS INTEGER) AS o_streak FROM m WHERE k = 1")}
+  UNION ALL {_hysteresis_step("SELECT m.*, r.kind AS o_kind, r.candidate AS o_cand, r.candidate_streak AS o_streak FROM rec r JOIN m ON m.cluster_id = r.cluster_id AND m.relid = r.relid AND m.k = r.k + 1")})
+SELECT * FROM rec""")
+cte("c_b1", ["c_all", "tgt"], """
+SELECT c.* FROM c_all c JOIN tgt USING (cluster_id) WHERE c.snapshot_id < tgt.p
+QUALIFY row_number() OVER (PARTITION BY c.cluster_id, c.relid ORDER BY c.k DESC) = 1""")
+q("control_state", ["e_all", "c_all", "cur"], """
+SELECT e.cluster_id, e.relid, s.schemaname, s.relname, round(churn_rate, 6) AS churn_rate,
+  round(dead_accum_rate, 6) AS dead_accum_rate, round(growth_rate, 6) AS growth_rate,
+  round(f_peak_current, 6) AS f_peak_current, round(f_trigger_ewma, 6) AS f_trigger_ewma,
+  round(effectiveness, 6) AS effectiveness, freeze_progressing, saturation_candidate,
+  saturation_streak, kind, source, candidate, candidate_streak
+FROM e_all e JOIN c_all c USING (cluster_id, relid, k) JOIN cur s USING (cluster_id, relid)
+QUALIFY row_number() OVER (PARTITION BY e.cluster_id, e.relid ORDER BY k DESC) = 1""")
 cte("c_b0", ["samples", "tgt", "active_policy", "c_b1"], _classify_sql("tgt", "c_b1"))
 
 q("classify_tick", ["c_b0"], """SELECT cluster_id, relid, schemaname, relname, kind, source,

@@ -17,7 +17,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -26,6 +28,7 @@ from vacfleet import params as P
 from vacfleet.functions import exprs as X
 from vacfleet.operators import rollup as R
 from vacfleet.operators.sparse import SIGNATURE
+from vacfleet.session import store
 
 KEY = ["cluster_id", "relid"]
 
@@ -176,76 +179,110 @@ def heartbeat_stream(snapshots: DataFrame, watermark: str = "10 minutes") -> Dat
 
 
 # ---- ST4 / ST5 / ST7 --------------------------------------------------------------------------
+DIAGNOSTICS = ("cluster_id string, diagnostic_id bigint, relid bigint, inhibitor_class string, "
+               "severity string, resolved_at timestamp_ntz")
+#: Versions that one micro-batch may write: more snapshots of one cluster than that never
+#: arrive together (a year of minutes).
+STEPS = 1_000_000
+
+
+def write_version(df: DataFrame, state_root: str, name: str, v: int) -> None:
+    """Write one version of a state table; a replay overwrites it with the same rows."""
+    df.write.mode("overwrite").parquet(f"{state_root}/{name}/v={v}")
+
+
+def state_version(spark: SparkSession, state_root: str, name: str,
+                  before: int | None = None) -> DataFrame | None:
+    """The newest version of a state table (below ``before``, so that a replayed batch reads
+    what it read the first time). None where nothing was ever written; any other failure to
+    read is raised."""
+    try:
+        df = spark.read.parquet(f"{state_root}/{name}")
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    if before is not None:
+        df = df.filter(F.col("v") < before)
+    newest = df.agg(F.max("v")).first()[0]      # from the partition folders' names
+    return None if newest is None else spark.read.parquet(f"{state_root}/{name}/v={newest}")
+
+
+def start_control_state(state: DataFrame, state_root: str) -> None:
+    """Store the state that a control stream starts from (``backfill.control_state``)."""
+    write_version(state, state_root, "estimate", -1)
+    write_version(state, state_root, "class", -1)
+
+
 def control_tick_batch(state_root: str, snapshots_path: str, samples_path: str,
                        policy: DataFrame | None = None, params: P.Params = P.DEFAULT):
-    """``foreachBatch`` body: each micro-batch carries new snapshot headers; for each new
-    snapshot in order, run classify and estimate against the newest stored state version
-    and write the next version (``v=<snapshot_id>``), never the one being read; then
-    reconcile the findings of that snapshot against the open diagnostics (ST7).
-
-    The loop is over the few new snapshots of a micro-batch (a sequential state machine);
-    every step inside it is a distributed operator. Versions are written with dynamic
-    partition overwrite, so a replayed batch rewrites the same versions (idempotent)."""
+    """``foreachBatch`` body: each micro-batch carries new snapshot headers of any clusters.
+    Step k takes every cluster's k-th new snapshot of the batch, runs classify and estimate
+    for all of them at once against the newest version of the state, and writes the next
+    version: the clusters of the step with their new rows, all others as they were. Then
+    the findings are reconciled against the open diagnostics (ST7).
+
+    Steps of a batch follow one another (a state machine); inside a step everything is
+    distributed, and clusters never share an id: every join has ``cluster_id``. Version
+    numbers follow from the batch, so a replayed batch rewrites its own versions from the
+    same earlier ones."""
+    from vacfleet.operators import asof, debt
     from vacfleet.operators import classify as CL
     from vacfleet.operators import estimate as EST
     from vacfleet.operators import plan as PL
 
-    def latest(spark: SparkSession, name: str):
-        from py4j.protocol import Py4JJavaError
-        try:
-            df = spark.read.parquet(f"{state_root}/{name}")
-        except Exception as e:  # noqa: BLE001 - first batch: no state yet
-            if isinstance(e, Py4JJavaError) or "PATH_NOT_FOUND" in str(e) \
-                    or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
-        return df.filter(F.col("v") == df.agg(F.max("v")).scalar()).drop("v")
-
-    def write_version(df: DataFrame, path: str, v: int) -> None:
-        (df.withColumn("v", F.lit(v)).write.mode("overwrite")
-           .option("partitionOverwriteMode", "dynamic").partitionBy("v").parquet(path))
-
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         snaps = spark.read.parquet(snapshots_path)
         samples = spark.read.parquet(samples_path)
-        for row in batch.select("cluster_id", "snapshot_id").distinct().orderBy("snapshot_id").collect():
-            tgt = spark.createDataFrame([(row[0], row[1])], "cluster_id string, _p bigint")
-            prior_e, prior_c = latest(spark, "estimate"), latest(spark, "class")
-            e = EST.estimate_tick(samples, snaps, prior_e, tgt, params)
-            c = CL.classify_tick(samples, snaps, prior_c, policy, tgt, params)
-            for name, df in (("estimate", e), ("class", c)):
-                write_version(df, f"{state_root}/{name}", row[1])
+        ticks = store(batch.select("cluster_id", F.col("snapshot_id").alias("_p")).distinct()
+                      .withColumn("_k", F.row_number().over(
+                          W.partitionBy("cluster_id").orderBy("_p"))), "ticks")
+        for k in range(1, (ticks.agg(F.max("_k")).first()[0] or 0) + 1):
+            tgt = ticks.filter(F.col("_k") == k).select("cluster_id", "_p")
+            v = batch_id * STEPS + k
+            prior = {n: state_version(spark, state_root, n, v)
+                     for n in ("estimate", "class", "diagnostics")}
+            md = debt.maintenance_debt(samples, snaps, tgt)     # the debt of this tick
+            made = {"estimate": EST.estimate_tick(samples, snaps, prior["estimate"], tgt, params, md=md),
+                    "class": CL.classify_tick(samples, snaps, prior["class"], policy, tgt, params)}
+            for name, df in made.items():
+                if prior[name] is not None:      # clusters without a tick in this step
+                    rest = prior[name].join(F.broadcast(tgt), "cluster_id", "left_anti")
+                    df = df.unionByName(rest, allowMissingColumns=True).select(df.columns)
+                write_version(df, state_root, name, v)
             # ST7: open / keep / resolve against the newest diagnostics version
-            found = PL.findings(latest(spark, "estimate"), samples, snaps, tgt, params)
+            now = state_version(spark, state_root, "estimate", v + 1).join(
+                F.broadcast(tgt.select("cluster_id")), "cluster_id", "left_semi")
+            found = PL.findings(now, samples, snaps, tgt, params)
             live = samples.join(F.broadcast(tgt), "cluster_id").filter(
                 F.col("snapshot_id") <= F.col("_p")).select(*KEY).distinct()
-            diags = latest(spark, "diagnostics")
+            diags = prior["diagnostics"]
             if diags is None:
-                diags = spark.createDataFrame(
-                    [], "cluster_id string, diagnostic_id bigint, relid bigint, "
-                        "inhibitor_class string, severity string, resolved_at timestamp_ntz")
-            write_version(diagnostics_after(diags, found, live, row[1]),
-                          f"{state_root}/diagnostics", row[1])
+                diags = spark.createDataFrame([], DIAGNOSTICS)
+            heads = asof.header_at(snaps, tgt).select("cluster_id", "snapshot_id", "collected_at")
+            write_version(diagnostics_after(diags, found, live, heads), state_root, "diagnostics", v)
     return run
 
 
-def diagnostics_after(diags: DataFrame, found: DataFrame, live: DataFrame, tick: int) -> DataFrame:
-    """The diagnostics table after one reconcile: new findings opened (ids from the tick
-    and the relation, deterministic on replay), cleared ones stamped resolved."""
+def diagnostics_after(diags: DataFrame, found: DataFrame, live: DataFrame,
+                      heads: DataFrame) -> DataFrame:
+    """The diagnostics table after one reconcile: new findings opened, cleared ones stamped
+    resolved at the tick's collection time. ``heads`` has each ticking cluster's snapshot id
+    and collection time. A diagnostic's id is a hash of its cluster, relation, class and the
+    tick that opened it (the same on a replay); ids are compared within a cluster."""
     from vacfleet.operators import plan as PL
     r = PL.reconcile(found, diags, live)
-    resolved = r.filter(F.col("action") == "resolve").select(
-        "diagnostic_id", F.lit(True).alias("_res"))
-    kept = (diags.join(resolved, "diagnostic_id", "left")
-            .withColumn("resolved_at", F.when(F.col("_res") & F.col("resolved_at").isNull(),
-                                              F.current_timestamp().cast("timestamp_ntz"))
-                        .otherwise(F.col("resolved_at")))
-            .drop("_res"))
+    at = F.broadcast(heads)                     # one row per cluster
+    resolved = (r.filter(F.col("action") == "resolve").join(at, "cluster_id")
+                .select("cluster_id", "diagnostic_id", F.col("collected_at").alias("_at")))
+    kept = (diags.join(resolved, ["cluster_id", "diagnostic_id"], "left")
+            .withColumn("resolved_at", F.coalesce("resolved_at", "_at")).drop("_at"))
     opened = (r.filter(F.col("action") == "open")
               .join(found.select(*KEY, "inhibitor_class", "severity"),
-                    [*KEY, "inhibitor_class"], "left")
-              .select("cluster_id", (F.lit(tick).cast("long") * 1000000 + F.col("relid"))
+                    [*KEY, "inhibitor_class"], "left").join(at, "cluster_id")
+              .select("cluster_id",
+                      F.xxhash64("cluster_id", "relid", "inhibitor_class", "snapshot_id")
                       .alias("diagnostic_id"),
                       "relid", "inhibitor_class", "severity",
                       F.lit(None).cast("timestamp_ntz").alias("resolved_at")))
