@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from vacfleet import params as P
 from vacfleet.functions import exprs as X
+from vacfleet.session import store, stored_or_none
+from vacfleet.sources.io import upsert
 
 AVG_MEASURES = ["dead_tup", "live_tup", "mod_since_analyze", "reltuples", "total_size_bytes"]
 TIER_COLS = [
@@ -33,24 +35,10 @@ def _trunc(unit: str, ts: str | Column) -> Column:
     return X.as_ntz(F.date_trunc(unit, X.col(ts)))
 
 
-def rollup_minute(samples: DataFrame, snapshots: DataFrame,
-                  since: Column | None = None) -> DataFrame:
-    """A1: per relation and UTC minute of collection: count, avg and max of 14 measures.
-
-    ``since`` bounds the work to buckets at or after that instant (truncated to the
-    minute, so the edge bucket is recomputed in full); the matching ``collected_day``
-    predicate lets the scan prune day partitions.
-    """
-    hdr = snapshots.select("cluster_id", "snapshot_id", "collected_at",
-                           "current_xid", "current_mxid")
-    s = samples
-    if since is not None:
-        lo = _trunc("minute", since)
-        s = s.filter(F.col("collected_day") >= X.epoch_day(lo))
-        hdr = hdr.filter(F.col("collected_at") >= lo)
-    j = s.join(hdr, ["cluster_id", "snapshot_id"])
+def minute_measures() -> list[Column]:
+    """The aggregates of one minute bucket over samples joined with their headers."""
     rt = X.unknown_as_zero(F.col("reltuples"))
-    g = j.groupBy("cluster_id", "relid", _trunc("minute", "collected_at").alias("bucket_start")).agg(
+    return [
         F.max("schemaname").alias("schemaname"),
         F.max("relname").alias("relname"),
         F.count("*").cast("int").alias("sample_count"),
@@ -75,7 +63,27 @@ def rollup_minute(samples: DataFrame, snapshots: DataFrame,
         F.max("autoanalyze_count").alias("max_autoanalyze_count"),
         F.avg("total_size_bytes").alias("avg_total_size_bytes"),
         F.max("total_size_bytes").alias("max_total_size_bytes"),
-    )
+    ]
+
+
+def rollup_minute(samples: DataFrame, snapshots: DataFrame,
+                  since: Column | None = None) -> DataFrame:
+    """A1: per relation and UTC minute of collection: count, avg and max of 14 measures.
+
+    ``since`` bounds the work to buckets at or after that instant (truncated to the
+    minute, so the edge bucket is recomputed in full); the matching ``collected_day``
+    predicate lets the scan prune day partitions.
+    """
+    hdr = snapshots.select("cluster_id", "snapshot_id", "collected_at",
+                           "current_xid", "current_mxid")
+    s = samples
+    if since is not None:
+        lo = _trunc("minute", since)
+        s = s.filter(F.col("collected_day") >= X.epoch_day(lo))
+        hdr = hdr.filter(F.col("collected_at") >= lo)
+    j = s.join(hdr, ["cluster_id", "snapshot_id"])
+    g = j.groupBy("cluster_id", "relid", _trunc("minute", "collected_at").alias("bucket_start")).agg(
+        *minute_measures())
     return g.withColumn("bucket_part", X.epoch_day("bucket_start")).select(*TIER_COLS)
 
 
@@ -99,24 +107,66 @@ def coarsen(finer: DataFrame, unit: str, since: Column | None = None) -> DataFra
 
 def rollup(samples: DataFrame, snapshots: DataFrame, lookback_s: float | None = None,
            as_of: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three tiers; each coarse tier reads the finer one just computed."""
+    """The three tiers; each coarse tier reads the finer one just computed. A lookback
+    reaches back to the start of its day, the coarsest tier's bucket, so every bucket
+    returned is whole."""
     since = None
     if lookback_s is not None:
-        ref = as_of if as_of is not None else snapshots.agg(F.max("collected_at")).scalar()
-        since = X.minus_seconds(ref, lookback_s)
+        since = _trunc("day", _since(snapshots, lookback_s, as_of))
     r1m = rollup_minute(samples, snapshots, since)
     r1h = coarsen(r1m, "hour", since)
     r1d = coarsen(r1h, "day", since)
     return r1m, r1h, r1d
 
 
+def _since(snapshots: DataFrame, lookback_s: float, as_of: Column | None) -> Column:
+    ref = as_of if as_of is not None else snapshots.agg(F.max("collected_at")).scalar()
+    return X.minus_seconds(ref, lookback_s)
+
+
+BUCKET_KEY = ["cluster_id", "relid", "bucket_start"]
+#: Files of one (cluster, bucket partition): its relations are spread over so many tasks.
+FILES_PER_PARTITION = 8
+
+
 def write_tier(df: DataFrame, path: str) -> None:
-    """Upsert by bucket partition. Dynamic partition overwrite replaces only
-    the partitions this batch touched, so a rerun is idempotent."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Write whole bucket partitions. Dynamic partition overwrite replaces only the
+    partitions in ``df``, so ``df`` must hold all buckets of these (``upsert_tier`` does)."""
+    (df.repartition("cluster_id", "bucket_part", F.pmod(F.hash("relid"), F.lit(FILES_PER_PARTITION)))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("cluster_id", "bucket_part").parquet(path))
 
 
+def upsert_tier(new: DataFrame, path: str) -> DataFrame:
+    """Upsert by bucket key. The buckets of ``new`` replace stored ones of the same
+    cluster, relation and start; all others stay. Only the partitions that ``new`` touches
+    are read and rewritten. They are merged first into a table in the checkpoint folder; it
+    still holds their whole content if the job is lost while the tier is being replaced.
+    Returns the stored tier."""
+    spark = new.sparkSession
+    new = store(new.select(*TIER_COLS), "tier_new")
+    old = stored_or_none(spark, path, new.schema)
+    if old is not None:
+        new = store(upsert(old.select(*TIER_COLS), new, BUCKET_KEY, ["cluster_id", "bucket_part"]),
+                    "tier_merged")
+    write_tier(new, path)
+    return spark.read.schema(new.schema).parquet(path).select(*TIER_COLS)
+
+
+def update_tiers(samples: DataFrame, snapshots: DataFrame, root: str,
+                 lookback_s: float | None = None,
+                 as_of: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """D7 as the recurring job: the minute buckets since the lookback are recomputed from the
+    samples and upserted; each coarse tier is recomputed from the stored finer one for the
+    buckets that reach into the lookback, so an edge bucket keeps what came before it.
+    Repeating a run changes nothing. Returns the three stored tiers."""
+    since = None if lookback_s is None else _since(snapshots, lookback_s, as_of)
+    r1m = upsert_tier(rollup_minute(samples, snapshots, since), f"{root}/rollup_1m")
+    r1h = upsert_tier(coarsen(r1m, "hour", since), f"{root}/rollup_1h")
+    r1d = upsert_tier(coarsen(r1h, "day", since), f"{root}/rollup_1d")
+    return r1m, r1h, r1d
+
+
 def partition_inventory(inventory: DataFrame) -> DataFrame:
     """S14 + P28: decode each partition's key from its name suffix and its range."""
     key = F.regexp_extract("partition", r"_(\d{6,8})$", 1)

@@ -130,6 +130,43 @@ def q_rollup_1d(spark, d):
     return finish(_tiers(spark, d)[2])
 
 
+@register("rollup_incremental")
+def q_rollup_incremental(spark, d):
+    """The stored tiers after a first run over all but the newest two days and three
+    hours of the history and then a run over everything with the default lookback: the
+    buckets of both runs, edge buckets whole."""
+    from vacfleet import params
+    i = inputs(spark, d)
+    root = _stream_dir(spark, "tiers")
+    cut = i.snapshots.agg(F.max("collected_at")).scalar() - F.expr("INTERVAL 51 HOURS")
+    R.update_tiers(i.samples, i.snapshots.filter(F.col("collected_at") <= cut), root)
+    tiers = R.update_tiers(i.samples, i.snapshots, root, params.ROLLUP_LOOKBACK_SECONDS)
+    out = None
+    for name, tier in zip(("1m", "1h", "1d"), tiers):
+        t = tier.withColumn("tier", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return finish(out)
+
+
+@register("raw_sink_roundtrip")
+def q_raw_sink_roundtrip(spark, d):
+    """The newest half of the stored samples (by snapshot) written after the older half
+    through the day-slotted sink, then the newest snapshot once more: every sample is
+    stored once."""
+    from vacfleet.sources import io
+    i = inputs(spark, d)
+    path = _stream_dir(spark, "raw")
+    half = F.floor((i.snapshots.agg(F.min("snapshot_id")).scalar()
+                    + i.snapshots.agg(F.max("snapshot_id")).scalar()) / 2)
+    last = i.snapshots.agg(F.max("snapshot_id")).scalar()
+    for part in (F.col("snapshot_id") <= half, F.col("snapshot_id") > half,
+                 F.col("snapshot_id") == last):
+        io.write_day_slotted(i.samples.filter(part), path)
+    got = spark.read.schema(i.samples.schema).parquet(path)
+    return finish(got.select("cluster_id", "snapshot_id", "collected_day", "slot", "relid",
+                             "n_dead_tup", "n_tup_ins", "n_tup_upd", "autovacuum_count"))
+
+
 @register("rollup_as_of")
 def q_rollup_as_of(spark, d):
     """Tier 1h as of one day before the newest snapshot."""

@@ -73,10 +73,13 @@ def control_tick(classes: DataFrame, estimates: DataFrame, samples: DataFrame,
 def daily_jobs(samples: DataFrame, snapshots: DataFrame, inventory: DataFrame,
                actions: DataFrame, decisions: DataFrame, ticks: DataFrame,
                diagnostics: DataFrame, now, budget_bytes: int,
-               lookback_s: float | None = P.ROLLUP_LOOKBACK_SECONDS) -> dict[str, DataFrame]:
-    """Daily: the rollup cascade over the lookback, rollup and raw retention plans, audit
-    retention and the storage shedding plan."""
-    r1m, r1h, r1d = rollup.rollup(samples, snapshots, lookback_s)
+               lookback_s: float | None = P.ROLLUP_LOOKBACK_SECONDS,
+               tier_root: str | None = None) -> dict[str, DataFrame]:
+    """Daily: the rollup cascade over the lookback (upserted into the stored tiers under
+    ``tier_root`` when that is given), rollup and raw retention plans, audit retention and
+    the storage shedding plan."""
+    r1m, r1h, r1d = (rollup.rollup(samples, snapshots, lookback_s) if tier_root is None
+                     else rollup.update_tiers(samples, snapshots, tier_root, lookback_s))
     return {"rollup_1m": r1m, "rollup_1h": r1h, "rollup_1d": r1d,
             "rollup_retention": rollup.rollup_retention(inventory, now),
             "raw_retention": rollup.raw_retention(samples),

@@ -337,6 +337,12 @@ _TIER_ROUND = """* REPLACE (round(avg_dead_tup, 6) AS avg_dead_tup, round(avg_li
 q("rollup_1m", ["r1m"], f"SELECT {_TIER_ROUND} FROM r1m")
 q("rollup_1h", ["r1h"], f"SELECT {_TIER_ROUND} FROM r1h")
 q("rollup_1d", ["r1d"], f"SELECT {_TIER_ROUND} FROM r1d")
+q("rollup_incremental", ["r1m", "r1h", "r1d"], f"""
+SELECT {_TIER_ROUND} FROM (SELECT *, '1m' AS tier FROM r1m UNION ALL BY NAME
+  SELECT *, '1h' AS tier FROM r1h UNION ALL BY NAME SELECT *, '1d' AS tier FROM r1d)""")
+q("raw_sink_roundtrip", ["samples"], """
+SELECT cluster_id, snapshot_id, collected_day, slot, relid, n_dead_tup, n_tup_ins, n_tup_upd,
+  autovacuum_count FROM samples""")
 q("rollup_as_of", ["r1h", "snapshots"], f"""
 SELECT {_TIER_ROUND} FROM (SELECT * EXCLUDE (bucket_part) FROM r1h)
 WHERE bucket_start <= (SELECT max(collected_at) - INTERVAL 1 DAY FROM snapshots)

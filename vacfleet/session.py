@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: UTC wall clock (the telemetry is UTC), ANSI on,
@@ -112,6 +113,18 @@ def store(df, name: str):
     return store_at(df, name)[1]
 
 
+def stored_or_none(spark: SparkSession, path: str, schema=None):
+    """The Parquet table in ``path``, or None where nothing was ever written. Any other
+    failure to read is raised."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    try:
+        return reader.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def cluster_conf(total_cores: int, shuffle_bytes_hint: int | None = None) -> dict[str, str]:
     """Suggested settings for a cluster session (not applied automatically).
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +27,7 @@ from vacfleet import params as P
 from vacfleet.functions import exprs as X
 from vacfleet.operators import rollup as R
 from vacfleet.operators.sparse import SIGNATURE
-from vacfleet.session import store
+from vacfleet.session import store, stored_or_none
 
 KEY = ["cluster_id", "relid"]
 
@@ -46,30 +45,9 @@ def with_event_time(samples: DataFrame, snapshots: DataFrame) -> DataFrame:
 def minute_rollup_stream(rows: DataFrame, lookback: str = "3 days") -> DataFrame:
     """ST1: the 1m tier as a streaming aggregation. The watermark equals the rollup
     lookback (ST2); re-delivered samples are dropped within it (ST8)."""
-    rt = X.unknown_as_zero(F.col("reltuples"))
     s = (rows.withWatermark("event_time", lookback)
          .dropDuplicatesWithinWatermark(["cluster_id", "snapshot_id", "relid"]))
-    g = s.groupBy("cluster_id", "relid", F.window("event_time", "1 minute")).agg(
-        F.max("schemaname").alias("schemaname"), F.max("relname").alias("relname"),
-        F.count("*").cast("int").alias("sample_count"),
-        F.avg("n_dead_tup").alias("avg_dead_tup"), F.max("n_dead_tup").alias("max_dead_tup"),
-        F.avg("n_live_tup").alias("avg_live_tup"), F.max("n_live_tup").alias("max_live_tup"),
-        F.avg("n_mod_since_analyze").alias("avg_mod_since_analyze"),
-        F.max("n_mod_since_analyze").alias("max_mod_since_analyze"),
-        F.avg(rt).cast("double").alias("avg_reltuples"),
-        F.bround(F.max(rt)).cast("bigint").alias("max_reltuples"),
-        F.max(X.live_xid_age("relfrozenxid", "current_xid", "relfrozenxid_age"))
-         .alias("max_relfrozenxid_age"),
-        F.max(X.live_xid_age("relminmxid", "current_mxid", "relminmxid_age"))
-         .alias("max_relminmxid_age"),
-        F.max("n_tup_ins").alias("max_n_tup_ins"), F.max("n_tup_upd").alias("max_n_tup_upd"),
-        F.max("n_tup_del").alias("max_n_tup_del"),
-        F.max("vacuum_count").alias("max_vacuum_count"),
-        F.max("autovacuum_count").alias("max_autovacuum_count"),
-        F.max("analyze_count").alias("max_analyze_count"),
-        F.max("autoanalyze_count").alias("max_autoanalyze_count"),
-        F.avg("total_size_bytes").alias("avg_total_size_bytes"),
-        F.max("total_size_bytes").alias("max_total_size_bytes"))
+    g = s.groupBy("cluster_id", "relid", F.window("event_time", "1 minute")).agg(*R.minute_measures())
     start = X.as_ntz(F.col("window.start"))
     return (g.withColumn("bucket_start", start)
              .withColumn("bucket_part", X.epoch_day(start))
@@ -196,12 +174,9 @@ def state_version(spark: SparkSession, state_root: str, name: str,
     """The newest version of a state table (below ``before``, so that a replayed batch reads
     what it read the first time). None where nothing was ever written; any other failure to
     read is raised."""
-    try:
-        df = spark.read.parquet(f"{state_root}/{name}")
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    df = stored_or_none(spark, f"{state_root}/{name}")
+    if df is None:
+        return None
     if before is not None:
         df = df.filter(F.col("v") < before)
     newest = df.agg(F.max("v")).first()[0]      # from the partition folders' names
