@@ -117,3 +117,29 @@ def test_policy_history_operations(spark):
     got = {r.policy_name: (r.operation, r.changed_fields)
            for r in governance.policy_history(old, new).collect()}
     assert got == {"b": ("update", "aggressiveness"), "c": ("delete", None), "d": ("insert", None)}
+
+
+def test_oscillation_findings_open_keep_and_resolve(spark):
+    osc = spark.createDataFrame([("n1", 1, 2), ("n1", 2, 3), ("n2", 1, 2)],
+                                "cluster_id string, relid bigint, reversals bigint").selectExpr(
+        "*", "reversals AS n_changes", "current_timestamp() AS first_at", "current_timestamp() AS last_at")
+    diags = spark.createDataFrame(
+        [("n1", 1, 7, "control_oscillation", None), ("n1", 3, 8, "control_oscillation", None),
+         ("n2", 2, 7, "control_oscillation", dt.datetime(2024, 1, 1)), ("n2", 1, 9, "io_limited", None)],
+        "cluster_id string, relid bigint, diagnostic_id bigint, inhibitor_class string, resolved_at timestamp")
+    got = {(r.cluster_id, r.relid): (r.action, r.diagnostic_id)
+           for r in plan.reconcile_oscillation(osc, diags).collect()}
+    assert got == {("n1", 1): ("keep", 7), ("n1", 2): ("open", None), ("n1", 3): ("resolve", 8),
+                   ("n2", 1): ("open", None)}
+
+
+def test_audit_retention_counts_transitions(spark):
+    now = dt.datetime(2024, 8, 1)
+    rows = [("n1", now - dt.timedelta(days=d)) for d in (1, 179, 181, 400)]
+    seen = spark.createDataFrame(rows, "cluster_id string, transitioned_at timestamp_ntz")
+    none = {"actions": "decision_id bigint, applied_at timestamp_ntz",
+            "decisions": "decision_id bigint, created_at timestamp_ntz", "ticks": "started_at timestamp_ntz",
+            "diagnostics": "resolved_at timestamp_ntz, detected_at timestamp_ntz"}
+    empty = {k: spark.createDataFrame([], "cluster_id string, " + v) for k, v in none.items()}
+    out = retention.audit_retention(**empty, as_of=F.lit(now).cast("timestamp_ntz"), transitions=seen)
+    assert [tuple(r) for r in out.collect()] == [("n1", "state_transitions", 2, 2)]

@@ -181,6 +181,25 @@ def reconcile(found: DataFrame, diagnostics: DataFrame, live: DataFrame) -> Data
                     "diagnostic_id", action.alias("action")).filter(F.col("action").isNotNull())
 
 
+OSCILLATION_CLASS = "control_oscillation"
+
+
+def reconcile_oscillation(oscillating: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """D15 for control oscillation: each flapping relation (``oscillation``) has one open
+    critical finding. 'open' where it has none, 'keep' where it has one, 'resolve' an open
+    finding of a relation that stopped flapping (also of one that is gone). One full outer
+    join on (cluster, relid); several open findings of a relation are all kept or resolved."""
+    d = diagnostics.filter(F.col("resolved_at").isNull()
+                           & (F.col("inhibitor_class") == OSCILLATION_CLASS)).select(*KEY, "diagnostic_id")
+    o = oscillating.select(*KEY, "reversals", "n_changes", "first_at", "last_at")
+    j = o.join(d, KEY, "full_outer")
+    action = (F.when(F.col("reversals").isNull(), F.lit("resolve"))
+              .when(F.col("diagnostic_id").isNull(), F.lit("open")).otherwise(F.lit("keep")))
+    return j.select(*KEY, F.lit(OSCILLATION_CLASS).alias("inhibitor_class"),
+                    F.lit("critical").alias("severity"), "diagnostic_id", "reversals", "n_changes",
+                    "first_at", "last_at", action.alias("action"))
+
+
 def oscillation(actions: DataFrame, as_of, window_s: int, min_reversals: int,
                 actuator: str = VAC_SF) -> DataFrame:
     """D16 (W1, W2, A6, A7): relations whose applied values reverse direction at least

@@ -54,19 +54,20 @@ def audit_retention(actions: DataFrame, decisions: DataFrame, ticks: DataFrame,
                     keep_actions_d: int = P.KEEP_ACTIONS_DAYS,
                     keep_decisions_d: int = P.KEEP_DECISIONS_DAYS,
                     keep_ticks_d: int = P.KEEP_TICKS_DAYS,
-                    keep_diag_d: int = P.KEEP_DIAGNOSTICS_DAYS) -> DataFrame:
+                    keep_diag_d: int = P.KEEP_DIAGNOSTICS_DAYS,
+                    transitions: DataFrame | None = None,
+                    keep_transitions_d: int = P.KEEP_TRANSITIONS_DAYS) -> DataFrame:
     """Rows each audit table would drop and keep. A decision stays while a retained
-    action refers to it; unresolved diagnostics always stay."""
+    action refers to it; unresolved diagnostics always stay. ``transitions`` is the audit of
+    health-state changes, where it is kept."""
     now = X.col(as_of)
 
     def cut(days):
         return now - F.make_dt_interval(days=F.lit(days))
 
     a = actions.withColumn("_drop", F.col("applied_at") < cut(keep_actions_d))
-    kept_refs = a.filter(~F.col("_drop")).select("cluster_id", "decision_id").distinct()
-    d = (decisions.join(kept_refs.withColumn("_ref", F.lit(True)), ["cluster_id", "decision_id"], "left")
-         .withColumn("_drop", (F.col("created_at") < cut(keep_decisions_d))
-                     & F.col("_ref").isNull()))
+    d = _unreferenced(decisions, a.filter(~F.col("_drop")),
+                      F.col("created_at") < cut(keep_decisions_d))
     t = ticks.withColumn("_drop", F.col("started_at") < cut(keep_ticks_d))
     g = diagnostics.withColumn("_drop", F.col("resolved_at").isNotNull()
                                & (F.col("detected_at") < cut(keep_diag_d)))
@@ -78,9 +79,19 @@ def audit_retention(actions: DataFrame, decisions: DataFrame, ticks: DataFrame,
 
     out = (summary(a, "action_history").unionByName(summary(d, "decision_log"))
            .unionByName(summary(t, "tick_log")).unionByName(summary(g, "diagnostics")))
+    if transitions is not None:
+        x = transitions.withColumn("_drop", F.col("transitioned_at") < cut(keep_transitions_d))
+        out = out.unionByName(summary(x, "state_transitions"))
     return out.select("cluster_id", "relation", "deleted", "kept")
 
 
+def _unreferenced(decisions: DataFrame, kept_actions: DataFrame, old) -> DataFrame:
+    """Add ``_drop``: the decision is ``old`` and no kept action refers to it."""
+    refs = kept_actions.select("cluster_id", "decision_id").distinct().withColumn("_ref", F.lit(True))
+    return (decisions.join(refs, ["cluster_id", "decision_id"], "left")
+            .withColumn("_drop", old & F.col("_ref").isNull()).drop("_ref"))
+
+
 LEVELS = ("raw", "rollups_fine", "rollups_coarse", "diagnostics", "actions", "policy")
 
 
@@ -88,10 +99,12 @@ def shedding_plan(inventory: DataFrame, diagnostics: DataFrame, actions: DataFra
                   as_of, budget_bytes: int, row_bytes: int = 200,
                   keep_raw_d: int = P.RAW_KEEP_DAYS, keep_fine_d: int = 2,
                   keep_coarse_d: int = 30, keep_diag_d: int = 30,
-                  keep_actions_d: int = 30) -> DataFrame:
+                  keep_actions_d: int = 30, decisions: DataFrame | None = None,
+                  ticks: DataFrame | None = None) -> DataFrame:
     """The ordered shedding plan until under budget. A level is pruned only when the
     total *after the previous levels* is still over budget; policy is always preserved.
-    Audit-table bytes are estimated as rows x ``row_bytes``."""
+    Level ``actions`` covers actions, ``decisions`` (kept while a kept action refers to
+    them) and ``ticks``. Audit-table bytes are estimated as rows x ``row_bytes``."""
     now = X.col(as_of)
 
     def older(col, days):
@@ -110,9 +123,20 @@ def shedding_plan(inventory: DataFrame, diagnostics: DataFrame, actions: DataFra
         (F.count("*") * row_bytes).alias("_diag_total"),
         (F.count_if(F.col("resolved_at").isNotNull() & older("detected_at", keep_diag_d))
          * row_bytes).alias("diagnostics"))
-    ac = actions.groupBy("cluster_id").agg(
-        (F.count("*") * row_bytes).alias("_act_total"),
-        (F.count_if(older("applied_at", keep_actions_d)) * row_bytes).alias("actions"))
+    acts = actions.withColumn("_drop", older("applied_at", keep_actions_d))
+    audit = [acts]
+    if decisions is not None:
+        audit.append(_unreferenced(decisions, acts.filter(~F.col("_drop")),
+                                   older("created_at", keep_actions_d)))
+    if ticks is not None:
+        audit.append(ticks.withColumn("_drop", older("started_at", keep_actions_d)))
+    per_table = [x.groupBy("cluster_id").agg(F.count("*").alias("n"), F.count_if("_drop").alias("old"))
+                 for x in audit]
+    rows_of = per_table[0]
+    for x in per_table[1:]:
+        rows_of = rows_of.unionByName(x)
+    ac = rows_of.groupBy("cluster_id").agg((F.sum("n") * row_bytes).alias("_act_total"),
+                                           (F.sum("old") * row_bytes).alias("actions"))
     j = inv.join(dg, "cluster_id", "full").join(ac, "cluster_id", "full")
     total = (F.coalesce(F.col("_inv_total"), F.lit(0)) + F.coalesce(F.col("_diag_total"), F.lit(0))
              + F.coalesce(F.col("_act_total"), F.lit(0)))

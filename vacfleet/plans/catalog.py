@@ -535,6 +535,11 @@ def q_oscillation(spark, d):
     return finish(_oscillating(spark, d))
 
 
+@register("oscillation_reconcile")
+def q_oscillation_reconcile(spark, d):
+    return finish(PL.reconcile_oscillation(_oscillating(spark, d), inputs(spark, d).diagnostics))
+
+
 @register("tick_summary")
 def q_tick_summary(spark, d):
     return finish(PL.tick_summary(inputs(spark, d).decisions))
@@ -617,7 +622,11 @@ def q_override_floor(spark, d):
 
 @register("state_transitions")
 def q_state_transitions(spark, d):
-    return finish(H.state_transitions(H.snapshot_health_series(inputs(spark, d).snapshots)))
+    return finish(_transitions(inputs(spark, d)))
+
+
+def _transitions(i):
+    return H.state_transitions(H.snapshot_health_series(i.snapshots))
 
 
 @register("failure_taxonomy")
@@ -641,14 +650,14 @@ def q_self_health(spark, d):
 def q_audit_retention(spark, d):
     i = inputs(spark, d)
     return finish(RET.audit_retention(i.actions, i.decisions, i.ticks, i.diagnostics,
-                                      _clock(spark, d)))
+                                      _clock(spark, d), transitions=_transitions(i)))
 
 
 @register("shedding_plan")
 def q_shedding_plan(spark, d):
     i = inputs(spark, d)
     return finish(RET.shedding_plan(i.inventory, i.diagnostics, i.actions, _clock(spark, d),
-                                    BUDGET_BYTES))
+                                    BUDGET_BYTES, decisions=i.decisions, ticks=i.ticks))
 
 
 @register("validate_parameters")

@@ -63,10 +63,12 @@ def control_tick(classes: DataFrame, estimates: DataFrame, samples: DataFrame,
     found = plan.findings(estimates, samples, snapshots, None, params)
     live = asof.state_as_of(samples, snapshots)
     reconciled = plan.reconcile(found, diagnostics, live.select("cluster_id", "relid"))
+    flapping = plan.reconcile_oscillation(osc, diagnostics)
     admitted = admit.admit_actions(decisions, live, actuator_state, actions, state, policy,
                                    as_of=now, params=params)
     return {"metrics": metrics, "governor_state": state, "decisions": decisions,
             "findings": found, "reconcile": reconciled, "oscillating": osc,
+            "reconcile_oscillation": flapping,
             "admission": admitted}
 
 
@@ -86,7 +88,8 @@ def daily_jobs(samples: DataFrame, snapshots: DataFrame, inventory: DataFrame,
             "audit_retention": retention.audit_retention(actions, decisions, ticks,
                                                          diagnostics, now),
             "shedding_plan": retention.shedding_plan(inventory, diagnostics, actions, now,
-                                                     budget_bytes)}
+                                                     budget_bytes, decisions=decisions,
+                                                     ticks=ticks)}
 
 
 def analysis(tx_log: DataFrame, metrics: DataFrame, run_meta: DataFrame, window_s: int,

@@ -1163,6 +1163,17 @@ HAVING count(*) FILTER (WHERE d <> 0 AND prev_d <> 0 AND d <> prev_d) >= 2""")
 
 q("oscillation", ["osc"], "SELECT * FROM osc")
 
+q("oscillation_reconcile", ["osc", "diagnostics"], """
+WITH d AS (SELECT cluster_id, relid, diagnostic_id FROM diagnostics
+           WHERE resolved_at IS NULL AND inhibitor_class = 'control_oscillation')
+SELECT o.cluster_id, o.relid, 'control_oscillation' AS inhibitor_class, 'critical' AS severity,
+  d.diagnostic_id, o.reversals, o.n_changes, o.first_at, o.last_at,
+  CASE WHEN d.diagnostic_id IS NULL THEN 'open' ELSE 'keep' END AS action
+FROM osc o LEFT JOIN d USING (cluster_id, relid)
+UNION ALL
+SELECT cluster_id, relid, 'control_oscillation', 'critical', diagnostic_id, NULL, NULL, NULL, NULL,
+  'resolve' FROM d WHERE NOT EXISTS (SELECT 1 FROM osc o WHERE o.cluster_id = d.cluster_id AND o.relid = d.relid)""")
+
 q("tick_summary", ["decisions"], """
 SELECT cluster_id, tick_id, count(*) AS n_decisions, count(DISTINCT relid) AS n_relations,
   count(*) FILTER (WHERE applied) AS n_applied,
@@ -1319,7 +1330,7 @@ q("governor_metrics", ["gmetrics"], f"SELECT {_GM_ROUND} FROM gmetrics")
 q("health_state", ["health"], "SELECT * FROM health")
 q("override_floor", ["gov_state"], "SELECT * FROM gov_state")
 
-q("state_transitions", ["snapshots"], """
+cte("transitions", ["snapshots"], """
 WITH s AS (SELECT cluster_id, snapshot_id, collected_at,
              (epoch_us(collected_at) - epoch_us(lag(collected_at) OVER
                (PARTITION BY cluster_id ORDER BY snapshot_id))) / 1000000.0 AS gap,
@@ -1331,6 +1342,7 @@ WITH s AS (SELECT cluster_id, snapshot_id, collected_at,
      l AS (SELECT *, lag(state) OVER (PARTITION BY cluster_id ORDER BY evaluated_at) AS from_state FROM st)
 SELECT cluster_id, from_state, state AS to_state, evaluated_at AS transitioned_at
 FROM l WHERE state IS DISTINCT FROM from_state""")
+q("state_transitions", ["transitions"], "SELECT * FROM transitions")
 
 q("failure_taxonomy", ["gmetrics", "actions", "clock"], f"""
 WITH m AS (SELECT * FROM gmetrics),
@@ -1460,7 +1472,7 @@ WHERE cluster_id IS NOT NULL""")
 
 q("self_health", ["self_health"], "SELECT * FROM self_health")
 
-q("audit_retention", ["actions", "decisions", "ticks", "diagnostics", "clock"], """
+q("audit_retention", ["actions", "decisions", "ticks", "diagnostics", "clock", "transitions"], """
 WITH a AS (SELECT a.*, a.applied_at < clock.now - INTERVAL 180 DAY AS dr FROM actions a, clock),
  kept AS (SELECT DISTINCT cluster_id, decision_id FROM a WHERE NOT dr),
  d AS (SELECT d.*, d.created_at < clock.now - INTERVAL 180 DAY AND k.decision_id IS NULL AS dr
@@ -1473,9 +1485,11 @@ SELECT cluster_id, 'action_history' AS relation, count(*) FILTER (WHERE dr) AS d
        count(*) FILTER (WHERE NOT dr) AS kept FROM a GROUP BY cluster_id
 UNION ALL SELECT cluster_id, 'decision_log', count(*) FILTER (WHERE dr), count(*) FILTER (WHERE NOT dr) FROM d GROUP BY cluster_id
 UNION ALL SELECT cluster_id, 'tick_log', count(*) FILTER (WHERE dr), count(*) FILTER (WHERE NOT dr) FROM t GROUP BY cluster_id
-UNION ALL SELECT cluster_id, 'diagnostics', count(*) FILTER (WHERE dr), count(*) FILTER (WHERE NOT dr) FROM g GROUP BY cluster_id""")
+UNION ALL SELECT cluster_id, 'diagnostics', count(*) FILTER (WHERE dr), count(*) FILTER (WHERE NOT dr) FROM g GROUP BY cluster_id
+UNION ALL SELECT cluster_id, 'state_transitions', count(*) FILTER (WHERE transitioned_at < now - INTERVAL 180 DAY),
+  count(*) FILTER (WHERE NOT transitioned_at < now - INTERVAL 180 DAY) FROM transitions, clock GROUP BY cluster_id""")
 
-q("shedding_plan", ["inventory", "diagnostics", "actions", "clock"], """
+q("shedding_plan", ["inventory", "diagnostics", "actions", "decisions", "ticks", "clock"], """
 WITH inv AS (SELECT cluster_id, sum(bytes) AS inv_total,
                sum(bytes) FILTER (WHERE relation = 'relation_samples' AND range_end <= now - INTERVAL 7 DAY) AS raw,
                sum(bytes) FILTER (WHERE relation = 'rollup_1m' AND range_end <= now - INTERVAL 2 DAY) AS fine,
@@ -1484,9 +1498,13 @@ WITH inv AS (SELECT cluster_id, sum(bytes) AS inv_total,
  dg AS (SELECT cluster_id, count(*) * 200 AS diag_total,
           count(*) FILTER (WHERE resolved_at IS NOT NULL AND detected_at <= now - INTERVAL 30 DAY) * 200 AS diag
         FROM diagnostics, clock GROUP BY cluster_id),
- ac AS (SELECT cluster_id, count(*) * 200 AS act_total,
-          count(*) FILTER (WHERE applied_at <= now - INTERVAL 30 DAY) * 200 AS act
-        FROM actions, clock GROUP BY cluster_id),
+ log AS (SELECT cluster_id, applied_at <= now - INTERVAL 30 DAY AS old FROM actions, clock
+   UNION ALL SELECT cluster_id, started_at <= now - INTERVAL 30 DAY FROM ticks, clock
+   UNION ALL SELECT cluster_id, created_at <= now - INTERVAL 30 DAY AND NOT EXISTS (
+     SELECT 1 FROM actions a WHERE a.cluster_id = x.cluster_id AND a.decision_id = x.decision_id
+       AND NOT a.applied_at <= (SELECT now FROM clock) - INTERVAL 30 DAY) FROM decisions x, clock),
+ ac AS (SELECT cluster_id, count(*) * 200 AS act_total, count(*) FILTER (WHERE old) * 200 AS act
+        FROM log GROUP BY cluster_id),
  j AS (SELECT COALESCE(inv.cluster_id, dg.cluster_id, ac.cluster_id) AS cluster_id,
           COALESCE(inv_total, 0) + COALESCE(diag_total, 0) + COALESCE(act_total, 0) AS total,
           raw, fine, coarse, diag, act
