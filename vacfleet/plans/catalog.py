@@ -224,6 +224,56 @@ def q_window_p95(spark, d):
     return finish(_p95(spark, d))
 
 
+@register("tx_log_roundtrip")
+def q_tx_log_roundtrip(spark, d):
+    """The transaction log written as per-run text files and read back, then counted per
+    arm, seed and day. The text format has no probe scale factor."""
+    from vacfleet.sources import io
+    root = _stream_dir(spark, "txlog")
+    io.write_tx_log(inputs(spark, d).tx_log, root)
+    t = io.read_tx_log(spark, f"{root}/*")
+    return finish(t.groupBy("arm", "fixture", "scenario", "seed",
+                            F.floor(F.col("epoch_s") / 86400).alias("day")).agg(
+        F.count("*").alias("n"), F.sum("latency_us").alias("latency_us"),
+        F.sum(F.col("epoch_us").cast("long")).alias("epoch_us"), F.max("tx_no").alias("last_tx")))
+
+
+@register("metrics_roundtrip")
+def q_metrics_roundtrip(spark, d):
+    """The metrics written as CSV and read back."""
+    from vacfleet.sources import io
+    path = _stream_dir(spark, "metrics")
+    io.write_metrics(inputs(spark, d).metrics, path)
+    return finish(io.read_metrics(spark, path).select(
+        "sample_id", "sampled_at", "arm", "scenario", "seed", "relname", "dead_frac", "rel_size"))
+
+
+@register("run_meta_roundtrip")
+def q_run_meta_roundtrip(spark, d):
+    """The run metadata written as JSON and read back."""
+    from vacfleet.sources import io
+    path = _stream_dir(spark, "runmeta")
+    inputs(spark, d).run_meta.write.json(path)
+    # one document per line here; the reader's files hold one document each
+    return finish(spark.read.schema(io.RUN_META).json(path).select(
+        "run_id", "arm", "fixture", "scenario", "seed", "sample_interval_s",
+        "autovacuum_freeze_max_age", "oracle_sf"))
+
+
+@register("verdict_sink")
+def q_verdict_sink(spark, d):
+    """The verdict documents written as JSON and read back, one row per scored window of
+    each cell."""
+    from vacfleet.sources import io
+    path = _stream_dir(spark, "verdicts")
+    gaps = XP.gap_closed(_arm_p95(spark, d), _best(spark, d), ROLES)
+    io.write_verdicts(_verdicts(spark, d), gaps, path)
+    schema = ("fixture string, scenario string, seed int, verdict string, per_window "
+              "array<struct<window: bigint, gap_closed: double, dropped: boolean>>")
+    docs = spark.read.schema(schema).json(path)
+    return finish(docs.select("fixture", "scenario", "seed", "verdict", F.inline("per_window")))
+
+
 @register("best_of_sweep")
 def q_best_of_sweep(spark, d):
     return finish(_best(spark, d))
@@ -771,8 +821,9 @@ def q_stream_change_detection(spark, d):
 
 @register("stream_rollup_1m")
 def q_stream_rollup_1m(spark, d):
-    """ST1/ST8: the 1m tier as a watermarked streaming aggregation (1-day lookback); the
-    sink holds every minute window the watermark has closed."""
+    """ST1/ST8: the 1m tier as a watermarked streaming aggregation (1-day lookback) in update
+    mode: each micro-batch upserts the windows it changed into the stored tier, so windows
+    that the watermark has not closed yet are there too."""
     from vacfleet.streaming import jobs
     i = inputs(spark, d)
     root = _stream_dir(spark, "st1")
@@ -780,11 +831,28 @@ def q_stream_rollup_1m(spark, d):
     base = i.paths["relation_samples"]
     src = spark.readStream.schema(samples.schema).option("basePath", base).parquet(base)
     q = (jobs.minute_rollup_stream(jobs.with_event_time(src, i.snapshots), "1 day")
-         .writeStream.outputMode("append").format("parquet")
-         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
-         .trigger(availableNow=True).start())
+         .writeStream.outputMode("update")
+         .foreachBatch(lambda batch, _: R.upsert_tier(batch, f"{root}/out"))
+         .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
-    return finish(spark.read.parquet(f"{root}/out"))
+    return finish(spark.read.parquet(f"{root}/out").select(*R.TIER_COLS))
+
+
+@register("stream_tier_upsert")
+def q_stream_tier_upsert(spark, d):
+    """ST2: the collected samples as a stream through the foreachBatch cascade; the daily
+    tier that it leaves."""
+    from vacfleet.streaming import jobs
+    i = inputs(spark, d)
+    root = _stream_dir(spark, "st2")
+    samples = i.samples
+    base = i.paths["relation_samples"]
+    src = spark.readStream.schema(samples.schema).option("basePath", base).parquet(base)
+    q = (jobs.with_event_time(src, i.snapshots).writeStream
+         .foreachBatch(jobs.tier_upsert_batch(f"{root}/tiers", i.snapshots))
+         .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return finish(spark.read.parquet(f"{root}/tiers/rollup_1d").select(*R.TIER_COLS))
 
 
 REPLAYED = 3       # newest snapshots that the streaming query replays

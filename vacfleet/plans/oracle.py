@@ -397,7 +397,7 @@ SELECT event_type AS arm, 'events' AS fixture, 'steady' AS scenario,
   CASE WHEN event_type = 'signup' THEN {_GRID}[user_id % 8 + 1] END AS probe_sf,
   CAST(user_id AS INTEGER) AS client, event_id AS tx_no,
   CAST(round(value * 1000) AS BIGINT) AS latency_us, 0 AS script,
-  epoch_us(ts) // 1000000 AS epoch_s
+  epoch_us(ts) // 1000000 AS epoch_s, epoch_us(ts) % 1000000 AS us_part
 FROM events""")
 
 cte("tx_w", ["tx_log"], f"""
@@ -500,6 +500,19 @@ FROM (SELECT {_CELL}, max(total_windows) AS total_windows,
 LEFT JOIN gates g USING ({_CELL}) LEFT JOIN safety f USING ({_CELL})""")
 
 q("window_p95", ["p95"], "SELECT * FROM p95")
+q("tx_log_roundtrip", ["tx_log"], """
+SELECT arm, fixture, scenario, seed, epoch_s // 86400 AS day, count(*) AS n,
+  CAST(sum(latency_us) AS BIGINT) AS latency_us, CAST(sum(us_part) AS BIGINT) AS epoch_us,
+  max(tx_no) AS last_tx FROM tx_log GROUP BY ALL""")
+q("metrics_roundtrip", ["metrics"], """
+SELECT sample_id, sampled_at, arm, scenario, seed, relname, round(dead_frac, 6) AS dead_frac, rel_size
+FROM metrics""")
+q("run_meta_roundtrip", ["run_meta"], """
+SELECT run_id, arm, fixture, scenario, seed, sample_interval_s, autovacuum_freeze_max_age,
+  round(oracle_sf, 6) AS oracle_sf FROM run_meta""")
+q("verdict_sink", ["verdicts", "gaps"], """
+SELECT g.fixture, g.scenario, g.seed, v.verdict, g.win AS "window", round(g.gap_closed, 6) AS gap_closed, g.dropped
+FROM gaps g JOIN verdicts v USING (fixture, scenario, seed)""")
 q("best_of_sweep", ["best"], "SELECT * FROM best")
 q("gap_closed", ["gaps"], "SELECT * REPLACE (round(gap_closed, 6) AS gap_closed) FROM gaps")
 q("cost_gates", ["gates"], "SELECT * FROM gates")
@@ -1680,10 +1693,8 @@ FROM (SELECT *, lag(struct_pack({_SIG})) OVER (PARTITION BY cluster_id, relid
       FROM collected)
 WHERE _prev IS NULL OR _prev IS DISTINCT FROM struct_pack({_SIG})""")
 
-q("stream_rollup_1m", ["r1m", "snapshots"], f"""
-SELECT {_TIER_ROUND} FROM r1m
-WHERE bucket_start + INTERVAL 1 MINUTE <= (SELECT max(collected_at) FROM snapshots) - INTERVAL 1 DAY""")
-
+ORACLE["stream_rollup_1m"] = ORACLE["rollup_1m"]
+ORACLE["stream_tier_upsert"] = ORACLE["rollup_1d"]
 ORACLE["stream_control_tick"] = ORACLE["estimate_tick"]
 
 q("admit_over_ticks", ["decisions", "cur", "fold", "actions", "active_policy"], f"""
