@@ -205,6 +205,26 @@ def test_raking_equals_sql_and_meets_targets(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_drawn_shares_meet_targets(spark):
+    docs = spark.createDataFrame(
+        [(i, "a b c " * (1 + i % 7), "en" if i % 9 else "es", "big" if i % 3 else "small", "x") for i in range(300)]
+        + [(300 + i, "see | this | row", "es", "small", "x") for i in range(4)], TEXT)
+    rows = mixing.mix(docs).collect()
+    total = sum(r.n_tokens for r in rows)
+    drawn = sum(r.n_tokens * r.prob for r in rows)
+    assert max(r.prob for r in rows) == 1 and drawn < mixing.KEEP * total  # keep and targets clash here
+    for dim in mixing.DIMS:
+        have, got = Counter(), Counter()
+        for r in rows:
+            have[r[dim]] += r.n_tokens
+            got[r[dim]] += r.n_tokens * r.prob
+        want = {v: n ** mixing.TEMPER for v, n in have.items()}
+        for v in want:
+            assert math.isclose(got[v] / drawn, want[v] / sum(want.values()), rel_tol=1e-3)
+    free = mixing.mix(docs, keep=0.1).collect()  # a keep that every cell can give is kept
+    assert math.isclose(sum(r.n_tokens * r.prob for r in free), 0.1 * total, rel_tol=1e-6)
+
+
 def test_main_text(spark):
     field = extract.train(extract.labelled_pages(300))
     held = extract.labelled_pages(100, seed=77)

@@ -4,7 +4,9 @@ The tokens of all documents (four characters each) are counted by cell (source,
 topic). The cells' weights
 are raked: for each of the three columns in turn they are scaled so that their sums meet the
 column's target shares, and so on for ``rounds`` rounds. A cell's raked weight over its tokens
-times ``keep`` is the probability with which its documents are sampled, at most 1; a document
+times one scale is the probability with which its documents are sampled. The scale is ``keep``,
+or the largest that leaves every probability at or below 1 where that is less: the targets are
+met then, and a smaller share of the tokens than ``keep`` is drawn. A document
 is drawn by a hash of its id, so the draw is repeatable. DataFrame functions only.
 
 Targets: each value's share is its share of tokens to the power ``temper``, scaled to 1.
@@ -91,9 +93,12 @@ def mix(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, rounds: int
     total = F.broadcast(cells.agg(F.sum("tokens").alias("total")))
     start = cells.crossJoin(total).withColumn("weight", F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).otherwise(F.lit(0.0)))
     fitted = rake(store(start, "mix_start"), {d: tempered(cells, d, temper) for d in DIMS}, rounds)
-    ratio = F.col("weight") * F.col("total") / F.col("tokens")
-    prob = fitted.select(F.col("source").alias("mix_source"), F.col("lang").alias("mix_lang"), "topic",
-                         F.round(F.when(F.col("tokens") > 0, F.least(F.lit(1.0), keep * ratio)).otherwise(F.lit(0.0)), 9).alias("prob"))
+    ratio = F.when(F.col("tokens") > 0, F.col("weight") * F.col("total") / F.col("tokens")).otherwise(F.lit(0.0))
+    fitted = fitted.withColumn("ratio", ratio)
+    # the same scale for all cells, or the clipped ones would miss the targets
+    scale = fitted.agg(F.least(F.lit(keep), F.when(F.max("ratio") > 0, 1 / F.max("ratio")).otherwise(F.lit(keep))).alias("scale"))
+    prob = fitted.crossJoin(F.broadcast(scale)).select(F.col("source").alias("mix_source"), F.col("lang").alias("mix_lang"), "topic",
+                         F.round(F.least(F.lit(1.0), F.col("scale") * F.col("ratio")), 9).alias("prob"))
     out = rows.join(prob, ["mix_source", "mix_lang", "topic"])
     return (out.select([F.col(c) for c in rows.columns if c not in ("mix_source", "mix_lang")] + [F.col("prob")])
             .withColumn("kept", draw(F.col("doc_id"), seed) < F.col("prob")))
