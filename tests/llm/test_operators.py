@@ -225,6 +225,15 @@ def test_drawn_shares_meet_targets(spark):
     assert math.isclose(sum(r.n_tokens * r.prob for r in free), 0.1 * total, rel_tol=1e-6)
 
 
+def test_mixing_counts_words_and_matches_patterns(spark):
+    said = [("one two  three\n", 3, "prose"), ("\tab\r\ncd ", 2, "prose"), ("extraordinarily", 1, "prose"), (" ", 0, "prose"),
+            ("meet me @ noon", 4, "prose"), ("Oh!! fine", 2, "prose"), ("a@b", 1, "contact"), ("x #$% y", 3, "symbols"),
+            ("go HOME!!\nnow", 3, "shout"), ("an icense", 2, "prose"), ("a licence", 2, "license"), ("a | b", 3, "table")]
+    rows = spark.createDataFrame([(i, t, "en", "a", "x") for i, (t, *_) in enumerate(said)], TEXT)
+    got = {r.doc_id: (r.n_tokens, r.topic) for r in mixing.described(rows).collect()}
+    assert got == {i: (n, kind) for i, (_, n, kind) in enumerate(said)}
+
+
 def test_main_text(spark):
     field = extract.train(extract.labelled_pages(300))
     held = extract.labelled_pages(100, seed=77)

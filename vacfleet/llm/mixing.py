@@ -1,7 +1,7 @@
 """Operator 8: mixing sources to target weights by iterative proportional fitting.
 
-The tokens of all documents (four characters each) are counted by cell (source, language,
-topic). The cells' weights
+The tokens of all documents (words: runs of characters that are no white space) are counted
+by cell (source, language, topic). The cells' weights
 are raked: for each of the three columns in turn they are scaled so that their sums meet the
 column's target shares, and so on for ``rounds`` rounds. A cell's raked weight over its tokens
 times one scale is the probability with which its documents are sampled. The scale is ``keep``,
@@ -30,7 +30,17 @@ from vacfleet.session import store
 TEMPER, KEEP, ROUNDS = 0.7, 0.8, 8
 DIMS = ("source", "lang", "topic")
 
-# Topics by form, the first with one of its strings in the text; else "prose".
+# Topics by form, the first pattern that a text has; else "prose".
+PATTERNS = (
+    ("table", r" \| "),
+    ("license", r"[Ll]icen[sc]e|[Cc]opyright"),
+    ("contact", r"[a-z0-9]@[a-z0-9]|https?://"),
+    ("symbols", r"[#$%&*]{3}"),
+    ("shout", r"[A-Z]{2,}!!"),
+)
+WORD = r"[^ \t\n\r]+"
+
+# The SQL of ``oracle`` still has the strings and characters that once stood for these.
 TOPICS = (
     ("table", (" | ",)),
     ("license", ("icense", "opyright")),
@@ -44,11 +54,8 @@ TOKEN_CHARS = 4
 
 def topic(text: Column) -> Column:
     out = F.lit("prose")
-    for name, marks in reversed(TOPICS):
-        has = F.lit(False)
-        for m in marks:
-            has = has | F.contains(text, F.lit(m))
-        out = F.when(has, F.lit(name)).otherwise(out)
+    for name, pattern in reversed(PATTERNS):
+        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
     return out
 
 
@@ -57,7 +64,7 @@ def described(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return without(docs, ["topic", "n_tokens", "prob", "kept", "mix_source", "mix_lang"]).withColumns({
         "mix_source": F.coalesce("source", F.lit("")), "mix_lang": F.coalesce("lang", F.lit("")),
-        "topic": topic(text), "n_tokens": F.ceil(F.length(text) / TOKEN_CHARS).cast("long")})
+        "topic": topic(text), "n_tokens": F.regexp_count(text, F.lit(WORD)).cast("long")})
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
