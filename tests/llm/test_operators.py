@@ -253,6 +253,26 @@ def test_main_text(spark):
     assert got[2].text == got[3].text == "" and got[2].n_chars == 0
 
 
+def test_blocks_keep_text_after_names_like_raw_ones():
+    def said(page):
+        return [b.text for b in extract.blocks(page)]
+
+    assert said('<article><p>a <svg class="i"/> b</p><p>c</p></article>') == ["a b", "c"]
+    assert said("<article><title-bar></title-bar><p>c</p></article>") == ["c"]
+    assert said("<p>a<svg-icon name=x></svg-icon></p><template-x><p>b</p></template-x><script_x><p>c</p>") == ["a", "b", "c"]
+    assert said("<p>a <math/>b</p><p>c <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>") == ["a b", "c x=1"]
+    for name in ("svg", "math", "noscript", "template"):
+        assert said(f"<p>a</p><{name} class=x><p>b</p><p>c</p>") == ["a", "b", "c"]
+    for name in ("script", "style", "textarea", "title"):
+        assert said(f"<p>a</p><{name} class=x><p>b</p><p>c</p>") == ["a"]
+        assert said(f"<p>a</p><{name}><p>b</p></{name} ><p>c</p>") == ["a", "c"]
+    for name in ("svg", "noscript", "template"):
+        assert said(f"<p>a</p><{name}><b>x</b></{name}><p>c</p>") == ["a", "c"]
+    assert said("<p>a <svg><svg>x</svg><text>y</text></svg> b</p>") == ["a b"]
+    assert said("<p>a <svg><title/><style/><text>y</text></svg> b</p><p>c <svg><title>t</svg> d</p>") == ["a b", "c d"]
+    assert said("<svg><p>a</p><script>x</script><svg/><p>b</p><svg>y</svg>") == ["a", "b"]
+
+
 def test_viterbi_is_the_best_labelling():
     field = extract.Field()
     field.weight = {"a": 1.3, "b": -0.7, "c": 0.2}

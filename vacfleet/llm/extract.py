@@ -6,8 +6,8 @@ features of its ancestors, names and text, and the step from one block to the ne
 trained by stochastic gradient descent on labelled pages that ``labelled_pages`` lays out
 (many layouts with known main text), and decoded by Viterbi.
 
-Text is what a reader sees: comments, scripts, styles and the head's title are no blocks,
-character references are decoded, white space inside a block becomes one space. Inline tags
+Text is what a reader sees: comments, scripts, styles, form text, the head's title and closed
+``noscript``, ``template`` and ``svg`` elements are no blocks, ``math`` is text, character references are decoded, white space inside a block becomes one space. Inline tags
 and line breaks do not end a block. Tags may be unclosed, crossed, in any case.
 
 A null or empty page has no text. Pages of any length are read whole. Repeated rows are
@@ -39,9 +39,18 @@ CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"t
                  "tr": {"tr", "td", "th"}, "option": {"option"}}
 KEEPS_P_OPEN = frozenset({"button", "label", "option", "select", "iframe", "video", "audio", "canvas", "object", "map"})
 
+#: Elements whose content is characters, not tags, up to their end tag or the page's end.
+RAW = ("script", "style", "textarea", "title")
+#: Elements whose content a reader does not see; without an end tag they hide nothing.
+HIDDEN = frozenset({"noscript", "template", "svg"})
+#: Elements that may close themselves by a slash, as all inside them may.
+FOREIGN = frozenset({"svg", "math"})
+
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
+    rf"""<!--.*?(?:-->|\Z)|<({"|".join(RAW)})(?=[\s/>])[^>]*>"""
+    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:._-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+_RAW_END_IN_FOREIGN = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|(?=</(?:svg|math)[\s/>])", re.I) for t in RAW}
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -55,6 +64,41 @@ class Block:
         self.text, self.tags, self.names, self.linked = text, tags, names, linked
 
 
+def tokens(page: str) -> list[tuple[int, int, re.Match | None]]:
+    """Start and end of each tag (with its match), comment and raw-text element (without)."""
+    out, at, foreign = [], 0, 0
+    while m := _TOKEN.search(page, at):
+        at, tag = m.end(), (m[3] or "").lower()
+        if m[1] and foreign:
+            end = None if m[0].endswith("/>") else _RAW_END_IN_FOREIGN[m[1].lower()].search(page, at)
+            at = end.end() if end else at
+        elif m[1]:
+            end = _RAW_END[m[1].lower()].search(page, at)
+            at = end.end() if end else len(page)
+        elif tag in FOREIGN and not m[4].endswith("/"):
+            foreign = max(0, foreign - 1) if m[2] else foreign + 1
+        elif tag in BLOCK_TAGS:  # ends unclosed foreign elements
+            foreign = 0
+        out.append((m.start(), at, m if tag else None))
+    return out
+
+
+def hidden(found: list[tuple[int, int, re.Match | None]]) -> dict[int, int]:
+    """Where each hidden element that has an end tag starts and ends."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = defaultdict(list)
+    for start, end, m in found:
+        tag = m[3].lower() if m else ""
+        if tag not in HIDDEN:
+            continue
+        if not m[2]:
+            if not (tag in FOREIGN and m[4].endswith("/")):
+                opened[tag].append(start)
+        elif opened[tag]:
+            out[opened[tag].pop()] = end
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page that hold text, in page order."""
     out: list[Block] = []
@@ -76,17 +120,20 @@ def blocks(page: str) -> list[Block]:
         links -= sum(t == "a" for t, _ in stack[k:])
         del stack[k:]
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at:m.start()]
+    found = tokens(page)
+    unseen = hidden(found)
+    for start, end, m in found:
+        if start < at:
+            continue
+        if start > at:
+            piece = page[at:start]
             run.append(piece)
             if links:
                 linked += len(piece)
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+        at = unseen.get(start, end)
+        if m is None or start in unseen:
             continue
-        tag = tag.lower()
+        tag = m[3].lower()
         is_block = tag in BLOCK_TAGS
         if is_block:
             flush()
@@ -97,7 +144,7 @@ def blocks(page: str) -> list[Block]:
             if k is not None:
                 close(k)
             continue
-        if tag in VOID_TAGS:
+        if tag in VOID_TAGS or (tag in FOREIGN and m[4].endswith("/")):
             continue
         if is_block and tag not in KEEPS_P_OPEN:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
