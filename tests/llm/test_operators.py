@@ -8,8 +8,10 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -313,6 +315,33 @@ def test_language_model(spark, tmp_path):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, full, rel_tol=1e-9)
 
 
+def test_language_model_with_other_splits_in_the_second_scan(spark, tmp_path):
+    path, size = tmp_path / "docs.parquet", "spark.sql.files.maxPartitionBytes"
+    table = pa.table({"doc_id": range(1000), "text": [f"a b c{i % 7} a b d{i} {sha(str(i))}" for i in range(1000)]})
+    parquet.write_table(table, path, row_group_size=50)
+    docs, train = spark.read.parquet(str(path)), ~in_fold(F.col("doc_id"), 5, 1)
+    want = {r.doc_id: r for r in lm.score(docs, train).collect()}
+    old = spark.conf.get(size)
+    few, many = old, str(path.stat().st_size // 7)
+    try:
+        for first, second in ((few, many), (many, few)):
+            spark.conf.set(size, first)
+            out = lm.score(docs, train)
+            spark.conf.set(size, second)
+            got = {r.doc_id: r for r in out.collect()}
+            assert len(got) == 1000 and all(got[d][:5] == want[d][:5] and math.isclose(got[d].score, want[d].score, rel_tol=1e-12)
+                                            for d in want)
+        spark.conf.set(size, old)
+        out = lm.score(docs, train)
+        changed = table.set_column(1, "text", pa.array([f"x{i}" for i in range(1000)]))
+        parquet.write_table(changed, path, row_group_size=50)
+        spark.catalog.refreshByPath(str(path))
+        with pytest.raises(Exception, match="other texts"):
+            out.collect()
+    finally:
+        spark.conf.set(size, old)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}

@@ -20,6 +20,11 @@ the corpus counts of just its n-grams; the block builds the part of the automato
 texts can reach. Each block sends an n-gram once, so a frequent one is no hot key. Everything
 but the answers' file streams through shuffles; a lost executor costs its tasks again.
 
+The files are read twice, and may be split otherwise the second time. So a block is named by its
+file and row numbers alone; where tasks of the first scan share a block, each asks for its piece
+of it, by first and last row number, and the block scores piece by piece. Answers carry a digest
+of the n-grams they are for; a piece whose texts have others ends the query with an error.
+
 A null or empty text is the end token alone. Rows with a null key are not held out. Without
 training rows all counts are 0. Extra columns are left out. Repeated rows count as often as
 they stand there. The input must be read from Parquet files (a block is a piece of a file).
@@ -46,8 +51,8 @@ BLOCK_ROWS = 2048
 #: Weight of the root's distribution against a state's own counts.
 SMOOTHING = 1000.0
 
-_ASK = "bucket int, block long, words binary, word_n binary, pairs binary, pair_n binary"
-_ANSWER = "bucket int, block long, word_c binary, pair_c binary, tokens long, known long"
+_ASK = "bucket int, block long, first long, last long, words binary, word_n binary, pairs binary, pair_n binary"
+_ANSWER = "bucket int, block long, first long, last long, word_c binary, pair_c binary, digest long, tokens long, known long"
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,22 +91,29 @@ def _counted(hashes: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndar
     return distinct, np.bincount(which[train], minlength=len(distinct)).astype(np.uint32)
 
 
-def ask(block: int, words: np.ndarray, pairs: np.ndarray, train: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A block's distinct words and pairs with its own training counts, one row a bucket."""
+def digest(words: np.ndarray, pairs: np.ndarray) -> int:
+    """A number for a set of distinct words and pairs; digests of disjoint sets add up (modulo 2^64)."""
+    return int((mix64(words).sum(dtype=np.uint64) + mix64(~pairs).sum(dtype=np.uint64)).astype(np.int64))
+
+
+def ask(piece: tuple[int, int, int], words: np.ndarray, pairs: np.ndarray, train: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The distinct words and pairs of a piece (block, first and last row) with its own training
+    counts, one row a bucket."""
     cells = []
     for hashes in (words, pairs):
         distinct, n = _counted(hashes, train)
         cut = np.concatenate([[0], np.searchsorted(distinct, bounds(buckets)), [len(distinct)]])
         cells.append([(distinct[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])])
     return pa.RecordBatch.from_arrays([
-        pa.array(range(buckets), pa.int32()), pa.array([block] * buckets, pa.int64()),
+        pa.array(range(buckets), pa.int32()), *(pa.array([x] * buckets, pa.int64()) for x in piece),
         *(pa.array([c[i] for c in kind], pa.binary()) for kind in cells for i in (0, 1))],
-        names=["bucket", "block", "words", "word_n", "pairs", "pair_n"])
+        names=["bucket", "block", "first", "last", "words", "word_n", "pairs", "pair_n"])
 
 
 def answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """Corpus counts of a bucket's n-grams, in the order in which each block asked."""
-    out = rows[["bucket", "block"]].copy()
+    """Corpus counts of a bucket's n-grams, in the order in which each piece asked."""
+    out = rows[["bucket", "block", "first", "last"]].copy()
+    out["digest"] = [digest(np.frombuffer(w, np.uint64), np.frombuffer(p, np.uint64)) for w, p in zip(rows["words"], rows["pairs"])]
     for kind in ("word", "pair"):
         asked = [np.frombuffer(x, np.uint64) for x in rows[f"{kind}s"]]
         own = np.concatenate([np.frombuffer(x, np.uint32) for x in rows[f"{kind}_n"]])
@@ -113,7 +125,7 @@ def answer(rows: pd.DataFrame) -> pd.DataFrame:
             out["tokens"], out["known"] = 0, 0
             out.iloc[0, out.columns.get_loc("tokens")] = int(total.sum(dtype=np.int64))
             out.iloc[0, out.columns.get_loc("known")] = int((total > 0).sum())
-    return out[["bucket", "block", "word_c", "pair_c", "tokens", "known"]]
+    return out[["bucket", "block", "first", "last", "word_c", "pair_c", "digest", "tokens", "known"]]
 
 
 class Automaton:
@@ -144,26 +156,28 @@ def score(docs: DataFrame, train: Column, key_col: str = "doc_id", text_col: str
     ``train`` marks the rows to learn from; ``docs`` is read from files.
     """
     rows = docs.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("body"), train.alias("trained"),
-                       F.xxhash64(F.input_file_name(), F.input_file_block_start(),
-                                  F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias("block"))
+                       F.xxhash64(F.input_file_name(), F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias("block"),
+                       F.col("_metadata.row_index").alias("at"), F.input_file_block_start().alias("split"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(4, -(-size // bucket_bytes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, first, last, held = None, 0, 0, []
 
         def flush() -> pa.RecordBatch:
             words, pairs, trained = map(np.concatenate, zip(*held))
-            return ask(now, words, pairs, trained, buckets)
+            return ask((now[0], first, last), words, pairs, trained, buckets)
 
         for batch in batches:
-            blocks = batch.column(2).to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])) if len(blocks) else []
+            blocks, at, splits = (batch.column(k).to_numpy() for k in (2, 3, 4))
+            new = (blocks[1:] != blocks[:-1]) | (splits[1:] != splits[:-1])
+            cuts = np.flatnonzero(np.concatenate([[True], new])) if len(blocks) else []
             for a, b in zip(cuts, [*cuts[1:], len(blocks)]):
-                if blocks[a] != now:
+                if (blocks[a], splits[a]) != now:
                     if held:
                         yield flush()
-                    now, held = int(blocks[a]), []
+                    now, first, held = (int(blocks[a]), int(splits[a])), int(at[a]), []
+                last = int(at[b - 1])
                 part = batch.slice(a, b - a)
                 ends, words = tokens(part.column(0))
                 each = np.diff(np.concatenate([[0], ends]))
@@ -172,17 +186,19 @@ def score(docs: DataFrame, train: Column, key_col: str = "doc_id", text_col: str
         if held:
             yield flush()
 
-    asked = rows.select("body", "trained", "block").mapInArrow(count, _ASK)
+    asked = rows.select("body", "trained", "block", "at", "split").mapInArrow(count, _ASK)
     told = store(asked.groupBy("bucket").applyInPandas(answer, _ANSWER), "lm_counts")
     sums = told.agg(F.sum("tokens"), F.sum("known")).first()
     n_tokens, n_known = int(sums[0] or 0), int(sums[1] or 0)
 
-    def finish(key, texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        counts = counts.sort_values("bucket")
+    def finish_piece(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         word_c, pair_c = (np.concatenate([np.frombuffer(x, np.uint32) for x in counts[c]]) for c in ("word_c", "pair_c"))
         ends, words = tokens(pa.array(texts["body"], pa.string()))
         distinct, word = np.unique(words, return_inverse=True)
-        which = np.unique(pair(before(ends, words), words), return_inverse=True)[1]
+        pairs, which = np.unique(pair(before(ends, words), words), return_inverse=True)
+        asked_for = int(counts["digest"].to_numpy().sum(dtype=np.int64))
+        if (len(word_c), len(pair_c), asked_for) != (len(distinct), len(pairs), digest(distinct, pairs)):
+            raise RuntimeError("the counts are for other texts than the block has: did the files change?")
         starts = int(word_c[np.searchsorted(distinct, END)])  # as many texts start as end
         automaton = Automaton(word_c, n_tokens, n_known, starts, smoothing)
         begin = np.concatenate([[0], ends[:-1]])
@@ -194,7 +210,20 @@ def score(docs: DataFrame, train: Column, key_col: str = "doc_id", text_col: str
             "base_score": np.add.reduceat(np.log10(automaton.root)[word], begin),
             "score": np.add.reduceat(added, begin)})
 
+    def finish(key, texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        texts = texts.sort_values("at")
+        at, done = texts["at"].to_numpy(), []
+        for (first, last), own in counts.sort_values("bucket").groupby(["first", "last"]):
+            a, b = np.searchsorted(at, first), np.searchsorted(at, last, "right")
+            if a == b:
+                raise RuntimeError("counts without texts: did the files change?")
+            done.append(finish_piece(texts.iloc[a:b], own))
+        if sum(map(len, done)) != len(texts):
+            raise RuntimeError("texts without counts: did the files change?")
+        return pd.concat(done)
+
     out = ("doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, "
            "base_score double, score double")
-    return (rows.groupBy("block").cogroup(told.select("block", "bucket", "word_c", "pair_c").groupBy("block"))
+    told = told.select("block", "bucket", "first", "last", "word_c", "pair_c", "digest")
+    return (rows.drop("split").groupBy("block").cogroup(told.groupBy("block"))
             .applyInPandas(finish, out))
