@@ -114,6 +114,14 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert rabitq.search(vector_frame(spark, vectors()).limit(0), F.lit(True)).count() == 0
 
 
+def test_repeated_query_rows_ask_once(spark):
+    frame = vector_frame(spark, vectors()).where("vec_id < 200")
+    want = sorted(rabitq.search(frame, F.col("vec_id") == 0).collect())
+    assert [r["rank"] for r in want] == list(range(1, 11)) and len({r.vec_id for r in want}) == 10
+    again = frame.unionByName(frame.where("vec_id = 0"))
+    assert sorted(rabitq.search(again, F.col("vec_id") == 0).collect()) == want
+
+
 def test_vector_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(pq, "PIECE", 64)
     x = vectors()

@@ -95,7 +95,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     dealt = F.xxhash64("vec_id", "embedding")
     data = rows.select("vec_id", "embedding", "code", "length", "own", F.pmod(dealt, F.lit(blocks)).alias("block"),
                        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"))
-    asks = rows.where("asks").select(F.col("vec_id").alias("query_id"), "embedding",
+    # a repeated row asks once; all its copies can be found
+    asks = rows.where("asks").select("vec_id", "embedding").distinct()
+    asks = asks.select(F.col("vec_id").alias("query_id"), "embedding",
                                      F.pmod(dealt, F.lit(query_blocks)).cast("int").alias("part"),
                                      F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
