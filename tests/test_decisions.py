@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import sample, snap
+from frames import sample, snap
 from vacfleet.operators import governance, health, plan, retention
 
 

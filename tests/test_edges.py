@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import T0, sample, snap
+from frames import T0, sample, snap
 from vacfleet.operators import asof, estimate, sparse
 
 

@@ -90,7 +90,7 @@ def test_day_slotted_overwrite_and_upsert(spark):
 
 
 def test_day_keeps_snapshots_written_one_by_one(spark, samples_df):
-    from conftest import sample
+    from frames import sample
     p = os.path.join(_d(), "raw")
     for cluster, snap in (("c0", 1), ("c0", 2), ("c1", 1), ("c0", 2)):
         io.write_day_slotted(samples_df([sample(cluster_id=cluster, snapshot_id=snap, relid=r) for r in (1, 2)]), p)
