@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus jobs and the queries that apply them.
+"""Training-data operators: thirteen corpus jobs and the queries that apply them.
 
 Nothing else in the library imports this subpackage.
 """

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacfleet.llm import bpe, chat, extract, langid, lm, minhash, mixing, pq, quality, rabitq
+from vacfleet.llm import audit, bpe, chat, extract, langid, lexical, lm, minhash, mixing, pq, quality, rabitq, repeats
 from vacfleet.llm.common import in_fold
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -88,6 +88,22 @@ def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "train_tokens", "base_score", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep, remove and lose at each step of every order, by source."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that a 100-byte string covers which also starts earlier."""
+    out = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all documents for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_windows": op2_chat_windows,
@@ -99,9 +115,14 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_main_text": op9_main_text,
     "op10_backoff_lm": op10_backoff_lm,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_repeated_text": op12_repeated_text,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE = {
     "op2_chat_windows": chat.oracle(),
     "op8_mixing": mixing.oracle(),
+    "op11_filter_audit": audit.oracle(),
+    "op13_ranked_search": lexical.oracle(),
 }
