@@ -45,11 +45,13 @@ from vacfleet.llm.common import mix64, without
 from vacfleet.session import store
 
 #: Bytes of the strings whose hashes are keys.
-GRAM = 32
+GRAM = 24
 #: Text bytes that a task works on before it ships.
 CHUNK_BYTES = 16 << 20
 #: Text bytes of one numpy pass.
 PASS_BYTES = 1 << 17
+#: Compression of what is shipped.
+LEVEL = 6
 #: Bytes of segments in a bucket, and how many bytes of segments a byte of text makes.
 BUCKET_BYTES, SPREAD = 12 << 20, 4
 #: A segment's greatest number of windows.
@@ -65,14 +67,16 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 def grams(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the ``GRAM`` bytes at each place."""
-    h, size = _BYTE[data], 1
+    part, width, out, size = _BYTE[data], 1, None, 0  # strings of 1, 2, 4, ... bytes make up GRAM
     with np.errstate(over="ignore"):
         for odd in _ODD:
-            if size == GRAM:
-                break
-            h = h[:-size] * odd + h[size:]
-            size *= 2
-        return mix64(h)
+            if GRAM & width:
+                out = part if out is None else part[:len(part) - size] * odd + out[width:]
+                size += width
+            if 2 * width > GRAM:
+                return mix64(out)
+            part = part[:-width] * odd + part[width:]
+            width *= 2
 
 
 def least(h: np.ndarray, span: int) -> np.ndarray:
@@ -140,9 +144,9 @@ def segments(ends: np.ndarray, data: np.ndarray, length: int, frequent: Frequent
 
 
 def _packed(*arrays: np.ndarray | bytes) -> bytes:
-    raw = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(
-        struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))
+    """Arrays as one compressed string; of numbers all first bytes come first, then all second ones."""
+    raw = [x if isinstance(x, bytes) else np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=LEVEL).compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))
 
 
 def _unpacked(blob: bytes, types: tuple) -> list:
@@ -150,14 +154,18 @@ def _unpacked(blob: bytes, types: tuple) -> list:
     sizes = struct.unpack_from(f"<{len(types)}q", raw)
     out, at = [], 8 * len(types)
     for size, kind in zip(sizes, types):
-        out.append(raw[at:at + size] if kind is None else np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        if kind is None:
+            out.append(raw[at:at + size])
+        else:
+            planes = np.frombuffer(raw, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
+            out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += size
     return out
 
 
 #: A message: of each distinct segment its key, windows, whether the key stands there twice, bytes and
-#: number of positions; of each position id, tag and start.
-_MESSAGE = (np.uint64, np.int32, bool, None, np.int32, np.int64, np.int64, np.int64)
+#: number of positions; of each position id (as a step from the one before), tag and start.
+_MESSAGE = (np.uint32, np.int32, bool, None, np.int32, np.int64, np.int64, np.int64)
 
 
 def messages(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: int, buckets: int,
@@ -167,8 +175,9 @@ def messages(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: int,
     key, first, run, twice = segments(ends, data, length, frequent)
     raw, starts = data.tobytes(), np.concatenate([[0], ends])
     row = np.searchsorted(starts, first, "right") - 1
-    # least hashes crowd at the low end, so they are hashed once more
-    bucket = ((mix64(key) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    key = mix64(key)  # least hashes crowd at the low end
+    bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    key = key.astype(np.uint32)
     order = np.argsort(bucket, kind="stable")
     cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
     for a, b in zip(cut[:-1], cut[1:]):
@@ -183,7 +192,7 @@ def messages(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: int,
         place = own[by]
         yield int(bucket[own[0]]), _packed(
             key[head], run[head].astype(np.int32), twice[head], b"".join(seen), np.bincount(which).astype(np.int32),
-            ids[row[place]], tags[row[place]], first[place] - starts[row[place]])
+            np.diff(ids[row[place]], prepend=0), tags[row[place]], first[place] - starts[row[place]])
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -269,7 +278,7 @@ def earlier(blobs: list[bytes], length: int) -> pd.DataFrame:
         for held, x in zip((key, run, twice), (keys, runs, marks)):
             held.append(x[new])
         which.append(np.repeat(at, times))
-        for held, x in zip((ids, tags, starts), place):
+        for held, x in zip((ids, tags, starts), (np.cumsum(place[0]), *place[1:])):
             held.append(x)
     key, run, twice, which, ids, tags, starts = map(np.concatenate, (key, run, twice, which, ids, tags, starts))
     run = run.astype(np.int64)
@@ -413,11 +422,22 @@ def without_repeats(docs: DataFrame, length: int = 100, key_col: str = "doc_id",
     spans = repeated_spans(single.select("id", "tag", raw.alias("raw")), length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in (b for b in batches if b.num_rows):
-            new = zip(*(kept(raw, own) for raw, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())))
+            new = zip(*(kept(unpack(raw), own) for raw, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())))
             arrays = [pa.array(x, t) for x, t in zip(new, [pa.int64()] * 3 + [pa.binary()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["row", *added.fieldNames()])
 
     out = StructType([StructField("row", rows.schema["row"].dataType), *added.fields])
-    joined = rows.join(spans.hint("shuffle_hash"), ["id", "tag"], "left").select("row", raw.alias("raw"), "spans")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack(x) for x in batch.column(3).to_pylist()], pa.binary())],
+                                             names=["row", "id", "tag", "raw"])
+
+    # texts travel compressed to their spans
+    sent = rows.select("row", "id", "tag", raw.alias("raw"))
+    sent = sent.mapInArrow(squeeze, sent.schema)
+    joined = sent.join(spans.hint("shuffle_hash"), ["id", "tag"], "left").select("row", "raw", "spans")
     return joined.mapInArrow(cut, out).select("row.*", *added.fieldNames())
