@@ -80,9 +80,9 @@ def test_literal_audit_rules(spark):
 def test_transitions_only_on_change(spark):
     t = dt.datetime(2024, 1, 1)
     series = spark.createDataFrame(
-        [("c0", t + dt.timedelta(minutes=k), s) for k, s in
+        [("c0", t + dt.timedelta(minutes=k), s, "why") for k, s in
          enumerate(["normal", "normal", "degraded", "degraded", "normal"])],
-        "cluster_id string, evaluated_at timestamp_ntz, state string")
+        "cluster_id string, evaluated_at timestamp_ntz, state string, reason string")
     rows = [(r.from_state, r.to_state) for r in
             health.state_transitions(series).orderBy("transitioned_at").collect()]
     assert rows == [(None, "normal"), ("normal", "degraded"), ("degraded", "normal")]

@@ -1,11 +1,13 @@
 """Properties: round trips, associativity, order independence, skew-safe helpers."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vacfleet import params as P
 from vacfleet.operators import experiment as XP
 from vacfleet.operators import rollup as R
 from vacfleet.operators import sparse
@@ -136,6 +138,82 @@ def _fixed(spark, df):
     return spark.createDataFrame(df.collect(), df.schema)
 
 
+def test_backfill_folds_stored_rows_not_snapshots(spark):
+    """A quiet fleet: the folded ticks follow the stored rows, however many snapshots pass, and the
+    state equals one tick after the other (``test_backfill_equals_repeated_ticks`` has the rest)."""
+    import datetime as dt
+
+    from frames import SAMPLE_COLS, SNAP_COLS, T0, frame, sample, snap
+    from vacfleet.operators import backfill
+    rows = [sample(relid=r, snapshot_id=p, n_tup_ins=100 * p + r, n_tup_upd=0, n_tup_del=0, n_dead_tup=3 * p,
+                   last_autovacuum=T0 + dt.timedelta(minutes=3) if p >= 4 else None, autovacuum_count=int(p >= 4))
+            for r in (1, 2, 3) for p in (1, 4, 90 + r)]
+    heads = []
+    for p in range(1, 201):
+        at = T0 + dt.timedelta(minutes=p) if p != 120 else T0 + dt.timedelta(minutes=50)      # a clock set back once
+        heads.append(snap(snapshot_id=p, collected_at=at, def_vac_threshold=50 if p < 150 else 5,  # debt rises at 150
+                          collected_day=19723 + p // 100))
+    rows = [dict(r, collected_day=19723 + r["snapshot_id"] // 100) for r in rows]
+    samples, snaps = frame(spark, SAMPLE_COLS, rows), frame(spark, SNAP_COLS, heads)
+    numbered = backfill.numbered_headers(snaps)
+    stored = backfill.stored_rows(samples, numbered)
+    ticks = backfill.moving_ticks(numbered, stored)
+    running_ = 60                                # headers within an hour of the maintenance run
+    assert ticks.count() <= stored.count() * (1 + running_) + 2 * 3 < 200 * 3
+    assert ticks.filter("snapshot_id > 100").groupBy("snapshot_id").count().count() == 2       # the set clock, the new default
+    got = {r["relid"]: r for r in backfill.control_state(samples, snaps, None, chunk_days=1).collect()}
+    for relid in (1, 2, 3):
+        want = _ticked([r for r in rows if r["relid"] == relid], heads)
+        for name, value in want.items():
+            assert got[relid][name] == (pytest.approx(value, rel=1e-9) if isinstance(value, float) else value), (relid, name)
+
+
+def _ticked(rows, heads, tau=P.DEFAULT.ewma_tau, window=P.DEFAULT.av_window_s):
+    """One relation's rates, peak and streak, tick by tick, straight from their definitions."""
+    at = {h["snapshot_id"]: h["collected_at"] for h in heads}
+    stored = {r["snapshot_id"]: r for r in rows}
+    churn = dead = peak = cand = None
+    streak, cur = 0, None
+    for h in heads:
+        prev, new = cur, stored.get(h["snapshot_id"])
+        cur = new or cur
+        fraction = cur["n_dead_tup"] / cur["reltuples"]
+        boundary = False
+        if prev is not None:
+            dt_s = (h["collected_at"] - at[prev["snapshot_id"]]).total_seconds()
+            boundary = cur["autovacuum_count"] > prev["autovacuum_count"]
+            if dt_s > 0:
+                alpha = 1 - math.exp(-dt_s / tau)
+                for name, now in (("churn", (cur["n_tup_ins"] - prev["n_tup_ins"]) / dt_s), ("dead", (cur["n_dead_tup"] - prev["n_dead_tup"]) / dt_s)):
+                    old = churn if name == "churn" else dead
+                    value = now if old is None else alpha * now + (1 - alpha) * old
+                    churn, dead = (value, dead) if name == "churn" else (churn, value)
+        peak = fraction if boundary or peak is None else max(peak, fraction)
+        debt_high = cur["n_dead_tup"] / (h["def_vac_threshold"] + h["def_vac_scale_factor"] * cur["reltuples"]) > 1
+        run = cur.get("last_autovacuum")
+        running_now = run is not None and (h["collected_at"] - run).total_seconds() < window
+        now = None if not debt_high else "io_limited" if running_now else "config"
+        streak = 0 if now is None else streak + 1 if now == cand else 1
+        cand = now
+    return {"churn_rate": churn, "dead_accum_rate": dead, "f_peak_current": peak, "saturation_candidate": cand, "saturation_streak": streak}
+
+
+@pytest.mark.parametrize("size", [3, 1000])
+def test_running_totals_equal_plain_windows(spark, size):
+    """Buckets of any size, ties between buckets excluded, NULL values and NULL keys."""
+    from vacfleet.operators.sequence import first_within, running
+    rows = [(None if k == 2 else k, t, (t * 7 + k) % 11 if t % 4 else None) for k in range(4) for t in range(60)]
+    df = spark.createDataFrame(rows, "k int, t long, v long")
+    w = W.partitionBy("k").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
+    want = df.select("*", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("s"), F.min("v").over(w).alias("lo"), F.max("v").over(w).alias("hi"))
+    got = running(df, ["k"], ["t"], F.floor(F.col("t") / size), {"s": ("sum", F.col("v")), "lo": ("min", F.col("v")), "hi": ("max", F.col("v"))})
+    _same(got, want)
+    keyed = df.filter("k is not null and (t < 20 or t % 9 = 0)")
+    r = W.partitionBy("k").orderBy("t").rangeBetween(-size, 0)
+    _same(first_within(keyed, ["k"], "t", "t", size, ["t", "v"]).select("k", "t", "first_t"),
+          keyed.select("k", "t", F.min("t").over(r).alias("first_t")))
+
+
 def test_backfill_of_an_empty_history(spark):
     from vacfleet.operators import backfill
     i = inputs(spark, SF)

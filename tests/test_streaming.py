@@ -100,22 +100,25 @@ def test_control_tick_foreach_batch_equals_backfill(spark):
     samples, snaps = _short_history(i)
     last = snaps.agg(F.max("snapshot_id")).first()[0]
     snaps = snaps.filter((F.col("cluster_id") == "n1") | (F.col("snapshot_id") < last))
+    samples.write.partitionBy("collected_day").parquet(samples_path)
+    samples = spark.read.parquet(samples_path)
     snaps.write.parquet(snaps_path)
-    samples.write.parquet(samples_path)
-    samples, snaps = spark.read.parquet(samples_path), spark.read.parquet(snaps_path)
-    run = jobs.control_tick_batch(root, snaps_path, samples_path, i.policy)
-    recent = snaps.filter(F.col("snapshot_id") > last - 3).select("cluster_id", "snapshot_id")
-    first = recent.groupBy("cluster_id").agg(F.min("snapshot_id").alias("_p"))
-    jobs.start_control_state(backfill.control_state(samples, snaps, i.policy, before=first), root)
-    run(recent.filter(F.col("snapshot_id") < last), 0)
-    newest = recent.filter(F.col("snapshot_id") == last)
-    run(newest, 1)
-    run(newest, 1)                                   # replayed after a failure: idempotent
+    snaps = spark.read.parquet(snaps_path)
+    run = jobs.control_tick_batch(root, samples_path, i.policy)
+    run(snaps.filter(F.col("snapshot_id") < last - 2), 0)      # several headers a cluster
+    run(snaps.filter(F.col("snapshot_id") == last - 2), 1)     # one each
+    run(snaps.filter(F.col("snapshot_id").between(last - 4, last - 1)), 2)   # some came before
+    newest = snaps.filter(F.col("snapshot_id") == last)
+    run(newest, 3)
+    run(newest, 3)                                   # replayed after a failure: idempotent
+    run(newest, 4)                                   # delivered again: no tick
     want = backfill.control_state(samples, snaps, i.policy)
-    for name, keep in (("estimate", ["churn_rate", "f_trigger_ewma", "saturation_streak"]),
-                       ("class", ["kind", "candidate", "candidate_streak"])):
-        cols = ["cluster_id", "relid", *keep]
-        _same(jobs.state_version(spark, root, name).select(cols), want.select(cols))
+    got = backfill.settled(jobs.state_version(spark, root, "state"), jobs.state_version(spark, root, "headers"))
+    fields = [n for n, _ in backfill.FIELDS]
+    got = got.select("cluster_id", "relid", *[F.col("_state").getField(n).alias(n) for n in fields])
+    _same(got, want.select(got.columns))
+    cols = ["cluster_id", "relid", "churn_rate", "f_trigger_ewma", "saturation_streak"]
+    _same(jobs.state_version(spark, root, "estimate").select(cols), want.select(cols))
 
 
 def test_tier_upsert_foreach_batch_equals_batch(spark):

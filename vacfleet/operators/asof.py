@@ -48,14 +48,6 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: str | Column,
     return agg.select(*keys, *[F.col("_r").getField(c).alias(c) for c in cols])
 
 
-def oldest_per_key(df: DataFrame, keys: Sequence[str], order: str | Column,
-                   cols: Sequence[str] | None = None) -> DataFrame:
-    cols = list(cols or [c for c in df.columns if c not in keys])
-    o = F.col(order) if isinstance(order, str) else order
-    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), o).alias("_r"))
-    return agg.select(*keys, *[F.col("_r").getField(c).alias(c) for c in cols])
-
-
 STATE_COLS = [
     "collected_day", "schemaname", "relname",
     "n_live_tup", "n_dead_tup", "n_mod_since_analyze", "n_ins_since_vacuum",
@@ -94,6 +86,13 @@ def state_and_previous(samples: DataFrame, snapshots: DataFrame,
     return g.select(*out)
 
 
+def known_relations(samples: DataFrame, tgt: DataFrame) -> DataFrame:
+    """KEY of the relations stored at or before each cluster's target: keys only, combined in
+    each task before the shuffle."""
+    return (samples.select(*ENTITY, "snapshot_id").join(F.broadcast(tgt), "cluster_id")
+            .filter(F.col("snapshot_id") <= F.col("_p")).select(*ENTITY).distinct())
+
+
 def header_at(snapshots: DataFrame, as_of=None) -> DataFrame:
     """The header row of each cluster's target snapshot: one row per cluster, so the
     result is bounded by the fleet size and is the broadcast side of header joins."""

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vacfleet import params as P
 from vacfleet.functions import exprs as X
 from vacfleet.operators import asof
+from vacfleet.operators.sequence import first_within
 
 KEY = ["cluster_id", "relid"]
 CLASS_COLS = ["cluster_id", "relid", "schemaname", "relname", "kind", "source", "candidate",
@@ -128,18 +128,16 @@ def classify_trailing(samples: DataFrame, snapshots: DataFrame, window_s: int,
     collection time) classified by the same rule, plus the window's write rate.
 
     Counters are cumulative, so the window's writes are the difference between the
-    current sample and the oldest sample inside the window (a range frame per relation;
-    a relation's samples are bounded by the raw retention window).
+    current sample and the oldest sample inside the window (``sequence.first_within``: a task
+    sorts two windows of a relation, not its history).
     """
     hdr = snapshots.select("cluster_id", "snapshot_id", "collected_at")
-    s = samples.join(hdr, ["cluster_id", "snapshot_id"]).withColumn(
-        "_t", F.floor(X.epoch_seconds("collected_at")).cast("long"))
-    w = W.partitionBy(*KEY).orderBy("_t").rangeBetween(-int(window_s), 0)
-    first = F.min_by(F.struct("n_tup_ins", "n_tup_upd", "n_tup_del"), "_t").over(w)
-    s = s.withColumn("_f", first)
-    din = F.greatest(F.col("n_tup_ins") - F.col("_f.n_tup_ins"), F.lit(0))
-    dupd = F.greatest(F.col("n_tup_upd") - F.col("_f.n_tup_upd"), F.lit(0))
-    ddel = F.greatest(F.col("n_tup_del") - F.col("_f.n_tup_del"), F.lit(0))
+    s = (samples.select(*KEY, "snapshot_id", *PREV_COLS).join(hdr, ["cluster_id", "snapshot_id"])
+         .withColumn("_t", F.floor(X.epoch_seconds("collected_at")).cast("long")).drop("collected_at"))
+    s = first_within(s, KEY, "_t", "snapshot_id", int(window_s), PREV_COLS)
+    din = F.greatest(F.col("n_tup_ins") - F.col("first_n_tup_ins"), F.lit(0))
+    dupd = F.greatest(F.col("n_tup_upd") - F.col("first_n_tup_upd"), F.lit(0))
+    ddel = F.greatest(F.col("n_tup_del") - F.col("first_n_tup_del"), F.lit(0))
     out = s.select(*KEY, "snapshot_id", din.alias("din"), dupd.alias("dupd"), ddel.alias("ddel"))
     out = out.withColumn("write_rate", (F.col("din") + F.col("dupd") + F.col("ddel"))
                          / F.lit(float(window_s)))

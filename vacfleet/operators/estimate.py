@@ -10,12 +10,12 @@ row per cluster (broadcast).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vacfleet import params as P
 from vacfleet.functions import exprs as X
 from vacfleet.operators import asof, debt
+from vacfleet.operators.sequence import previous_row, running
 
 KEY = ["cluster_id", "relid"]
 PREV_COLS = ["n_tup_ins", "n_tup_upd", "n_tup_del", "n_dead_tup", "autovacuum_count",
@@ -163,13 +163,12 @@ def estimate_tick(samples: DataFrame, snapshots: DataFrame, prior: DataFrame | N
 
 def burstiness(samples: DataFrame) -> DataFrame:
     """Stddev / mean of the gaps between consecutive maintenance runs per relation
-    (distinct last_autovacuum instants in time order). The window holds one relation's
-    distinct run times, at most one per stored sample (bounded by the retention window)."""
+    (distinct last_autovacuum instants in time order), found month by month with a carry."""
     runs = samples.filter(F.col("last_autovacuum").isNotNull()).select(
         *KEY, "last_autovacuum").distinct()
-    w = W.partitionBy(*KEY).orderBy("last_autovacuum")
-    gaps = runs.withColumn("gap", X.seconds_between(
-        "last_autovacuum", F.lag("last_autovacuum").over(w))).filter(F.col("gap").isNotNull())
+    gaps = previous_row(runs, KEY, ["last_autovacuum"], X.epoch_month("last_autovacuum"), ["last_autovacuum"])
+    gaps = gaps.withColumn("gap", X.seconds_between(
+        "last_autovacuum", "prev_last_autovacuum")).filter(F.col("gap").isNotNull())
     g = gaps.groupBy(*KEY).agg(F.count("*").alias("n_gaps"),
                                F.avg("gap").alias("mean_gap_s"),
                                F.stddev_samp("gap").alias("sd_gap_s"))
@@ -180,14 +179,13 @@ def maintenance_lag(debt_series: DataFrame) -> DataFrame:
     """Per relation and snapshot, seconds since the vacuum debt ratio first crossed 1
     after the most recent maintenance run (gaps and islands over the debt series).
 
-    ``debt_series`` has KEY, snapshot_id, collected_at, vacuum_debt_ratio, last_autovacuum.
-    A window group is one relation's samples between two maintenance runs, at most one
-    per snapshot of the retention window.
+    ``debt_series`` has KEY, snapshot_id, collected_day, collected_at, vacuum_debt_ratio,
+    last_autovacuum. The first crossing is a running minimum carried from day to day, so a
+    task holds one relation's day.
     """
-    w = W.partitionBy(*KEY, "last_autovacuum").orderBy("snapshot_id").rowsBetween(
-        W.unboundedPreceding, W.currentRow)
     over = F.col("vacuum_debt_ratio") > 1
-    first_cross = F.min(F.when(over, F.col("collected_at"))).over(w)
-    return debt_series.select(
+    d = running(debt_series, [*KEY, "last_autovacuum"], ["snapshot_id"], F.col("collected_day"),
+                {"_first_cross": ("min", F.when(over, F.col("collected_at")))})
+    return d.select(
         *KEY, "snapshot_id", "vacuum_debt_ratio",
-        F.when(over, X.seconds_between("collected_at", first_cross)).alias("maintenance_lag_s"))
+        F.when(over, X.seconds_between("collected_at", "_first_cross")).alias("maintenance_lag_s"))

@@ -12,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vacfleet import params as P
 from vacfleet.functions import exprs as X
+from vacfleet.operators.sequence import previous_row
 
 RUN = ["arm", "fixture", "scenario", "seed", "probe_sf"]
 CELL = ["fixture", "scenario", "seed"]
@@ -277,26 +278,51 @@ def interval_check(run_meta: DataFrame) -> DataFrame:
                     (F.col("n_intervals") == 1).alias("consistent"))
 
 
-def coverage(run_meta: DataFrame, seeds: Sequence[int], required_arms: Sequence[str]) -> DataFrame:
-    """Every (fixture, scenario) of the campaign times the planned seeds; a cell is
-    'missing' without runs, 'incomplete' when a required arm has no run."""
-    fs = run_meta.select("fixture", "scenario").distinct().withColumn(
-        "seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    have = run_meta.groupBy(*CELL).agg(F.array_sort(F.collect_set("arm")).alias("arms"))
-    req = F.array(*[F.lit(a) for a in sorted(required_arms)])
-    j = fs.join(have, CELL, "left")
-    missing = F.array_except(req, F.coalesce(F.col("arms"), F.array().cast("array<string>")))
-    return j.select(*CELL,
-                    F.when(F.col("arms").isNull(), F.lit("missing"))
-                     .when(F.size(missing) > 0, F.lit("incomplete"))
-                     .otherwise(F.lit("complete")).alias("status"),
-                    F.array_join(missing, ",").alias("missing_arms"))
+def campaign_plan(spark: SparkSession, arms: Sequence[str], fixtures: Sequence[str],
+                  scenarios: Sequence[str], seeds: Sequence[int], oracle: str | None = None) -> DataFrame:
+    """The planned trials of a campaign (arm, fixture, scenario, seed): every arm, and the oracle
+    sweep, on every cell of the matrix."""
+    lists = {"arm": [*arms, *([oracle] if oracle else [])], "fixture": fixtures, "scenario": scenarios, "seed": seeds}
+    plan = spark.range(1).select(F.lit(None).alias("_"))
+    for name, values in lists.items():
+        kind = "int" if name == "seed" else "string"
+        plan = plan.withColumn(name, F.explode(F.array(*[F.lit(v).cast(kind) for v in values]).cast(f"array<{kind}>")))
+    return plan.drop("_").distinct()
+
+
+def complete_runs(run_meta: DataFrame, artifacts: DataFrame, needs: dict[str, str]) -> DataFrame:
+    """The runs that left what their arm needs: ``needs`` names an artifact by arm (an oracle sweep
+    is complete with its best table), ``artifacts`` lists (run_id, artifact). Arms that it does not
+    name need their metadata only."""
+    if not needs:
+        return run_meta
+    wants = F.create_map(*[F.lit(x) for pair in needs.items() for x in pair])
+    r = run_meta.withColumn("_needs", F.try_element_at(wants, F.col("arm")))
+    have = artifacts.select("run_id", F.col("artifact").alias("_needs")).distinct()
+    return (r.filter("_needs is null").unionByName(r.filter("_needs is not null").join(have, ["run_id", "_needs"], "left_semi"))
+            .drop("_needs"))
+
+
+def newest_run(runs: DataFrame) -> DataFrame:
+    """Newest run per (arm, fixture, scenario, seed); run ids sort by time."""
+    return runs.groupBy("arm", *CELL).agg(F.max("run_id").alias("run_id"),
+                                          F.count("*").alias("n_runs"))
 
 
-def newest_run(run_meta: DataFrame) -> DataFrame:
-    """Newest run per (arm, fixture, scenario, seed); run ids sort by time."""
-    return run_meta.groupBy("arm", *CELL).agg(F.max("run_id").alias("run_id"),
-                                               F.count("*").alias("n_runs"))
+def pending_trials(plan: DataFrame, runs: DataFrame) -> DataFrame:
+    """The planned trials without a complete run: what a campaign has still to do."""
+    return plan.join(runs, ["arm", *CELL], "left_anti")
+
+
+def coverage(plan: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every planned cell: 'missing' where no planned trial has a complete run, 'incomplete'
+    where some have none (``missing_arms``), else 'complete'. Runs outside the plan do not count."""
+    done = plan.join(newest_run(runs).select("arm", *CELL, F.lit(True).alias("_done")), ["arm", *CELL], "left")
+    g = done.groupBy(*CELL).agg(F.count("_done").alias("_n"), F.array_sort(F.collect_set(  # the plan's arms
+        F.when(F.col("_done").isNull(), F.col("arm")))).alias("_missing"))
+    return g.select(*CELL, F.when(F.col("_n") == 0, F.lit("missing"))
+                    .when(F.size("_missing") > 0, F.lit("incomplete")).otherwise(F.lit("complete")).alias("status"),
+                    F.array_join("_missing", ",").alias("missing_arms"))
 
 
 def tolerance_join(left: DataFrame, right: DataFrame, lkey: str, rkey: str,
@@ -316,10 +342,17 @@ def weighted_median(df: DataFrame, groups: Sequence[str], value: str, weight: st
                     width: float) -> DataFrame:
     """First value (ascending) whose cumulative weight reaches half the total.
 
-    Weights are summed as decimals (nine places), so sums do not depend on their order and
-    each group has exactly one median; twice the weights are compared with the total."""
-    w = F.col(weight).cast("decimal(28,9)")
-    rows = df.filter(w > 0)
+    Weights are summed as decimals, so sums do not depend on their order and each group has
+    exactly one median; twice the weights are compared with the total. They are scaled by the
+    group's largest weight, so that small ones count whatever their unit."""
+    top = df.filter(F.col(weight) > 0).groupBy(*groups).agg(F.max(weight).alias("_top"))
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
+    j = df.alias("l").join(top.alias("r"), same).select("l.*", "r._top")
+    w = (F.col(weight).cast("double") / F.col("_top").cast("double")).cast("decimal(28,15)")
+    rows = j.filter(w > 0).withColumn("_w", w)
+    w = F.col("_w")
     tg = rows.groupBy(*groups).agg(F.sum(w).alias("tgt")).select(
         *groups, F.lit("median").alias("name"), "tgt")
     r, _ = first_reaching(rows, groups, value, w + w, tg, width)
@@ -359,14 +392,13 @@ def phase_split(series: DataFrame, window_s: int, shift_s: int) -> DataFrame:
 
 
 def safety_monotone(checkpoints: DataFrame, keys: Sequence[str], order: str,
-                    frozen: str) -> DataFrame:
+                    frozen: str, bucket: str) -> DataFrame:
     """The frozen-id horizon of a table never moves backward between checkpoints.
-    The window holds one table's checkpoints (one per sample), bounded by the run length."""
-    w = W.partitionBy(*keys).orderBy(order)
-    d = checkpoints.withColumn("_prev", F.lag(frozen).over(w))
+    ``bucket`` (a day, say) cuts a table's checkpoints along ``order``."""
+    d = previous_row(checkpoints.select(*keys, order, frozen, bucket), keys, [order], F.col(bucket), [frozen])
     return d.groupBy(*keys).agg(
         F.count("*").alias("checkpoints"),
-        F.count_if(F.col(frozen) < F.col("_prev")).alias("regressions")).withColumn(
+        F.count_if(F.col(frozen) < F.col(f"prev_{frozen}")).alias("regressions")).withColumn(
         "monotone", F.col("regressions") == 0)
 
 

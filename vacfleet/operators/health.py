@@ -8,13 +8,13 @@ the left side of every join so a cluster with no actions or ticks still gets a r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacfleet import params as P
 from vacfleet.functions import exprs as X
 from vacfleet.operators.classify import active_policy
+from vacfleet.operators.sequence import previous_row, running
 
 HOUR, DAY = 3600, 86400
 
@@ -118,20 +118,25 @@ def governor_metrics(actions: DataFrame, snapshots: DataFrame, ticks: DataFrame,
 
 
 def _cand(state, reason, ordinal):
-    return F.struct(X.health_ordinal(state).alias("o"), state.alias("state"),
-                    reason.alias("reason"), F.lit(ordinal).alias("signal"))
+    return F.struct(X.health_ordinal(state).alias("o"), reason.isNotNull().alias("said"),
+                    F.lit(-ordinal).alias("early"), state.alias("state"), reason.alias("reason"))
 
 
-def health_candidates(metrics: DataFrame, policy: DataFrame | None = None,
-                      params: P.Params = P.DEFAULT) -> DataFrame:
-    """The nine (state, reason) candidates per cluster: a baseline and eight signals."""
-    m = metrics
+def with_budget(df: DataFrame, policy: DataFrame | None, params: P.Params = P.DEFAULT) -> DataFrame:
+    """Add the active policy's daily mutation budget, or the default (``_budget``)."""
     if policy is not None:
         pol = active_policy(policy).select("cluster_id", "daily_mutation_budget")
-        m = m.join(F.broadcast(pol), "cluster_id", "left")
+        df = df.join(F.broadcast(pol), "cluster_id", "left")     # one row per cluster
     else:
-        m = m.withColumn("daily_mutation_budget", F.lit(None).cast("int"))
-    budget = F.coalesce(F.col("daily_mutation_budget"), F.lit(params.daily_mutation_budget))
+        df = df.withColumn("daily_mutation_budget", F.lit(None).cast("int"))
+    return df.withColumn("_budget", F.coalesce(F.col("daily_mutation_budget"),
+                                               F.lit(params.daily_mutation_budget))).drop("daily_mutation_budget")
+
+
+def worst_candidate(params: P.Params = P.DEFAULT) -> Column:
+    """D23 (T2): the worst of the nine (state, reason) candidates, a baseline and eight signals;
+    among equals a non-NULL reason, then the earlier signal."""
+    budget = F.col("_budget")
     lag, clag = F.col("observation_lag_s"), F.col("control_loop_lag_s")
     fmt = lambda s, *c: F.format_string(s, *c)
     n = lambda c: F.col(c)
@@ -170,19 +175,15 @@ def health_candidates(metrics: DataFrame, policy: DataFrame | None = None,
                      fmt(REASON["load_shed"], n("connection_pressure_pct").cast("long"),
                          n("client_backends"), n("max_connections"))), 8),
     ]
-    return m.select("cluster_id", F.explode(F.array(*cands)).alias("c")).select(
-        "cluster_id", "c.*")
+    return F.array_max(F.array(*cands))
 
 
 def evaluate_health(metrics: DataFrame, policy: DataFrame | None = None,
                     params: P.Params = P.DEFAULT) -> DataFrame:
-    """D23 (T2): the worst candidate wins; among equals a non-NULL reason, then the
-    earlier signal."""
-    c = health_candidates(metrics, policy, params)
-    order = F.struct(F.col("o"), F.col("reason").isNotNull().cast("int"), -F.col("signal"))
-    g = c.groupBy("cluster_id").agg(F.max_by(F.struct("state", "reason"), order).alias("_w"))
-    return g.select("cluster_id", F.col("_w.state").alias("state"),
-                    F.col("_w.reason").alias("reason"))
+    """The state and its reason per cluster."""
+    worst = worst_candidate(params)
+    return with_budget(metrics, policy, params).select(
+        "cluster_id", worst.getField("state").alias("state"), worst.getField("reason").alias("reason"))
 
 
 def override_floor(computed: DataFrame, override_events: DataFrame) -> DataFrame:
@@ -192,41 +193,125 @@ def override_floor(computed: DataFrame, override_events: DataFrame) -> DataFrame
           .agg(F.max_by(F.struct("action", "forced_state", "forced_reason"),
                         F.struct("event_at", "action", "forced_state", "forced_reason"))
                .alias("_e")))
-    forced = F.when((F.col("_e.action") == "force") & (F.col("_e.forced_state") != "normal"),
-                    F.col("_e.forced_state"))
-    j = computed.join(ev, "cluster_id", "left").withColumn("forced", forced)
-    binds = F.col("forced").isNotNull() & (X.health_ordinal("forced") >= X.health_ordinal("state"))
-    return j.select("cluster_id", F.col("state").alias("computed_state"), "forced",
-                    F.when(binds, F.col("forced")).otherwise(F.col("state")).alias("state"),
-                    F.when(binds, F.format_string(REASON["forced"], F.col("forced"),
-                                    F.coalesce(F.col("_e.forced_reason"), F.lit(REASON["no_reason"]))))
-                     .otherwise(F.col("reason")).alias("reason"))
-
-
-def snapshot_health_series(snapshots: DataFrame, params: P.Params = P.DEFAULT) -> DataFrame:
-    """The health state evaluated at every snapshot from the signals a snapshot carries:
-    observation lag (gap to the previous snapshot) and connection pressure. The window is
-    one cluster's snapshots: the collection cadence bounds it, whatever the cluster's size."""
-    w = W.partitionBy("cluster_id").orderBy("snapshot_id")
-    s = snapshots.select("cluster_id", "snapshot_id", "collected_at", "client_backends",
-                         "max_connections")
-    s = (s.withColumn("gap", X.seconds_between("collected_at", F.lag("collected_at").over(w)))
-          .withColumn("pressure", X.safe_div("client_backends", "max_connections")))
-    state = (F.when(F.col("gap") > P.HEALTH_LAG_EMERGENCY_SECS, F.lit("emergency"))
-             .when(F.col("pressure") >= params.load_shed_pct, F.lit("diagnostic"))
-             .when(F.col("gap") > P.HEALTH_LAG_DEGRADED_SECS, F.lit("degraded"))
-             .otherwise(F.lit("normal")))
-    return s.select("cluster_id", "snapshot_id", F.col("collected_at").alias("evaluated_at"),
-                    state.alias("state"))
+    return floored(computed.join(ev, "cluster_id", "left"), "_e").select(
+        "cluster_id", "computed_state", "forced", "state", "reason")
+
+
+def floored(df: DataFrame, event: str) -> DataFrame:
+    """Raise ``state`` (and its ``reason``) to the forced state of ``event`` where that binds."""
+    get = F.col(event).getField
+    forced = F.when((get("action") == "force") & (get("forced_state") != "normal"), get("forced_state"))
+    binds = F.col("forced").isNotNull() & (X.health_ordinal("forced") >= X.health_ordinal("computed_state"))
+    return (df.withColumnRenamed("state", "computed_state").withColumn("forced", forced)
+            .withColumn("state", F.when(binds, F.col("forced")).otherwise(F.col("computed_state")))
+            .withColumn("reason", F.when(binds, F.format_string(
+                REASON["forced"], F.col("forced"), F.coalesce(get("forced_reason"), F.lit(REASON["no_reason"]))))
+                .otherwise(F.col("reason"))))
+
+
+def _later(ts: Column, seconds: int) -> Column:
+    return ts + F.make_dt_interval(secs=F.lit(float(seconds)))
+
+
+def _log(df: DataFrame, at: Column, **values: Column) -> DataFrame:
+    return df.select("cluster_id", at.alias("at"), *[v.alias(k) for k, v in values.items()]).filter("at is not null")
+
+
+def action_steps(actions: DataFrame) -> DataFrame:
+    """What each action adds to the windowed counts when it enters the last hour and the last day,
+    and takes away when it leaves them, summed by cluster and moment."""
+    at, one = F.col("applied_at"), lambda cond: F.coalesce(cond, F.lit(False)).cast("long")
+    failed, lock = one(F.col("status") == "failed"), one(F.col("failure_reason") == "lock_timeout")
+    applied, none = one(F.col("status") == "applied"), F.lit(0).cast("long")
+    steps = F.array(*[F.struct(when.alias("at"), f.alias("failed"), k.alias("locks"), a.alias("applied")) for when, f, k, a in (
+        (at, failed, lock, applied), (_later(at, HOUR), -failed, -lock, none), (_later(at, DAY), none, none, -applied))])
+    return (actions.select("cluster_id", F.inline(steps)).filter("at is not null").groupBy("cluster_id", "at")
+            .agg(*[F.sum(c).alias(c) for c in ("failed", "locks", "applied")]))
+
+
+def oscillation_steps(actions: DataFrame, window_s: int, min_reversals: int,
+                      actuator: str = P.ACTUATOR_SF) -> DataFrame:
+    """When a cluster's number of oscillating relations steps up or down (D16 at every moment).
+
+    A reversal is three consecutive changes; it counts from the third until the first leaves the
+    window. The relation oscillates while ``min_reversals`` of its reversals count."""
+    key = ["cluster_id", "relid"]
+    seq = (actions.filter((F.col("status") == "applied") & (F.col("actuator") == actuator) & (F.col("relid") != 0)
+                          & F.col("applied_at").isNotNull())
+           .select(*key, "action_id", "applied_at", F.col("new_value").try_cast("double").alias("v")))
+    order, day = ["applied_at", "action_id"], X.epoch_day("applied_at")
+    one = previous_row(seq, key, order, day, ["v", "applied_at"]).withColumn("d", F.signum(F.col("v") - F.col("prev_v")))
+    one = one.select(*key, *order, "d", F.col("prev_applied_at").alias("from"))
+    two = previous_row(one, key, order, day, ["d", "from"])
+    ends = _later(F.col("prev_from"), window_s)
+    rev = two.filter((F.col("d") != 0) & (F.col("prev_d") != 0) & (F.col("d") != F.col("prev_d")) & (ends > F.col("applied_at")))
+    steps = rev.select(*key, F.inline(F.array(F.struct(F.col("applied_at").alias("at"), F.lit(1).alias("step")),
+                                              F.struct(ends.alias("at"), F.lit(-1).alias("step")))))
+    steps = steps.groupBy(*key, "at").agg(F.sum("step").alias("step"))
+    n = running(steps, key, ["at"], X.epoch_day("at"), {"n": ("sum", F.col("step"))})
+    change = (F.col("n") >= min_reversals).cast("long") - ((F.col("n") - F.col("step")) >= min_reversals).cast("long")
+    return n.groupBy("cluster_id", "at").agg(F.sum(change).alias("oscillating")).filter("oscillating <> 0")
+
+
+def health_series(snapshots: DataFrame, actions: DataFrame, ticks: DataFrame, inventory: DataFrame | None = None,
+                  override_events: DataFrame | None = None, budget_bytes: int | None = None,
+                  policy: DataFrame | None = None, params: P.Params = P.DEFAULT) -> DataFrame:
+    """The health state at every evaluation of the history: after each snapshot, at the start of
+    each control tick and at each operator event, from all signals as they stood then.
+
+    One sweep over the merged logs: windowed counts are running sums of steps, "newest so far" is a
+    running maximum, both carried from day to day (``sequence.running``), so a task holds one cluster's
+    day. At one moment everything that happened comes before the evaluation. A partition of the
+    inventory counts with its bytes from the start of its range; the policy is the active one."""
+    logs = [action_steps(actions),
+            oscillation_steps(actions, params.oscillation_window_s, params.oscillation_min_reversals),
+            _log(snapshots, F.col("collected_at"), seen=F.col("collected_at"),
+                 head=F.struct("collected_at", "snapshot_id", "client_backends", "max_connections")),
+            _log(ticks, F.col("finished_at"), done=F.col("finished_at"))]
+    if inventory is not None:
+        logs.append(_log(inventory, F.col("range_start"), bytes=F.col("bytes"))
+                    .groupBy("cluster_id", "at").agg(F.sum("bytes").alias("bytes")))
+    moments = [_log(snapshots, F.col("collected_at")), _log(ticks, F.col("started_at"))]
+    if override_events is not None:
+        logs.append(_log(override_events, F.col("event_at"),
+                         force=F.struct("event_at", "action", "forced_state", "forced_reason")))
+        moments.append(_log(override_events, F.col("event_at")))
+    merged, asked = logs[0], moments[0]
+    for x in logs[1:]:
+        merged = merged.unionByName(x, allowMissingColumns=True)
+    for x in moments[1:]:
+        asked = asked.unionByName(x)
+    merged = merged.withColumn("asked", F.lit(0)).unionByName(
+        asked.distinct().withColumn("asked", F.lit(1)), allowMissingColumns=True)
+    for c, t in (("bytes", "long"), ("force", "struct<event_at: timestamp_ntz, action: string, forced_state: string, forced_reason: string>")):
+        if c not in merged.columns:
+            merged = merged.withColumn(c, F.lit(None).cast(t))
+    totals = {c: ("sum", F.col(c)) for c in ("failed", "locks", "applied", "oscillating", "bytes")}
+    totals |= {c: ("max", F.col(c)) for c in ("seen", "done", "head", "force")}
+    swept = running(merged.select("cluster_id", "at", "asked", *totals), ["cluster_id"], ["at", "asked"], X.epoch_day("at"),
+                    {f"{c}_now": v for c, v in totals.items()}).filter("asked = 1")
+    pressure = X.safe_div("head_now.client_backends", "head_now.max_connections")
+    m = swept.select(
+        "cluster_id", F.col("at").alias("evaluated_at"), F.col("force_now").alias("force"),
+        X.seconds_between("at", "seen_now").alias("observation_lag_s"),
+        X.seconds_between("at", "done_now").alias("control_loop_lag_s"),
+        F.col("failed_now").alias("failed_actions_last_hour"), F.col("locks_now").alias("lock_timeouts_last_hour"),
+        (F.lit(budget_bytes).cast("long").isNotNull() & (F.col("bytes_now") > F.lit(budget_bytes).cast("long"))).alias("over_budget"),
+        F.col("applied_now").alias("applied_actions_last_day"), F.col("oscillating_now").alias("oscillating_relations"),
+        pressure.alias("connection_pressure"), X.percent(pressure).alias("connection_pressure_pct"),
+        F.col("head_now.client_backends").alias("client_backends"), F.col("head_now.max_connections").alias("max_connections"))
+    worst = worst_candidate(params)
+    m = with_budget(m, policy, params).select("cluster_id", "evaluated_at", "force", worst.alias("_w"))
+    m = m.select("cluster_id", "evaluated_at", "force", F.col("_w.state").alias("state"), F.col("_w.reason").alias("reason"))
+    return floored(m, "force").select("cluster_id", "evaluated_at", "state", "reason")
 
 
 def state_transitions(series: DataFrame) -> DataFrame:
     """Rows only where the state changes (the first evaluation counts as a change
-    from NULL)."""
-    w = W.partitionBy("cluster_id").orderBy("evaluated_at")
-    s = series.withColumn("from_state", F.lag("state").over(w))
-    return s.filter(~F.col("state").eqNullSafe(F.col("from_state"))).select(
-        "cluster_id", "from_state", F.col("state").alias("to_state"),
+    from NULL); ``series`` has one row per cluster and ``evaluated_at``."""
+    s = previous_row(series, ["cluster_id"], ["evaluated_at"], X.epoch_day("evaluated_at"), ["state"])
+    return s.filter(~F.col("state").eqNullSafe(F.col("prev_state"))).select(
+        "cluster_id", F.col("prev_state").alias("from_state"), F.col("state").alias("to_state"), "reason",
         F.col("evaluated_at").alias("transitioned_at"))
 
 

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vacfleet import params as P
 from vacfleet.functions import exprs as X
 from vacfleet.operators import asof
 from vacfleet.operators.classify import active_policy
-from vacfleet.operators.sequence import previous_row
+from vacfleet.operators.sequence import previous_row, running
 
 KEY = ["cluster_id", "relid"]
 VAC_SF, VAC_THR = "autovacuum_vacuum_scale_factor", "autovacuum_vacuum_threshold"
@@ -129,10 +128,14 @@ def findings(estimates: DataFrame, samples: DataFrame, snapshots: DataFrame, as_
              params: P.Params = P.DEFAULT) -> DataFrame:
     """Saturated or freeze-pinned relations of the snapshot, with severity and advice."""
     tgt = asof.target_snapshot(snapshots, as_of)
-    hdr = asof.header_at(snapshots, tgt).select("cluster_id", "oldest_xmin_owner",
-                                                "oldest_xmin_owner_detail", "oldest_xmin_age")
-    live = asof.state_and_previous(samples, snapshots, tgt).select(*KEY)
-    e = estimates.join(live, KEY, "left_semi").join(F.broadcast(hdr), "cluster_id")
+    live = asof.known_relations(samples, tgt)
+    return findings_of(estimates.join(live, KEY, "left_semi"), asof.header_at(snapshots, tgt), params)
+
+
+def findings_of(estimates: DataFrame, headers: DataFrame, params: P.Params = P.DEFAULT) -> DataFrame:
+    """D14 for estimate rows and their snapshot's header (one row per cluster)."""
+    hdr = headers.select("cluster_id", "oldest_xmin_owner", "oldest_xmin_owner_detail", "oldest_xmin_age")
+    e = estimates.join(F.broadcast(hdr), "cluster_id")
     thr = params.freeze_thr
     frz = (F.col("freeze_debt") > thr) | (F.coalesce(F.col("mxid_freeze_debt"), F.lit(0.0)) > thr)
     owner = F.col("oldest_xmin_owner")
@@ -249,28 +252,34 @@ def static_settings(classes: DataFrame, state: DataFrame) -> DataFrame:
                      .alias("static_threshold"))
 
 
+#: Ticks of a relation that one task sorts (a week of minutes).
+SPAN_TICKS = 10_080
+
+
 def sustained_deviation(decisions: DataFrame, n_sustain: int = P.CLASS_PERSISTENCE_N_SUSTAIN,
                         grid=P.SF_GRID) -> DataFrame:
     """Per relation and tick, how many consecutive ticks proposed the same grid value
     (gaps and islands), the grid-level distance from the previous run's value, and whether
     the proposal may act: the run is at least n long and a direction reversal against the
-    previous move clears two grid levels. A window group is one relation's decisions, one
-    per control tick of the retention window."""
+    previous move clears two grid levels. Previous rows and running totals are taken over
+    ``SPAN_TICKS`` ticks at a time with a carry, so no task holds a relation's whole log."""
     gi = F.array_position(F.array(*[F.lit(float(g)) for g in grid]),
                           F.col("proposed_value").try_cast("double"))
-    d = decisions.select(*KEY, "tick_id", "decision_id", gi.cast("int").alias("level"))
-    w = W.partitionBy(*KEY).orderBy("tick_id", "decision_id")
-    d = d.withColumn("_new", F.coalesce(F.col("level") != F.lag("level").over(w), F.lit(True)))
-    d = d.withColumn("run_id", F.sum(F.col("_new").cast("int")).over(
-        w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    d = d.withColumn("run_len", F.row_number().over(
-        W.partitionBy(*KEY, "run_id").orderBy("tick_id", "decision_id")))
-    runs = d.groupBy(*KEY, "run_id").agg(F.first("level").alias("run_level"))
-    rw = W.partitionBy(*KEY).orderBy("run_id")
-    runs = (runs.withColumn("prev_level", F.lag("run_level").over(rw))
-                .withColumn("prev_dir", F.signum(F.lag("run_level").over(rw)
-                                                 - F.lag("run_level", 2).over(rw))))
-    j = d.join(runs, [*KEY, "run_id"])
+    order, span = ["tick_id", "decision_id"], F.floor(F.col("tick_id") / SPAN_TICKS)
+    d = decisions.select(*KEY, *order, gi.cast("int").alias("level"))
+    d = previous_row(d, KEY, order, span, ["level"])
+    d = d.withColumn("_new", F.coalesce(F.col("level") != F.col("prev_level"), F.lit(True)))
+    d = d.drop("prev_level", "prev_exists")
+    d = running(d, KEY, order, span, {"run_id": ("sum", F.col("_new").cast("int")), "_at": ("sum", F.lit(1))})
+    d = running(d, KEY, order, span, {"_start": ("max", F.when(F.col("_new"), F.col("_at")))})
+    d = d.withColumn("run_len", (F.col("_at") - F.col("_start") + 1).cast("int"))
+    runs = d.filter(F.col("_new")).select(*KEY, "run_id", F.col("level").alias("run_level"))
+    part = F.floor(F.col("run_id") / SPAN_TICKS)
+    runs = previous_row(runs, KEY, ["run_id"], part, ["run_level"]).drop("prev_exists")
+    runs = runs.withColumnRenamed("prev_run_level", "prev_level")
+    runs = previous_row(runs, KEY, ["run_id"], part, ["prev_level"])
+    runs = runs.withColumn("prev_dir", F.signum(F.col("prev_level") - F.col("prev_prev_level")))
+    j = d.join(runs.select(*KEY, "run_id", "prev_level", "prev_dir"), [*KEY, "run_id"])
     step = F.col("level") - F.col("prev_level")
     reversal = F.coalesce((F.signum(step) * F.col("prev_dir")) < 0, F.lit(False))
     need = F.when(reversal, F.lit(2)).otherwise(F.lit(1))

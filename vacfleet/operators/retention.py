@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vacfleet import params as P
 from vacfleet.functions import exprs as X
+from vacfleet.session import store
 
 RAW_RELATION = "relation_samples"
 FINE_RELATIONS = ("rollup_1m",)
@@ -170,17 +171,35 @@ def shedding_plan(inventory: DataFrame, diagnostics: DataFrame, actions: DataFra
          .otherwise(after).cast("long").alias("bytes_after"))
 
 
+#: Doublings of the closure: a tree deeper than 2^30 levels is a cycle.
+MAX_DOUBLINGS = 30
+
+
+def top_of(tree: DataFrame) -> DataFrame:
+    """The topmost ancestor (``top``) of every child of a forest (cluster_id, parent, child).
+
+    Pointer doubling: each round joins every pointer with the pointer of the node it points to, so
+    k rounds cover 2^k levels; each is a stored table, and only a count comes to the driver. A tree
+    with a cycle raises."""
+    up = store(tree.select("cluster_id", "child", F.col("parent").alias("top")).distinct(), "tree_top")
+    for _ in range(MAX_DOUBLINGS):
+        above = up.select("cluster_id", F.col("child").alias("top"), F.col("top").alias("_above"))
+        if above.join(up, ["cluster_id", "top"], "left_semi").isEmpty():
+            return up
+        up = store(up.join(above, ["cluster_id", "top"], "left").select(
+            "cluster_id", "child", F.coalesce("_above", "top").alias("top")), "tree_top")
+    raise ValueError("the partition tree has a cycle")
+
+
 def fold_to_parent(sizes: DataFrame, tree: DataFrame) -> DataFrame:
-    """U3 + J13: bytes and dead tuples per logical relation with its partitions folded in.
-    Members of a top-level relation are itself plus its descendants from the partition
-    tree (parent, child), deduplicated (UNION DISTINCT), then joined to the sizes."""
+    """U3 + J13: bytes and dead tuples per logical relation with all its descendants folded in.
+    Members of a top-level relation are itself plus every partition below it, on any level of the
+    partition tree (cluster_id, parent, child)."""
     tops = sizes.join(tree.select("cluster_id", F.col("child").alias("name")),
                       ["cluster_id", "name"], "left_anti").select("cluster_id", "name")
-    members = (tops.select("cluster_id", F.col("name").alias("top"), F.col("name").alias("member"))
-               .union(tree.join(tops.withColumnRenamed("name", "parent"), ["cluster_id", "parent"])
-                      .select("cluster_id", F.col("parent").alias("top"),
-                              F.col("child").alias("member")))
-               .distinct())
+    below = top_of(tree).withColumnRenamed("child", "member")
+    members = (tops.distinct().select("cluster_id", F.col("name").alias("top"), F.col("name").alias("member"))
+               .unionByName(below.join(tops.withColumnRenamed("name", "top"), ["cluster_id", "top"], "left_semi")))
     j = members.join(sizes.withColumnRenamed("name", "member"), ["cluster_id", "member"], "left")
     return j.groupBy("cluster_id", "top").agg(
         F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"),

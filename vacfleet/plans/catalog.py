@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacfleet import params
 from vacfleet.functions import exprs as X
 from vacfleet.operators import asof, debt
 from vacfleet.plans.inputs import CHUNK_DAYS, inputs
@@ -135,7 +136,6 @@ def q_rollup_incremental(spark, d):
     """The stored tiers after a first run over all but the newest two days and three
     hours of the history and then a run over everything with the default lookback: the
     buckets of both runs, edge buckets whole."""
-    from vacfleet import params
     i = inputs(spark, d)
     root = _stream_dir(spark, "tiers")
     cut = i.snapshots.agg(F.max("collected_at")).scalar() - F.expr("INTERVAL 51 HOURS")
@@ -250,16 +250,31 @@ def q_metrics_roundtrip(spark, d):
 
 @register("run_meta_roundtrip")
 def q_run_meta_roundtrip(spark, d):
-    """The run metadata written as JSON and read back."""
+    """The run metadata written as one JSON document a run, and read back."""
     from vacfleet.sources import io
     path = _stream_dir(spark, "runmeta")
-    inputs(spark, d).run_meta.write.json(path)
-    # one document per line here; the reader's files hold one document each
-    return finish(spark.read.schema(io.RUN_META).json(path).select(
+    io.write_run_meta(inputs(spark, d).run_meta, path)
+    return finish(io.read_run_meta(spark, path).select(
         "run_id", "arm", "fixture", "scenario", "seed", "sample_interval_s",
         "autovacuum_freeze_max_age", "oracle_sf"))
 
 
+@register("sweep_roundtrip")
+def q_sweep_roundtrip(spark, d):
+    """The sweep's probes and best windows written as TSV and read back."""
+    from vacfleet.sources import io
+    path = _stream_dir(spark, "sweep")
+    probes = _p95(spark, d).filter(F.col("arm") == ROLES.oracle).select(
+        F.col("probe_sf").alias("sf"), "win", "p95_us", "tx_count")
+    io.write_tsv(probes, f"{path}/probes")
+    io.write_tsv(_best(spark, d).select("win", "best_sf", "best_p95_us"), f"{path}/best")
+    best = io.read_best(spark, f"{path}/best").groupBy("win").agg(
+        F.count("*").alias("n_best"), F.sum("best_p95_us").alias("best_sum"))
+    got = io.read_probes(spark, f"{path}/probes").groupBy("win", "sf").agg(
+        F.count("*").alias("n"), F.sum("p95_us").alias("p95_sum"), F.sum("tx_count").alias("tx_count"))
+    return finish(got.join(best, "win", "left"))
+
+
 @register("verdict_sink")
 def q_verdict_sink(spark, d):
     """The verdict documents written as JSON and read back, one row per scored window of
@@ -310,16 +325,42 @@ def q_interval_check(spark, d):
     return finish(XP.interval_check(inputs(spark, d).run_meta))
 
 
+#: The planned campaign: one scenario of it was never run, nor was seed 3.
+SCENARIOS, SEEDS = ("steady", "surge"), (0, 1, 2, 3)
+BEST_TABLE = "oracle_best"
+
+
+def _campaign_plan(spark):
+    return XP.campaign_plan(spark, [ROLES.defaults, ROLES.expert, ROLES.candidate], ["events"], SCENARIOS, SEEDS,
+                            oracle=ROLES.oracle)
+
+
+def _complete_runs(spark, d):
+    """The runs whose folders hold what they need. The stand-in's sweeps left a best table but for
+    the one at the greatest scale factor, which is also the newest by its id."""
+    from vacfleet.sources import io
+    i = inputs(spark, d)
+    root = _stream_dir(spark, "runs")
+    io.write_run_meta(i.run_meta, f"{root}/run_meta")
+    swept = i.run_meta.filter((F.col("arm") == ROLES.oracle) & (F.col("oracle_sf") < max(params.SF_GRID)))
+    (swept.select(F.col("run_id").alias("run"), F.concat_ws("\t", F.lit("0"), F.col("oracle_sf").cast("string")).alias("value"))
+     .repartition("run").write.partitionBy("run").text(f"{root}/{BEST_TABLE}"))
+    return XP.complete_runs(i.run_meta, io.list_artifacts(spark, root), {ROLES.oracle: BEST_TABLE})
+
+
 @register("coverage")
 def q_coverage(spark, d):
-    return finish(XP.coverage(inputs(spark, d).run_meta, seeds=[0, 1, 2, 3],
-                              required_arms=[ROLES.defaults, ROLES.expert,
-                                             ROLES.candidate, ROLES.oracle]))
+    return finish(XP.coverage(_campaign_plan(spark), _complete_runs(spark, d)))
+
+
+@register("pending_trials")
+def q_pending_trials(spark, d):
+    return finish(XP.pending_trials(_campaign_plan(spark), _complete_runs(spark, d)))
 
 
 @register("newest_run")
 def q_newest_run(spark, d):
-    return finish(XP.newest_run(inputs(spark, d).run_meta))
+    return finish(XP.newest_run(_complete_runs(spark, d)))
 
 
 @register("tolerance_join")
@@ -365,7 +406,8 @@ def q_phase_split(spark, d):
 @register("safety_monotone")
 def q_safety_monotone(spark, d):
     s = inputs(spark, d).samples
-    return finish(XP.safety_monotone(s, ["cluster_id", "relid"], "snapshot_id", "relfrozenxid"))
+    return finish(XP.safety_monotone(s, ["cluster_id", "relid"], "snapshot_id", "relfrozenxid",
+                                     "collected_day"))
 
 
 @register("proxy_outcome_corr")
@@ -676,7 +718,13 @@ def q_state_transitions(spark, d):
 
 
 def _transitions(i):
-    return H.state_transitions(H.snapshot_health_series(i.snapshots))
+    """Transitions of all signals, the order-derived logs moved onto the telemetry's clock."""
+    from vacfleet.sources import derive as D
+    clock = D.on_telemetry_clock
+    series = H.health_series(
+        i.snapshots, clock(i.actions, "applied_at"), clock(i.ticks, "started_at", "finished_at"),
+        clock(i.inventory, "range_start", "range_end"), clock(i.override_events, "event_at"), BUDGET_BYTES, i.policy)
+    return H.state_transitions(series)
 
 
 @register("failure_taxonomy")
@@ -785,14 +833,17 @@ def q_plannable_snapshot(spark, d):
 
 @register("storage_by_parent")
 def q_storage_by_parent(spark, d):
-    """U3/J13 over the inventory: partitions and their parent tables as catalog rows."""
+    """U3/J13 over the inventory as a tree of three levels: a table, its years, their months."""
     inv = inputs(spark, d).inventory
+    year = F.concat(F.col("relation"), F.lit("_y"), F.date_format("range_start", "yyyy"))
     parts = inv.select("cluster_id", F.col("partition").alias("name"), "bytes", "dead_tuples")
-    parents = inv.select("cluster_id", F.col("relation").alias("name")).distinct().select(
+    inner = inv.select("cluster_id", F.explode(F.array("relation", year)).alias("name")).distinct().select(
         "cluster_id", "name", F.lit(8192).cast("long").alias("bytes"),
         F.lit(0).cast("long").alias("dead_tuples"))
-    tree = inv.select("cluster_id", F.col("relation").alias("parent"), F.col("partition").alias("child"))
-    return finish(RET.fold_to_parent(parts.unionByName(parents), tree))
+    tree = inv.select("cluster_id", F.inline(F.array(
+        F.struct(F.col("relation").alias("parent"), year.alias("child")),
+        F.struct(year.alias("parent"), F.col("partition").alias("child")))))
+    return finish(RET.fold_to_parent(parts.unionByName(inner), tree))
 
 
 # ---- streaming forms under the same gate ----------------------------------------------------
@@ -855,37 +906,42 @@ def q_stream_tier_upsert(spark, d):
     return finish(spark.read.parquet(f"{root}/tiers/rollup_1d").select(*R.TIER_COLS))
 
 
-REPLAYED = 3       # newest snapshots that the streaming query replays
-
-
-@register("stream_control_tick")
-def q_stream_control_tick(spark, d):
-    """ST4/ST5/ST7: a stream that starts from the state of the stored history and replays
-    each cluster's newest ``REPLAYED`` snapshot headers; each micro-batch runs the
-    foreachBatch control tick (classify, estimate, findings reconcile) against versioned
-    state tables. Returns the newest estimate version."""
-    from pyspark.sql import Window as W
-
+def _control_stream(spark, d):
+    """Every snapshot header of the history as a stream through the control tick, some days a
+    micro-batch, from nothing: the folder of the state tables it leaves."""
     from vacfleet.streaming import jobs
     i = inputs(spark, d)
     root = _stream_dir(spark, "st4")
-    heads = (i.snapshots.select("cluster_id", "snapshot_id")
-             .withColumn("_k", F.row_number().over(
-                 W.partitionBy("cluster_id").orderBy(F.col("snapshot_id").desc())))
-             .filter(F.col("_k") <= REPLAYED).drop("_k"))
-    heads.write.parquet(f"{root}/ticks")
     i.snapshots, i.samples                                      # stored before paths are read
-    snaps_path, samples_path = i.paths["snapshots"], i.paths["relation_samples"]
-    src = spark.readStream.schema(heads.schema).parquet(f"{root}/ticks")
-    first = spark.read.parquet(f"{root}/ticks").groupBy("cluster_id").agg(
-        F.min("snapshot_id").alias("_p"))
-    jobs.start_control_state(BF.control_state(i.samples, i.snapshots, i.policy, before=first,
-                                              chunk_days=CHUNK_DAYS), f"{root}/state")
-    q = (src.writeStream.foreachBatch(jobs.control_tick_batch(f"{root}/state", snaps_path,
-                                                              samples_path, i.policy))
+    chunk = F.floor(F.col("collected_day") / CHUNK_DAYS)
+    first = i.snapshots.agg(F.min(chunk)).first()[0]
+    last = i.snapshots.agg(F.max(chunk)).first()[0]
+    for c in range(first, last + 1):                            # files in the order of collection
+        i.snapshots.filter(chunk == c).coalesce(1).write.mode("append").parquet(f"{root}/headers")
+    src = (spark.readStream.schema(i.snapshots.schema).option("maxFilesPerTrigger", 1)
+           .parquet(f"{root}/headers"))
+    q = (src.writeStream.foreachBatch(jobs.control_tick_batch(f"{root}/state", i.paths["relation_samples"], i.policy))
          .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
-    return finish(jobs.state_version(spark, f"{root}/state", "estimate").select(*EST.ESTIMATE_COLS))
+    return f"{root}/state"
+
+
+@register("stream_control_tick")
+def q_stream_control_tick(spark, d):
+    """ST4/ST5: all headers streamed, state tables carried from micro-batch to micro-batch;
+    the newest estimate version."""
+    from vacfleet.streaming import jobs
+    return finish(jobs.state_version(spark, _control_stream(spark, d), "estimate").select(*EST.ESTIMATE_COLS))
+
+
+@register("stream_control_state")
+def q_stream_control_state(spark, d):
+    """ST4/ST5: the state that the stream over all headers leaves: that of ``control_state``."""
+    from vacfleet.streaming import jobs
+    root = _control_stream(spark, d)
+    state = BF.settled(jobs.state_version(spark, root, "state"), jobs.state_version(spark, root, "headers"))
+    return finish(state.select(*BF.KEY, "schemaname", "relname",
+                               *[F.col("_state").getField(n).alias(n) for n, _ in BF.FIELDS]))
 
 
 @register("admit_over_ticks")

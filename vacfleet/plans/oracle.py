@@ -510,6 +510,11 @@ FROM metrics""")
 q("run_meta_roundtrip", ["run_meta"], """
 SELECT run_id, arm, fixture, scenario, seed, sample_interval_s, autovacuum_freeze_max_age,
   round(oracle_sf, 6) AS oracle_sf FROM run_meta""")
+q("sweep_roundtrip", ["p95", "best"], """
+SELECT p.win, round(p.probe_sf, 6) AS sf, count(*) AS n, sum(p95_us) AS p95_sum, sum(tx_count) AS tx_count,
+  max(n_best) AS n_best, max(best_sum) AS best_sum
+FROM p95 p LEFT JOIN (SELECT win, count(*) AS n_best, sum(best_p95_us) AS best_sum FROM best GROUP BY 1) b USING (win)
+WHERE arm = 'signup' GROUP BY p.win, p.probe_sf""")
 q("verdict_sink", ["verdicts", "gaps"], """
 SELECT g.fixture, g.scenario, g.seed, v.verdict, g.win AS "window", round(g.gap_closed, 6) AS gap_closed, g.dropped
 FROM gaps g JOIN verdicts v USING (fixture, scenario, seed)""")
@@ -541,21 +546,25 @@ SELECT {_CELL}, count(*) AS n_runs, count(DISTINCT sample_interval_s) AS n_inter
   count(DISTINCT sample_interval_s) = 1 AS consistent
 FROM run_meta GROUP BY {_CELL}""")
 
-q("coverage", ["run_meta"], f"""
-WITH fs AS (SELECT DISTINCT fixture, scenario FROM run_meta),
-     k AS (SELECT fixture, scenario, CAST(s AS INTEGER) AS seed FROM fs, (VALUES (0), (1), (2), (3)) t(s)),
-     have AS (SELECT {_CELL}, list(DISTINCT arm) AS arms FROM run_meta GROUP BY {_CELL}),
-     m AS (SELECT k.*, have.arms,
-             list_filter(['click', 'purchase', 'signup', 'view'],
-                         lambda a: NOT list_contains(COALESCE(have.arms, []), a)) AS miss
-           FROM k LEFT JOIN have USING ({_CELL}))
-SELECT {_CELL}, CASE WHEN arms IS NULL THEN 'missing' WHEN len(miss) > 0 THEN 'incomplete'
+cte("complete_runs", ["run_meta"], "SELECT * FROM run_meta WHERE arm <> 'signup' OR oracle_sf < 0.5")
+cte("trials", [], """
+SELECT arm, 'events' AS fixture, scenario, CAST(seed AS INTEGER) AS seed
+FROM (VALUES ('view'), ('click'), ('purchase'), ('signup')) a(arm), (VALUES ('steady'), ('surge')) b(scenario),
+     (VALUES (0), (1), (2), (3)) c(seed)""")
+q("coverage", ["trials", "complete_runs"], f"""
+WITH t AS (SELECT *, EXISTS (SELECT 1 FROM complete_runs r WHERE r.arm = t.arm AND r.fixture = t.fixture
+             AND r.scenario = t.scenario AND r.seed = t.seed) AS done FROM trials t)
+SELECT {_CELL}, CASE WHEN count(*) FILTER (done) = 0 THEN 'missing' WHEN count(*) FILTER (NOT done) > 0 THEN 'incomplete'
                      ELSE 'complete' END AS status,
-       array_to_string(miss, ',') AS missing_arms
-FROM m""")
+  COALESCE(string_agg(arm, ',' ORDER BY arm) FILTER (NOT done), '') AS missing_arms
+FROM t GROUP BY {_CELL}""")
 
-q("newest_run", ["run_meta"], f"""
-SELECT arm, {_CELL}, max(run_id) AS run_id, count(*) AS n_runs FROM run_meta
+q("pending_trials", ["trials", "complete_runs"], """
+SELECT * FROM trials t WHERE NOT EXISTS (SELECT 1 FROM complete_runs r WHERE r.arm = t.arm
+  AND r.fixture = t.fixture AND r.scenario = t.scenario AND r.seed = t.seed)""")
+
+q("newest_run", ["complete_runs"], f"""
+SELECT arm, {_CELL}, max(run_id) AS run_id, count(*) AS n_runs FROM complete_runs
 GROUP BY arm, {_CELL}""")
 
 q("tolerance_join", ["best", "run_meta"], f"""
@@ -1002,7 +1011,8 @@ SELECT * FROM rec""")
 cte("c_b1", ["c_all", "tgt"], """
 SELECT c.* FROM c_all c JOIN tgt USING (cluster_id) WHERE c.snapshot_id < tgt.p
 QUALIFY row_number() OVER (PARTITION BY c.cluster_id, c.relid ORDER BY c.k DESC) = 1""")
-q("control_state", ["e_all", "c_all", "cur"], """
+for _name in ("control_state", "stream_control_state"):
+    q(_name, ["e_all", "c_all", "cur"], """
 SELECT e.cluster_id, e.relid, s.schemaname, s.relname, round(churn_rate, 6) AS churn_rate,
   round(dead_accum_rate, 6) AS dead_accum_rate, round(growth_rate, 6) AS growth_rate,
   round(f_peak_current, 6) AS f_peak_current, round(f_trigger_ewma, 6) AS f_trigger_ewma,
@@ -1287,35 +1297,39 @@ LEFT JOIN s USING (cluster_id) LEFT JOIN t USING (cluster_id) LEFT JOIN o USING
 _ORD = ("CASE {s} WHEN 'normal' THEN 0 WHEN 'degraded' THEN 1 WHEN 'diagnostic' THEN 2 "
         "WHEN 'emergency' THEN 3 WHEN 'disabled' THEN 4 END")
 
-cte("health", ["gmetrics", "active_policy"], """
+def _health_sql(source: str, key: str) -> str:
+    return ("""
 WITH m AS (SELECT g.*, COALESCE(ap.daily_mutation_budget, 500) AS budget
-           FROM gmetrics g LEFT JOIN active_policy ap USING (cluster_id)),
+           FROM {source} g LEFT JOIN active_policy ap USING (cluster_id)),
  c AS (
-  SELECT cluster_id, 'normal' AS state, 'all self-monitoring signals within bounds' AS reason, 0 AS sig FROM m
-  UNION ALL SELECT cluster_id,
+  SELECT {key}, 'normal' AS state, 'all self-monitoring signals within bounds' AS reason, 0 AS sig FROM m
+  UNION ALL SELECT {key},
     CASE WHEN observation_lag_s > 3600 THEN 'emergency' WHEN observation_lag_s > 600 THEN 'degraded' ELSE 'normal' END,
     CASE WHEN observation_lag_s > 600 THEN format('observation lag {}s — telemetry is stale', CAST(round(observation_lag_s) AS BIGINT)) END, 1 FROM m
-  UNION ALL SELECT cluster_id,
+  UNION ALL SELECT {key},
     CASE WHEN control_loop_lag_s > 3600 THEN 'emergency' WHEN control_loop_lag_s > 1200 THEN 'degraded' ELSE 'normal' END,
     CASE WHEN control_loop_lag_s > 1200 THEN format('control loop lag {}s — no successful control cycle', CAST(round(control_loop_lag_s) AS BIGINT)) END, 2 FROM m
-  UNION ALL SELECT cluster_id,
+  UNION ALL SELECT {key},
     CASE WHEN failed_actions_last_hour > 10 THEN 'diagnostic' WHEN failed_actions_last_hour > 3 THEN 'degraded' ELSE 'normal' END,
     CASE WHEN failed_actions_last_hour > 3 THEN format('{} failed actions in the last hour', failed_actions_last_hour) END, 3 FROM m
-  UNION ALL SELECT cluster_id,
+  UNION ALL SELECT {key},
     CASE WHEN lock_timeouts_last_hour > 10 THEN 'diagnostic' ELSE 'normal' END,
     CASE WHEN lock_timeouts_last_hour > 10 THEN format('{} lock timeouts in the last hour', lock_timeouts_last_hour) END, 4 FROM m
-  UNION ALL SELECT cluster_id, CASE WHEN over_budget THEN 'degraded' ELSE 'normal' END,
+  UNION ALL SELECT {key}, CASE WHEN over_budget THEN 'degraded' ELSE 'normal' END,
     CASE WHEN over_budget THEN 'governor storage footprint over budget' END, 5 FROM m
-  UNION ALL SELECT cluster_id, CASE WHEN applied_actions_last_day >= budget THEN 'degraded' ELSE 'normal' END,
+  UNION ALL SELECT {key}, CASE WHEN applied_actions_last_day >= budget THEN 'degraded' ELSE 'normal' END,
     CASE WHEN applied_actions_last_day >= budget THEN format('daily mutation budget spent ({} applied in the last day)', applied_actions_last_day) END, 6 FROM m
-  UNION ALL SELECT cluster_id, CASE WHEN oscillating_relations > 0 THEN 'diagnostic' ELSE 'normal' END,
+  UNION ALL SELECT {key}, CASE WHEN oscillating_relations > 0 THEN 'diagnostic' ELSE 'normal' END,
     CASE WHEN oscillating_relations > 0 THEN format('{} relation(s) oscillating — control is flapping', oscillating_relations) END, 7 FROM m
-  UNION ALL SELECT cluster_id, CASE WHEN connection_pressure >= 0.9 THEN 'diagnostic' ELSE 'normal' END,
+  UNION ALL SELECT {key}, CASE WHEN connection_pressure >= 0.9 THEN 'diagnostic' ELSE 'normal' END,
     CASE WHEN connection_pressure >= 0.9 THEN format('connection pressure {}% ({}/{} client backends) — shedding load, actuation suspended',
       CAST(connection_pressure_pct AS BIGINT), client_backends, max_connections) END, 8 FROM m)
-SELECT cluster_id, state, reason FROM c
-QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY """ + _ORD.format(s="state") + """ DESC,
-                                        (reason IS NOT NULL) DESC, sig) = 1""")
+SELECT {key}, state, reason FROM c
+QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY """ + _ORD.format(s="state") + """ DESC,
+                                        (reason IS NOT NULL) DESC, sig) = 1""").replace("{source}", source).replace("{key}", key)
+
+
+cte("health", ["gmetrics", "active_policy"], _health_sql("gmetrics", "cluster_id"))
 
 cte("gov_state", ["health", "override_events"], f"""
 WITH ev AS (SELECT cluster_id, arg_max(action, event_at) AS action,
@@ -1343,18 +1357,71 @@ q("governor_metrics", ["gmetrics"], f"SELECT {_GM_ROUND} FROM gmetrics")
 q("health_state", ["health"], "SELECT * FROM health")
 q("override_floor", ["gov_state"], "SELECT * FROM gov_state")
 
-cte("transitions", ["snapshots"], """
-WITH s AS (SELECT cluster_id, snapshot_id, collected_at,
-             (epoch_us(collected_at) - epoch_us(lag(collected_at) OVER
-               (PARTITION BY cluster_id ORDER BY snapshot_id))) / 1000000.0 AS gap,
-             client_backends::DOUBLE / NULLIF(max_connections, 0) AS pressure
-           FROM snapshots),
-     st AS (SELECT cluster_id, collected_at AS evaluated_at,
-              CASE WHEN gap > 3600 THEN 'emergency' WHEN pressure >= 0.9 THEN 'diagnostic'
-                   WHEN gap > 600 THEN 'degraded' ELSE 'normal' END AS state FROM s),
-     l AS (SELECT *, lag(state) OVER (PARTITION BY cluster_id ORDER BY evaluated_at) AS from_state FROM st)
-SELECT cluster_id, from_state, state AS to_state, evaluated_at AS transitioned_at
-FROM l WHERE state IS DISTINCT FROM from_state""")
+def _moved(col: str) -> str:
+    return (f"make_timestamp(1704067200000000 + CAST(floor((epoch_us(CAST({col} AS TIMESTAMP)) - 694224000000000) / 80) AS BIGINT))")
+
+
+cte("t_actions", ["actions"], f"SELECT * REPLACE ({_moved('applied_at')} AS applied_at) FROM actions")
+cte("t_ticks", ["ticks"], f"""SELECT cluster_id, tick_id, {_moved('started_at')} AS started_at,
+  {_moved('started_at')} + (finished_at - started_at) AS finished_at FROM ticks""")
+cte("t_inventory", ["inventory"], f"SELECT cluster_id, bytes, {_moved('range_start')} AS range_start FROM inventory")
+cte("t_events", ["override_events"], f"SELECT * REPLACE ({_moved('event_at')} AS event_at) FROM override_events")
+cte("evals", ["snapshots", "t_ticks", "t_events"], """
+SELECT cluster_id, collected_at AS t FROM snapshots UNION SELECT cluster_id, started_at FROM t_ticks
+UNION SELECT cluster_id, event_at FROM t_events""")
+cte("t_counts", ["evals", "t_actions"], """
+SELECT e.cluster_id, e.t,
+  count(*) FILTER (status = 'failed' AND applied_at > e.t - INTERVAL 1 HOUR) AS failed_actions_last_hour,
+  count(*) FILTER (failure_reason = 'lock_timeout' AND applied_at > e.t - INTERVAL 1 HOUR) AS lock_timeouts_last_hour,
+  count(*) FILTER (status = 'applied') AS applied_actions_last_day
+FROM evals e JOIN t_actions a ON a.cluster_id = e.cluster_id AND a.applied_at <= e.t
+  AND a.applied_at > e.t - INTERVAL 1 DAY GROUP BY ALL""")
+cte("t_osc", ["evals", "t_actions"], f"""
+WITH s AS (SELECT cluster_id, relid, applied_at AS x, action_id, TRY_CAST(new_value AS DOUBLE) AS v FROM t_actions
+           WHERE status = 'applied' AND actuator = {_SF} AND relid <> 0),
+ d AS (SELECT *, sign(v - lag(v) OVER w) AS d, lag(x, 2) OVER w AS since FROM s
+       WINDOW w AS (PARTITION BY cluster_id, relid ORDER BY x, action_id)),
+ r AS (SELECT *, lag(d) OVER (PARTITION BY cluster_id, relid ORDER BY x, action_id) AS p FROM d),
+ n AS (SELECT e.cluster_id, e.t, r.relid FROM evals e JOIN r ON r.cluster_id = e.cluster_id AND r.x <= e.t
+         AND r.since > e.t - INTERVAL 1 DAY AND r.d <> 0 AND r.p <> 0 AND r.d <> r.p
+       GROUP BY ALL HAVING count(*) >= 2)
+SELECT cluster_id, t, count(*) AS oscillating_relations FROM n GROUP BY ALL""")
+cte("t_seen", ["evals", "snapshots"], """
+SELECT e.cluster_id, e.t, max(s.collected_at) AS seen, arg_max(s.client_backends, s.snapshot_id) AS client_backends,
+  arg_max(s.max_connections, s.snapshot_id) AS max_connections
+FROM evals e JOIN snapshots s ON s.cluster_id = e.cluster_id AND s.collected_at <= e.t GROUP BY ALL""")
+cte("t_done", ["evals", "t_ticks"], """
+SELECT e.cluster_id, e.t, max(k.finished_at) AS done
+FROM evals e JOIN t_ticks k ON k.cluster_id = e.cluster_id AND k.finished_at <= e.t GROUP BY ALL""")
+cte("t_bytes", ["evals", "t_inventory"], """
+SELECT e.cluster_id, e.t, sum(i.bytes) AS bytes
+FROM evals e JOIN t_inventory i ON i.cluster_id = e.cluster_id AND i.range_start <= e.t GROUP BY ALL""")
+cte("t_metrics", ["evals", "t_counts", "t_osc", "t_seen", "t_done", "t_bytes"], """
+SELECT e.cluster_id, e.t AS evaluated_at, (epoch_us(e.t) - epoch_us(seen)) / 1000000.0 AS observation_lag_s,
+  (epoch_us(e.t) - epoch_us(done)) / 1000000.0 AS control_loop_lag_s,
+  COALESCE(failed_actions_last_hour, 0) AS failed_actions_last_hour,
+  COALESCE(lock_timeouts_last_hour, 0) AS lock_timeouts_last_hour,
+  COALESCE(applied_actions_last_day, 0) AS applied_actions_last_day,
+  COALESCE(oscillating_relations, 0) AS oscillating_relations, COALESCE(bytes, 0) > 4000000 AS over_budget,
+  client_backends::DOUBLE / NULLIF(max_connections, 0) AS connection_pressure,
+  round(100 * client_backends::DOUBLE / NULLIF(max_connections, 0)) AS connection_pressure_pct, client_backends, max_connections
+FROM evals e LEFT JOIN t_counts USING (cluster_id, t) LEFT JOIN t_osc USING (cluster_id, t)
+  LEFT JOIN t_seen USING (cluster_id, t) LEFT JOIN t_done USING (cluster_id, t) LEFT JOIN t_bytes USING (cluster_id, t)""")
+cte("t_health", ["t_metrics", "active_policy"], _health_sql("t_metrics", "cluster_id, evaluated_at"))
+cte("t_forced", ["t_health", "t_events"], """
+SELECT h.cluster_id, h.evaluated_at, arg_max(v.action, v.event_at) AS action,
+  arg_max(v.forced_state, v.event_at) AS forced_state, arg_max(v.forced_reason, v.event_at) AS forced_reason
+FROM t_health h JOIN t_events v ON v.cluster_id = h.cluster_id AND v.event_at <= h.evaluated_at GROUP BY ALL""")
+cte("transitions", ["t_health", "t_forced"], f"""
+WITH j AS (SELECT h.*, CASE WHEN action = 'force' AND forced_state <> 'normal' THEN forced_state END AS forced, forced_reason
+           FROM t_health h LEFT JOIN t_forced USING (cluster_id, evaluated_at)),
+ b AS (SELECT *, forced IS NOT NULL AND {_ORD.format(s='forced')} >= {_ORD.format(s='state')} AS binds FROM j),
+ l AS (SELECT cluster_id, evaluated_at, CASE WHEN binds THEN forced ELSE state END AS to_state,
+         CASE WHEN binds THEN format('operator-forced {{}}: {{}}', forced, COALESCE(forced_reason, '(no reason given)'))
+              ELSE reason END AS reason FROM b),
+ m AS (SELECT *, lag(to_state) OVER (PARTITION BY cluster_id ORDER BY evaluated_at) AS from_state FROM l)
+SELECT cluster_id, from_state, to_state, reason, evaluated_at AS transitioned_at
+FROM m WHERE to_state IS DISTINCT FROM from_state""")
 q("state_transitions", ["transitions"], "SELECT * FROM transitions")
 
 q("failure_taxonomy", ["gmetrics", "actions", "clock"], f"""
@@ -1670,21 +1737,23 @@ q("plannable_snapshot", ["e_b0"], """
 SELECT cluster_id, max(snapshot_id) AS plan_snapshot_id, count(*) AS estimated_relations
 FROM e_b0 GROUP BY cluster_id""")
 
-q("storage_by_parent", ["inventory"], """
-WITH sizes AS (SELECT cluster_id, partition AS name, bytes, dead_tuples FROM inventory
-               UNION ALL
-               SELECT DISTINCT cluster_id, relation, CAST(8192 AS BIGINT), CAST(0 AS BIGINT) FROM inventory),
-     tree AS (SELECT cluster_id, relation AS parent, partition AS child FROM inventory),
-     tops AS (SELECT cluster_id, name FROM sizes s
-              WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.cluster_id = s.cluster_id AND t.child = s.name)),
-     members AS (SELECT cluster_id, name AS top, name AS member FROM tops
-                 UNION
-                 SELECT t.cluster_id, t.parent, t.child FROM tree t
-                 JOIN tops p ON p.cluster_id = t.cluster_id AND p.name = t.parent)
-SELECT m.cluster_id, m.top AS relation, CAST(COALESCE(sum(s.bytes), 0) AS BIGINT) AS bytes,
-       CAST(COALESCE(sum(s.dead_tuples), 0) AS BIGINT) AS dead_tuples, count(*) AS members
-FROM members m LEFT JOIN sizes s ON s.cluster_id = m.cluster_id AND s.name = m.member
-GROUP BY m.cluster_id, m.top""")
+cte("tree_sizes", ["inventory"], """
+WITH RECURSIVE i AS MATERIALIZED (SELECT *, relation || '_y' || strftime(range_start, '%Y') AS y FROM inventory),
+     sizes AS (SELECT cluster_id, partition AS name, bytes, dead_tuples FROM i
+               UNION ALL SELECT DISTINCT cluster_id, relation, CAST(8192 AS BIGINT), CAST(0 AS BIGINT) FROM i
+               UNION ALL SELECT DISTINCT cluster_id, y, CAST(8192 AS BIGINT), CAST(0 AS BIGINT) FROM i),
+     tree AS (SELECT DISTINCT cluster_id, relation AS parent, y AS child FROM i
+              UNION SELECT cluster_id, y, partition FROM i),
+     members(cluster_id, top, member) AS (
+       SELECT DISTINCT s.cluster_id, s.name, s.name FROM sizes s
+       WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.cluster_id = s.cluster_id AND t.child = s.name)
+       UNION SELECT m.cluster_id, m.top, t.child FROM members m JOIN tree t ON t.cluster_id = m.cluster_id AND t.parent = m.member)
+SELECT m.cluster_id, m.top, m.member, s.bytes, s.dead_tuples
+FROM members m LEFT JOIN sizes s ON s.cluster_id = m.cluster_id AND s.name = m.member""")
+q("storage_by_parent", ["tree_sizes"], """
+SELECT cluster_id, top AS relation, CAST(COALESCE(sum(bytes), 0) AS BIGINT) AS bytes,
+       CAST(COALESCE(sum(dead_tuples), 0) AS BIGINT) AS dead_tuples, count(*) AS members
+FROM tree_sizes GROUP BY cluster_id, top""")
 
 q("stream_change_detection", ["collected"], f"""
 SELECT cluster_id, relid, snapshot_id

@@ -19,6 +19,8 @@ from vacfleet.functions import exprs as X
 
 CLUSTER = "c0"
 HOUR_US = 3_600_000_000
+#: First days of the order dates and of the events, in microseconds.
+_ORDERS_FROM_US, _EVENTS_FROM_US = 694_224_000_000_000, 1_704_067_200_000_000
 
 # FIXED VALUES of the stand-in cluster's settings (PostgreSQL defaults).
 DEFAULTS = {
@@ -37,6 +39,15 @@ DEFAULTS = {
 GRID_TEXT = ["0.005", "0.01", "0.02", "0.05", "0.1", "0.2", "0.3", "0.5"]
 
 
+def on_telemetry_clock(df: DataFrame, column: str, *after: str) -> DataFrame:
+    """Map a time of the order-derived tables (from 1992 on) onto the telemetry's month (from 2024 on):
+    80 days become one. Times in ``after`` keep their distance from it."""
+    us = X.epoch_micros(column) - F.lit(_ORDERS_FROM_US)
+    at = X.as_ntz(F.timestamp_micros(F.lit(_EVENTS_FROM_US) + F.floor(us / 80).cast("long")))
+    moved = {c: at + (F.col(c) - F.col(column)) for c in after}
+    return df.withColumns({**moved, column: at})
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

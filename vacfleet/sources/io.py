@@ -102,6 +102,23 @@ def read_run_meta(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").schema(RUN_META).json(path)
 
 
+def write_run_meta(run_meta: DataFrame, root: str) -> None:
+    """One JSON document a run, in the run's folder."""
+    (run_meta.select(F.col("run_id").alias("run"), F.to_json(F.struct(*[c for c in RUN_META.fieldNames() if c in run_meta.columns]))
+                     .alias("value")).repartition("run").write.mode("overwrite").partitionBy("run").text(root))
+
+
+def list_artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """(run_id, artifact, bytes): what the run folders under ``root`` hold, from file metadata alone
+    (``<artifact>/run=<run_id>/<file>``); contents are not read, and empty files do not count."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+             .select("path", "length"))
+    named = files.select(F.regexp_extract("path", r"/([^/]+)/run=([^/]+)/[^/]+$", 2).alias("run_id"),
+                         F.regexp_extract("path", r"/([^/]+)/run=([^/]+)/[^/]+$", 1).alias("artifact"), "length")
+    return (named.filter((F.col("run_id") != "") & (F.col("length") > 0)).groupBy("run_id", "artifact")
+            .agg(F.sum("length").alias("bytes")))
+
+
 def write_verdicts(verdicts: DataFrame, gaps: DataFrame, path: str) -> None:
     """One JSON document per cell with the per-window detail as an ordered array
     (a cell has as many entries as scored windows, a bounded list)."""

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -159,14 +158,12 @@ def heartbeat_stream(snapshots: DataFrame, watermark: str = "10 minutes") -> Dat
 # ---- ST4 / ST5 / ST7 --------------------------------------------------------------------------
 DIAGNOSTICS = ("cluster_id string, diagnostic_id bigint, relid bigint, inhibitor_class string, "
                "severity string, resolved_at timestamp_ntz")
-#: Versions that one micro-batch may write: more snapshots of one cluster than that never
-#: arrive together (a year of minutes).
-STEPS = 1_000_000
-
-
-def write_version(df: DataFrame, state_root: str, name: str, v: int) -> None:
-    """Write one version of a state table; a replay overwrites it with the same rows."""
-    df.write.mode("overwrite").parquet(f"{state_root}/{name}/v={v}")
+def write_version(df: DataFrame, state_root: str, name: str, v: int) -> DataFrame:
+    """Write one version of a state table and read it back; a replay overwrites it with the
+    same rows."""
+    path = f"{state_root}/{name}/v={v}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def state_version(spark: SparkSession, state_root: str, name: str,
@@ -183,60 +180,61 @@ def state_version(spark: SparkSession, state_root: str, name: str,
     return None if newest is None else spark.read.parquet(f"{state_root}/{name}/v={newest}")
 
 
-def start_control_state(state: DataFrame, state_root: str) -> None:
-    """Store the state that a control stream starts from (``backfill.control_state``)."""
-    write_version(state, state_root, "estimate", -1)
-    write_version(state, state_root, "class", -1)
-
-
-def control_tick_batch(state_root: str, snapshots_path: str, samples_path: str,
-                       policy: DataFrame | None = None, params: P.Params = P.DEFAULT):
-    """``foreachBatch`` body: each micro-batch carries new snapshot headers of any clusters.
-    Step k takes every cluster's k-th new snapshot of the batch, runs classify and estimate
-    for all of them at once against the newest version of the state, and writes the next
-    version: the clusters of the step with their new rows, all others as they were. Then
-    the findings are reconciled against the open diagnostics (ST7).
+def control_tick_batch(state_root: str, samples_path: str, policy: DataFrame | None = None,
+                       params: P.Params = P.DEFAULT):
+    """``foreachBatch`` body: each micro-batch carries new snapshot headers (whole rows) of any
+    clusters, one or many of each. The batch is one chunk of ``operators/backfill.py``: the
+    state, the newest stored rows and the end of the header sequence come from the newest
+    version, only the samples of the batch's days are read, and every header is a tick. Each
+    cluster's last header of the batch gets the estimate rows of all its relations, as a live
+    loop that is called once a snapshot writes them, and the findings are reconciled there
+    against the open diagnostics (ST7). Clusters without a header keep their rows.
 
-    Steps of a batch follow one another (a state machine); inside a step everything is
-    distributed, and clusters never share an id: every join has ``cluster_id``. Version
-    numbers follow from the batch, so a replayed batch rewrites its own versions from the
-    same earlier ones."""
-    from vacfleet.operators import asof, debt
-    from vacfleet.operators import classify as CL
-    from vacfleet.operators import estimate as EST
+    The version is the batch's id, so a replayed batch rewrites its own version from the same
+    earlier one. Headers that come again, or after a later one of their cluster, are no tick."""
+    from vacfleet.operators import backfill as BF
     from vacfleet.operators import plan as PL
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        snaps = spark.read.parquet(snapshots_path)
-        samples = spark.read.parquet(samples_path)
-        ticks = store(batch.select("cluster_id", F.col("snapshot_id").alias("_p")).distinct()
-                      .withColumn("_k", F.row_number().over(
-                          W.partitionBy("cluster_id").orderBy("_p"))), "ticks")
-        for k in range(1, (ticks.agg(F.max("_k")).first()[0] or 0) + 1):
-            tgt = ticks.filter(F.col("_k") == k).select("cluster_id", "_p")
-            v = batch_id * STEPS + k
-            prior = {n: state_version(spark, state_root, n, v)
-                     for n in ("estimate", "class", "diagnostics")}
-            md = debt.maintenance_debt(samples, snaps, tgt)     # the debt of this tick
-            made = {"estimate": EST.estimate_tick(samples, snaps, prior["estimate"], tgt, params, md=md),
-                    "class": CL.classify_tick(samples, snaps, prior["class"], policy, tgt, params)}
-            for name, df in made.items():
-                if prior[name] is not None:      # clusters without a tick in this step
-                    rest = prior[name].join(F.broadcast(tgt), "cluster_id", "left_anti")
-                    df = df.unionByName(rest, allowMissingColumns=True).select(df.columns)
-                write_version(df, state_root, name, v)
-            # ST7: open / keep / resolve against the newest diagnostics version
-            now = state_version(spark, state_root, "estimate", v + 1).join(
-                F.broadcast(tgt.select("cluster_id")), "cluster_id", "left_semi")
-            found = PL.findings(now, samples, snaps, tgt, params)
-            live = samples.join(F.broadcast(tgt), "cluster_id").filter(
-                F.col("snapshot_id") <= F.col("_p")).select(*KEY).distinct()
-            diags = prior["diagnostics"]
-            if diags is None:
-                diags = spark.createDataFrame([], DIAGNOSTICS)
-            heads = asof.header_at(snaps, tgt).select("cluster_id", "snapshot_id", "collected_at")
-            write_version(diagnostics_after(diags, found, live, heads), state_root, "diagnostics", v)
+        prior = {n: state_version(spark, state_root, n, batch_id)
+                 for n in ("headers", "rows", "state", "estimate", "diagnostics")}
+        state = prior["state"]
+        if state is None:
+            state = spark.createDataFrame([], BF.STATE_SCHEMA)
+        heads = store(BF.numbered_headers(batch, prior["headers"]), "tick_headers")
+        days = heads.select("collected_day").distinct()      # few: prunes the samples' partitions
+        samples = spark.read.parquet(samples_path).join(F.broadcast(days), "collected_day", "left_semi")
+        rows = BF.stored_rows(samples, heads)
+        if prior["rows"] is not None:
+            rows = prior["rows"].unionByName(rows)
+        rows = store(rows, "tick_rows")
+        last = heads.groupBy("cluster_id").agg(F.max("_n").alias("_last"))       # one row per cluster
+        marked = heads.join(F.broadcast(last), "cluster_id")
+        earlier = marked.filter(F.col("_n") < F.col("_last")).drop("_last")
+        # every relation ticks at the last header
+        final = marked.filter(F.col("_n") == F.col("_last")).withColumn("_moves", F.lit(True)).drop("_last")
+        until = rows.join(F.broadcast(last), "cluster_id").filter(F.col("_n") < F.col("_last")).drop("_last")
+        state = store(BF.advance(BF.tick_table(BF.moving_ticks(earlier, until, params), policy, params), state, params), "tick_state")
+        now = rows.join(F.broadcast(last), "cluster_id")
+        now = BF.newest_rows(now.filter(F.col("_n") < F.col("_last")).drop("_last")).unionByName(
+            now.filter(F.col("_n") == F.col("_last")).drop("_last"))
+        ticks = store(BF.tick_table(BF.moving_ticks(final, now, params), policy, params), "ticks")
+        made = BF.estimates(ticks, state, params)
+        if prior["estimate"] is not None:      # clusters without a header in this batch
+            made = made.unionByName(prior["estimate"].join(F.broadcast(last), "cluster_id", "left_anti"))
+        made = write_version(made, state_root, "estimate", batch_id)
+        # ST7: open / keep / resolve against the newest diagnostics version
+        at = made.join(F.broadcast(last.select("cluster_id")), "cluster_id", "left_semi")
+        found = PL.findings_of(at, final, params)
+        diags = prior["diagnostics"]
+        if diags is None:
+            diags = spark.createDataFrame([], DIAGNOSTICS)
+        write_version(diagnostics_after(diags, found, at.select(*KEY), final.select("cluster_id", "snapshot_id", "collected_at")),
+                      state_root, "diagnostics", batch_id)
+        write_version(BF.newest_rows(rows), state_root, "rows", batch_id)
+        write_version(BF.header_carry(heads, prior["headers"]), state_root, "headers", batch_id)
+        write_version(BF.advance(ticks, state, params), state_root, "state", batch_id)
     return run
 
 
