@@ -203,36 +203,63 @@ def test_language_and_quality_edges(docs, no_docs):
     assert quality.score(no_docs, some).count() == 0
 
 
-def test_raking_equals_sql_and_meets_targets(spark, docs):
+def test_raking_equals_sql(spark, docs):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
     want = sorted(con.sql(mixing.oracle()).fetchall())
-    got = queries.op8_mixing(spark, SF).select("doc_id", "source", "lang", "topic", "n_tokens", "prob", "kept").collect()
     cols = [c[0] for c in con.sql(mixing.oracle()).description]
-    assert sorted(tuple(getattr(r, c) for c in cols) for r in got) == want
-    edges = mixing.mix(docs).collect()
-    assert len(edges) == len(ROWS) and all(0 <= r.prob <= 1 for r in edges)
-    assert mixing.mix(docs.limit(0)).count() == 0
-
-
-def test_drawn_shares_meet_targets(spark):
-    docs = spark.createDataFrame(
-        [(i, "a b c " * (1 + i % 7), "en" if i % 9 else "es", "big" if i % 3 else "small", "x") for i in range(300)]
-        + [(300 + i, "see | this | row", "es", "small", "x") for i in range(4)], TEXT)
-    rows = mixing.mix(docs).collect()
+    got = queries.op8_mixing(spark, SF).select(cols).collect()
+    assert sorted(map(tuple, got)) == want
+    edges = mixing.mix(docs, rounds=3).collect()
+    assert len(edges) == len(ROWS) and all(r.rate >= 0 and r.kept == (r.copies > 0) for r in edges)
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
+    mixed = Counter((r.doc_id, r.text) for r in mixing.mixed(docs, rounds=3).collect())
+    want = Counter()
+    for r in edges:
+        want[r.doc_id, r.text] += r.copies
+    assert mixed == +want
+    assert {r.topic for r in mixing.mix(docs, rounds=1, by=F.col("score")).collect()} == {"", "x"}
+
+
+def _shares(rows, dim, weight):
+    have = Counter()
+    for r in rows:
+        have[r[dim]] += r.n_tokens * weight(r)
+    total = sum(have.values())
+    return {v: n / total for v, n in have.items()}
+
+
+def _mixable(n, rare=False):
+    rows = [(i, "a b c " * (1 + i % 7), "en" if i % 9 else "es", ("big", "mid", "small")[(i % 4 > 1) + (i % 16 == 3)], "x") for i in range(n)]
+    rows += [(n + i, "see | this | row", "es", "small", "x") for i in range(40)]
+    return rows + [(n + 99, "one short text", "en", "rare", "x")] * rare
+
+
+def test_mix_meets_targets_and_keep(spark):
+    """In expectation every share meets its target and the mix holds ``keep`` of the tokens; the drawn
+    copies do within the chance of the draw."""
+    rows = mixing.mix(spark.createDataFrame(_mixable(4000), TEXT)).collect()
     total = sum(r.n_tokens for r in rows)
-    drawn = sum(r.n_tokens * r.prob for r in rows)
-    assert max(r.prob for r in rows) == 1 and drawn < mixing.KEEP * total  # keep and targets clash here
+    assert math.isclose(sum(r.n_tokens * r.rate for r in rows), mixing.KEEP * total, rel_tol=1e-5)
+    assert math.isclose(sum(r.n_tokens * r.copies for r in rows), mixing.KEEP * total, rel_tol=0.03)
     for dim in mixing.DIMS:
-        have, got = Counter(), Counter()
-        for r in rows:
-            have[r[dim]] += r.n_tokens
-            got[r[dim]] += r.n_tokens * r.prob
-        want = {v: n ** mixing.TEMPER for v, n in have.items()}
-        for v in want:
-            assert math.isclose(got[v] / drawn, want[v] / sum(want.values()), rel_tol=1e-3)
-    free = mixing.mix(docs, keep=0.1).collect()  # a keep that every cell can give is kept
-    assert math.isclose(sum(r.n_tokens * r.prob for r in free), 0.1 * total, rel_tol=1e-6)
+        have, rate, drawn = (_shares(rows, dim, w) for w in (lambda r: 1, lambda r: r.rate, lambda r: r.copies))
+        scale = sum(v ** mixing.TEMPER for v in have.values())
+        for v, share in have.items():
+            assert abs(rate[v] - share ** mixing.TEMPER / scale) < 2 * mixing.CLOSE
+            assert abs(drawn[v] - rate[v]) < 0.03
+
+
+def test_a_rare_source_thins_no_other(spark):
+    """One short document of its own source is repeated; it takes its own share and no more."""
+    plain, with_rare = (mixing.mix(spark.createDataFrame(_mixable(4000, rare), TEXT)).collect() for rare in (False, True))
+    before = {r.doc_id: r.rate for r in plain}
+    rare = [r for r in with_rare if r.source == "rare"]
+    share = sum(r.n_tokens * r.rate for r in rare) / sum(r.n_tokens * r.rate for r in with_rare)
+    assert rare[0].copies > 1
+    for r in with_rare:
+        if r.source != "rare":
+            assert abs(r.rate / before[r.doc_id] - 1) < 2 * share
 
 
 def test_mixing_counts_words_and_matches_patterns(spark):

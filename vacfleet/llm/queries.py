@@ -67,10 +67,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raked sampling probability of every document, and whether it is drawn."""
+    """Raked sampling rate of every document, and its copies in the mix."""
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
-                      "topic", "n_tokens", "prob", "kept")
+                      "topic", "n_tokens", "rate", "copies", "kept")
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
