@@ -37,7 +37,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
                 .where("a <> b").distinct(), f"{name}_edges")
     mark = None
     while True:
-        sums = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum("b").cast("string")).first()
+        # sums of 31-bit hashes: no id overflows them
+        sums = now.agg(F.count("*"), *(F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(k), "a", "b"), 33)) for k in (1, 2))).first()
         if sums == mark or not sums[0]:
             break
         mark = sums
