@@ -88,7 +88,7 @@ def bounds(buckets: int) -> np.ndarray:
 def _counted(hashes: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes in order, and how often each stands in training tokens."""
     distinct, which = np.unique(hashes, return_inverse=True)
-    return distinct, np.bincount(which[train], minlength=len(distinct)).astype(np.uint32)
+    return distinct, np.bincount(which[train], minlength=len(distinct)).astype(np.uint64)
 
 
 def digest(words: np.ndarray, pairs: np.ndarray) -> int:
@@ -116,9 +116,10 @@ def answer(rows: pd.DataFrame) -> pd.DataFrame:
     out["digest"] = [digest(np.frombuffer(w, np.uint64), np.frombuffer(p, np.uint64)) for w, p in zip(rows["words"], rows["pairs"])]
     for kind in ("word", "pair"):
         asked = [np.frombuffer(x, np.uint64) for x in rows[f"{kind}s"]]
-        own = np.concatenate([np.frombuffer(x, np.uint32) for x in rows[f"{kind}_n"]])
+        own = np.concatenate([np.frombuffer(x, np.uint64) for x in rows[f"{kind}_n"]])
         distinct, which = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(which, own, len(distinct)).astype(np.uint32)
+        total = np.zeros(len(distinct), np.uint64)
+        np.add.at(total, which, own)  # a corpus may hold a word more than 2^32 times
         cut = np.cumsum([len(x) for x in asked])[:-1]
         out[f"{kind}_c"] = [x.tobytes() for x in np.split(total[which], cut)]
         if kind == "word":  # each bucket says its sums once
@@ -192,7 +193,7 @@ def score(docs: DataFrame, train: Column, key_col: str = "doc_id", text_col: str
     n_tokens, n_known = int(sums[0] or 0), int(sums[1] or 0)
 
     def finish_piece(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        word_c, pair_c = (np.concatenate([np.frombuffer(x, np.uint32) for x in counts[c]]) for c in ("word_c", "pair_c"))
+        word_c, pair_c = (np.concatenate([np.frombuffer(x, np.uint64) for x in counts[c]]) for c in ("word_c", "pair_c"))
         ends, words = tokens(pa.array(texts["body"], pa.string()))
         distinct, word = np.unique(words, return_inverse=True)
         pairs, which = np.unique(pair(before(ends, words), words), return_inverse=True)
