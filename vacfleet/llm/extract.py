@@ -21,7 +21,7 @@ import html
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,34 +46,53 @@ HIDDEN = frozenset({"noscript", "template", "svg"})
 #: Elements that may close themselves by a slash, as all inside them may.
 FOREIGN = frozenset({"svg", "math"})
 
+# A tag ends at its ">", or before the next "<", or at the page's end: no text is scanned twice for a
+# tag that is never closed. A quote without its pair is a character like others.
+_END = r"(?:>|(?=<)|\Z)"
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({"|".join(RAW)})(?=[\s/>])[^>]*>"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:._-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
-_RAW_END_IN_FOREIGN = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|(?=</(?:svg|math)[\s/>])", re.I) for t in RAW}
+    rf"""<!--.*?(?:-->|\Z)|<({"|".join(RAW)})(?=[\s/>])[^<>]*+{_END}"""
+    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:._-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+)""" + _END + rf"|<[!?/][^<>]*+{_END}", re.S | re.I)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^<>]*+{_END}", re.I) for t in RAW}
+_RAW_END_IN_FOREIGN = {t: re.compile(rf"</{t}(?=[\s/>])[^<>]*+{_END}|(?=</(?:svg|math)[\s/>])", re.I) for t in RAW}
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
 class Block:
-    """A leaf block: its text, the tags and names above it, and how much of it is linked."""
+    """A leaf block: its text, the telling tags and the names above it, the innermost block tag, and
+    how much of it is linked."""
 
-    __slots__ = ("text", "tags", "names", "linked")
+    __slots__ = ("text", "tags", "names", "leaf", "linked")
 
-    def __init__(self, text: str, tags: list[str], names: set[str], linked: int):
-        self.text, self.tags, self.names, self.linked = text, tags, names, linked
+    def __init__(self, text: str, tags: set[str], names: set[str], leaf: str, linked: int):
+        self.text, self.tags, self.names, self.leaf, self.linked = text, tags, names, leaf, linked
+
+
+class Ahead:
+    """The next match of a pattern at or after a place; places only grow, so each stretch of the
+    page is searched once, also where no match follows."""
+
+    def __init__(self, pattern: re.Pattern, page: str):
+        self.pattern, self.page, self.found, self.looked = pattern, page, None, False
+
+    def after(self, at: int) -> re.Match | None:
+        if not self.looked or (self.found and self.found.start() < at):
+            self.looked, self.found = True, self.pattern.search(self.page, at)
+        return self.found
 
 
 def tokens(page: str) -> list[tuple[int, int, re.Match | None]]:
     """Start and end of each tag (with its match), comment and raw-text element (without)."""
     out, at, foreign = [], 0, 0
+    raw_end = {t: Ahead(p, page) for t, p in _RAW_END.items()}
+    foreign_end = {t: Ahead(p, page) for t, p in _RAW_END_IN_FOREIGN.items()}
     while m := _TOKEN.search(page, at):
         at, tag = m.end(), (m[3] or "").lower()
         if m[1] and foreign:
-            end = None if m[0].endswith("/>") else _RAW_END_IN_FOREIGN[m[1].lower()].search(page, at)
+            end = None if m[0].endswith("/>") else foreign_end[m[1].lower()].after(at)
             at = end.end() if end else at
         elif m[1]:
-            end = _RAW_END[m[1].lower()].search(page, at)
+            end = raw_end[m[1].lower()].after(at)
             at = end.end() if end else len(page)
         elif tag in FOREIGN and not m[4].endswith("/"):
             foreign = max(0, foreign - 1) if m[2] else foreign + 1
@@ -99,27 +118,74 @@ def hidden(found: list[tuple[int, int, re.Match | None]]) -> dict[int, int]:
     return out
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page that hold text, in page order."""
+_TELLING = frozenset("""article main nav header footer aside form section ul ol li table td th h1 h2 h3
+h4 h5 h6 p blockquote pre figure figcaption button label select option dl dd dt details dialog menu
+fieldset legend search address summary div""".split())
+
+
+class Above:
+    """The open elements: their stack, where each tag stands in it, and running counts of the telling
+    tags and of the names, so that no tag costs more than the elements it closes."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known = known
+        self.stack: list[tuple[str, frozenset[str]]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.block_tags: list[str] = []
+        self.tags: Counter[str] = Counter()
+        self.names: Counter[str] = Counter()
+
+    def open(self, tag: str, attributes: str) -> None:
+        names = frozenset(w for v in _NAMES.findall(attributes) for w in _PART.findall("".join(v).lower())) if attributes else frozenset()
+        if self.known is not None:
+            names &= self.known
+        self.at[tag].append(len(self.stack))
+        self.stack.append((tag, names))
+        if tag in BLOCK_TAGS:
+            self.block_tags.append(tag)
+        if tag in _TELLING:
+            self.tags[tag] += 1
+        self.names.update(names)
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these tags (-1: none)."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def close(self, k: int) -> None:
+        """Close the elements from place ``k`` on."""
+        while len(self.stack) > k:
+            tag, names = self.stack.pop()
+            self.at[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.block_tags.pop()
+            for count, keys in ((self.tags, (tag,) if tag in _TELLING else ()), (self.names, names)):
+                for key in keys:
+                    count[key] -= 1
+                    if not count[key]:
+                        del count[key]
+
+
+_LISTS = ("ul", "ol", "dl", "table", "select")
+
+
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page that hold text, in page order. Of the names above a block, only
+    those in ``known`` are kept, if it is given: they are what a fitted field weighs."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    above = Above(known)
     run: list[str] = []
-    linked, links, at = 0, 0, 0
+    linked, at = 0, 0
 
     def flush() -> None:
         nonlocal linked
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                out.append(Block(text, [t for t, _ in stack], set().union(*(n for _, n in stack)), linked))
+                leaf = above.block_tags[-1] if above.block_tags else ""
+                out.append(Block(text, set(above.tags), set(above.names), leaf, linked))
             run.clear()
             linked = 0
 
-    def close(k: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
-
     found = tokens(page)
     unseen = hidden(found)
     for start, end, m in found:
@@ -128,7 +194,7 @@ def blocks(page: str) -> list[Block]:
         if start > at:
             piece = page[at:start]
             run.append(piece)
-            if links:
+            if above.at.get("a"):
                 linked += len(piece)
         at = unseen.get(start, end)
         if m is None or start in unseen:
@@ -140,43 +206,26 @@ def blocks(page: str) -> list[Block]:
         elif tag == "br":
             run.append(" ")
         if m[2]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
-                close(k)
+            if (k := above.last((tag,))) >= 0:
+                above.close(k)
             continue
         if tag in VOID_TAGS or (tag in FOREIGN and m[4].endswith("/")):
             continue
-        if is_block and tag not in KEEPS_P_OPEN:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if k is not None:
-                close(k)
-        if tag in CLOSES_ITSELF:
-            shut = CLOSES_ITSELF[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shut:
-                    close(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
-                    break
-        names = frozenset(w for v in _NAMES.findall(m[4]) for w in _PART.findall("".join(v).lower())) if m[4] else frozenset()
-        stack.append((tag, names))
-        links += tag == "a"
+        if is_block and tag not in KEEPS_P_OPEN and (k := above.last(("p",))) >= 0:
+            above.close(k)
+        if tag in CLOSES_ITSELF and (k := above.last(CLOSES_ITSELF[tag])) > above.last(_LISTS):
+            above.close(k)
+        above.open(tag, m[4])
     if at < len(page):
         run.append(page[at:])
     flush()
     return out
 
 
-_TELLING = frozenset("""article main nav header footer aside form section ul ol li table td th h1 h2 h3
-h4 h5 h6 p blockquote pre figure figcaption button label select option dl dd dt details dialog menu
-fieldset legend search address summary div""".split())
-
-
 def features(b: Block, place: int, n: int) -> list[str]:
     """Names of the features that the block has."""
-    tags = set(b.tags)
-    out = ["all", f"leaf={next((t for t in reversed(b.tags) if t in BLOCK_TAGS), '')}"]
-    out += [f"in={t}" for t in tags & _TELLING]
+    out = ["all", f"leaf={b.leaf}"]
+    out += [f"in={t}" for t in b.tags]
     out += [f"name={w}" for w in b.names]
     size = len(b.text)
     out.append(f"long={min(9, size.bit_length())}")
@@ -199,6 +248,8 @@ class Field:
     def __init__(self) -> None:
         self.weight: dict[str, float] = defaultdict(float)
         self.step = [[0.0, 0.0], [0.0, 0.0]]
+        #: Names that have a weight; None while the field is fitted.
+        self.known: frozenset[str] | None = None
 
     def scores(self, page: list[list[str]]) -> list[float]:
         w = self.weight
@@ -372,12 +423,13 @@ def train(pages: list[tuple[str, list[int]]], rounds: int = 6, seed: int = 3) ->
         for page, labels in data:
             field.learn(page, labels, 0.1 / (1 + r), 1e-4)
     field.weight = dict(field.weight)
+    field.known = frozenset(f.removeprefix("name=") for f in field.weight if f.startswith("name="))
     return field
 
 
 def main_text(page: str, field: Field) -> str:
     """The blocks that the field labels as main text, one a line."""
-    own = blocks(page)
+    own = blocks(page, field.known)
     marks = field.viterbi([features(b, k, len(own)) for k, b in enumerate(own)])
     return "\n".join(b.text for b, m in zip(own, marks) if m)
 
