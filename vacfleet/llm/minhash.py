@@ -14,13 +14,15 @@ key's members against its smallest id; then against the few members nearest to t
 majority signature (the likely originals of a group of copies); last, all pairs across the
 components that are left. So a large group of near copies costs a few rows each, not all its
 pairs, and no pair that could join two components is left out. A pair is confirmed on the
-full sets. Before that, pairs are dropped only by sketches that a pair of similarity 0.8
-passes but for a chance of about 3 in 10,000: 3 bits of each symbol (never farther apart than
-the signatures) and, in the last round, 1536 more one-bit MinHashes.
+full sets, hashed once a document. Before that, pairs are dropped only by bounds: sketches of 3 bits
+of each symbol, which are never farther apart than the signatures, and the sizes of the two sets.
+So every pair within the signature distance whose sets are similar enough is linked, if its members
+are not linked by others.
 
 Null and empty texts, or texts without words, have an empty set and link with nothing; a
 text with fewer words than a shingle has one shingle, all its words. Rows with a null
-doc_id are left out. Repeated rows are copies. Extra columns are left out. Texts of any
+doc_id are left out. Repeated rows are copies; where rows of one id have different sets, the one whose set has
+the smallest digest stands for the id, and the others are in its component. Extra columns are left out. Texts of any
 length are read whole. An empty table gives an empty result.
 """
 
@@ -44,17 +46,12 @@ WIDTH = SYMBOLS // CHUNKS
 #: Symbols in which the sketches of a compared pair differ, at most. Documents of
 #: similarity 0.8 differ in more with a probability below 1 in 10,000.
 MOST_DIFFERENT = 12
-#: One-bit MinHashes of the long sketch, and how many of a compared pair differ, at most
-#: (similarity 0.8: 154 on average, standard deviation 11.8).
-LONG_BITS, MOST_LONG = 1536, 194
 #: Members of a key that are compared with all others in the second round.
 HUBS = 3
 #: Shingles that are hashed to all symbols at once.
 PASS_SHINGLES = 256
 
 _SEEDS = mix64(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_LONG_TIMES = (mix64(np.arange(1001, 1001 + LONG_BITS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-               .astype(np.uint32) | np.uint32(1))[:, None]
 _TIMES, _PLUS = _SEEDS[:SYMBOLS, None] | np.uint64(1), _SEEDS[SYMBOLS:, None]
 
 
@@ -79,16 +76,6 @@ def signature(items: np.ndarray) -> np.ndarray:
     return mix64(least) & np.uint64(0xFFFF)
 
 
-def long_sketch(items: np.ndarray) -> np.ndarray:
-    """One bit of each of 1536 further minima, as 24 numbers."""
-    least = np.full(LONG_BITS, 0xFFFFFFFF, np.uint32)
-    x = (items >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(x), PASS_SHINGLES):
-        least = np.minimum(least, (x[None, i:i + PASS_SHINGLES] * _LONG_TIMES).min(axis=1))
-    bits = ((least * np.uint32(0x9E3779B1)) >> np.uint32(17)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
-
-
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
     """A key for each chunk and each of its symbols left out (rows of signatures in, keys out)."""
     out = []
@@ -116,25 +103,19 @@ def different(a: Column, b: Column) -> Column:
     return F.bit_count(any_bit.bitwiseAND(F.lit(sum(1 << 3 * i for i in range(SYMBOLS)))))
 
 
-def long_different(a: Column, b: Column) -> Column:
-    """In how many bits two long sketches differ."""
-    out = F.lit(0)
-    for i in range(LONG_BITS // 64):
-        out = out + F.bit_count(a[i].bitwiseXOR(b[i]))
-    return out
-
-
 def document_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     counts, words = word_hashes(*utf8(column))
     return [shingles(w, size) for w in np.split(words, np.cumsum(counts)[:-1])] if len(counts) else []
 
 
+def set_key(items: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(items.tobytes())
+
+
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """Add ``n_shingles``, ``set_key`` (names the whole set), ``keys``, ``sketch`` and
-    ``long_sketch``."""
+    """Add ``n_shingles``, ``set_key`` (names the whole set), ``keys`` and ``sketch``."""
     added = StructType([StructField("n_shingles", LongType()), StructField("set_key", BinaryType()),
-                        StructField("keys", ArrayType(LongType(), False)), StructField("sketch", LongType()),
-                        StructField("long_sketch", ArrayType(LongType(), False))])
+                        StructField("keys", ArrayType(LongType(), False)), StructField("sketch", LongType())])
 
     def start():
         def make(column: pa.Array) -> list:
@@ -142,39 +123,47 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
             sig = np.stack([signature(s) for s in sets]) if sets else np.empty((0, SYMBOLS), np.uint64)
             keys = chunk_keys(sig)
             return [pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([set_key(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]),
                                              pa.array(keys.ravel())),
-                    pa.array(sketch(sig)),
-                    pa.array([long_sketch(s) for s in sets], pa.list_(pa.int64()))]
+                    pa.array(sketch(sig))]
         return make
 
     return enrich(docs.select("doc_id", "text"), "text", added, start)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def hashed_sets(docs: DataFrame, heads: DataFrame, size: int) -> DataFrame:
+    """The sets (``id, items``: sorted 64-bit hashes) of the documents of ``heads`` (id, set_key)."""
+    added = StructType([StructField("items", BinaryType()), StructField("set_key", BinaryType())])
+
+    def start():
+        def make(column: pa.Array) -> list:
+            sets = document_sets(column, size)
+            return [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([set_key(s) for s in sets], pa.binary())]
+        return make
+
+    asked = docs.select(F.col("doc_id").alias("id"), "text").join(heads.select("id"), "id", "left_semi")
+    # an id may have rows with other texts: the set must be the one that stands for it
+    return (enrich(asked, "text", added, start).drop("text").join(heads, ["id", "set_key"], "left_semi")
+            .dropDuplicates(["id"]).select("id", "items"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets have ``100 * intersection >= percent * union``."""
-    both = (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
-            .join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a"))
+    both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("b_items")), "b")
+            .join(sets.select(F.col("id").alias("a"), F.col("items").alias("a_items")), "a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
-                a = batch.column(0).to_pylist()
-                other = document_sets(batch.column(3), size)
-                new = [k for k in range(len(a)) if a[k] != (a[k - 1] if k else last)]
-                sets = dict(zip(new, document_sets(batch.column(2).take(pa.array(new, pa.int64())), size)))
-                keep = []
-                for k, b_set in enumerate(other):
-                    last_set = sets.get(k, last_set)
-                    same = len(np.intersect1d(last_set, b_set, assume_unique=True))
-                    keep.append(100 * same >= percent * (len(last_set) + len(b_set) - same))
-                last = a[-1]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
+        for batch in batches:
+            keep = []
+            for x, y in zip(*(batch.column(i) for i in (2, 3))):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = np.sort(np.concatenate([x, y]))
+                same = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * same >= percent * (len(x) + len(y) - same))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "a_items", "b_items").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -186,6 +175,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = store(signed(docs, size).drop("text"), "near_signed")
     full = rows.where("n_shingles > 0")
+    odd = store(full.groupBy("doc_id").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most"))
+                .where("least <> most").select("doc_id", "least"), "near_odd")
+    others = None
+    if not odd.isEmpty():
+        marked = store(full.join(odd, "doc_id", "left"), "near_full")
+        full = marked.where("least is null or set_key = least").drop("least")
+        others = marked.where("set_key <> least").select("doc_id", "n_shingles")
     classes = store(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "near_classes")
     heads = full.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["set_key"])
     keyed = store(heads.select(F.col("doc_id").alias("rep"), "sketch", F.explode("keys").alias("key")), "near_keys")
@@ -194,11 +190,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                                             F.count("*").alias("n")).where("n > 1"), "near_pivots")
     total = keyed.count()
     shared = store(join_by_key(keyed, pivots, "key", "n", total), "near_shared")
-    ids = shared.select(F.col("rep").alias("id")).distinct()
-    texts = store(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id").dropDuplicates(["id"]), "near_texts")
+    ids = shared.select("rep").distinct()
+    named = store(heads.select(F.col("doc_id").alias("rep"), "set_key").join(ids, "rep").withColumnRenamed("rep", "id"), "near_heads")
+    sets = store(hashed_sets(docs, named, size), "near_sets")
 
     def link(pairs: DataFrame, name: str) -> DataFrame:
-        return store(confirmed(store(pairs, f"{name}_pairs"), texts, size, percent), f"{name}_links")
+        return store(confirmed(store(pairs, f"{name}_pairs"), sets, percent), f"{name}_links")
 
     def open_keys(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """The rows of keys whose members are in several components, with these."""
@@ -226,9 +223,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .select(pair("rep", "other")).distinct(), "near_second"))
     left = open_keys(left.select("key", "rep", "sketch"), links, "near_second")
 
-    left = store(left.join(heads.select(F.col("doc_id").alias("rep"), "long_sketch", "keys"), "rep")
+    left = store(left.join(heads.select(F.col("doc_id").alias("rep"), "n_shingles", "keys"), "rep")
                  .withColumn("at", F.array_position("keys", F.col("key")) - 1), "near_left")
-    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("rep", "sketch", "component", "long_sketch", "keys")))
+    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("rep", "sketch", "component", "n_shingles", "keys")))
     met = F.lit(True)  # a pair is made at the first key that its two members share
     for i in range(CHUNKS * WIDTH):
         met = met & ((left["at"] <= i) | (left["keys"][i] != right["other_keys"][i]))
@@ -236,13 +233,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         left.join(right, (left["key"] == right["key"]) & (left["rep"] < right["other_rep"])
                   & (left["component"] != right["other_component"]) & met
                   & (different(left["sketch"], right["other_sketch"]) <= MOST_DIFFERENT)
-                  & (long_different(left["long_sketch"], right["other_long_sketch"]) <= MOST_LONG))
+                  & (100 * F.least(left["n_shingles"], right["other_n_shingles"])  # a true bound of the similarity
+                     >= percent * F.greatest(left["n_shingles"], right["other_n_shingles"])))
         .select(pair("rep", "other_rep")).distinct(), "near_third"))
     found = components(links, "near_all")
 
     classes = (classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
                .select("set_key", "n", F.coalesce("component", "rep").alias("component_id")))
     linked = join_by_key(full, classes, "set_key", "n", full.count()).select("doc_id", "n_shingles", "component_id")
+    if others is not None:
+        linked = linked.unionByName(others.join(linked.select("doc_id", "component_id").distinct(), "doc_id"))
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
