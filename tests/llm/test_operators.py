@@ -174,10 +174,73 @@ def test_near_documents(spark, size):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_documents_of_odd_rows(spark):
+    """Ids near the largest, one id with several texts, repeated rows, rows without an id, very long texts."""
+    big, text = 2 ** 63 - 1, " ".join(f"w{i}" for i in range(60))
+    long_text = " ".join(f"v{i}" for i in range(40000))
+    rows = [(big, text), (big - 1, text + " tail"), (big - 2, text.upper()), (7, "one two three"), (7, text), (7, text),
+            (8, long_text), (9, long_text + " more"), (None, text), (10, None)]
+    got = Counter((r.doc_id, r.component_id) for r in
+                  minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
+    # the digest decides which text of id 7 stands for it: all its rows are in one component
+    sevens = {c for (d, c) in got if d == 7}
+    assert sum(n for (d, _), n in got.items() if d == 7) == 3 and sevens == {7}
+    assert got[8, 8] == got[9, 8] == got[10, 10] == 1
+    assert len({c for (d, c) in got if d and d > 10}) == 1
+
+
+def test_signature_distance_is_guaranteed(spark):
+    """All pairs within the signature distance that are similar enough end in one component,
+    however unlike the others that share their keys are."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        w = [x if rng.random() > 0.06 else f"x{rng.integers(0, 10 ** 9)}" for x in base]
+        rows.append((i, " ".join(w + [f"own{i}_{j}" for j in range(rng.integers(0, 4))])))
+    sets, low = brute_components(rows, 2)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {d: low[d] for d in sets}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1400)] + [(5, 5), (None, 3)]
+    edges += [(2 ** 63 - 1 - i, 2 ** 63 - 2 - i) for i in range(50)] + [(-2 ** 63 + i, -2 ** 63 + i + 1) for i in range(50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
-    assert got == {**{i: 0 for i in range(301)}, **{i: 1000 for i in range(1000, 1400)}}
+    assert got == {**{i: 0 for i in range(301)}, **{i: 1000 for i in range(1000, 1400)},
+                   **{2 ** 63 - 1 - i: 2 ** 63 - 51 for i in range(51)}, **{-2 ** 63 + i: -2 ** 63 for i in range(51)}}
+
+
+def test_counts_beyond_32_bits():
+    """A word that two blocks have three thousand million times each."""
+    import pandas as pd
+    word = np.array([7], np.uint64)
+    row = {"words": word.tobytes(), "word_n": np.array([3_000_000_000], np.uint64).tobytes(), "pairs": b"", "pair_n": b"",
+           "bucket": 0, "first": 0, "last": 0}
+    told = lm.answer(pd.DataFrame([{**row, "block": b} for b in (1, 2)]))
+    assert [np.frombuffer(x, np.uint64).tolist() for x in told["word_c"]] == [[6_000_000_000]] * 2
+    assert told["tokens"].sum() == 6_000_000_000
+
+
+def test_hostile_pages_take_linear_time():
+    """Pages of a million characters that never close what they open."""
+    import time
+    field = extract.train(extract.labelled_pages(100))
+    n = 1 << 20
+    pages = [piece * (n // len(piece)) for piece in ("</x ", "<svg><title>", "<a ", "<div>x", "<script ", "<!", "<a '\"")]
+    pages += ["<div>" * (n // 10) + "<li>x</li>" * (n // 20), "<script>" + "</script " * (n // 9),
+              "".join(f"<x{i}>y</q{i}><p>" for i in range(n // 20))]
+    for page in pages:
+        start = time.process_time()
+        extract.main_text(page, field)
+        assert time.process_time() - start < 60, page[:20]
+
+
+def test_unclosed_tags_keep_the_text():
+    own = lambda page: [b.text for b in extract.blocks(page)]
+    assert own("<p>one <a href='x' two</p><p>three") == ["one", "three"]     # a tag ends before the next
+    assert own('<p title="a > b">one</p>') == ["one"]
+    assert own("<p>a <b>b</b> <i c") == ["a b"]
 
 
 def test_language_and_quality_held_out(spark):
