@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from vacfleet.operators import experiment as XP
@@ -79,11 +80,11 @@ def test_day_slotted_overwrite_and_upsert(spark):
     day = s.agg(F.max("collected_day")).first()[0]
     again = s.filter(F.col("collected_day") == day)
     io.write_day_slotted(again, p)                       # recollect one day: only it is replaced
-    assert io.read_telemetry(spark, p).count() == s.count()
-    pruned = io.read_telemetry(spark, p, days=(day, day))
+    assert io.read_telemetry(spark, f"{p}/arrivals").count() == s.count()
+    pruned = io.read_telemetry(spark, f"{p}/arrivals", days=(day, day))
     assert "PartitionFilters: [isnotnull(collected_day" in pruned._jdf.queryExecution().executedPlan().toString()
     new = again.withColumn("n_dead_tup", F.col("n_dead_tup") + 1)
-    up = io.upsert(io.read_telemetry(spark, p), new, ["cluster_id", "relid", "snapshot_id"],
+    up = io.upsert(io.read_telemetry(spark, f"{p}/arrivals"), new, ["cluster_id", "relid", "snapshot_id"],
                    ["collected_day"])
     assert up.count() == again.count()
     assert up.agg(F.sum("n_dead_tup")).first()[0] == again.agg(F.sum("n_dead_tup")).first()[0] + again.count()
@@ -94,6 +95,122 @@ def test_day_keeps_snapshots_written_one_by_one(spark, samples_df):
     p = os.path.join(_d(), "raw")
     for cluster, snap in (("c0", 1), ("c0", 2), ("c1", 1), ("c0", 2)):
         io.write_day_slotted(samples_df([sample(cluster_id=cluster, snapshot_id=snap, relid=r) for r in (1, 2)]), p)
-    back = io.read_telemetry(spark, p)
+    back = io.read_day_slotted(spark, p, samples_df([]).schema)
     assert sorted((r.cluster_id, r.snapshot_id, r.relid) for r in back.collect()) == [
         ("c0", 1, 1), ("c0", 1, 2), ("c0", 2, 1), ("c0", 2, 2), ("c1", 1, 1), ("c1", 1, 2)]
+
+
+def test_compaction_bounds_files_and_sorts_rows(spark, samples_df):
+    """Many snapshots of two days become few files in the order of relations, whose row groups say
+    which relations they hold; later arrivals, also of a compacted snapshot, count once."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from frames import sample
+    p, schema = os.path.join(_d(), "raw"), samples_df([]).schema
+    rows = [sample(cluster_id=c, snapshot_id=100 * d + k, collected_day=d, relid=r, n_dead_tup=k)
+            for c in ("c0", "c1") for d in (1, 2) for k in range(6) for r in range(200)]
+    io.write_day_slotted(samples_df(rows), p)
+    assert len(glob.glob(f"{p}/arrivals/*/*/*/*.parquet")) >= 24
+    spark.conf.set("parquet.block.size", 4096)
+    try:
+        io.compact_days(spark, p, schema, before=3, file_bytes=1 << 20)
+    finally:
+        spark.conf.unset("parquet.block.size")
+    files = glob.glob(f"{p}/days/*/*.parquet")
+    assert len(files) <= 4 and not glob.glob(f"{p}/arrivals/*/*/*/*.parquet")
+    held = skipped = 0
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        at = meta.schema.names.index("relid")
+        relids = pq.read_table(f, columns=["cluster_id", "relid", "snapshot_id"]).to_pylist()
+        assert relids == sorted(relids, key=lambda r: (r["cluster_id"], r["relid"], r["snapshot_id"]))
+        for g in range(meta.num_row_groups):
+            stats = meta.row_group(g).column(at).statistics
+            held += stats.min <= 7 <= stats.max
+            skipped += not stats.min <= 7 <= stats.max
+    assert held >= 1 and (skipped > held or held + skipped <= len(files))
+    again = [sample(cluster_id="c0", snapshot_id=100, collected_day=1, relid=r, n_dead_tup=77) for r in range(200)]
+    io.write_day_slotted(samples_df(again + [sample(snapshot_id=300, collected_day=3, relid=1)]), p)
+    for _ in range(2):
+        got = io.read_day_slotted(spark, p, schema)
+        assert got.count() == len(rows) + 1 and got.filter("n_dead_tup = 77").count() == 200
+        assert io.read_day_slotted(spark, p, schema, days=(3, 3)).count() == 1
+        io.compact_days(spark, p, schema, before=3)
+    assert io.read_day_slotted(spark, os.path.join(p, "none"), schema).count() == 0
+
+
+def test_inventory_of_stored_tiers(spark):
+    """Rows and bytes of each partition come from the tier's own files."""
+    from vacfleet.operators import rollup as R
+    from vacfleet.plans.inputs import inputs
+    i = inputs(spark, "/root/testdata/sf0.001")
+    root = os.path.join(_d(), "tiers")
+    tiers = R.update_tiers(i.samples, i.snapshots, root)
+    inv = io.stored_inventory(spark, root, {"rollup_1m": "day", "rollup_1h": "month", "rollup_1d": "month"})
+    rows = {r["relation"]: (r["n"], r["b"]) for r in inv.groupBy("relation").agg(
+        F.sum("approx_rows").alias("n"), F.sum("bytes").alias("b")).collect()}
+    for name, tier in zip(("rollup_1m", "rollup_1h", "rollup_1d"), tiers):
+        assert rows[name] == (tier.count(), sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(f"{root}/{name}")
+                                                for f in fs if f.endswith(".parquet")))
+    decoded = R.partition_inventory(inv).filter("decoded_start <> range_start" if "range_start" in R.partition_inventory(inv).columns else "false")
+    assert decoded.count() == 0
+    with pytest.raises(ValueError):
+        io.stored_inventory(spark, os.path.join(root, "none"), {"rollup_1m": "day"})
+
+
+def test_colocated_tick_has_no_exchange(spark):
+    """Tables in buckets by (cluster, relation) meet without a shuffle of relations."""
+    from vacfleet.operators import asof, estimate
+    from vacfleet.plans import catalog as C
+    from vacfleet.plans.inputs import inputs
+    i = inputs(spark, "/root/testdata/sf0.001")
+    tgt, d = asof.target_snapshot(i.snapshots), _d()
+    at = i.snapshots.select("cluster_id", "snapshot_id", "collected_at")
+    put = lambda name, df: io.write_colocated(df, f"test_{name}_{os.path.basename(d).replace('-', '_')}", 8, f"{d}/{name}")
+    cache = put("cache", asof.latest_rows(i.samples, before=tgt).join(at, ["cluster_id", "snapshot_id"], "left"))
+    new = put("new", C.rows_at(i.samples, i.snapshots, tgt).select(*[c for c in cache.columns if c != "collected_at"]))
+    known = put("known", asof.known_relations(i.samples, tgt))
+    none = put("prior", estimate.empty_prior(spark))
+    empty = put("debt", spark.createDataFrame([], "cluster_id string, relid bigint, dead_tuple_fraction double, "
+                                              "vacuum_debt_ratio double, analyze_debt_ratio double, freeze_debt double"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        st = asof.tick_state(cache, new, tgt, estimate.PREV_COLS, relations=known)
+        plan = estimate.estimate_tick(i.samples, i.snapshots, none, tgt, state=st, md=empty)._jdf.queryExecution().toString()
+        assert "hashpartitioning(cluster_id" in plan       # the newest header of each cluster
+        assert not [x for x in plan.splitlines() if "Exchange" in x and "relid" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_run_is_complete_with_what_its_arm_needs(spark):
+    from vacfleet.operators import experiment as XP
+    root = _d()
+    runs = spark.createDataFrame([("a-1", "a", "f", "s", 0), ("o-1", "o", "f", "s", 0), ("o-2", "o", "f", "s", 0), ("o-3", "o", "f", "s", 0)],
+                                 "run_id string, arm string, fixture string, scenario string, seed int")
+    io.write_run_meta(runs, f"{root}/run_meta")
+    for run, text in (("o-1", "1\t0.1"), ("o-2", "1\t0.2"), ("o-3", "")):      # an empty table is none
+        os.makedirs(f"{root}/best/run={run}")
+        open(f"{root}/best/run={run}/part", "w").write(text)
+    done = XP.complete_runs(runs, io.list_artifacts(spark, root), {"o": "best"})
+    assert {(r.arm, r.run_id) for r in XP.newest_run(done).collect()} == {("a", "a-1"), ("o", "o-2")}
+    plan = XP.campaign_plan(spark, ["a", "b"], ["f"], ["s", "never"], [0], oracle="o")
+    assert {(r.scenario, r.status, r.missing_arms) for r in XP.coverage(plan, done).collect()} == {
+        ("s", "incomplete", "b"), ("never", "missing", "a,b,o")}
+    assert {(r.arm, r.scenario) for r in XP.pending_trials(plan, done).collect()} == {
+        ("b", "s"), ("a", "never"), ("b", "never"), ("o", "never")}
+
+
+def test_descendants_of_any_depth(spark):
+    from vacfleet.operators import retention
+    chain = [("c", f"n{k}", f"n{k + 1}") for k in range(9)] + [("c", "n0", "m"), ("d", "n1", "n0")]
+    tree = spark.createDataFrame(chain, "cluster_id string, parent string, child string")
+    sizes = spark.createDataFrame([(c, n, 1, 0) for c, n in {(c, x) for c, *p in chain for x in p}] + [("c", "alone", 5, 2)],
+                                  "cluster_id string, name string, bytes long, dead_tuples long")
+    got = {(r.cluster_id, r.relation): (r.bytes, r.members) for r in retention.fold_to_parent(sizes, tree).collect()}
+    assert got == {("c", "n0"): (11, 11), ("c", "alone"): (5, 1), ("d", "n1"): (2, 2)}
+    loop = spark.createDataFrame([("c", "x", "y"), ("c", "y", "x")], "cluster_id string, parent string, child string")
+    with pytest.raises(ValueError):
+        retention.top_of(loop)

@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from vacfleet.operators import rollup as R
@@ -50,28 +51,39 @@ def test_minute_rollup_stream_equals_batch(spark):
           want.filter(F.col("bucket_start") < last).select(*keep))
 
 
-def _change_stream(spark, src, d, name):
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    q = (jobs.change_stream(stream).writeStream.outputMode("append").format("parquet")
-         .option("path", os.path.join(d, name)).option("checkpointLocation", os.path.join(d, "ck"))
-         .trigger(availableNow=True).start())
-    _run(q)
+def test_change_log_equals_batch_across_batches(spark):
+    """Two micro-batches, the second replayed, with re-delivered and late rows in a third."""
+    i = inputs(spark, SF)
+    dense = i.dense.drop("relkind", "relpersistence", "relispartition", "extension_owned")
+    d = _scratch()
+    run = jobs.change_log_batch(os.path.join(d, "state"), os.path.join(d, "log"))
+    cut = dense.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY snapshot_id)")).first()[0]
+    run(dense.filter(F.col("snapshot_id") <= cut), 0)
+    second = dense.filter(F.col("snapshot_id") > cut)
+    run(second, 1)
+    run(second, 1)                                   # replayed after a failure: idempotent
+    run(dense.filter(F.col("snapshot_id") >= cut), 2)      # delivered again: nothing new
+    got = spark.read.parquet(os.path.join(d, "log")).select("cluster_id", "relid", "snapshot_id")
+    _same(got, sparse.sparse_log(dense).select("cluster_id", "relid", "snapshot_id"))
 
 
-def test_change_stream_equals_batch_across_batches(spark):
+def test_chained_tiers_equal_batch(spark):
+    """Hours in the same stream as the minutes: every bucket that the watermark has closed."""
     i = inputs(spark, SF)
-    flags = ["relkind", "relpersistence", "relispartition", "extension_owned"]
-    dense = i.dense.drop(*flags)
     d = _scratch()
-    src = os.path.join(d, "dense")
-    cut = dense.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY snapshot_id)")).first()[0]
-    dense.filter(F.col("snapshot_id") <= cut).write.parquet(src)
-    _change_stream(spark, src, d, "out")                   # batch 1: first half of history
-    dense.filter(F.col("snapshot_id") > cut).write.mode("append").parquet(src)
-    _change_stream(spark, src, d, "out")                   # batch 2: state carried over
-    got = spark.read.parquet(os.path.join(d, "out"))
-    want = sparse.sparse_log(dense).select("cluster_id", "relid", "snapshot_id")
-    _same(got, want)
+    jobs.with_event_time(i.samples, i.snapshots).write.parquet(os.path.join(d, "in"))
+    src = os.path.join(d, "in")
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    q = (jobs.coarse_rollup_stream(stream, "1h", "1 day").writeStream.outputMode("append").format("memory")
+         .queryName("r1h_stream").option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
+    _run(q)
+    want = R.rollup(i.samples, i.snapshots)[1]
+    last = want.agg(F.max("bucket_start")).first()[0] - dt.timedelta(days=1, hours=1)
+    keep = ["cluster_id", "relid", "bucket_start", "sample_count", "max_dead_tup"]
+    got = spark.table("r1h_stream").filter(F.col("bucket_start") < last).select(*keep)
+    _same(got, want.filter(F.col("bucket_start") < last).select(*keep))
+    with pytest.raises(ValueError):
+        jobs.coarse_rollup_stream(stream, "1w")
 
 
 def test_heartbeat_goes_stale(spark):

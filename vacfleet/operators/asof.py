@@ -159,24 +159,34 @@ def latest_rows(samples: DataFrame, before=None) -> DataFrame:
 
 
 def tick_state(cache: DataFrame, new: DataFrame, tgt: DataFrame,
-               prev_cols: Sequence[str] = ()) -> DataFrame:
+               prev_cols: Sequence[str] = (), relations: DataFrame | None = None) -> DataFrame:
     """The ``state_and_previous`` columns for tick p from the cache (newest stored row per
     relation before p) and the rows stored at p, in one full outer join on the entity
     key: O(relations + new rows) instead of a pass over the stored history.
 
     Changed relation: cur = its new row, prev = its cached row. Quiet relation: cur = prev
     = its cached row (trap 1). New relation: cur = new row, no prev (boot).
+
+    With the list of ``relations`` (KEY of every relation with a row), two left joins take the
+    full outer join's place: they keep the partitioning of tables stored by the entity key
+    (``io.write_colocated``), so what is joined next needs no exchange either. A cache that has
+    its rows' ``collected_at`` passes it on (``prev_collected_at``).
     """
     cols = ["snapshot_id", *STATE_COLS]
-    c = cache.select(*ENTITY, F.struct(*cols).alias("_c"))
+    timed = "collected_at" in cache.columns
+    c = cache.select(*ENTITY, F.struct(*cols, *(["collected_at"] if timed else [])).alias("_c"))
     n = new.select(*ENTITY, F.struct(*cols).alias("_n"))
-    j = c.join(n, ENTITY, "full_outer").join(F.broadcast(tgt), "cluster_id")
-    cur = F.coalesce(F.col("_n"), F.col("_c"))
+    j = (c.join(n, ENTITY, "full_outer") if relations is None
+         else relations.select(*ENTITY).join(c, ENTITY, "left").join(n, ENTITY, "left"))
+    j = j.join(F.broadcast(tgt), "cluster_id")
+    cur = F.coalesce(F.col("_n"), F.struct(*[F.col("_c").getField(x).alias(x) for x in cols]))
     out = [F.col("cluster_id"), F.col("_p").alias("snapshot_id"), F.col("relid")]
     out += [cur.getField(x).alias(x) for x in STATE_COLS]
     if prev_cols:
         out.append(F.col("_c").getField("snapshot_id").alias("prev_snapshot_id"))
         out += [F.col("_c").getField(x).alias(f"prev_{x}") for x in prev_cols]
+    if timed:
+        out.append(F.col("_c").getField("collected_at").alias("prev_collected_at"))
     return j.select(*out)
 
 

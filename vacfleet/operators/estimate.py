@@ -57,9 +57,10 @@ def estimate_calc(samples: DataFrame, snapshots: DataFrame, prior: DataFrame | N
                                "def_mxid_freeze_max_age", "oldest_xmin_owner",
                                "oldest_xmin_age")), ["cluster_id", "snapshot_id"])
     # previous sample's own collection time (its snapshot, not p)
-    prev_hdr = snapshots.select("cluster_id", F.col("snapshot_id").alias("prev_snapshot_id"),
-                                F.col("collected_at").alias("prev_collected_at"))
-    cur = cur.join(prev_hdr, ["cluster_id", "prev_snapshot_id"], "left")
+    if "prev_collected_at" not in cur.columns:
+        prev_hdr = snapshots.select("cluster_id", F.col("snapshot_id").alias("prev_snapshot_id"),
+                                    F.col("collected_at").alias("prev_collected_at"))
+        cur = cur.join(prev_hdr, ["cluster_id", "prev_snapshot_id"], "left")
     # debt indicators always come from the newest snapshot (trap 5)
     if md is None:
         md = debt.maintenance_debt(samples, snapshots)

@@ -186,6 +186,8 @@ def top_of(tree: DataFrame) -> DataFrame:
         above = up.select("cluster_id", F.col("child").alias("top"), F.col("top").alias("_above"))
         if above.join(up, ["cluster_id", "top"], "left_semi").isEmpty():
             return up
+        if not up.filter("child = top").isEmpty():
+            break
         up = store(up.join(above, ["cluster_id", "top"], "left").select(
             "cluster_id", "child", F.coalesce("_above", "top").alias("top")), "tree_top")
     raise ValueError("the partition tree has a cycle")

@@ -87,12 +87,8 @@ def rollup_minute(samples: DataFrame, snapshots: DataFrame,
     return g.withColumn("bucket_part", X.epoch_day("bucket_start")).select(*TIER_COLS)
 
 
-def coarsen(finer: DataFrame, unit: str, since: Column | None = None) -> DataFrame:
-    """A2: aggregate a tier into ``unit`` buckets; averages weighted by sample count
-    (divided by every sample, also those whose value was NULL, as the reference does)."""
-    f = finer
-    if since is not None:
-        f = f.filter(F.col("bucket_start") >= _trunc(unit, since))
+def coarse_measures() -> list[Column]:
+    """The aggregates of one coarse bucket over the buckets of a finer tier."""
     n = F.col("sample_count")
     aggs = [F.max("schemaname").alias("schemaname"), F.max("relname").alias("relname"),
             F.sum(n).cast("int").alias("sample_count")]
@@ -100,8 +96,16 @@ def coarsen(finer: DataFrame, unit: str, since: Column | None = None) -> DataFra
         aggs.append(F.try_divide(F.sum(F.col(f"avg_{m}") * n), F.sum(n).cast("double"))
                     .alias(f"avg_{m}"))
         aggs.append(F.max(f"max_{m}").alias(f"max_{m}"))
-    aggs += [F.max(c).alias(c) for c in MAX_ONLY]
-    g = f.groupBy("cluster_id", "relid", _trunc(unit, "bucket_start").alias("bucket_start")).agg(*aggs)
+    return aggs + [F.max(c).alias(c) for c in MAX_ONLY]
+
+
+def coarsen(finer: DataFrame, unit: str, since: Column | None = None) -> DataFrame:
+    """A2: aggregate a tier into ``unit`` buckets; averages weighted by sample count
+    (divided by every sample, also those whose value was NULL, as the reference does)."""
+    f = finer
+    if since is not None:
+        f = f.filter(F.col("bucket_start") >= _trunc(unit, since))
+    g = f.groupBy("cluster_id", "relid", _trunc(unit, "bucket_start").alias("bucket_start")).agg(*coarse_measures())
     return g.withColumn("bucket_part", X.epoch_month("bucket_start")).select(*TIER_COLS)
 
 

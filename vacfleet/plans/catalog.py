@@ -151,22 +151,36 @@ def q_rollup_incremental(spark, d):
 @register("raw_sink_roundtrip")
 def q_raw_sink_roundtrip(spark, d):
     """The newest half of the stored samples (by snapshot) written after the older half
-    through the day-slotted sink, then the newest snapshot once more: every sample is
-    stored once."""
+    through the day-slotted sink, then the newest snapshot once more, past days compacted after
+    each: every sample is stored once."""
     from vacfleet.sources import io
     i = inputs(spark, d)
     path = _stream_dir(spark, "raw")
     half = F.floor((i.snapshots.agg(F.min("snapshot_id")).scalar()
                     + i.snapshots.agg(F.max("snapshot_id")).scalar()) / 2)
     last = i.snapshots.agg(F.max("snapshot_id")).scalar()
+    day = i.snapshots.agg(F.max("collected_day")).first()[0]
     for part in (F.col("snapshot_id") <= half, F.col("snapshot_id") > half,
                  F.col("snapshot_id") == last):
         io.write_day_slotted(i.samples.filter(part), path)
-    got = spark.read.schema(i.samples.schema).parquet(path)
+        io.compact_days(spark, path, i.samples.schema, before=day)
+    got = io.read_day_slotted(spark, path, i.samples.schema)
     return finish(got.select("cluster_id", "snapshot_id", "collected_day", "slot", "relid",
                              "n_dead_tup", "n_tup_ins", "n_tup_upd", "autovacuum_count"))
 
 
+@register("stored_inventory")
+def q_stored_inventory(spark, d):
+    """The inventory of the tiers that the library has written, from their files."""
+    from vacfleet.sources import io
+    i = inputs(spark, d)
+    root = _stream_dir(spark, "inventory")
+    R.update_tiers(i.samples, i.snapshots, root)
+    inv = io.stored_inventory(spark, root, {"rollup_1m": "day", "rollup_1h": "month", "rollup_1d": "month"})
+    return finish(inv.select("cluster_id", "relation", "partition", "span", "range_start", "range_end", "approx_rows",
+                             (F.col("bytes") > 0).alias("has_bytes")))
+
+
 @register("rollup_as_of")
 def q_rollup_as_of(spark, d):
     """Tier 1h as of one day before the newest snapshot."""
@@ -466,6 +480,29 @@ def q_estimate_tick(spark, d):
     return finish(_estimate_chain(spark, d).select(*EST.ESTIMATE_COLS))
 
 
+@register("colocated_tick")
+def q_colocated_tick(spark, d):
+    """The newest tick on tables stored in buckets by (cluster, relation): cache, new rows,
+    carried state and debt meet without an exchange."""
+    from vacfleet.sources import io
+    i = inputs(spark, d)
+    tgt = asof.target_snapshot(i.snapshots)
+    root = _stream_dir(spark, "buckets")
+    tag = root.rsplit("-", 1)[1]
+    put = lambda name, df: io.write_colocated(df, f"vacfleet_{name}_{tag}", BUCKETS, f"{root}/{name}")
+    at = i.snapshots.select("cluster_id", "snapshot_id", "collected_at")
+    cache = put("cache", asof.latest_rows(i.samples, before=tgt).join(at, ["cluster_id", "snapshot_id"], "left"))
+    new = put("new", rows_at(i.samples, i.snapshots, tgt).select(*[c for c in cache.columns if c != "collected_at"]))
+    known = put("known", asof.known_relations(i.samples, tgt))
+    prior = put("prior", i.carried_state)
+    md = put("debt", debt.maintenance_debt(i.samples, i.snapshots))
+    st = asof.tick_state(cache, new, tgt, EST.PREV_COLS, relations=known)
+    return finish(EST.estimate_tick(i.samples, i.snapshots, prior, tgt, state=st, md=md))
+
+
+BUCKETS = 8
+
+
 @register("counter_deltas")
 def q_counter_deltas(spark, d):
     return finish(_estimate_chain(spark, d).select(
@@ -519,6 +556,7 @@ from vacfleet.operators import governance as GOV  # noqa: E402
 from vacfleet.operators import health as H  # noqa: E402
 from vacfleet.operators import plan as PL  # noqa: E402
 from vacfleet.operators import retention as RET  # noqa: E402
+from vacfleet.operators import sketch as SK  # noqa: E402
 
 TICK_ID = 1
 BUDGET_BYTES = 4_000_000
@@ -637,6 +675,19 @@ def q_tick_summary(spark, d):
     return finish(PL.tick_summary(inputs(spark, d).decisions))
 
 
+@register("distinct_sketches")
+def q_distinct_sketches(spark, d):
+    """A5: distinct relations with decisions per month, from stored daily sketches, against the
+    exact count: whether the estimate is within three standard errors."""
+    dec = inputs(spark, d).decisions
+    daily = store(SK.day_sketches(dec, X.epoch_day("created_at"), F.col("relid").cast("long")), "sketches")
+    month = daily.withColumn("month", X.epoch_month(X.day_start("day")))
+    exact = dec.groupBy("cluster_id", X.epoch_month("created_at").alias("month")).agg(F.count_distinct("relid").alias("n_relations"))
+    j = exact.join(SK.united(month, ["cluster_id", "month"]), ["cluster_id", "month"])
+    near = F.abs(F.col("estimate") - F.col("n_relations")) <= F.greatest(F.lit(1.0), 3 * SK.ERROR * F.col("n_relations"))
+    return finish(j.select("cluster_id", "month", "n_relations", near.alias("within_error")))
+
+
 @register("static_settings")
 def q_static_settings(spark, d):
     i = inputs(spark, d)
@@ -856,18 +907,42 @@ def _stream_dir(spark, name):
 
 @register("stream_change_detection")
 def q_stream_change_detection(spark, d):
-    """ST3: the collected history replayed as a file stream through the stateful change
-    detector (availableNow); the sink's rows are the logged changes."""
+    """ST3: the collected history replayed as a file stream, some days a micro-batch, through
+    the change detector and its last-state table; the logged changes."""
     from vacfleet.streaming import jobs
     i = inputs(spark, d)
     root = _stream_dir(spark, "st3")
-    path, collected = store_at(sparse.collection_filter(i.dense, i.collection_policy), "collected")
-    src = spark.readStream.schema(collected.schema).parquet(path)
-    q = (jobs.change_stream(src).writeStream.outputMode("append").format("parquet")
-         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
-         .trigger(availableNow=True).start())
+    collected = store(sparse.collection_filter(i.dense, i.collection_policy), "collected")
+    chunk = F.floor(F.col("collected_day") / CHUNK_DAYS)
+    lo, hi = i.snapshots.agg(F.min(chunk), F.max(chunk)).first()
+    for c in range(lo, hi + 1):                                 # files in the order of collection
+        collected.filter(chunk == c).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    src = spark.readStream.schema(collected.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    q = (src.writeStream.foreachBatch(jobs.change_log_batch(f"{root}/state", f"{root}/log"))
+         .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return finish(spark.read.parquet(f"{root}/log").select("cluster_id", "relid", "snapshot_id"))
+
+
+@register("stream_rollup_1d")
+def q_stream_rollup_1d(spark, d):
+    """ST1: the 1d tier at the end of a chain of streaming windows (samples, minutes, hours,
+    days). A last row of no cluster, long after all others, lets the watermark close every window,
+    as a heartbeat does for a source that has gone quiet."""
+    from vacfleet.streaming import jobs
+    i = inputs(spark, d)
+    root = _stream_dir(spark, "st1d")
+    rows = jobs.with_event_time(i.samples, i.snapshots)
+    rows.write.parquet(f"{root}/in")
+    read = spark.read.parquet(f"{root}/in")
+    beat = read.orderBy(F.col("event_time").desc()).limit(1).withColumns(
+        {"cluster_id": F.lit(""), "event_time": F.col("event_time") + F.expr("INTERVAL 40 DAYS")})
+    beat.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    src = spark.readStream.schema(read.schema).parquet(f"{root}/in")
+    q = (jobs.coarse_rollup_stream(src, "1d", "1 day").writeStream.outputMode("append").format("parquet")
+         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
-    return finish(spark.read.parquet(f"{root}/out"))
+    return finish(spark.read.parquet(f"{root}/out").filter("cluster_id <> ''").select(*R.TIER_COLS))
 
 
 @register("stream_rollup_1m")

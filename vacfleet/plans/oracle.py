@@ -1763,6 +1763,20 @@ FROM (SELECT *, lag(struct_pack({_SIG})) OVER (PARTITION BY cluster_id, relid
 WHERE _prev IS NULL OR _prev IS DISTINCT FROM struct_pack({_SIG})""")
 
 ORACLE["stream_rollup_1m"] = ORACLE["rollup_1m"]
+ORACLE["stream_rollup_1d"] = ORACLE["rollup_1d"]
+ORACLE["colocated_tick"] = ORACLE["estimate_tick"]
+q("distinct_sketches", ["decisions"], """
+SELECT cluster_id, CAST((year(created_at) - 1970) * 12 + month(created_at) - 1 AS INTEGER) AS month,
+  count(DISTINCT relid) AS n_relations, true AS within_error
+FROM decisions GROUP BY 1, 2""")
+_TIER_COUNTS = " UNION ALL ".join(f"""
+SELECT cluster_id, '{tier}' AS relation, '{span}' AS span, CAST(date_trunc('{span}', bucket_start) AS TIMESTAMP) AS range_start,
+  count(*) AS approx_rows FROM ({ORACLE[tier]}) GROUP BY ALL""" for tier, span in (("rollup_1m", "day"), ("rollup_1h", "month"), ("rollup_1d", "month")))
+ORACLE["stored_inventory"] = f"""
+SELECT cluster_id, relation, relation || '_' || CASE span WHEN 'day' THEN strftime(range_start, '%Y%m%d') ELSE strftime(range_start, '%Y%m') END AS partition,
+  span, range_start, CAST(CASE span WHEN 'day' THEN range_start + INTERVAL 1 DAY ELSE range_start + INTERVAL 1 MONTH END AS TIMESTAMP) AS range_end,
+  approx_rows, true AS has_bytes
+FROM ({_TIER_COUNTS})"""
 ORACLE["stream_tier_upsert"] = ORACLE["rollup_1d"]
 ORACLE["stream_control_tick"] = ORACLE["estimate_tick"]
 

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacfleet.functions import exprs as X
+from vacfleet.session import store, stored_or_none
+
 # ---- schemas ---------------------------------------------------------------------------
 TX_LOG_FIELDS = T.StructType([
     T.StructField("client", T.IntegerType()), T.StructField("tx_no", T.LongType()),
@@ -141,20 +144,123 @@ def read_best(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", "\t").option("header", "true").schema(BEST).csv(path)
 
 
-# ---- S10 / S12 ----------------------------------------------------------------------------------
+# ---- S10 ----------------------------------------------------------------------------------
+ARRIVALS, DAY_FILES = "arrivals", "days"
+#: Bytes of a compacted file.
+FILE_BYTES = 128 << 20
+#: Order of a day's rows: a relation's samples stand together, so that the smallest and largest
+#: values which Parquet keeps of each row group let a reader skip the others.
+DAY_ORDER = ["collected_day", "cluster_id", "relid", "snapshot_id"]
+
+
 def write_day_slotted(samples: DataFrame, path: str) -> None:
-    """Raw samples, one partition per collection day, cluster and snapshot. Writing a
-    snapshot again replaces that snapshot alone; other snapshots of the day and other
+    """Raw samples as they arrive, one partition per collection day, cluster and snapshot.
+    Writing a snapshot again replaces that snapshot alone; other snapshots of the day and other
     clusters stay. The ring slot stays a column; expiry is ``raw_retention`` dropping whole
     day partitions. Snapshot and cluster also stay as columns (``cluster_id``,
-    ``snapshot_id``); their partition copies are ``in_cluster`` and ``in_snapshot``."""
+    ``snapshot_id``); their partition copies are ``in_cluster`` and ``in_snapshot``.
+    ``compact_days`` turns the many small files of past days into few sorted ones."""
     (samples.withColumn("in_cluster", F.col("cluster_id"))
      .withColumn("in_snapshot", F.col("snapshot_id"))
      .repartition("collected_day", "in_cluster", "in_snapshot")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("collected_day", "in_cluster", "in_snapshot").parquet(path))
+     .partitionBy("collected_day", "in_cluster", "in_snapshot").parquet(f"{path}/{ARRIVALS}"))
 
 
+def read_day_slotted(spark: SparkSession, path: str, schema: T.StructType,
+                     days: tuple[int, int] | None = None) -> DataFrame:
+    """The raw samples of ``path``: of a snapshot that was written again after its day was
+    compacted, the arrivals; else the compacted rows and what arrived since. The day range is a
+    partition filter on both."""
+    fresh, old = (stored_or_none(spark, f"{path}/{part}", schema) for part in (ARRIVALS, DAY_FILES))
+    if days is not None:
+        fresh, old = (x if x is None else x.filter(F.col("collected_day").between(*days)) for x in (fresh, old))
+    if fresh is None and old is None:
+        return spark.createDataFrame([], schema)
+    if old is None or fresh is None:
+        return (old if fresh is None else fresh).select(*schema.fieldNames())
+    again = fresh.select("collected_day", "cluster_id", "snapshot_id").distinct()
+    return (fresh.select(*schema.fieldNames())
+            .unionByName(old.select(*schema.fieldNames()).join(again, ["collected_day", "cluster_id", "snapshot_id"], "left_anti")))
+
+
+def compact_days(spark: SparkSession, path: str, schema: T.StructType, before: int,
+                 file_bytes: int = FILE_BYTES) -> None:
+    """Rewrite the days before ``before`` that have arrivals as few files, sorted by relation.
+
+    The number of files follows the bytes of the days, not their snapshots. A day's new files are
+    complete before its arrivals are deleted: a job that is lost in between leaves rows in both,
+    which ``read_day_slotted`` counts once, and the next run compacts the day again."""
+    fresh = stored_or_none(spark, f"{path}/{ARRIVALS}", schema)
+    if fresh is None:
+        return
+    days = [r[0] for r in fresh.filter(F.col("collected_day") < before).select("collected_day").distinct().collect()]
+    if not days:
+        return
+    files = read_day_slotted(spark, path, schema).filter(F.col("collected_day").isin(days))
+    rows = store(files, "raw_days")          # the folder to be replaced is read here, not while writing
+    size = sum(folder_bytes(spark, f"{path}/{part}/collected_day={d}") for part in (ARRIVALS, DAY_FILES) for d in days)
+    (rows.repartitionByRange(max(1, -(-size // file_bytes)), *DAY_ORDER).sortWithinPartitions(*DAY_ORDER)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("collected_day").parquet(f"{path}/{DAY_FILES}"))
+    for d in days:
+        _folder(spark, f"{path}/{ARRIVALS}/collected_day={d}", lambda fs, p: fs.delete(p, True))
+
+
+def _folder(spark: SparkSession, path: str, call):
+    """Call Hadoop's file system for a path of any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return call(fs, p) if fs.exists(p) else None
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under a folder (0 where there is none)."""
+    return int(_folder(spark, path, lambda fs, p: fs.getContentSummary(p).getLength()) or 0)
+
+
+# ---- S14 ------------------------------------------------------------------------------------------
+def stored_inventory(spark: SparkSession, root: str, spans: dict[str, str], schema_name: str = "observe") -> DataFrame:
+    """The partition inventory of the tiers stored under ``root``, in the shape that the retention
+    planners take: bytes from file metadata, rows from the files' footers (no column is read).
+    ``spans`` names each tier's partition span ('day' or 'month')."""
+    out = None
+    for tier, span in spans.items():
+        df = stored_or_none(spark, f"{root}/{tier}")
+        if df is None:
+            continue
+        rows = df.groupBy("cluster_id", "bucket_part").agg(F.count("*").alias("approx_rows"))
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+                 .load(f"{root}/{tier}").select("path", "length"))
+        part = files.select(F.url_decode(F.regexp_extract("path", r"/cluster_id=([^/]*)/", 1)).alias("cluster_id"),
+                            F.regexp_extract("path", r"/bucket_part=(-?\d+)/", 1).cast("int").alias("bucket_part"), "length")
+        sizes = part.groupBy("cluster_id", "bucket_part").agg(F.sum("length").alias("bytes"))
+        start = X.day_start("bucket_part") if span == "day" else X.month_start("bucket_part")
+        end = X.day_start(F.col("bucket_part") + 1) if span == "day" else X.month_start(F.col("bucket_part") + 1)
+        t = (rows.withColumn("cluster_id", F.col("cluster_id").cast("string")).join(sizes, ["cluster_id", "bucket_part"], "left")
+             .select("cluster_id", F.lit(schema_name).alias("schema_name"), F.lit(tier).alias("relation"),
+                     F.concat(F.lit(f"{tier}_"), X.partition_suffix(start, span)).alias("partition"), F.lit(span).alias("span"),
+                     start.alias("range_start"), end.alias("range_end"), "approx_rows",
+                     F.coalesce("bytes", F.lit(0)).alias("bytes"), F.lit(0).cast("long").alias("dead_tuples")))
+        out = t if out is None else out.unionByName(t)
+    if out is None:
+        raise ValueError(f"no tier is stored under {root}")
+    return out
+
+
+# ---- J4 -------------------------------------------------------------------------------------------
+def write_colocated(df: DataFrame, name: str, buckets: int, path: str,
+                    keys: Sequence[str] = ("cluster_id", "relid")) -> DataFrame:
+    """Store a table in ``buckets`` files by the hash of its keys, sorted by them: joins of such
+    tables on the keys, and aggregations by them, need no exchange. An external table of the
+    session's catalog, with its files in ``path``; the number of buckets must be the same for all
+    tables that meet."""
+    (df.repartition(buckets, *keys).write.mode("overwrite").option("path", path)
+     .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
+# ---- S12 ------------------------------------------------------------------------------------------
 def upsert(existing: DataFrame, new: DataFrame, key: Sequence[str],
            partition_cols: Sequence[str] = ()) -> DataFrame:
     """Keyed upsert as a DataFrame: the rows of ``existing`` in the partitions ``new``

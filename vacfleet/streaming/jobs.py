@@ -1,14 +1,12 @@
 """Structured Streaming forms of the stateful behaviours (ST1-ST8).
 
 * ST1/ST2/ST8: tumbling-window rollups with a watermark (late rows within the lookback
-  are absorbed), duplicate re-deliveries dropped within the watermark, and a
-  ``foreachBatch`` upsert that recomputes only the buckets a micro-batch touched.
-* ST3: stateful change detection with ``applyInPandasWithState``; the exact row
-  signature is built JVM-side (``to_json`` of the signature struct), the state keeps the
-  last signature per relation, and the Python part only compares strings.
-* ST4/ST5/ST7: ``foreachBatch`` ticks that run the library's batch operators (estimate,
-  classify, findings reconcile) against versioned state tables, never overwriting the
-  version being read.
+  are absorbed), hours chained to minutes and days to hours in one stream, duplicate
+  re-deliveries dropped within the watermark, and a ``foreachBatch`` upsert that recomputes
+  only the buckets a micro-batch touched.
+* ST3: change detection in ``foreachBatch`` against a versioned last-state table.
+* ST4/ST5/ST7: ``foreachBatch`` ticks that fold a batch's headers into versioned state tables
+  (estimate, classify, findings reconcile), never overwriting the version being read.
 * ST6: a per-cluster heartbeat with an event-time timeout.
 """
 
@@ -19,12 +17,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vacfleet import params as P
 from vacfleet.functions import exprs as X
 from vacfleet.operators import rollup as R
+from vacfleet.operators import sparse
 from vacfleet.operators.sparse import SIGNATURE
 from vacfleet.session import store, stored_or_none
 
@@ -41,16 +39,38 @@ def with_event_time(samples: DataFrame, snapshots: DataFrame) -> DataFrame:
             .withColumn("event_time", X.as_ts("collected_at")))
 
 
+def _tumbling(rows: DataFrame, time: str, length: str, measures: list) -> DataFrame:
+    return rows.groupBy("cluster_id", "relid", F.window(time, length)).agg(*measures)
+
+
+def _buckets(windows: DataFrame, part) -> DataFrame:
+    start = X.as_ntz(F.col("window.start"))
+    return (windows.withColumn("bucket_start", start).withColumn("bucket_part", part(start))
+            .select(*R.TIER_COLS))
+
+
+def _minutes(rows: DataFrame, lookback: str) -> DataFrame:
+    s = (rows.withWatermark("event_time", lookback)
+         .dropDuplicatesWithinWatermark(["cluster_id", "snapshot_id", "relid"]))
+    return _tumbling(s, "event_time", "1 minute", R.minute_measures())
+
+
 def minute_rollup_stream(rows: DataFrame, lookback: str = "3 days") -> DataFrame:
     """ST1: the 1m tier as a streaming aggregation. The watermark equals the rollup
     lookback (ST2); re-delivered samples are dropped within it (ST8)."""
-    s = (rows.withWatermark("event_time", lookback)
-         .dropDuplicatesWithinWatermark(["cluster_id", "snapshot_id", "relid"]))
-    g = s.groupBy("cluster_id", "relid", F.window("event_time", "1 minute")).agg(*R.minute_measures())
-    start = X.as_ntz(F.col("window.start"))
-    return (g.withColumn("bucket_start", start)
-             .withColumn("bucket_part", X.epoch_day(start))
-             .select(*R.TIER_COLS))
+    return _buckets(_minutes(rows, lookback), X.epoch_day)
+
+
+def coarse_rollup_stream(rows: DataFrame, tier: str, lookback: str = "3 days") -> DataFrame:
+    """ST1: the 1h or 1d tier in the same stream: hours aggregate the minute windows that the
+    watermark has closed, days the closed hours (chained windows, append mode). A bucket comes
+    out once, whole, when the watermark passes its end."""
+    hours = _tumbling(_minutes(rows, lookback).withColumn("_at", F.window_time("window")), "_at", "1 hour", R.coarse_measures())
+    if tier == "1h":
+        return _buckets(hours, X.epoch_month)
+    if tier != "1d":
+        raise ValueError(f"unknown coarse tier: {tier} (use '1h' or '1d')")
+    return _buckets(_tumbling(hours.withColumn("_at", F.window_time("window")), "_at", "1 day", R.coarse_measures()), X.epoch_month)
 
 
 def tier_upsert_batch(tier_root: str, snapshots: DataFrame):
@@ -90,40 +110,33 @@ def tier_upsert_batch(tier_root: str, snapshots: DataFrame):
 
 
 # ---- ST3 ------------------------------------------------------------------------------------
-CHANGE_STATE = T.StructType([T.StructField("snapshot_id", T.LongType()),
-                             T.StructField("sig", T.StringType())])
-
-
-def _detect_changes(key, batches: Iterator[pd.DataFrame], state: GroupState):
-    last_sid, last_sig = state.get if state.exists else (None, None)
-    out = []
-    for pdf in batches:
-        for sid, sig in zip(pdf["snapshot_id"].to_numpy(), pdf["_sig"].to_numpy()):
-            out.append((int(sid), sig))
-    out.sort()
-    emit = []
-    for sid, sig in out:
-        if last_sid is not None and sid <= last_sid:
-            continue                      # late or replayed row: older than the state
-        if sig != last_sig:
-            emit.append(sid)
-        last_sid, last_sig = sid, sig
-    if last_sid is not None:
-        state.update((last_sid, last_sig))
-    yield pd.DataFrame({"cluster_id": [key[0]] * len(emit), "relid": [key[1]] * len(emit),
-                        "snapshot_id": emit})
-
-
-def change_stream(collected: DataFrame) -> DataFrame:
-    """ST3: (cluster_id, relid, snapshot_id) of every collected row whose signature
-    differs from the relation's last state; join back for the full rows."""
-    sig = F.to_json(F.struct(*[F.col(c) for c in SIGNATURE]), {"ignoreNullFields": "false"})
-    keyed = collected.select(*KEY, "snapshot_id", sig.alias("_sig"))
-    return keyed.groupBy(*KEY).applyInPandasWithState(
-        _detect_changes,
-        outputStructType="cluster_id string, relid bigint, snapshot_id bigint",
-        stateStructType=CHANGE_STATE, outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout)
+def change_log_batch(state_root: str, log_path: str):
+    """ST3 as ``foreachBatch``: the rows of a micro-batch whose signature differs from the
+    relation's row before, in the batch or in the last-state table, go to the change log.
+
+    The last-state table is versioned by batch, and the log has a folder a batch: a replayed batch
+    reads the version before its own and rewrites what it wrote. Re-delivered rows, and rows not
+    newer than the relation's last state, are dropped. All of it is joins and windows over
+    (relation, day); only relations of the batch meet their last state."""
+    columns = [*KEY, "snapshot_id", "collected_day", *SIGNATURE]
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = state_version(spark, state_root, "last", batch_id)
+        rows = batch.select(*columns).dropDuplicates([*KEY, "snapshot_id"])
+        if last is None:
+            last = spark.createDataFrame([], rows.schema)
+        seen = last.select(*KEY, F.col("snapshot_id").alias("_seen"))
+        rows = store(rows.join(seen, KEY, "left").filter(
+            F.col("_seen").isNull() | (F.col("snapshot_id") > F.col("_seen"))).drop("_seen"), "change_rows")
+        touched = rows.select(*KEY).distinct()
+        before = last.join(touched, KEY, "left_semi")
+        history = before.withColumn("_new", F.lit(False)).unionByName(rows.withColumn("_new", F.lit(True)))
+        log = sparse.sparse_log(history).filter("_new").select(*columns)
+        log.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+        newest = rows.groupBy(*KEY).agg(F.max_by(F.struct(*columns[2:]), "snapshot_id").alias("_r")).select(*KEY, "_r.*")
+        write_version(last.join(touched, KEY, "left_anti").unionByName(newest), state_root, "last", batch_id)
+    return run
 
 
 # ---- ST6 ------------------------------------------------------------------------------------
