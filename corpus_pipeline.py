@@ -19,18 +19,21 @@ LEAST_LANGUAGE_SCORE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents go that have no letter or resemble no language's profile."""
+    """Operator 7: documents go that have no letter (null and empty texts too) or resemble no
+    language's profile. Repeated rows are judged alike; without a labelled row, nothing goes but what
+    has no letter. An empty table stays empty."""
     configure(spark)
     model = langid.fit(docs, ~in_fold(F.col("doc_id"), 4, 2))
     out = langid.predict(docs, model)
+    if not model.names:  # nothing learned: only texts without a letter can be rejected
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     known = F.col("lang_pred") != langid.UNKNOWN
-    if not model.names:  # nothing learned, nothing rejected
-        known = F.lit(True)
-    return out.where(known & ((F.col("score") >= LEAST_LANGUAGE_SCORE) | F.lit(not model.names))).select(docs.columns)
+    return out.where(known & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents go that the classifier scores below its limit."""
+    """Operator 5: documents go that the classifier scores below its limit. Null texts are empty;
+    repeated rows are judged alike; an empty table stays empty."""
     configure(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, ~in_fold(F.col("doc_id"), 4, 2))
@@ -39,21 +42,27 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: one document of each group stays, the one with the smallest id (five-word
-    shingles, similarity 0.8). Rows without an id stay."""
+    shingles, similarity 0.8). Rows that share that id and their text are one; rows that share it
+    but not their text are no copies of each other and stay. Rows without an id stay; null and empty
+    texts link with nothing. An empty table stays empty."""
     configure(spark)
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return (docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-            .unionByName(docs.where(F.col("doc_id").isNull())))
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    same = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return (docs.join(kept, "doc_id", "left_semi").withColumn("_same", same).dropDuplicates(["doc_id", "_same"])
+            .select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull())))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents are sampled to the raked weights."""
+    """Operator 8: documents are sampled to the raked weights, each as often as it was drawn (a rate
+    above 1 repeats a document). Null sources and languages are the value ''; repeated rows are drawn
+    alike; an empty table stays empty."""
     configure(spark)
-    return mixing.mix(docs).where("kept").select(docs.columns)
+    return mixing.mixed(docs)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: token ids, their number, and whether they decode to the text again."""
+    """Operator 1: token ids, their number, and whether they decode to the text again. A null text
+    is empty: no tokens. Repeated rows are rows of their own; an empty table stays empty."""
     configure(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     out = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
