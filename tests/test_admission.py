@@ -40,7 +40,7 @@ def _policy(spark, cap, budget):
 def _run(spark, frames, policy=None):
     d, lv, st, ac, gs = frames
     from pyspark.sql import functions as F
-    out = admit.admit_actions(d, lv, st, ac, gs, policy, as_of=F.lit(NOW).cast("timestamp_ntz"))
+    out = admit.admit_actions(d, lv, st, ac, gs, policy, clock=F.lit(NOW).cast("timestamp_ntz"))
     return {r.decision_id: r.refusal_reason for r in out.collect()}
 
 
@@ -100,5 +100,5 @@ def test_over_ticks_uses_each_ticks_clock(spark):
                                actions=[(100, 99, 10, "applied", t1 - dt.timedelta(minutes=30))])
     gs = spark.createDataFrame([], "cluster_id string, state string")
     got = {r.decision_id: r.refusal_reason
-           for r in admit.admit_over_ticks(d, lv, st, ac, gs, None).collect()}
+           for r in admit.admit_actions(d, lv, st, ac, gs, None).collect()}
     assert got == {1: "min_interval", 2: None}

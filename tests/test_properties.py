@@ -266,5 +266,5 @@ def test_admission_keeps_clusters_apart_and_honours_long_intervals(spark):
     actions = spark.createDataFrame([("c1", 7, 0, "applied", now - dt.timedelta(minutes=30))],
                                     "cluster_id string, relid long, decision_id long, status string, applied_at timestamp_ntz")
     gov = spark.createDataFrame([("c0", "HEALTHY"), ("c1", "HEALTHY")], "cluster_id string, state string")
-    out = admit.admit_actions(decisions, live, state, actions, gov, None, as_of=F.lit(now)).collect()
+    out = admit.admit_actions(decisions, live, state, actions, gov, None, clock=F.lit(now)).collect()
     assert sorted((r.cluster_id, r.refusal_reason) for r in out) == [("c0", None), ("c1", "min_interval")]

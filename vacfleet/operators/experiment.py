@@ -143,12 +143,12 @@ def gap_closed(arm_p95: DataFrame, best: DataFrame, roles: Roles,
                warmup: float = P.WARMUP_FRACTION) -> DataFrame:
     """X3 (+J10, W5): windows common to expert, candidate and oracle; the first
     max(1, int(0.2 N)) by rank are warm-up; a window with expert <= best is dropped."""
-    def arm(name, col):
-        return (arm_p95.filter(F.col("arm") == name)
-                .select(*CELL, "win", F.col("p95_us").alias(col)))
-    j = (arm(roles.expert, "expert_p95").join(arm(roles.candidate, "candidate_p95"), [*CELL, "win"])
-         .join(best.select(*CELL, "win", F.col("best_p95_us").alias("oracle_p95")),
-               [*CELL, "win"]))
+    sides = arm_p95.select("arm", *CELL, "win", "p95_us").unionByName(
+        best.select(F.lit(roles.oracle).alias("arm"), *CELL, "win", F.col("best_p95_us").alias("p95_us")))
+    of = {roles.expert: "expert_p95", roles.candidate: "candidate_p95", roles.oracle: "oracle_p95"}
+    # one aggregate by cell and window instead of a join per side
+    j = sides.filter(F.col("arm").isin(*of)).groupBy(*CELL, "win").agg(
+        *[F.max(F.when(F.col("arm") == a, F.col("p95_us"))).alias(c) for a, c in of.items()]).dropna(subset=list(of.values()))
     cw = W.partitionBy(*CELL)
     j = (j.withColumn("_n", F.count("*").over(cw))
           .withColumn("_rk", F.row_number().over(cw.orderBy("win")))

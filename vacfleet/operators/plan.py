@@ -204,10 +204,11 @@ def reconcile_oscillation(oscillating: DataFrame, diagnostics: DataFrame) -> Dat
 
 
 def oscillation(actions: DataFrame, as_of, window_s: int, min_reversals: int,
-                actuator: str = VAC_SF) -> DataFrame:
+                actuator: str = VAC_SF, values: bool = True) -> DataFrame:
     """D16 (W1, W2, A6, A7): relations whose applied values reverse direction at least
     ``min_reversals`` times inside the window. Both lags use the skew-safe previous-row
-    lookup (per relation and day, with a cross-day carry)."""
+    lookup (per relation and day, with a cross-day carry). ``values`` adds the applied
+    values in their order."""
     seq = (actions.filter((F.col("status") == "applied") & (F.col("actuator") == actuator)
                           & (F.col("relid") != 0) & X.within_last("applied_at", as_of, window_s))
            .select(*KEY, "relname", "action_id", "applied_at",
@@ -221,10 +222,15 @@ def oscillation(actions: DataFrame, as_of, window_s: int, min_reversals: int,
         F.max("relname").alias("relname"),
         F.count_if(F.coalesce(rev, F.lit(False))).alias("reversals"),
         F.count("*").alias("n_changes"),
-        F.min("applied_at").alias("first_at"), F.max("applied_at").alias("last_at"),
+        F.min("applied_at").alias("first_at"), F.max("applied_at").alias("last_at")).filter(
+        F.col("reversals") >= min_reversals)
+    if not values:
+        return g
+    # the values of relations that flap only: one ordered list each, of the window's changes
+    recent = seq.join(g.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("applied_at", "action_id", "v"))),
                     lambda x: x.getField("v").cast("string")).alias("recent_values"))
-    return g.filter(F.col("reversals") >= min_reversals)
+    return g.join(recent, KEY)
 
 
 def tick_summary(decisions: DataFrame) -> DataFrame:

@@ -218,6 +218,12 @@ def _p95(spark, d):
     return XP.window_p95(inputs(spark, d).tx_log, WINDOW_S)
 
 
+def _sides(spark, d):
+    """The percentiles of the arms and the best of the sweep, from one stored table."""
+    p95 = store(_p95(spark, d), "window_p95")
+    return p95.filter(F.col("arm") != ROLES.oracle).drop("probe_sf"), XP.best_of_sweep(p95.filter(F.col("arm") == ROLES.oracle))
+
+
 def _arm_p95(spark, d):
     return _p95(spark, d).filter(F.col("arm") != ROLES.oracle).drop("probe_sf")
 
@@ -226,10 +232,13 @@ def _best(spark, d):
     return XP.best_of_sweep(_p95(spark, d).filter(F.col("arm") == ROLES.oracle))
 
 
-def _verdicts(spark, d):
+def _gaps(spark, d):
+    return XP.gap_closed(*_sides(spark, d), ROLES)
+
+
+def _verdicts(spark, d, gaps=None):
     i = inputs(spark, d)
-    gaps = XP.gap_closed(_arm_p95(spark, d), _best(spark, d), ROLES)
-    return XP.verdict(gaps, XP.cost_gates(i.metrics, ROLES),
+    return XP.verdict(_gaps(spark, d) if gaps is None else gaps, XP.cost_gates(i.metrics, ROLES),
                       XP.safety_floor(i.metrics, i.run_meta, ROLES))
 
 
@@ -278,10 +287,11 @@ def q_sweep_roundtrip(spark, d):
     """The sweep's probes and best windows written as TSV and read back."""
     from vacfleet.sources import io
     path = _stream_dir(spark, "sweep")
-    probes = _p95(spark, d).filter(F.col("arm") == ROLES.oracle).select(
+    p95 = store(_p95(spark, d), "window_p95").filter(F.col("arm") == ROLES.oracle)
+    probes = p95.select(
         F.col("probe_sf").alias("sf"), "win", "p95_us", "tx_count")
     io.write_tsv(probes, f"{path}/probes")
-    io.write_tsv(_best(spark, d).select("win", "best_sf", "best_p95_us"), f"{path}/best")
+    io.write_tsv(XP.best_of_sweep(p95).select("win", "best_sf", "best_p95_us"), f"{path}/best")
     best = io.read_best(spark, f"{path}/best").groupBy("win").agg(
         F.count("*").alias("n_best"), F.sum("best_p95_us").alias("best_sum"))
     got = io.read_probes(spark, f"{path}/probes").groupBy("win", "sf").agg(
@@ -295,8 +305,8 @@ def q_verdict_sink(spark, d):
     each cell."""
     from vacfleet.sources import io
     path = _stream_dir(spark, "verdicts")
-    gaps = XP.gap_closed(_arm_p95(spark, d), _best(spark, d), ROLES)
-    io.write_verdicts(_verdicts(spark, d), gaps, path)
+    gaps = store(_gaps(spark, d), "gaps")
+    io.write_verdicts(_verdicts(spark, d, gaps), gaps, path)
     schema = ("fixture string, scenario string, seed int, verdict string, per_window "
               "array<struct<window: bigint, gap_closed: double, dropped: boolean>>")
     docs = spark.read.schema(schema).json(path)
@@ -310,7 +320,7 @@ def q_best_of_sweep(spark, d):
 
 @register("gap_closed")
 def q_gap_closed(spark, d):
-    return finish(XP.gap_closed(_arm_p95(spark, d), _best(spark, d), ROLES))
+    return finish(_gaps(spark, d))
 
 
 @register("cost_gates")
@@ -412,7 +422,7 @@ def q_band_grading(spark, d):
 
 @register("phase_split")
 def q_phase_split(spark, d):
-    g = XP.gap_closed(_arm_p95(spark, d), _best(spark, d), ROLES)
+    g = _gaps(spark, d)
     return finish(XP.phase_split(g, WINDOW_S, SHIFT_S).select(
         *XP.CELL, "win", "phase", "gap_closed"))
 
@@ -655,14 +665,14 @@ def q_reconcile(spark, d):
     return finish(PL.reconcile(_findings(spark, d), i.diagnostics, live))
 
 
-def _oscillating(spark, d):
+def _oscillating(spark, d, values=False):
     i = inputs(spark, d)
-    return PL.oscillation(i.actions, _clock(spark, d), OSC_WINDOW_S, 2)
+    return PL.oscillation(i.actions, _clock(spark, d), OSC_WINDOW_S, 2, values=values)
 
 
 @register("oscillation")
 def q_oscillation(spark, d):
-    return finish(_oscillating(spark, d))
+    return finish(_oscillating(spark, d, values=True))
 
 
 @register("oscillation_reconcile")
@@ -719,14 +729,18 @@ def _gov_state(spark, d):
     return H.override_floor(H.evaluate_health(_metrics(spark, d), i.policy), i.override_events)
 
 
+def _decisions_on_clock(i):
+    """The decision log with each tick's time: its newest decision."""
+    now = i.decisions.groupBy("cluster_id", "tick_id").agg(F.max("created_at").alias("tick_now"))
+    return i.decisions.join(now, ["cluster_id", "tick_id"])
+
+
 @register("admit_actions")
 def q_admit_actions(spark, d):
+    """D17 over every tick of the decision log, under the evaluated governor state."""
     i = inputs(spark, d)
-    last_tick = i.decisions.agg(F.max("tick_id")).scalar()
-    dec = i.decisions.filter(F.col("tick_id") == last_tick)
-    live = asof.state_as_of(i.samples, i.snapshots)
-    return finish(ADM.admit_actions(dec, live, _actuator_state(spark, d), i.actions,
-                                    _gov_state(spark, d), i.policy, as_of=_clock(spark, d)))
+    return finish(ADM.admit_actions(_decisions_on_clock(i), asof.state_as_of(i.samples, i.snapshots), _actuator_state(spark, d),
+                                    i.actions, _gov_state(spark, d), i.policy))
 
 
 @register("governor_status")
@@ -1025,11 +1039,7 @@ def q_admit_over_ticks(spark, d):
     tick's newest decision time). No governor state was recorded for these historical
     ticks, so the authority gate is open (a missing state row does not block, as in the
     controller); ``admit_actions`` covers the gate with the evaluated state."""
-    from pyspark.sql import Window as W
     i = inputs(spark, d)
-    dec = i.decisions.withColumn("tick_now", F.max("created_at").over(
-        W.partitionBy("cluster_id", "tick_id")))
-    live = asof.state_as_of(i.samples, i.snapshots)
     no_state = spark.createDataFrame([], "cluster_id string, state string")
-    return finish(ADM.admit_over_ticks(dec, live, _actuator_state(spark, d), i.actions,
-                                       no_state, i.policy))
+    return finish(ADM.admit_actions(_decisions_on_clock(i), asof.state_as_of(i.samples, i.snapshots), _actuator_state(spark, d),
+                                    i.actions, no_state, i.policy))

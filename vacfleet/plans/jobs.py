@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacfleet import params as P
-from vacfleet.operators import (admit, asof, classify, debt, estimate, experiment, health,
+from vacfleet.functions import exprs as X
+from vacfleet.operators import (admit, asof, classify, estimate, experiment, health,
                                 plan, retention, rollup, sparse)
+from vacfleet.session import store
 
 
 def observe_tick(dense_at_p: DataFrame, cache: DataFrame, policy: DataFrame,
@@ -59,13 +61,14 @@ def control_tick(classes: DataFrame, estimates: DataFrame, samples: DataFrame,
     state = health.override_floor(health.evaluate_health(metrics, policy, params), override_events)
     calc = plan.plan_calc(classes, estimates, samples, snapshots, actuator_state, policy,
                           tick_id, None, params)
-    decisions = calc.select(*plan.DECISION_COLS).withColumn("decision_id", F.col("relid"))
+    # unique over ticks and the same on a replay
+    decisions = calc.select(*plan.DECISION_COLS).withColumn("decision_id", F.xxhash64("cluster_id", "tick_id", "relid"))
     found = plan.findings(estimates, samples, snapshots, None, params)
     live = asof.state_as_of(samples, snapshots)
     reconciled = plan.reconcile(found, diagnostics, live.select("cluster_id", "relid"))
     flapping = plan.reconcile_oscillation(osc, diagnostics)
     admitted = admit.admit_actions(decisions, live, actuator_state, actions, state, policy,
-                                   as_of=now, params=params)
+                                   clock=X.col(now), params=params)
     return {"metrics": metrics, "governor_state": state, "decisions": decisions,
             "findings": found, "reconcile": reconciled, "oscillating": osc,
             "reconcile_oscillation": flapping,
@@ -76,7 +79,8 @@ def daily_jobs(samples: DataFrame, snapshots: DataFrame, inventory: DataFrame,
                actions: DataFrame, decisions: DataFrame, ticks: DataFrame,
                diagnostics: DataFrame, now, budget_bytes: int,
                lookback_s: float | None = P.ROLLUP_LOOKBACK_SECONDS,
-               tier_root: str | None = None) -> dict[str, DataFrame]:
+               tier_root: str | None = None,
+               transitions: DataFrame | None = None) -> dict[str, DataFrame]:
     """Daily: the rollup cascade over the lookback (upserted into the stored tiers under
     ``tier_root`` when that is given), rollup and raw retention plans, audit retention and
     the storage shedding plan."""
@@ -86,7 +90,7 @@ def daily_jobs(samples: DataFrame, snapshots: DataFrame, inventory: DataFrame,
             "rollup_retention": rollup.rollup_retention(inventory, now),
             "raw_retention": rollup.raw_retention(samples),
             "audit_retention": retention.audit_retention(actions, decisions, ticks,
-                                                         diagnostics, now),
+                                                         diagnostics, now, transitions=transitions),
             "shedding_plan": retention.shedding_plan(inventory, diagnostics, actions, now,
                                                      budget_bytes, decisions=decisions,
                                                      ticks=ticks)}
@@ -96,7 +100,7 @@ def analysis(tx_log: DataFrame, metrics: DataFrame, run_meta: DataFrame, window_
              roles: experiment.Roles) -> dict[str, DataFrame]:
     """Experiment analysis over every cell at once: window p95 -> best of sweep -> gap
     closed -> gates -> verdict -> cell verdict."""
-    p95 = experiment.window_p95(tx_log, window_s)
+    p95 = store(experiment.window_p95(tx_log, window_s), "window_p95")     # every side reads it
     arm = p95.filter(F.col("arm") != roles.oracle).drop("probe_sf")
     best = experiment.best_of_sweep(p95.filter(F.col("arm") == roles.oracle))
     gaps = experiment.gap_closed(arm, best, roles)
@@ -105,10 +109,3 @@ def analysis(tx_log: DataFrame, metrics: DataFrame, run_meta: DataFrame, window_
     return {"window_p95": p95, "best_of_sweep": best, "gap_closed": gaps, "verdict": v,
             "cell_verdict": experiment.cell_verdict(v),
             "interval_check": experiment.interval_check(run_meta)}
-
-
-def debt_report(samples: DataFrame, snapshots: DataFrame, top: int = 20) -> DataFrame:
-    """The flagship question: which relations are overdue, and by how much."""
-    return (debt.maintenance_debt(samples, snapshots)
-            .orderBy(F.col("vacuum_debt_ratio").desc_nulls_last(), "cluster_id", "relid")
-            .limit(top))

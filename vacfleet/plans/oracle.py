@@ -1491,54 +1491,6 @@ LEFT JOIN e_b0 e ON e.cluster_id = c.cluster_id AND e.relid = c.relid
 LEFT JOIN last l ON l.cluster_id = c.cluster_id AND l.relid = c.relid
 LEFT JOIN (SELECT * FROM fold WHERE actuator = {_SF}) f ON f.cluster_id = c.cluster_id AND f.relid = c.relid""")
 
-q("admit_actions", ["decisions", "cur", "fold", "actions", "gov_state", "active_policy", "clock"], f"""
-WITH dec AS (SELECT * FROM decisions WHERE tick_id = (SELECT max(tick_id) FROM decisions)
-               AND actuator = {_SF}
-             QUALIFY row_number() OVER (PARTITION BY cluster_id, tick_id, relid ORDER BY decision_id DESC) = 1),
- d AS (SELECT * FROM dec WHERE decision = 'adjust'),
- applied AS (SELECT * FROM actions WHERE status = 'applied'),
- recent AS (SELECT cluster_id, relid, max(applied_at) AS last_applied FROM applied GROUP BY ALL),
- day_used AS (SELECT cluster_id, count(*) AS day_used FROM applied, clock
-              WHERE applied_at > now - {_D} GROUP BY cluster_id),
- tick_used AS (SELECT a.cluster_id, dd.tick_id, count(*) AS tick_used
-               FROM applied a JOIN decisions dd ON dd.decision_id = a.decision_id AND dd.cluster_id = a.cluster_id GROUP BY ALL),
- j AS (SELECT d.cluster_id, d.tick_id, d.decision_id, d.relid, d.proposed_value,
-         g.state AS gov_state, c.relid IS NOT NULL AS is_live,
-         {opt('c.reloptions', 'autovacuum_vacuum_scale_factor')} AS live_value,
-         f.relid IS NOT NULL AS have_state, f.baseline_explicit AS bexp, f.current_value AS gov_value,
-         r.last_applied, COALESCE(du.day_used, 0) AS day_used, COALESCE(tu.tick_used, 0) AS tick_used,
-         COALESCE(epoch(ap.min_interval), 3600) AS min_int_s,
-         COALESCE(ap.global_max_changes_per_cycle, 50) AS cap,
-         COALESCE(ap.daily_mutation_budget, 500) AS budget,
-         COALESCE(ap.manage_user_owned, false) AS manage, clock.now
-       FROM d CROSS JOIN clock
-       LEFT JOIN gov_state g ON g.cluster_id = d.cluster_id
-       LEFT JOIN cur c ON c.cluster_id = d.cluster_id AND c.relid = d.relid
-       LEFT JOIN (SELECT * FROM fold WHERE actuator = {_SF}) f ON f.cluster_id = d.cluster_id AND f.relid = d.relid
-       LEFT JOIN recent r ON r.cluster_id = d.cluster_id AND r.relid = d.relid
-       LEFT JOIN day_used du ON du.cluster_id = d.cluster_id
-       LEFT JOIN tick_used tu ON tu.cluster_id = d.cluster_id AND tu.tick_id = d.tick_id
-       LEFT JOIN active_policy ap ON ap.cluster_id = d.cluster_id),
- p AS (SELECT *, CASE
-         WHEN gov_state IN ('diagnostic', 'emergency', 'disabled') THEN 'authority'
-         WHEN NOT is_live THEN 'vanished'
-         WHEN live_value IS NOT DISTINCT FROM proposed_value THEN 'noop'
-         WHEN NOT COALESCE(TRY_CAST(proposed_value AS DOUBLE) BETWEEN 0.005 AND 0.5
-                           AND NOT isnan(TRY_CAST(proposed_value AS DOUBLE)), false) THEN 'invalid_value'
-         WHEN NOT manage AND live_value IS NOT NULL
-              AND NOT COALESCE(have_state AND NOT bexp AND live_value IS NOT DISTINCT FROM gov_value, false)
-              THEN 'user_owned'
-         WHEN last_applied IS NOT NULL AND last_applied > now - to_microseconds(CAST(min_int_s * 1000000 AS BIGINT))
-              THEN 'min_interval' END AS pre
-       FROM j),
- rk AS (SELECT *, CASE WHEN pre IS NULL THEN sum(CASE WHEN pre IS NULL THEN 1 ELSE 0 END) OVER
-                 (PARTITION BY cluster_id, tick_id ORDER BY decision_id
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS rnk FROM p)
-SELECT cluster_id, tick_id, decision_id, relid, proposed_value,
-  reason IS NULL AS admitted, reason AS refusal_reason
-FROM (SELECT *, CASE WHEN pre IS NOT NULL THEN pre WHEN tick_used + rnk > cap THEN 'cycle_cap'
-                     WHEN day_used + rnk > budget THEN 'daily_budget' END AS reason FROM rk)""")
-
 # ---- retention and governance -------------------------------------------------------------------
 q("storage_budget", ["inventory"], """
 SELECT * FROM (
@@ -1780,7 +1732,9 @@ FROM ({_TIER_COUNTS})"""
 ORACLE["stream_tier_upsert"] = ORACLE["rollup_1d"]
 ORACLE["stream_control_tick"] = ORACLE["estimate_tick"]
 
-q("admit_over_ticks", ["decisions", "cur", "fold", "actions", "active_policy"], f"""
+for _name, _state, _needs in (("admit_over_ticks", "CAST(NULL AS VARCHAR)", []), ("admit_actions", "g.state", ["gov_state"])):
+    _join = "LEFT JOIN gov_state g ON g.cluster_id = d.cluster_id" if _needs else ""
+    q(_name, ["decisions", "cur", "fold", "actions", "active_policy", *_needs], f"""
 WITH dec AS (SELECT *, max(created_at) OVER (PARTITION BY cluster_id, tick_id) AS tick_now
              FROM decisions WHERE actuator = {_SF}
              QUALIFY row_number() OVER (PARTITION BY cluster_id, tick_id, relid ORDER BY decision_id DESC) = 1),
@@ -1789,7 +1743,7 @@ WITH dec AS (SELECT *, max(created_at) OVER (PARTITION BY cluster_id, tick_id) A
  tick_used AS (SELECT a.cluster_id, dd.tick_id, count(*) AS tick_used
                FROM applied a JOIN decisions dd ON dd.decision_id = a.decision_id AND dd.cluster_id = a.cluster_id GROUP BY ALL),
  j AS (SELECT d.cluster_id, d.tick_id, d.decision_id, d.relid, d.proposed_value, d.tick_now,
-         CAST(NULL AS VARCHAR) AS gov_state, c.relid IS NOT NULL AS is_live,
+         {_state} AS gov_state, c.relid IS NOT NULL AS is_live,
          {opt('c.reloptions', 'autovacuum_vacuum_scale_factor')} AS live_value,
          f.relid IS NOT NULL AS have_state, f.baseline_explicit AS bexp, f.current_value AS gov_value,
          COALESCE(epoch(ap.min_interval), 3600) AS min_int_s,
@@ -1797,7 +1751,7 @@ WITH dec AS (SELECT *, max(created_at) OVER (PARTITION BY cluster_id, tick_id) A
          COALESCE(ap.daily_mutation_budget, 500) AS budget,
          COALESCE(ap.manage_user_owned, false) AS manage,
          COALESCE(tu.tick_used, 0) AS tick_used
-       FROM d
+       FROM d {_join}
        LEFT JOIN cur c ON c.cluster_id = d.cluster_id AND c.relid = d.relid
        LEFT JOIN (SELECT * FROM fold WHERE actuator = {_SF}) f ON f.cluster_id = d.cluster_id AND f.relid = d.relid
        LEFT JOIN active_policy ap ON ap.cluster_id = d.cluster_id
