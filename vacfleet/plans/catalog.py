@@ -852,15 +852,15 @@ def q_experiment_sampler(spark, d):
 
 
 def _tick_split(spark, d):
-    """The collected history split at the newest snapshot: the tick's rows, the cache
+    """The collected history split at each cluster's newest snapshot: the tick's rows, the cache
     built from everything before it, and the live catalog at the tick."""
     i = inputs(spark, d)
-    collected = sparse.collection_filter(i.dense, i.collection_policy)
-    p = i.snapshots.agg(F.max("snapshot_id")).scalar()
-    cur = collected.filter(F.col("snapshot_id") == p)
-    cache = sparse.last_state(collected.filter(F.col("snapshot_id") < p))
-    live = i.dense.filter(F.col("snapshot_id") == p)
-    return cur, cache, live
+    tgt = F.broadcast(asof.target_snapshot(i.snapshots))        # one row per cluster
+    collected = sparse.collection_filter(i.dense, i.collection_policy).join(tgt, "cluster_id")
+    at, before = F.col("snapshot_id") == F.col("_p"), F.col("snapshot_id") < F.col("_p")
+    cache = sparse.last_state(collected.filter(before).drop("_p"))
+    live = i.dense.join(tgt, "cluster_id").filter(at).drop("_p")
+    return collected.filter(at).drop("_p"), cache, live
 
 
 @register("change_join")

@@ -25,26 +25,26 @@ def opt(col: str, key: str) -> str:
 
 
 cte("_ev_c", [], """
-SELECT user_id AS relid, ts, event_id, us,
+SELECT 'n' || CAST(event_id % 3 AS VARCHAR) AS cluster_id, user_id AS relid, ts, event_id, us,
   SUM(CASE WHEN event_type='purchase' THEN 1 ELSE 0 END) OVER w AS ins,
   SUM(CASE WHEN event_type IN ('view','click') THEN 1 ELSE 0 END) OVER w AS upd,
   SUM(CASE WHEN event_type='signup' THEN 1 ELSE 0 END) OVER w AS del,
   SUM(CASE WHEN event_type='error' THEN 1 ELSE 0 END) OVER w AS avc,
   MAX(CASE WHEN event_type='error' THEN ts END) OVER w AS last_av
 FROM (SELECT *, epoch_us(ts) AS us FROM events)
-WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id
+WINDOW w AS (PARTITION BY event_id % 3, user_id ORDER BY us, event_id
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 
 cte("_ev_d", ["_ev_c"], """
 SELECT *, us // 3600000000 AS sid,
-  upd + del - CASE WHEN avc > 0 THEN MIN(upd + del) OVER (PARTITION BY relid, avc)
+  upd + del - CASE WHEN avc > 0 THEN MIN(upd + del) OVER (PARTITION BY cluster_id, relid, avc)
                    ELSE 0 END AS dead,
-  ROW_NUMBER() OVER (PARTITION BY relid, us // 3600000000
+  ROW_NUMBER() OVER (PARTITION BY cluster_id, relid, us // 3600000000
                      ORDER BY us DESC, event_id DESC) AS rn
 FROM _ev_c""")
 
 cte("samples", ["_ev_d"], """
-SELECT 'c0' AS cluster_id, CAST(sid AS BIGINT) AS snapshot_id,
+SELECT cluster_id, CAST(sid AS BIGINT) AS snapshot_id,
   CAST(((sid + 1) * 3600 // 86400) % 8 AS SMALLINT) AS slot,
   CAST((sid + 1) * 3600 // 86400 AS INTEGER) AS collected_day,
   relid,
@@ -73,7 +73,7 @@ SELECT 'c0' AS cluster_id, CAST(sid AS BIGINT) AS snapshot_id,
 FROM _ev_d WHERE rn = 1""")
 
 cte("snapshots", [], """
-SELECT 'c0' AS cluster_id, CAST(sid AS BIGINT) AS snapshot_id,
+SELECT cluster_id, CAST(sid AS BIGINT) AS snapshot_id,
   CAST(((sid + 1) * 3600 // 86400) % 8 AS SMALLINT) AS slot,
   CAST((sid + 1) * 3600 // 86400 AS INTEGER) AS collected_day,
   make_timestamp((sid + 1) * 3600000000) AS collected_at,
@@ -98,8 +98,8 @@ SELECT 'c0' AS cluster_id, CAST(sid AS BIGINT) AS snapshot_id,
        AS oldest_xmin_owner_detail,
   CAST(NULL AS BIGINT) AS oldest_catalog_xmin_age, 'none' AS oldest_catalog_xmin_owner,
   CAST(NULL AS BIGINT) AS current_xid, CAST(NULL AS BIGINT) AS current_mxid
-FROM (SELECT *, epoch_us(ts) // 3600000000 AS sid FROM events)
-GROUP BY sid""")
+FROM (SELECT *, epoch_us(ts) // 3600000000 AS sid, 'n' || CAST(event_id % 3 AS VARCHAR) AS cluster_id FROM events)
+GROUP BY cluster_id, sid""")
 
 # newest snapshot per cluster and the state of every relation as of it
 cte("tgt", ["snapshots"], """
@@ -202,7 +202,7 @@ SELECT cluster_id, relid, schemaname, relname, n_dead_tup, n_mod_since_analyze,
 FROM debt""")
 
 cte("horizon_sources", [], """
-SELECT 'c0' AS cluster_id,
+SELECT 'n' || CAST(event_id % 3 AS VARCHAR) AS cluster_id,
   CASE event_type WHEN 'view' THEN 'long_running_txn' WHEN 'click' THEN 'replication_slot'
        WHEN 'signup' THEN 'standby_feedback' WHEN 'purchase' THEN 'prepared_xact'
        WHEN 'error' THEN 'logical_slot' END AS owner,
@@ -248,8 +248,9 @@ JOIN snapshots h ON h.cluster_id = n.cluster_id AND h.snapshot_id >= n.snapshot_
                 AND (n.nxt IS NULL OR h.snapshot_id < n.nxt)""")
 
 cte("collection_policy", [], """
-SELECT 'c0' AS cluster_id, true AS exclude_temp, false AS include_extension_owned,
-       CAST(81920 AS BIGINT) AS min_partition_size_bytes, ['staging'] AS excluded_schemas""")
+SELECT 'n0' AS cluster_id, true AS exclude_temp, false AS include_extension_owned,
+       CAST(81920 AS BIGINT) AS min_partition_size_bytes, ['staging'] AS excluded_schemas
+UNION ALL SELECT 'n1', false, true, CAST(0 AS BIGINT), CAST([] AS VARCHAR[])""")
 
 cte("collected", ["dense", "collection_policy"], """
 SELECT d.* EXCLUDE (relkind, relpersistence, relispartition, extension_owned)
@@ -349,12 +350,12 @@ WHERE bucket_start <= (SELECT max(collected_at) - INTERVAL 1 DAY FROM snapshots)
 QUALIFY row_number() OVER (PARTITION BY cluster_id, relid ORDER BY bucket_start DESC) = 1""")
 
 cte("inventory", [], """
-SELECT 'c0' AS cluster_id, schema_name, relation,
+SELECT cluster_id, schema_name, relation,
   relation || '_' || strftime(m, '%Y%m') AS partition, 'month' AS span,
   CAST(m AS TIMESTAMP) AS range_start, CAST(m + INTERVAL 1 MONTH AS TIMESTAMP) AS range_end,
   CAST(n AS BIGINT) AS approx_rows, CAST(n * 100 AS BIGINT) AS bytes,
   CAST(dead AS BIGINT) AS dead_tuples
-FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 'govern' ELSE 'observe' END AS schema_name,
+FROM (SELECT 'n' || CAST(l_orderkey % 3 AS VARCHAR) AS cluster_id, CASE WHEN l_returnflag = 'R' THEN 'govern' ELSE 'observe' END AS schema_name,
              CASE WHEN l_linestatus = 'O' THEN 'relation_samples' ELSE 'rollup_1h' END AS relation,
              date_trunc('month', l_shipdate) AS m, count(*) AS n,
              count(*) FILTER (WHERE l_discount > 0.08) AS dead
@@ -847,7 +848,7 @@ _GRID_TXT = "['0.005', '0.01', '0.02', '0.05', '0.1', '0.2', '0.3', '0.5']"
 _SF = "'autovacuum_vacuum_scale_factor'"
 
 cte("actions", [], f"""
-SELECT 'c0' AS cluster_id, o_orderkey AS action_id, o_orderkey AS batch_id,
+SELECT 'n' || CAST(o_orderkey % 3 AS VARCHAR) AS cluster_id, o_orderkey AS action_id, o_orderkey AS batch_id,
   o_orderkey AS decision_id, o_custkey AS relid, 'rel_' || CAST(o_custkey AS VARCHAR) AS relname,
   {_SF} AS actuator, {_GRID_TXT}[(o_orderkey + 3) % 8 + 1] AS old_value,
   {_GRID_TXT}[o_orderkey % 8 + 1] AS new_value,
@@ -859,7 +860,7 @@ SELECT 'c0' AS cluster_id, o_orderkey AS action_id, o_orderkey AS batch_id,
 FROM orders""")
 
 cte("decisions", [], f"""
-SELECT 'c0' AS cluster_id, o_orderkey AS decision_id,
+SELECT 'n' || CAST(o_orderkey % 3 AS VARCHAR) AS cluster_id, o_orderkey AS decision_id,
   CAST((year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS BIGINT) AS tick_id,
   o_custkey AS relid, {_SF} AS actuator,
   CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'adjust'
@@ -871,7 +872,7 @@ SELECT 'c0' AS cluster_id, o_orderkey AS decision_id,
 FROM orders""")
 
 cte("ticks", [], """
-SELECT 'c0' AS cluster_id, o_orderkey AS tick_id, o_orderkey AS snapshot_id,
+SELECT 'n' || CAST(o_orderkey % 3 AS VARCHAR) AS cluster_id, o_orderkey AS tick_id, o_orderkey AS snapshot_id,
   o_orderdate AS started_at,
   o_orderdate + to_microseconds(CAST(round(round(o_totalprice / 1000.0, 3) * 1000000) AS BIGINT))
     AS finished_at,
@@ -879,7 +880,7 @@ SELECT 'c0' AS cluster_id, o_orderkey AS tick_id, o_orderkey AS snapshot_id,
 FROM orders""")
 
 cte("diagnostics", [], """
-SELECT 'c0' AS cluster_id, o_orderkey AS diagnostic_id, o_custkey AS relid,
+SELECT 'n' || CAST(o_orderkey % 3 AS VARCHAR) AS cluster_id, o_orderkey AS diagnostic_id, o_custkey AS relid,
   o_orderdate AS detected_at,
   CASE WHEN o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED') THEN 'critical' ELSE 'warning' END
     AS severity,
@@ -916,7 +917,7 @@ SELECT * FROM policy WHERE enabled
 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY policy_name) = 1""")
 
 cte("override_events", [], """
-SELECT 'c0' AS cluster_id, make_timestamp(2001, 7, r_regionkey + 1, 0, 0, 0) AS event_at,
+SELECT 'n' || CAST(r_regionkey % 3 AS VARCHAR) AS cluster_id, make_timestamp(2001, 7, r_regionkey + 1, 0, 0, 0) AS event_at,
   CASE WHEN r_regionkey % 2 = 0 THEN 'force' ELSE 'clear' END AS action,
   CASE r_regionkey WHEN 0 THEN 'degraded' WHEN 2 THEN 'diagnostic' WHEN 4 THEN 'emergency' END
     AS forced_state,

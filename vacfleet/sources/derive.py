@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from vacfleet import params as P
 from vacfleet.functions import exprs as X
 
-CLUSTER = "c0"
+#: The stand-in fleet: rows of a table go to a cluster by the remainder of their key, so that the same
+#: relation ids stand in all of them. The supplier-derived policies have clusters of these names.
+CLUSTERS = 3
 HOUR_US = 3_600_000_000
 #: First days of the order dates and of the events, in microseconds.
 _ORDERS_FROM_US, _EVENTS_FROM_US = 694_224_000_000_000, 1_704_067_200_000_000
@@ -39,6 +41,10 @@ DEFAULTS = {
 GRID_TEXT = ["0.005", "0.01", "0.02", "0.05", "0.1", "0.2", "0.3", "0.5"]
 
 
+def cluster_of(key: str):
+    return F.concat(F.lit("n"), F.pmod(F.col(key), F.lit(CLUSTERS)).cast("string"))
+
+
 def on_telemetry_clock(df: DataFrame, column: str, *after: str) -> DataFrame:
     """Map a time of the order-derived tables (from 1992 on) onto the telemetry's month (from 2024 on):
     80 days become one. Times in ``after`` keep their distance from it."""
@@ -65,14 +71,14 @@ def relation_samples(events: DataFrame) -> DataFrame:
     dead tuples are the updates+deletes since the last autovacuum.
     """
     e = events.select(
-        F.col("user_id").alias("relid"), "ts", "event_type",
+        cluster_of("event_id").alias("cluster_id"), F.col("user_id").alias("relid"), "ts", "event_type",
         F.floor(X.epoch_micros("ts") / F.lit(HOUR_US)).cast("long").alias("snapshot_id"))
     is_ud = F.col("event_type").isin("view", "click", "signup")
     # the hour's last error first, then one counting pass keyed by (relation, hour):
     # both sides are partitioned on that key, so the join adds no shuffle to the count
-    last_err = (e.filter(F.col("event_type") == "error").groupBy("relid", "snapshot_id")
+    last_err = (e.filter(F.col("event_type") == "error").groupBy("cluster_id", "relid", "snapshot_id")
                 .agg(F.max("ts").alias("h_last_err")))
-    per_hour = e.join(last_err, ["relid", "snapshot_id"], "left").groupBy("relid", "snapshot_id").agg(
+    per_hour = e.join(last_err, ["cluster_id", "relid", "snapshot_id"], "left").groupBy("cluster_id", "relid", "snapshot_id").agg(
         F.count_if(F.col("event_type") == "purchase").alias("h_ins"),
         F.count_if(F.col("event_type").isin("view", "click")).alias("h_upd"),
         F.count_if(F.col("event_type") == "signup").alias("h_del"),
@@ -81,7 +87,7 @@ def relation_samples(events: DataFrame) -> DataFrame:
         # updates/deletes after the hour's last error (all of them if the hour had none)
         F.count_if(is_ud & (F.col("h_last_err").isNull() | (F.col("ts") > F.col("h_last_err"))))
          .alias("h_ud_after"))
-    w = (W.partitionBy("relid").orderBy("snapshot_id")
+    w = (W.partitionBy("cluster_id", "relid").orderBy("snapshot_id")
          .rowsBetween(W.unboundedPreceding, W.currentRow))
     c = (per_hour
          .withColumn("ins", F.sum("h_ins").over(w))
@@ -105,7 +111,7 @@ def relation_samples(events: DataFrame) -> DataFrame:
                         F.array(F.lit("autovacuum_vacuum_threshold=100")))
                   .otherwise(F.lit(None).cast("array<string>")))
     return c.select(
-        F.lit(CLUSTER).alias("cluster_id"),
+        "cluster_id",
         F.col("snapshot_id"),
         X.ring_slot(day).alias("slot"),
         day.alias("collected_day"),
@@ -142,11 +148,11 @@ def relation_samples(events: DataFrame) -> DataFrame:
 
 
 def snapshots(events: DataFrame) -> DataFrame:
-    """One header row per hour that has events; collected at the end of the hour."""
+    """One header row per cluster and hour that has events; collected at the end of the hour."""
     e = events.select(
-        "ts", "user_id", "event_type",
+        cluster_of("event_id").alias("cluster_id"), "ts", "user_id", "event_type",
         F.floor(X.epoch_micros("ts") / F.lit(HOUR_US)).cast("long").alias("snapshot_id"))
-    h = e.groupBy("snapshot_id").agg(
+    h = e.groupBy("cluster_id", "snapshot_id").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("event_type") == "error").alias("n_err"),
         F.count_if(F.col("event_type") == "signup").alias("n_del"),
@@ -156,7 +162,7 @@ def snapshots(events: DataFrame) -> DataFrame:
     d = DEFAULTS
     pinned = F.col("n_err") > 0
     return h.select(
-        F.lit(CLUSTER).alias("cluster_id"),
+        "cluster_id",
         "snapshot_id",
         X.ring_slot(day).alias("slot"),
         day.alias("collected_day"),
@@ -221,8 +227,9 @@ def dense_samples(samples: DataFrame, snaps: DataFrame) -> DataFrame:
 
 
 def collection_policy(spark: SparkSession) -> DataFrame:
+    """Two clusters have a policy; the third reads the safe defaults."""
     return spark.createDataFrame(
-        [(CLUSTER, True, False, 10 * 8192, ["staging"])],
+        [("n0", True, False, 10 * 8192, ["staging"]), ("n1", False, True, 0, [])],
         "cluster_id string, exclude_temp boolean, include_extension_owned boolean, "
         "min_partition_size_bytes bigint, excluded_schemas array<string>")
 
@@ -234,7 +241,7 @@ def horizon_class_sources(events: DataFrame) -> dict[str, DataFrame]:
                   "signup": "standby_feedback", "purchase": "prepared_xact",
                   "error": "logical_slot"}
     return {owner: events.filter(F.col("event_type") == et).select(
-                F.lit(CLUSTER).alias("cluster_id"),
+                cluster_of("event_id").alias("cluster_id"),
                 F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("detail"),
                 F.round(F.col("value") * 1000).cast("long").alias("xmin_age"))
             for et, owner in kind_owner.items()}
@@ -247,7 +254,7 @@ def horizon_sources(events: DataFrame) -> DataFrame:
                   "error": "logical_slot"}
     m = F.create_map(*[e for k, v in kind_owner.items() for e in (F.lit(k), F.lit(v))])
     return events.select(
-        F.lit(CLUSTER).alias("cluster_id"),
+        cluster_of("event_id").alias("cluster_id"),
         F.try_element_at(m, F.col("event_type")).alias("owner"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("detail"),
         F.round(F.col("value") * 1000).cast("long").alias("xmin_age"),
@@ -267,7 +274,7 @@ def action_history(orders: DataFrame) -> DataFrame:
                                    F.lit("lock_timeout"))
                     .otherwise(F.lit("insufficient_privilege")))
     return orders.select(
-        F.lit(CLUSTER).alias("cluster_id"),
+        cluster_of("o_orderkey").alias("cluster_id"),
         F.col("o_orderkey").alias("action_id"),
         F.col("o_orderkey").alias("batch_id"),
         F.col("o_orderkey").alias("decision_id"),
@@ -290,7 +297,7 @@ def decision_log(orders: DataFrame) -> DataFrame:
                 .when(pri == "4-NOT SPECIFIED", F.lit("suppressed:user_owned"))
                 .otherwise(F.lit("escalate:io_limited")))
     return orders.select(
-        F.lit(CLUSTER).alias("cluster_id"),
+        cluster_of("o_orderkey").alias("cluster_id"),
         F.col("o_orderkey").alias("decision_id"),
         X.epoch_month("o_orderdate").cast("long").alias("tick_id"),
         F.col("o_custkey").alias("relid"),
@@ -307,7 +314,7 @@ def tick_log(orders: DataFrame) -> DataFrame:
     start = X.as_ntz("o_orderdate")
     err = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")
     return orders.select(
-        F.lit(CLUSTER).alias("cluster_id"),
+        cluster_of("o_orderkey").alias("cluster_id"),
         F.col("o_orderkey").alias("tick_id"),
         F.col("o_orderkey").alias("snapshot_id"),
         start.alias("started_at"),
@@ -326,7 +333,7 @@ def diagnostics(orders: DataFrame) -> DataFrame:
            .otherwise(F.lit("replication_slot")))
     start = X.as_ntz("o_orderdate")
     return orders.select(
-        F.lit(CLUSTER).alias("cluster_id"),
+        cluster_of("o_orderkey").alias("cluster_id"),
         F.col("o_orderkey").alias("diagnostic_id"),
         F.col("o_custkey").alias("relid"),
         start.alias("detected_at"),
@@ -345,14 +352,14 @@ def storage_inventory(lineitem: DataFrame) -> DataFrame:
            .otherwise(F.lit("rollup_1h")))
     schema = (F.when(F.col("l_returnflag") == "R", F.lit("govern"))
               .otherwise(F.lit("observe")))
-    li = lineitem.select(schema.alias("schema_name"), rel.alias("relation"),
+    li = lineitem.select(cluster_of("l_orderkey").alias("cluster_id"), schema.alias("schema_name"), rel.alias("relation"),
                          month.alias("m"), "l_discount")
-    g = li.groupBy("schema_name", "relation", "m").agg(
+    g = li.groupBy("cluster_id", "schema_name", "relation", "m").agg(
         F.count("*").alias("approx_rows"),
         F.count_if(F.col("l_discount") > 0.08).alias("dead_tuples"))
     start = X.month_start("m")
     return g.select(
-        F.lit(CLUSTER).alias("cluster_id"), "schema_name", "relation",
+        "cluster_id", "schema_name", "relation",
         F.concat(F.col("relation"), F.lit("_"), X.partition_suffix(start, "month"))
          .alias("partition"),
         F.lit("month").alias("span"),
@@ -486,7 +493,7 @@ def override_events(region: DataFrame) -> DataFrame:
     state = (F.when(k == 0, F.lit("degraded")).when(k == 2, F.lit("diagnostic"))
              .when(k == 4, F.lit("emergency")))
     return region.select(
-        F.lit(CLUSTER).alias("cluster_id"),
+        cluster_of("r_regionkey").alias("cluster_id"),
         X.as_ntz(F.make_timestamp(F.lit(2001), F.lit(7), k + 1, F.lit(0), F.lit(0), F.lit(0)))
          .alias("event_at"),
         F.when(F.pmod(k, F.lit(2)) == 0, F.lit("force")).otherwise(F.lit("clear")).alias("action"),
