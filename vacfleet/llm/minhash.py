@@ -15,7 +15,10 @@ majority signature (the likely originals of a group of copies); last, all pairs
 components that are left. So a large group of near copies costs a few rows each, not all its
 pairs, and no pair that could join two components is left out. A pair is confirmed on the
 full sets, hashed once a document. Before that, pairs are dropped only by bounds: sketches of 3 bits
-of each symbol, which are never farther apart than the signatures, and the sizes of the two sets.
+of each symbol, which are never farther apart than the signatures; and parities, one bit for each of
+1536 parts of the hash range that says whether the set has an odd number of shingles there. Every
+shingle that only one of two sets has turns one bit, so the sets differ in at least as many shingles
+as their parities differ in bits.
 So every pair within the signature distance whose sets are similar enough is linked, if its members
 are not linked by others.
 
@@ -46,6 +49,8 @@ WIDTH = SYMBOLS // CHUNKS
 #: Symbols in which the sketches of a compared pair differ, at most. Documents of
 #: similarity 0.8 differ in more with a probability below 1 in 10,000.
 MOST_DIFFERENT = 12
+#: Bits of a parity.
+PARITY_BITS = 1536
 #: Members of a key that are compared with all others in the second round.
 HUBS = 3
 #: Shingles that are hashed to all symbols at once.
@@ -76,6 +81,12 @@ def signature(items: np.ndarray) -> np.ndarray:
     return mix64(least) & np.uint64(0xFFFF)
 
 
+def parity(items: np.ndarray) -> np.ndarray:
+    """Whether the number of items in each part of the hash range is odd, as 24 numbers."""
+    part = (items >> np.uint64(32)) * np.uint64(PARITY_BITS) >> np.uint64(32)
+    return np.packbits(np.bincount(part.astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
     """A key for each chunk and each of its symbols left out (rows of signatures in, keys out)."""
     out = []
@@ -103,6 +114,14 @@ def different(a: Column, b: Column) -> Column:
     return F.bit_count(any_bit.bitwiseAND(F.lit(sum(1 << 3 * i for i in range(SYMBOLS)))))
 
 
+def least_difference(a: Column, b: Column) -> Column:
+    """At least so many shingles are in only one of the sets with these parities."""
+    out = F.lit(0)
+    for i in range(PARITY_BITS // 64):
+        out = out + F.bit_count(a[i].bitwiseXOR(b[i]))
+    return out
+
+
 def document_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     counts, words = word_hashes(*utf8(column))
     return [shingles(w, size) for w in np.split(words, np.cumsum(counts)[:-1])] if len(counts) else []
@@ -113,9 +132,10 @@ def set_key(items: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """Add ``n_shingles``, ``set_key`` (names the whole set), ``keys`` and ``sketch``."""
+    """Add ``n_shingles``, ``set_key`` (names the whole set), ``keys``, ``sketch`` and ``parity``."""
     added = StructType([StructField("n_shingles", LongType()), StructField("set_key", BinaryType()),
-                        StructField("keys", ArrayType(LongType(), False)), StructField("sketch", LongType())])
+                        StructField("keys", ArrayType(LongType(), False)), StructField("sketch", LongType()),
+                        StructField("parity", ArrayType(LongType(), False))])
 
     def start():
         def make(column: pa.Array) -> list:
@@ -126,7 +146,8 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                     pa.array([set_key(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]),
                                              pa.array(keys.ravel())),
-                    pa.array(sketch(sig))]
+                    pa.array(sketch(sig)),
+                    pa.array([parity(s) for s in sets], pa.list_(pa.int64()))]
         return make
 
     return enrich(docs.select("doc_id", "text"), "text", added, start)
@@ -223,18 +244,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .select(pair("rep", "other")).distinct(), "near_second"))
     left = open_keys(left.select("key", "rep", "sketch"), links, "near_second")
 
-    left = store(left.join(heads.select(F.col("doc_id").alias("rep"), "n_shingles", "keys"), "rep")
+    left = store(left.join(heads.select(F.col("doc_id").alias("rep"), "n_shingles", "parity", "keys"), "rep")
                  .withColumn("at", F.array_position("keys", F.col("key")) - 1), "near_left")
-    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("rep", "sketch", "component", "n_shingles", "keys")))
+    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("rep", "sketch", "component", "n_shingles", "parity", "keys")))
     met = F.lit(True)  # a pair is made at the first key that its two members share
     for i in range(CHUNKS * WIDTH):
         met = met & ((left["at"] <= i) | (left["keys"][i] != right["other_keys"][i]))
+    both = left["n_shingles"] + right["other_n_shingles"]
+    apart = least_difference(left["parity"], right["other_parity"])
     links = links.unionByName(link(
         left.join(right, (left["key"] == right["key"]) & (left["rep"] < right["other_rep"])
-                  & (left["component"] != right["other_component"]) & met
+                  & (left["component"] != right["other_component"])
                   & (different(left["sketch"], right["other_sketch"]) <= MOST_DIFFERENT)
-                  & (100 * F.least(left["n_shingles"], right["other_n_shingles"])  # a true bound of the similarity
-                     >= percent * F.greatest(left["n_shingles"], right["other_n_shingles"])))
+                  & (100 * (both - apart) >= percent * (both + apart)) & met)  # the similarity is at most their ratio
         .select(pair("rep", "other_rep")).distinct(), "near_third"))
     found = components(links, "near_all")
 
