@@ -155,7 +155,7 @@ def live_xid_age(raw_xid: ColumnOrName, current_xid: ColumnOrName,
 # P15 / P16 --------------------------------------------------------------------------------
 def failure_class(reason: ColumnOrName) -> Column:
     r = col(reason)
-    return (F.when(r.isin("lock_timeout", "insufficient_privilege", "conflicting_ddl"),
+    return (F.when(r.isin(*P.ACTUATION_FAILURES),
                    F.lit("actuation")))
 
 
@@ -176,10 +176,6 @@ def changed(a_cols: Sequence[ColumnOrName], b_cols: Sequence[ColumnOrName]) -> C
     return ~F.struct(*[col(c) for c in a_cols]).eqNullSafe(F.struct(*[col(c) for c in b_cols]))
 
 
-def direction(delta: ColumnOrName) -> Column:
-    return F.signum(col(delta))
-
-
 # P22-P28 ------------------------------------------------------------------------------------
 def within_last(ts: ColumnOrName, as_of: ColumnOrName, seconds: int | float) -> Column:
     return col(ts) > minus_seconds(as_of, seconds)
@@ -196,8 +192,3 @@ def partition_suffix(ts: ColumnOrName, span: str) -> Column:
 def health_ordinal(state: ColumnOrName) -> Column:
     m = F.create_map(*[e for i, s in enumerate(P.HEALTH_STATES) for e in (F.lit(s), F.lit(i))])
     return F.try_element_at(m, col(state))
-
-
-def health_state_of(ordinal: ColumnOrName) -> Column:
-    arr = F.array(*[F.lit(s) for s in P.HEALTH_STATES])
-    return F.try_element_at(arr, col(ordinal) + 1)

@@ -20,8 +20,8 @@ ADVICE_IO_LIMITED = ("Vacuum runs but cannot keep up (I/O-bound). More aggressiv
 ADVICE_NOT_RUNNING = ("Debt is high but autovacuum has not run. Check that autovacuum is "
                       "enabled and keeping up; lowering thresholds will not help an "
                       "already-overdue table.")
-ADVICE_BLOCKED = ("Cleanup blocked by ", " (", "); clear it -- more vacuuming cannot advance "
-                  "past a pinned xmin horizon.")
+ADVICE_BLOCKED = ("Cleanup blocked by %s (%s); clear it -- more vacuuming cannot advance past a "
+                  "pinned xmin horizon.")
 DECISION_COLS = ["cluster_id", "tick_id", "relid", "actuator", "decision", "proposed_value",
                  "policy_rule", "estimated_benefit", "observation", "prev_state",
                  "desired_state"]
@@ -147,9 +147,8 @@ def findings_of(estimates: DataFrame, headers: DataFrame, params: P.Params = P.D
            .when(sc == "inhibited", F.lit("critical")).otherwise(F.lit("warning")))
     rec = (F.when(sc == "io_limited", F.lit(ADVICE_IO_LIMITED))
            .when(sc == "config", F.lit(ADVICE_NOT_RUNNING))
-           .otherwise(F.concat(F.lit(ADVICE_BLOCKED[0]), owner, F.lit(ADVICE_BLOCKED[1]),
-                               F.coalesce(F.col("oldest_xmin_owner_detail"), F.lit("?")),
-                               F.lit(ADVICE_BLOCKED[2]))))
+           .when(owner.isNotNull(), F.format_string(
+               ADVICE_BLOCKED, owner, F.coalesce(F.col("oldest_xmin_owner_detail"), F.lit("?")))))
     return e.select(*KEY, cls.alias("inhibitor_class"), sev.alias("severity"),
                     rec.alias("recommendation"),
                     X.evidence_json(saturation_cause="saturation_cause",

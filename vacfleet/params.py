@@ -67,12 +67,11 @@ STRONG_PASS_GAP = 0.25
 AV_CEILING_FACTOR = 2
 STEADY_STATE_CV = 0.10
 STEADY_STATE_WINDOWS = 5
-P95_RANK = 0.95
 PROXY_BAND_HEALTHY = 0.10
 PROXY_BAND_UNHEALTHY = 0.25
 # health states in severity order (ordinal = position)
 HEALTH_STATES = ("normal", "degraded", "diagnostic", "emergency", "disabled")
-FAILURE_CLASSES = ("observation", "decision", "actuation", "resource", "safety")
+ACTUATION_FAILURES = ("lock_timeout", "insufficient_privilege", "conflicting_ddl")
 ACTUATOR_SF = "autovacuum_vacuum_scale_factor"
 # ------------------------------------------------------------------------------------
 
