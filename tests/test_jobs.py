@@ -34,10 +34,10 @@ def test_daily_jobs_whole_history(spark):
 
 def test_observe_tick_matches_change_join(spark):
     i = inputs(spark, SF)
-    p = i.snapshots.agg(F.max("snapshot_id")).scalar()
-    collected = sparse.collection_filter(i.dense, i.collection_policy)
-    cache = sparse.last_state(collected.filter(F.col("snapshot_id") < p))
-    dense_p = i.dense.filter(F.col("snapshot_id") == p)
+    tgt = asof.target_snapshot(i.snapshots)
+    collected = sparse.collection_filter(i.dense, i.collection_policy).join(tgt, "cluster_id")
+    cache = sparse.last_state(collected.filter("snapshot_id < _p").drop("_p"))
+    dense_p = i.dense.join(tgt, "cluster_id").filter("snapshot_id = _p").drop("_p")
     out = jobs.observe_tick(dense_p, cache, i.collection_policy, dense_p)
     keep = ["cluster_id", "relid", "snapshot_id", "n_dead_tup", "n_tup_ins", "autovacuum_count"]
     _same(C.finish(out["samples"].select(*keep)), C.QUERIES["change_join"](spark, SF))
@@ -58,4 +58,4 @@ def test_state_and_control_tick(spark):
     n = out["decisions"].count()
     assert n == st["class"].count()
     assert out["admission"].count() == out["decisions"].filter(F.col("decision") == "adjust").count()
-    assert out["governor_state"].count() == 1
+    assert out["governor_state"].count() == 3      # one row a cluster

@@ -107,7 +107,7 @@ def _short_history(i):
     that share every relation and snapshot id."""
     day = i.snapshots.agg(F.max("collected_day")).first()[0]
     first = i.snapshots.filter(F.col("collected_day") == day).agg(F.min("snapshot_id")).first()[0]
-    near = F.col("snapshot_id").between(first - 4, first + 3)
+    near = F.col("snapshot_id").between(first - 4, first + 3) & (F.col("cluster_id") == "n0")
     both = F.explode(F.array(F.lit("n1"), F.lit("n2")))
     samples = i.samples.filter(near).withColumn("cluster_id", both)
     samples = samples.filter((F.col("cluster_id") == "n1") | (F.col("relid") % 2 == 0))
