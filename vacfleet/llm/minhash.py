@@ -255,8 +255,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = links.unionByName(link(
         left.join(right, (left["key"] == right["key"]) & (left["rep"] < right["other_rep"])
                   & (left["component"] != right["other_component"])
-                  & (different(left["sketch"], right["other_sketch"]) <= MOST_DIFFERENT)
-                  & (100 * (both - apart) >= percent * (both + apart)) & met)  # the similarity is at most their ratio
+                  & (different(left["sketch"], right["other_sketch"]) <= MOST_DIFFERENT) & met
+                  & ((100 + percent) * apart <= (100 - percent) * both))  # the similarity is at most (both - apart) / (both + apart)
         .select(pair("rep", "other_rep")).distinct(), "near_third"))
     found = components(links, "near_all")
 
