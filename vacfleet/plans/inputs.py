@@ -69,8 +69,10 @@ class Inputs:
 
     @cached_property
     def dense(self) -> DataFrame:
-        return self.stored("dense_samples", D.dense_samples(self.samples, self.snapshots),
-                           ["collected_day"])
+        """The catalog scans, in the order in which they are expanded: a relation's hours stand together.
+        No folder a day, for which each task would have to sort all rows that it expands."""
+        dense = D.dense_samples(self.samples, self.snapshots)
+        return self.stored("dense_samples", dense.select(*[c for c in dense.columns if c != "collected_day"], "collected_day"))
 
     @cached_property
     def horizon_sources(self) -> DataFrame:
