@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vacfleet.functions import exprs as X
 from vacfleet.operators.sequence import previous_row
+from vacfleet.session import store
 
 # FIXED VALUES: schemas never collected (the catalog schemas), plus the collector's own.
 SYSTEM_SCHEMAS = ("pg_catalog", "information_schema")
@@ -61,23 +63,43 @@ def collection_filter(dense: DataFrame, policy: DataFrame,
                                                 "relispartition", "extension_owned")])
 
 
+def day_changes(collected: DataFrame, keep: Column | None = None) -> DataFrame:
+    """The rows that begin a relation's day or differ from the day's row before (and those with
+    ``keep``). A row left out has the signature of the last one kept before it, so these rows
+    have the same sparse log as all. One sort of a relation-day, and no aggregation."""
+    w = W.partitionBy("cluster_id", "relid", "_bkt").orderBy("snapshot_id")
+    before = F.lag(F.struct(*SIGNATURE)).over(w)
+    p = collected.withColumn("_bkt", F.col("collected_day")).withColumn("_before", before)
+    new = F.col("_before").isNull() | ~F.struct(*SIGNATURE).eqNullSafe(F.col("_before"))
+    return p.filter(new if keep is None else new | keep).select(*collected.columns)
+
+
 def sparse_log(collected: DataFrame) -> DataFrame:
     """D2 over a history of collected rows: keep a row only when its signature differs
     from the relation's previous collected row (or it has none).
 
     The previous row is found per (relation, day) with a cross-day carry, so no task
-    sorts more than one relation-day (bounded by the collection cadence).
+    sorts more than one relation-day (bounded by the collection cadence). Most rows differ in
+    nothing from the one before on the same day: they go first, and the carry is found from the rest.
     """
-    p = previous_row(collected, ["cluster_id", "relid"], ["snapshot_id"],
+    p = previous_row(store(day_changes(collected), "day_changes"), ["cluster_id", "relid"], ["snapshot_id"],
                      F.col("collected_day"), SIGNATURE)
     emit = ~F.col("prev_exists") | X.changed(SIGNATURE, [f"prev_{c}" for c in SIGNATURE])
     return p.filter(emit).select(*collected.columns)
 
 
 def last_state(collected: DataFrame) -> DataFrame:
-    """The change-detection cache after the batch: newest collected row per relation."""
+    """The change-detection cache after the batch: newest collected row per relation.
+
+    The newest snapshot of each relation is found first, from three columns by hashing; whole rows
+    are sorted only of the snapshots that are some relation's newest."""
     from vacfleet.operators.asof import latest_per_key
-    return latest_per_key(collected, ["cluster_id", "relid"], "snapshot_id",
+    newest = collected.groupBy("cluster_id", "relid").agg(F.max("snapshot_id").alias("_at"))
+    # few, as a rule: Spark reads their stored size and broadcasts them, if small
+    at = store(newest.select(F.col("cluster_id").alias("_in"), "_at").distinct(), "newest_snapshots")
+    rows = collected.join(at, F.col("cluster_id").eqNullSafe(F.col("_in"))
+                          & F.col("snapshot_id").eqNullSafe(F.col("_at")), "left_semi")
+    return latest_per_key(rows, ["cluster_id", "relid"], "snapshot_id",
                           ["snapshot_id", *SIGNATURE])
 
 
