@@ -926,15 +926,15 @@ def q_stream_change_detection(spark, d):
     from vacfleet.streaming import jobs
     i = inputs(spark, d)
     root = _stream_dir(spark, "st3")
-    collected = store(sparse.collection_filter(i.dense, i.collection_policy), "collected")
+    collected = sparse.collection_filter(i.dense, i.collection_policy)
     chunk = F.floor(F.col("collected_day") / CHUNK_DAYS)
     lo, hi = i.snapshots.agg(F.min(chunk), F.max(chunk)).first()
-    for c in range(lo, hi + 1):                                 # files in the order of collection
-        collected.filter(chunk == c).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    src = spark.readStream.schema(collected.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    q = (src.writeStream.foreachBatch(jobs.change_log_batch(f"{root}/state", f"{root}/log"))
-         .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
-    q.awaitTermination()
+    for c in range(lo, hi + 1):     # in the order of collection: what has come since the last run is a micro-batch
+        collected.filter(chunk == c).write.mode("append").parquet(f"{root}/in")
+        src = spark.readStream.schema(collected.schema).parquet(f"{root}/in")
+        q = (src.writeStream.foreachBatch(jobs.change_log_batch(f"{root}/state", f"{root}/log"))
+             .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
+        q.awaitTermination()
     return finish(spark.read.parquet(f"{root}/log").select("cluster_id", "relid", "snapshot_id"))
 
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -116,26 +117,29 @@ def change_log_batch(state_root: str, log_path: str):
 
     The last-state table is versioned by batch, and the log has a folder a batch: a replayed batch
     reads the version before its own and rewrites what it wrote. Re-delivered rows, and rows not
-    newer than the relation's last state, are dropped. All of it is joins and windows over
-    (relation, day); only relations of the batch meet their last state."""
+    newer than the relation's last state, are dropped. The batch is dealt by relation and sorted
+    once; what goes on from there are the rows that differ from their day's row before, and each
+    relation's newest."""
     columns = [*KEY, "snapshot_id", "collected_day", *SIGNATURE]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         last = state_version(spark, state_root, "last", batch_id)
-        rows = batch.select(*columns).dropDuplicates([*KEY, "snapshot_id"])
+        rows = batch.select(*columns).withColumn("_new", F.lit(True))
         if last is None:
-            last = spark.createDataFrame([], rows.schema)
-        seen = last.select(*KEY, F.col("snapshot_id").alias("_seen"))
-        rows = store(rows.join(seen, KEY, "left").filter(
-            F.col("_seen").isNull() | (F.col("snapshot_id") > F.col("_seen"))).drop("_seen"), "change_rows")
-        touched = rows.select(*KEY).distinct()
-        before = last.join(touched, KEY, "left_semi")
-        history = before.withColumn("_new", F.lit(False)).unionByName(rows.withColumn("_new", F.lit(True)))
-        log = sparse.sparse_log(history).filter("_new").select(*columns)
+            last = spark.createDataFrame([], batch.select(*columns).schema)
+        # last states and new rows of a relation in one window: its sort serves all that follows
+        of, w = W.partitionBy(*KEY), W.partitionBy(*KEY).orderBy("collected_day", "snapshot_id", "_new")
+        history = last.select(*columns).withColumn("_new", F.lit(False)).unionByName(rows)
+        history = history.withColumn("_seen", F.max(F.when(~F.col("_new"), F.col("snapshot_id"))).over(of))
+        history = history.filter(~F.col("_new") | F.col("_seen").isNull() | (F.col("snapshot_id") > F.col("_seen")))
+        history = history.withColumns({"_same": F.lag("snapshot_id").over(w), "_n": F.row_number().over(w)}).filter(
+            (F.col("_n") == 1) | ~F.col("snapshot_id").eqNullSafe(F.col("_same")))
+        history = history.withColumn("_newest", F.lead(F.lit(True)).over(w).isNull())
+        kept = store(sparse.day_changes(history.drop("_seen", "_same", "_n"), F.col("_newest")), "change_rows")
+        log = sparse.sparse_log(kept).filter("_new").select(*columns)
         log.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
-        newest = rows.groupBy(*KEY).agg(F.max_by(F.struct(*columns[2:]), "snapshot_id").alias("_r")).select(*KEY, "_r.*")
-        write_version(last.join(touched, KEY, "left_anti").unionByName(newest), state_root, "last", batch_id)
+        write_version(kept.filter("_newest").select(*columns), state_root, "last", batch_id)
     return run
 
 
