@@ -129,14 +129,13 @@ def _since(snapshots: DataFrame, lookback_s: float, as_of: Column | None) -> Col
 
 
 BUCKET_KEY = ["cluster_id", "relid", "bucket_start"]
-#: Files of one (cluster, bucket partition): its relations are spread over so many tasks.
-FILES_PER_PARTITION = 8
-
 
 def write_tier(df: DataFrame, path: str) -> None:
     """Write whole bucket partitions. Dynamic partition overwrite replaces only the
-    partitions in ``df``, so ``df`` must hold all buckets of these (``upsert_tier`` does)."""
-    (df.repartition("cluster_id", "bucket_part", F.pmod(F.hash("relid"), F.lit(FILES_PER_PARTITION)))
+    partitions in ``df``, so ``df`` must hold all buckets of these (``upsert_tier`` does).
+    Rows of a partition come together; one that is too large for a task is split by its bytes,
+    so the number of its files grows with them and the size of a task does not."""
+    (df.hint("rebalance", "cluster_id", "bucket_part")
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("cluster_id", "bucket_part").parquet(path))
 
