@@ -148,6 +148,8 @@ def read_best(spark: SparkSession, path: str) -> DataFrame:
 ARRIVALS, DAY_FILES = "arrivals", "days"
 #: Bytes of a compacted file.
 FILE_BYTES = 128 << 20
+#: Most rows of one: its task sorts them, and stored bytes say little about their size in memory.
+FILE_ROWS = 1_000_000
 #: Order of a day's rows: a relation's samples stand together, so that the smallest and largest
 #: values which Parquet keeps of each row group let a reader skip the others.
 DAY_ORDER = ["collected_day", "cluster_id", "relid", "snapshot_id"]
@@ -188,7 +190,7 @@ def compact_days(spark: SparkSession, path: str, schema: T.StructType, before: i
                  file_bytes: int = FILE_BYTES) -> None:
     """Rewrite the days before ``before`` that have arrivals as few files, sorted by relation.
 
-    The number of files follows the bytes of the days, not their snapshots. A day's new files are
+    The number of files follows the bytes and rows of the days, not their snapshots. A day's new files are
     complete before its arrivals are deleted: a job that is lost in between leaves rows in both,
     which ``read_day_slotted`` counts once, and the next run compacts the day again."""
     fresh = stored_or_none(spark, f"{path}/{ARRIVALS}", schema)
@@ -197,10 +199,11 @@ def compact_days(spark: SparkSession, path: str, schema: T.StructType, before: i
     days = [r[0] for r in fresh.filter(F.col("collected_day") < before).select("collected_day").distinct().collect()]
     if not days:
         return
-    files = read_day_slotted(spark, path, schema).filter(F.col("collected_day").isin(days))
-    rows = store(files, "raw_days")          # the folder to be replaced is read here, not while writing
+    found = read_day_slotted(spark, path, schema).filter(F.col("collected_day").isin(days))
+    rows = store(found, "raw_days")          # the folder to be replaced is read here, not while writing
     size = sum(folder_bytes(spark, f"{path}/{part}/collected_day={d}") for part in (ARRIVALS, DAY_FILES) for d in days)
-    (rows.repartitionByRange(max(1, -(-size // file_bytes)), *DAY_ORDER).sortWithinPartitions(*DAY_ORDER)
+    files = max(1, -(-size // file_bytes), -(-rows.count() // FILE_ROWS))
+    (rows.repartitionByRange(files, *DAY_ORDER).sortWithinPartitions(*DAY_ORDER)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("collected_day").parquet(f"{path}/{DAY_FILES}"))
     for d in days:
