@@ -63,31 +63,36 @@ def described(docs: DataFrame, by: Column | None = None) -> DataFrame:
 
 
 def sums(cells: DataFrame, dim: str) -> DataFrame:
-    return cells.groupBy(dim).agg(F.sum("weight").alias("now"))
+    """Now and target share of each value of a column, from cells that have the target (``share_<dim>``)."""
+    return cells.groupBy(dim).agg(F.sum("weight").alias("now"), F.max(f"share_{dim}").alias("share"))
 
 
-def distance(cells: DataFrame, targets: dict[str, DataFrame]) -> float:
-    """The largest gap between a column's share and its target (one number to the driver)."""
-    gaps = None
-    for dim in DIMS:
-        gap = sums(cells, dim).join(targets[dim].withColumnRenamed("value", dim), dim).agg(
-            F.max(F.abs(F.col("now") - F.col("share"))).alias("gap"))
-        gaps = gap if gaps is None else gaps.unionByName(gap)
-    return gaps.agg(F.max("gap")).first()[0] or 0.0
+def distance(cells: DataFrame) -> float:
+    """The largest gap between a column's share and its target (one number to the driver): one
+    aggregation of all columns' values."""
+    values = cells.select("weight", F.posexplode(F.array(*[
+        F.struct(F.col(d).alias("value"), F.col(f"share_{d}").alias("share")) for d in DIMS])).alias("dim", "_of"))
+    now = values.groupBy("dim", "_of.value").agg(F.sum("weight").alias("now"), F.max("_of.share").alias("share"))
+    return now.agg(F.max(F.abs(F.col("now") - F.col("share")))).first()[0] or 0.0
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
     """Scale ``weight`` of the cells to each column's target shares (``value, share``) in turn, a
-    stored table a round, until all are met."""
+    stored table a round, until all are met. The cells take their targets along, so a round joins
+    nothing but its own factors: each join is a broadcast that the driver builds."""
+    names = cells.columns
+    for dim in DIMS:
+        cells = cells.join(targets[dim].select(F.col("value").alias(dim), F.col("share").alias(f"share_{dim}")), dim)
+    cells = store(cells, "mix_cells")
     for _ in range(rounds):
-        if distance(cells, targets) <= close:
+        if distance(cells) <= close:
             break
         for dim in DIMS:
-            factor = (sums(cells, dim).join(targets[dim].withColumnRenamed("value", dim), dim)
-                      .select(dim, F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(F.lit(0.0)).alias("factor")))
+            factor = sums(cells, dim).select(
+                dim, F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(F.lit(0.0)).alias("factor"))
             cells = cells.join(factor, dim).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         cells = store(cells, "mix_cells")
-    return cells
+    return cells.select(names)
 
 
 def tempered(cells: DataFrame, dim: str, temper: float = TEMPER) -> DataFrame:
@@ -112,7 +117,7 @@ def mix(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, rounds: int
                   .agg(F.sum("n_tokens").alias("tokens")), "mix_counts")
     total = F.broadcast(cells.agg(F.sum("tokens").alias("total")))
     start = cells.crossJoin(total).withColumn("weight", F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).otherwise(F.lit(0.0)))
-    fitted = rake(store(start, "mix_start"), {d: tempered(cells, d, temper) for d in DIMS}, rounds)
+    fitted = rake(start, {d: tempered(cells, d, temper) for d in DIMS}, rounds)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") * F.col("total") / F.col("tokens")).otherwise(F.lit(0.0))
     rate = fitted.select(F.col("source").alias("mix_source"), F.col("lang").alias("mix_lang"), "topic",
                          F.round(F.lit(keep) * ratio, 9).alias("rate"))
