@@ -48,6 +48,8 @@ END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 BUCKET_BYTES = 16 << 20
 #: Consecutive rows of a file that make up a block.
 BLOCK_ROWS = 2048
+#: Hashes that a bucket adds up at a time.
+PART = 1 << 18
 #: Weight of the root's distribution against a state's own counts.
 SMOOTHING = 1000.0
 
@@ -110,22 +112,46 @@ def ask(piece: tuple[int, int, int], words: np.ndarray, pairs: np.ndarray, train
         names=["bucket", "block", "first", "last", "words", "word_n", "pairs", "pair_n"])
 
 
+def totals(asked: list[np.ndarray], own: list[np.ndarray]) -> tuple[list[np.ndarray], int, int]:
+    """The sum of ``own`` for each hash of each sorted array ``asked``; the sum of all and the number of
+    hashes above 0. The bucket is added up in ranges of about ``PART`` hashes each, one after the other,
+    so that sorting takes little beside what was asked."""
+    told = [np.empty(len(x), np.uint64) for x in asked]
+    lows, highs = [int(x[0]) for x in asked if len(x)], [int(x[-1]) for x in asked if len(x)]
+    if not lows:
+        return told, 0, 0
+    low, high, parts = min(lows), max(highs), -(-sum(map(len, asked)) // PART)
+    inner = np.array([low + (high - low) * k // parts for k in range(1, parts)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(x, inner), [len(x)]]) for x in asked]
+    n_all, n_known = 0, 0
+    for k in range(parts):
+        part = [slice(c[k], c[k + 1]) for c in cuts]
+        distinct, which = np.unique(np.concatenate([x[s] for x, s in zip(asked, part)]), return_inverse=True)
+        total = np.zeros(len(distinct), np.uint64)
+        # a corpus may hold a word more than 2^32 times
+        np.add.at(total, which, np.concatenate([x[s] for x, s in zip(own, part)]))
+        n_all, n_known = n_all + int(total.sum(dtype=np.int64)), n_known + int((total > 0).sum())
+        at = 0
+        for x, s in zip(told, part):
+            n = s.stop - s.start
+            x[s] = total[which[at:at + n]]
+            at += n
+    return told, n_all, n_known
+
+
 def answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Corpus counts of a bucket's n-grams, in the order in which each piece asked."""
     out = rows[["bucket", "block", "first", "last"]].copy()
     out["digest"] = [digest(np.frombuffer(w, np.uint64), np.frombuffer(p, np.uint64)) for w, p in zip(rows["words"], rows["pairs"])]
     for kind in ("word", "pair"):
         asked = [np.frombuffer(x, np.uint64) for x in rows[f"{kind}s"]]
-        own = np.concatenate([np.frombuffer(x, np.uint64) for x in rows[f"{kind}_n"]])
-        distinct, which = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.zeros(len(distinct), np.uint64)
-        np.add.at(total, which, own)  # a corpus may hold a word more than 2^32 times
-        cut = np.cumsum([len(x) for x in asked])[:-1]
-        out[f"{kind}_c"] = [x.tobytes() for x in np.split(total[which], cut)]
+        own = [np.frombuffer(x, np.uint64) for x in rows[f"{kind}_n"]]
+        told, tokens, known = totals(asked, own)
+        out[f"{kind}_c"] = [x.tobytes() for x in told]
         if kind == "word":  # each bucket says its sums once
             out["tokens"], out["known"] = 0, 0
-            out.iloc[0, out.columns.get_loc("tokens")] = int(total.sum(dtype=np.int64))
-            out.iloc[0, out.columns.get_loc("known")] = int((total > 0).sum())
+            out.iloc[0, out.columns.get_loc("tokens")] = tokens
+            out.iloc[0, out.columns.get_loc("known")] = known
     return out[["bucket", "block", "first", "last", "word_c", "pair_c", "digest", "tokens", "known"]]
 
 
