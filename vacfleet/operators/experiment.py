@@ -342,15 +342,18 @@ def weighted_median(df: DataFrame, groups: Sequence[str], value: str, weight: st
                     width: float) -> DataFrame:
     """First value (ascending) whose cumulative weight reaches half the total.
 
-    Weights are summed as decimals, so sums do not depend on their order and each group has
-    exactly one median; twice the weights are compared with the total. They are scaled by the
-    group's largest weight, so that small ones count whatever their unit."""
+    Weights are summed as whole numbers, so sums do not depend on their order and each group has
+    exactly one median; twice the weights are compared with the total. They are scaled by a power
+    of ten, the group's largest weight coming to 1e14 to 1e15: small ones count whatever their unit,
+    and a decimal fraction stays exact. Whole numbers, as Spark cuts digits off wide fractions."""
     top = df.filter(F.col(weight) > 0).groupBy(*groups).agg(F.max(weight).alias("_top"))
     same = F.lit(True)
     for g in groups:
         same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
     j = df.alias("l").join(top.alias("r"), same).select("l.*", "r._top")
-    w = (F.col(weight).cast("double") / F.col("_top").cast("double")).cast("decimal(28,15)")
+    unit = F.pow(F.lit(10.0), F.ceil(F.log10(F.col("_top").cast("double"))))
+    w = (F.col(weight).cast("double") / unit).cast("decimal(16,15)")
+    w = (w * F.lit(10 ** 15).cast("decimal(16,0)")).cast("decimal(38,0)")
     rows = j.filter(w > 0).withColumn("_w", w)
     w = F.col("_w")
     tg = rows.groupBy(*groups).agg(F.sum(w).alias("tgt")).select(
