@@ -252,6 +252,24 @@ def test_weighted_median_fractional_weights(spark):
     assert len(got) == 300 and dict(got) == want
 
 
+def test_window_percentiles_hold_buckets_not_rows(spark, monkeypatch):
+    from vacfleet.operators import experiment as XP
+    made = {}
+    keep = XP.store
+    monkeypatch.setattr(XP, "store", lambda df, name: made.setdefault(name, keep(df, name)))
+    n = 20000                                   # every latency is distinct
+    rows = [("a", "f", "s", 1, None, (k * 7919) % n * 9 + 5, k % 2) for k in range(n)]
+    tx = spark.createDataFrame(rows, "arm string, fixture string, scenario string, seed int, probe_sf double, "
+                                     "latency_us long, epoch_s long")
+    got = {r.win: (r.p95_us, r.tx_count) for r in XP.window_p95(tx, 1).collect()}
+    want = {}
+    for w in (0, 1):
+        own = sorted(r[5] for r in rows if r[6] == w)
+        want[w] = (own[(19 * len(own) + 10) // 20 - 1], len(own))
+    assert got == want
+    assert made["rank_wide"].count() <= 2 * (9 * n // (1024 * XP.WIDE) + 1) and made["rank_targets"].count() == 2
+
+
 def test_admission_keeps_clusters_apart_and_honours_long_intervals(spark):
     import datetime as dt
 

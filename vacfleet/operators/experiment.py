@@ -1,10 +1,10 @@
 """Experiment scoring over per-transaction latency logs.
 
 One DAG scores every cell (fixture, scenario, seed) at once instead of one process per
-cell. Percentiles are exact but never buffer a window's values in one task: a two-level
-histogram (coarse bucket counts, then exact values inside the one bucket that holds the
-target rank) keeps each sort bounded by the bucket width, even when one window holds a
-third of all transactions.
+cell. Percentiles are exact but never buffer a window's values in one task: histograms in
+levels (bucket counts, then exact values inside the one bucket that holds the target rank)
+keep each sort bounded by the bucket width, even when one window holds a third of all
+transactions.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from vacfleet import params as P
 from vacfleet.functions import exprs as X
 from vacfleet.operators.sequence import previous_row
+from vacfleet.session import store
 
 RUN = ["arm", "fixture", "scenario", "seed", "probe_sf"]
 CELL = ["fixture", "scenario", "seed"]
@@ -51,35 +52,48 @@ def first_reaching(df: DataFrame, groups: Sequence[str], value: str, weight: Col
     ascending order) reaches the target ``tgt``.
 
     ``targets`` is a DataFrame with columns groups + [name, tgt], or a function from the
-    per-group totals (groups + [total]) to one, so totals come from the histogram itself
-    without another pass. The rows are read once into a (group, value) histogram; level 1
-    sums it per coarse bucket ``floor(value / width)`` to find the bucket holding each
-    target, level 2 walks only that bucket's values. A hot group is spread over tasks by
-    value in the histogram stage, and no sort sees more than the buckets of one group or
-    the values of one bucket. Returns the picked values and the totals.
+    per-group totals (groups + [total]) to one, so totals come from the histogram itself.
+    Three levels narrow the search: the weights of wide buckets (``WIDE`` times ``width``) find
+    the one that holds each target; of the rows only those of that bucket are kept for a (group,
+    value) histogram; this is summed per bucket ``floor(value / width)``, and only the values of
+    the bucket that holds the target are walked. So what a task holds follows the groups and their
+    wide buckets, not the rows, and no sort sees more than the buckets of one group or the values of
+    one bucket. Returns the picked values and the totals.
     """
     g = list(groups)
-    # one pass over the rows: a (group, value) histogram, combined map-side; both levels
-    # below read this one exchange (Spark reuses it), never the raw rows again
-    hist = (df.select(*g, F.col(value).alias("_v"), weight.alias("_w"))
-            .groupBy(*g, "_v").agg(F.sum("_w").alias("_vw"))
-            .withColumn("_b", F.floor(F.col("_v") / F.lit(width))))
-    coarse = hist.groupBy(*g, "_b").agg(F.sum("_vw").alias("_bw"))
+    # the rows are read twice, but never shuffled: both passes are combined or filtered map-side
+    rows = df.select(*g, F.col(value).alias("_v"), weight.alias("_w"))
+    wide = F.floor(F.floor(F.col("_v") / F.lit(width)) / WIDE)
+    coarse = store(rows.groupBy(*g, wide.alias("_b")).agg(F.sum("_w").alias("_bw")), "rank_wide")
     totals = coarse.groupBy(*g).agg(F.sum("_bw").alias("total"))
-    tg = targets(totals) if callable(targets) else targets
-    cw = W.partitionBy(*g).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    coarse = coarse.withColumn("_cum", F.sum("_bw").over(cw))
-    sel = (join_ns(coarse, tg, g)
-           .filter((F.col("_cum") - F.col("_bw") < F.col("tgt")) & (F.col("_cum") >= F.col("tgt")))
-           .select(*g, "name", "tgt", "_b", (F.col("_cum") - F.col("_bw")).alias("_before")))
+    # stored: its size tells whether it can be broadcast to the rows
+    sel = store(_holding(coarse, targets(totals) if callable(targets) else targets, g), "rank_targets")
+    kept = join_ns(rows.withColumn("_b", wide), sel, [*g, "_b"])
+    g = [*g, "name"]
+    hist = (kept.groupBy(*g, "_v").agg(F.sum("_w").alias("_vw"))
+            .withColumn("_b", F.floor(F.col("_v") / F.lit(width))))
+    tg = sel.select(*g, (F.col("tgt") - F.col("_before")).alias("tgt"))
+    sel = _holding(hist.groupBy(*g, "_b").agg(F.sum("_vw").alias("_bw")), tg, g)
     fine = join_ns(hist, sel, [*g, "_b"])
-    fw = W.partitionBy(*g, "name").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    fw = W.partitionBy(*g).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     fine = fine.withColumn("_c2", F.col("_before") + F.sum("_vw").over(fw))
     picked = (fine.filter((F.col("_c2") >= F.col("tgt")) & (F.col("_c2") - F.col("_vw") < F.col("tgt")))
-              .select(*g, "name", F.col("_v").alias(value)))
+              .select(*g, F.col("_v").alias(value)))
     return picked, totals
 
 
+#: Buckets of ``first_reaching`` that make a wide one.
+WIDE = 64
+
+
+def _holding(buckets: DataFrame, targets: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """For each target (groups + [.., tgt]) the bucket that holds it, and the weight before that."""
+    cw = W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    j = join_ns(buckets.withColumn("_cum", F.sum("_bw").over(cw)), targets, groups)
+    return (j.filter((F.col("_cum") - F.col("_bw") < F.col("tgt")) & (F.col("_cum") >= F.col("tgt")))
+            .select(*targets.columns, "_b", (F.col("_cum") - F.col("_bw")).alias("_before")))
+
+
 def nearest_rank_index(n: Column, num: int, den: int) -> Column:
     """int(q*n + 0.5) clamped to [1, n] for q = num/den, in exact integer arithmetic
     ((19n+10) div 20 for the 95th)."""
@@ -91,7 +105,7 @@ def nearest_rank_index(n: Column, num: int, den: int) -> Column:
 def assign_windows(tx: DataFrame, window_s: int, keys: Sequence[str] = RUN) -> DataFrame:
     """Window number from elapsed seconds since the earliest transaction of the run."""
     base = tx.groupBy(*keys).agg(F.min("epoch_s").alias("_t0"))
-    j = join_ns(tx, base, keys)
+    j = join_ns(tx, F.broadcast(base), keys)     # one row per run: the transactions stay where they are
     return j.withColumn("win", F.floor((F.col("epoch_s") - F.col("_t0")) / F.lit(window_s))
                         .cast("long")).drop("_t0")
 
