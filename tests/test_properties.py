@@ -270,6 +270,17 @@ def test_window_percentiles_hold_buckets_not_rows(spark, monkeypatch):
     assert made["rank_wide"].count() <= 2 * (9 * n // (1024 * XP.WIDE) + 1) and made["rank_targets"].count() == 2
 
 
+def test_quiet_headers_sort_whole_rows_once(spark):
+    from vacfleet.operators import backfill as BF
+    i = inputs(spark, SF)
+    heads = BF.store(BF.numbered_headers(i.snapshots), "test_heads")
+    ticks = BF.moving_ticks(heads, BF.stored_rows(i.samples, heads))
+    plan = ticks._jdf.queryExecution().sparkPlan().toString()
+    assert heads.filter("_moves").isEmpty()
+    assert plan.count("Window [") == 2 and plan.count("lag(_row") == 1
+    assert ticks.count() >= i.samples.count()
+
+
 def test_admission_keeps_clusters_apart_and_honours_long_intervals(spark):
     import datetime as dt
 

@@ -114,27 +114,33 @@ def moving_ticks(heads: DataFrame, rows: DataFrame, params: P.Params = P.DEFAULT
     the header's columns, ``_cur`` and ``_prev`` (null at a relation's first row).
     """
     w = W.partitionBy(*KEY).orderBy("_n")        # one chunk's stored rows of a relation
-    s = rows.withColumn("_prev", F.lag("_row").over(w)).withColumn("_next", F.lead("_n").over(w))
-    at_rows = s.select(*KEY, "_n", F.col("_row").alias("_cur"), "_prev").join(heads, ["cluster_id", "_n"])
-    # after a row, while its maintenance run counts as running: buckets of that window's length
+    at_rows = (rows.withColumn("_prev", F.lag("_row").over(w))
+               .select(*KEY, "_n", F.col("_row").alias("_cur"), "_prev").join(heads, ["cluster_id", "_n"]))
+    # after a row, while its maintenance run counts as running: buckets of that window's length.
+    # Whole rows are sorted only where the window reaches beyond the row
     span = int(params.av_window_s) * 1_000_000
     run_us = F.unix_micros(X.as_ts(F.col("_row.last_autovacuum")))
+    from_us = F.unix_micros(X.as_ts(F.col("_row.collected_at")))
     bucket = lambda us: F.floor(us / span)
-    running_rows = (s.withColumn("_from", F.unix_micros(X.as_ts(F.col("_row.collected_at"))))
-                    .filter(run_us + span > F.col("_from"))
-                    .withColumn("_b", F.explode(F.sequence(bucket(F.col("_from")), bucket(run_us + span)))))
+    running_rows = (rows.select(*KEY, "_n", F.when(run_us + span > from_us, F.col("_row")).alias("_row"))
+                    .withColumn("_next", F.lead("_n").over(w)).filter(F.col("_row").isNotNull())
+                    .withColumn("_b", F.explode(F.sequence(bucket(from_us), bucket(run_us + span)))))
     after = F.col("h._n") > F.col("s._n")
     before_next = F.col("s._next").isNull() | (F.col("h._n") < F.col("s._next"))
     alive = running_rows.alias("s").join(
         heads.withColumn("_b", bucket(F.col("_us"))).alias("h"),
         (F.col("s.cluster_id") == F.col("h.cluster_id")) & (F.col("s._b") == F.col("h._b")) & after & before_next
         & ~F.col("h._moves") & (F.col("s._row.last_autovacuum") > X.minus_seconds(F.col("h.collected_at"), params.av_window_s)))
-    # headers at which every relation moves: few, or the settings would change all the time
-    moved = s.alias("s").join(heads.filter("_moves").alias("h"),
-                              (F.col("s.cluster_id") == F.col("h.cluster_id")) & after & before_next)
     out = [F.col(f"s.{k}") for k in KEY] + [F.col(f"h.{c}") for c in heads.columns if c != "cluster_id"]
     quiet = [F.col("s._row").alias("_cur"), F.col("s._row").alias("_prev")]
-    return (at_rows.unionByName(alive.select(*out, *quiet)).unionByName(moved.select(*out, *quiet)))
+    ticks = at_rows.unionByName(alive.select(*out, *quiet))
+    # headers at which every relation moves: few, or the settings would change all the time
+    moves = heads.filter("_moves")
+    if moves.isEmpty():
+        return ticks
+    moved = rows.withColumn("_next", F.lead("_n").over(w)).alias("s").join(
+        moves.alias("h"), (F.col("s.cluster_id") == F.col("h.cluster_id")) & after & before_next)
+    return ticks.unionByName(moved.select(*out, *quiet))
 
 
 def control_state(samples: DataFrame, snapshots: DataFrame, policy: DataFrame | None,
@@ -230,41 +236,67 @@ def _struct(values: dict[str, Column]) -> Column:
     return F.struct(*[values[n].cast(t).alias(n) for n, t in FIELDS + PLACE])
 
 
-def settle(state: Column, n: Column, total: Column, params: P.Params = P.DEFAULT) -> Column:
-    """The state after the quiet ticks that follow it, up to header ``n``; ``total`` is the sum of
-    times up to that header. No quiet tick (or no state): as it was."""
-    get = state.getField
+def _wait(get, n: Column, total: Column) -> tuple[Column, Column]:
+    """The quiet ticks up to header ``n`` that follow a state standing at ``get``, and the seconds that
+    they wait in all since the stored row; ``total`` is the sum of times up to that header."""
     m = n - get("_n")
-    waited = (total - get("_sum") - (m.cast("decimal(18,0)") * get("_row_us").cast("decimal(19,0)"))).cast("double") / 1e6
-    keep = F.exp(-waited / F.lit(float(params.ewma_tau)))
+    return m, (total - get("_sum") - (m.cast("decimal(18,0)") * get("_row_us").cast("decimal(19,0)"))).cast("double") / 1e6
+
 
+def _after_quiet(get, m: Column, waits: Column, keep: Column) -> dict[str, Column]:
+    """The fields of ``FIELDS`` after ``m`` quiet ticks: rates are multiplied by ``keep`` if time passes."""
     def decayed(rate: str, sampled: str) -> Column:
         # a rate without a value takes the first sample, 0
-        return F.when(get(sampled) & (waited > 0), F.coalesce(get(rate) * keep, F.lit(0.0))).otherwise(get(rate))
+        return F.when(get(sampled) & waits, F.coalesce(get(rate) * keep, F.lit(0.0))).otherwise(get(rate))
 
     cand = F.when(get("_debt_high"), F.lit("config"))    # nothing runs in a quiet tick
     streak = (F.when(cand.isNull(), F.lit(0)).when(cand.eqNullSafe(get("saturation_candidate")), get("saturation_streak") + m)
               .otherwise(m))
     manual = F.coalesce(get("source") == "manual", F.lit(False))
-    after = {name: get(name) for name, _ in FIELDS + PLACE} | {
+    return {name: get(name) for name, _ in FIELDS} | {
         "churn_rate": decayed("churn_rate", "_writes"), "dead_accum_rate": decayed("dead_accum_rate", "_dead"),
         "growth_rate": decayed("growth_rate", "_grows"), "saturation_candidate": cand, "saturation_streak": streak,
         "candidate": F.when(manual, get("candidate")),
-        "candidate_streak": F.when(manual, get("candidate_streak")).otherwise(F.lit(0)),
-        "_n": n, "_sum": total}
+        "candidate_streak": F.when(manual, get("candidate_streak")).otherwise(F.lit(0))}
+
+
+def _keep(waited: Column, params: P.Params) -> Column:
+    return F.exp(-waited / F.lit(float(params.ewma_tau)))
+
+
+def settle(state: Column, n: Column, total: Column, params: P.Params = P.DEFAULT) -> Column:
+    """The state after the quiet ticks that follow it, up to header ``n``; ``total`` is the sum of
+    times up to that header. No quiet tick (or no state): as it was."""
+    get = state.getField
+    m, waited = _wait(get, n, total)
+    after = {name: get(name) for name, _ in PLACE} | _after_quiet(get, m, waited > 0, _keep(waited, params)) | {"_n": n, "_sum": total}
     return F.when(m > 0, _struct(after)).otherwise(state)
 
 
 def _fold(params: P.Params) -> Column:
     """The state after ``_ticks``, from ``_old`` (null: a relation without a state): before each
-    moving tick the quiet ones between are settled."""
-    def step(state, tick):
-        # two steps in one: a lambda has no names, so the settled state passes through a small array
-        return F.element_at(F.transform(F.array(settle(state, tick.getField("_n") - 1, tick.getField("_before"), params)),
-                                        lambda at: _struct(
-            dict(EST.advance(tick.getField, at.getField, params) + CL.advance(tick.getField, at.getField))
+    moving tick the quiet ones between are settled. A state stands where its last tick stood, so
+    the wait before each tick is found once from its neighbour and not in the fold."""
+    old = {n: F.col("_old").getField(n) for n, _ in FIELDS + PLACE}
+
+    def placed(tick: Column, i: Column) -> Column:
+        earlier = F.get("_ticks", i - 1)
+        m, waited = _wait(lambda n: F.when(i > 0, earlier.getField(n)).otherwise(old[n]),
+                          tick.getField("_n") - 1, tick.getField("_before"))
+        return F.struct(tick.alias("tick"), m.alias("m"), waited.alias("waited"))
+
+    def step(state, at):
+        # two steps in one: a lambda has no names, so the settled fields pass through a small array
+        tick, m, get = at.getField("tick"), at.getField("m"), state.getField
+        quiet = _after_quiet(get, m, at.getField("waits"), at.getField("keep"))
+        fields = F.when(m > 0, F.struct(*[quiet[n].cast(t).alias(n) for n, t in FIELDS])).otherwise(
+            F.struct(*[get(n).alias(n) for n, _ in FIELDS]))
+        return F.element_at(F.transform(F.array(fields), lambda now: _struct(
+            dict(EST.advance(tick.getField, now.getField, params) + CL.advance(tick.getField, now.getField))
             | {n: tick.getField(n) for n, _ in PLACE if n != "_debt_high"}
             | {"_debt_high": tick.getField("debt_high")})), 1)
 
-    old = {n: F.col("_old").getField(n) for n, _ in FIELDS + PLACE}
-    return F.aggregate("_ticks", _struct(old), step)
+    waits = F.transform(F.transform("_ticks", placed), lambda x: F.struct(
+        x.getField("tick").alias("tick"), x.getField("m").alias("m"), (x.getField("waited") > 0).alias("waits"),
+        _keep(x.getField("waited"), params).alias("keep")))
+    return F.aggregate(waits, _struct(old), step)
