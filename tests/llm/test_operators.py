@@ -459,3 +459,14 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def test_few_rows_are_joined_at_once(spark, monkeypatch):
+    from vacfleet.llm import common
+    rows = spark.createDataFrame([(k % 3 * 7, k) for k in range(90)] + [(None, 90)], "key long, v long")
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"))
+    few = common.join_by_key(rows, keys, "key", "n", 91)
+    assert "Union" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    many = common.join_by_key(rows, keys, "key", "n", 91)
+    assert few.columns == many.columns and sorted(few.collect()) == sorted(many.collect()) and few.count() == 90

@@ -122,13 +122,20 @@ def word_hashes(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
 HOT_SHARE = 200
 
 
+#: So many rows are no load for one task.
+FEW_ROWS = 100_000
+
+
 def join_by_key(rows: DataFrame, keys: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """Join ``rows`` with ``keys`` (one row a key, ``n`` its number of ``rows``) on ``key``.
 
     A key with ``total / HOT_SHARE`` rows or more is hot; at most ``HOT_SHARE`` keys can be,
     so these are broadcast and their rows stay where they are. The others are shuffled.
-    ``rows`` is read twice: pass a stored table.
+    ``rows`` is read twice: pass a stored table. Few rows are joined at once, as no key can be too
+    large for a task: each exchange costs the driver a thread.
     """
+    if total <= FEW_ROWS:
+        return rows.join(keys, key)
     hot = F.broadcast(keys.where(F.col(n) * HOT_SHARE >= total))
     cold = keys.where(F.col(n) * HOT_SHARE < total)
     return (rows.join(hot, key)

@@ -218,13 +218,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     def link(pairs: DataFrame, name: str) -> DataFrame:
         return store(confirmed(store(pairs, f"{name}_pairs"), sets, percent), f"{name}_links")
 
-    def open_keys(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
-        """The rows of keys whose members are in several components, with these."""
-        found = components(links, name).withColumnRenamed("node", "rep")
-        now = store(rows.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), f"{name}_rows")
+    def open_keys(rows: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int]:
+        """The components, and the rows of keys whose members are in several, with these and their number."""
+        found = components(links, name)
+        now = store(rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), f"{name}_rows")
         open_ = (now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                  .where("lo <> hi").select("key"))
-        return store(now.join(open_, "key", "left_semi"), f"{name}_open")
+        left = store(now.join(open_, "key", "left_semi"), f"{name}_open")
+        return found, left, left.count()
 
     def pair(a: str, b: str) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -232,33 +233,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     near = different(F.col("sketch"), F.col("other_sketch")) <= MOST_DIFFERENT
     links = link(shared.withColumnRenamed("pivot_sketch", "other_sketch").where((F.col("rep") != F.col("pivot")) & near)
                  .select(pair("rep", "pivot")).distinct(), "near_first")
-    left = open_keys(shared.select("key", "rep", "sketch"), links, "near_first")
-
-    hubs = store(_hubs(left, left.count()), "near_hubs")
-    links = links.unionByName(link(
-        join_by_key(left, hubs, "key", "n", left.count())
-        .select("rep", "sketch", "component", F.explode("hubs").alias("hub"))
-        .select("rep", "sketch", "component", F.col("hub.rep").alias("other"), F.col("hub.sketch").alias("other_sketch"),
-                F.col("hub.component").alias("other_component"))
-        .where((F.col("component") != F.col("other_component")) & near)
-        .select(pair("rep", "other")).distinct(), "near_second"))
-    left = open_keys(left.select("key", "rep", "sketch"), links, "near_second")
-
-    left = store(left.join(heads.select(F.col("doc_id").alias("rep"), "n_shingles", "parity", "keys"), "rep")
-                 .withColumn("at", F.array_position("keys", F.col("key")) - 1), "near_left")
-    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("rep", "sketch", "component", "n_shingles", "parity", "keys")))
-    met = F.lit(True)  # a pair is made at the first key that its two members share
-    for i in range(CHUNKS * WIDTH):
-        met = met & ((left["at"] <= i) | (left["keys"][i] != right["other_keys"][i]))
-    both = left["n_shingles"] + right["other_n_shingles"]
-    apart = least_difference(left["parity"], right["other_parity"])
-    links = links.unionByName(link(
-        left.join(right, (left["key"] == right["key"]) & (left["rep"] < right["other_rep"])
-                  & (left["component"] != right["other_component"])
-                  & (different(left["sketch"], right["other_sketch"]) <= MOST_DIFFERENT) & met
-                  & ((100 + percent) * apart <= (100 - percent) * both))  # the similarity is at most (both - apart) / (both + apart)
-        .select(pair("rep", "other_rep")).distinct(), "near_third"))
-    found = components(links, "near_all")
+    # a round is left out once no key has members in several components
+    found, left, n_left = open_keys(shared.select("key", "rep", "sketch"), links, "near_first")
+
+    if n_left:
+        hubs = store(_hubs(left, n_left), "near_hubs")
+        links = links.unionByName(link(
+            join_by_key(left, hubs, "key", "n", n_left)
+            .select("rep", "sketch", "component", F.explode("hubs").alias("hub"))
+            .select("rep", "sketch", "component", F.col("hub.rep").alias("other"), F.col("hub.sketch").alias("other_sketch"),
+                    F.col("hub.component").alias("other_component"))
+            .where((F.col("component") != F.col("other_component")) & near)
+            .select(pair("rep", "other")).distinct(), "near_second"))
+        found, left, n_left = open_keys(left.select("key", "rep", "sketch"), links, "near_second")
+
+    if n_left:
+        left = store(left.join(heads.select(F.col("doc_id").alias("rep"), "n_shingles", "parity", "keys"), "rep")
+                     .withColumn("at", F.array_position("keys", F.col("key")) - 1), "near_left")
+        right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("rep", "sketch", "component", "n_shingles", "parity", "keys")))
+        met = F.lit(True)  # a pair is made at the first key that its two members share
+        for i in range(CHUNKS * WIDTH):
+            met = met & ((left["at"] <= i) | (left["keys"][i] != right["other_keys"][i]))
+        both = left["n_shingles"] + right["other_n_shingles"]
+        apart = least_difference(left["parity"], right["other_parity"])
+        links = links.unionByName(link(
+            left.join(right, (left["key"] == right["key"]) & (left["rep"] < right["other_rep"])
+                      & (left["component"] != right["other_component"])
+                      & (different(left["sketch"], right["other_sketch"]) <= MOST_DIFFERENT) & met
+                      & ((100 + percent) * apart <= (100 - percent) * both))  # the similarity is at most (both - apart) / (both + apart)
+            .select(pair("rep", "other_rep")).distinct(), "near_third"))
+        found = components(links, "near_all")
 
     classes = (classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
                .select("set_key", "n", F.coalesce("component", "rep").alias("component_id")))
