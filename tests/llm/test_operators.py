@@ -58,6 +58,30 @@ def test_bpe_equals_tiktoken(docs, no_docs):
     assert bpe.encode(no_docs, path, pattern).count() == 0
 
 
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    rows = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    got = rows.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 3000 and max(r.size for r in got) < 5 << 20
+
+
+def test_bpe_remembers_ids_as_bytes(monkeypatch):
+    path, pattern = public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN
+    monkeypatch.setattr(bpe, "LEARN_ITEMS", 3)
+    monkeypatch.setattr(bpe, "CACHE_ITEMS", 40)
+    tokens, ids = bpe._vocabulary(path)
+    of = bpe.Encoder(tokens, ids, bpe.serialise(tokens), pattern)
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = [r[1] or "" for r in ROWS] + [f"zqx{i} " * 3 for i in range(50)]
+    for i in range(0, len(texts), 7):
+        assert [a.tolist() for a in of.encode(texts[i:i + 7])] == [enc.encode_ordinary(t) for t in texts[i:i + 7]]
+        assert len(of.known) <= 100 and all(type(b) is bytes for b in of.known.values())
+    assert vars(bpe.Decoder(tokens, ids)).keys() == {"token"}  # no model is loaded to decode
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "be <|im_start|> brief"), (1, 1, "user", "a " * 700), (1, 2, "assistant", "<\\|im_end|> <|"),
             (1, 3, "assistant", None), (1, None, None, "first"), (2, 5, "system", "alone"), (None, 0, "assistant", "ok"),

@@ -26,6 +26,8 @@ from vacfleet.llm.common import enrich
 
 #: Encoded matches that a task remembers before it forgets them all (bounds its memory).
 CACHE_ITEMS = 400_000
+#: Matches that go to sentencepiece at once (their pieces come back as Python numbers).
+LEARN_ITEMS = 10_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -79,8 +81,8 @@ def serialise(tokens: list[bytes]) -> bytes:
     return b"".join(parts) + _bytes(2, trainer) + _bytes(3, normalizer)
 
 
-class Codec:
-    """Encoder and decoder of one vocabulary (built once a task)."""
+class Encoder:
+    """Encoder of one vocabulary (built once a task)."""
 
     def __init__(self, tokens: list[bytes], ids: list[int], model: bytes, pattern: str):
         import regex
@@ -89,13 +91,13 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.ids = np.array([-1, *ids], np.int32)
-        self.whole = {t: [i + 1] for i, t in enumerate(tokens)}
-        self.token = dict(zip(ids, tokens))
+        self.whole = {t: i + 1 for i, t in enumerate(tokens)}
         self.mapped = dict(enumerate(byte_characters()))
-        self.known: dict[str, list[int]] = {}
+        # ids as bytes of int32: a list of Python numbers takes several times as much
+        self.known: dict[str, bytes] = {}
 
-    def learn(self, matches: set[str]) -> None:
-        """Remember the pieces of matches that are not remembered yet."""
+    def learn(self, matches: list[str]) -> None:
+        """Remember the ids of matches that are not remembered yet."""
         whole, known, mapped = self.whole, self.known, self.mapped
         merge, texts = [], []
         for m in matches:
@@ -105,42 +107,50 @@ class Codec:
                 merge.append(m)
                 texts.append(raw.decode("latin-1").translate(mapped))
             else:
-                known[m] = one
-        known.update(zip(merge, self.pieces.encode(texts, num_threads=1)))
+                known[m] = self.ids[one].tobytes()
+        for m, pieces in zip(merge, self.pieces.encode(texts, num_threads=1)):
+            known[m] = self.ids[pieces].tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; the matches that are new go to sentencepiece in one call."""
+        """Ids of each text; the matches that are new go to sentencepiece in a few calls."""
         split = [self.split(t) for t in texts]
         new = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         if len(self.known) + len(new) > CACHE_ITEMS:
             self.known = {}
             new = set(chain.from_iterable(split))
-        if new:
-            self.learn(new)
+        new = list(new)
+        for i in range(0, len(new), LEARN_ITEMS):
+            self.learn(new[i:i + LEARN_ITEMS])
         of = self.known.__getitem__
-        return [self.ids[list(chain.from_iterable(map(of, m)))] if m else self.ids[:0]
-                for m in split]
+        return [np.frombuffer(b"".join(map(of, m)), np.int32) for m in split]
+
+
+class Decoder:
+    """Decoder of one vocabulary (built once a task): it needs no model and no pattern."""
+
+    def __init__(self, tokens: list[bytes], ids: list[int]):
+        self.token = dict(zip(ids, tokens))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-def _codec(df: DataFrame, ranks_path: str, pattern: str):
+def _vocabulary(ranks_path: str) -> tuple[list[bytes], list[int]]:
+    """The tokens in the order of their ranks, and their ids."""
     ranks = read_ranks(ranks_path)
     tokens = sorted(ranks, key=ranks.get)
-    ids = [ranks[t] for t in tokens]
-    # A vocabulary file and its model: a few MB, whatever the size of the corpus.
-    shared = df.sparkSession.sparkContext.broadcast((tokens, ids, serialise(tokens)))
-    return lambda: Codec(*shared.value, pattern)
+    return tokens, [ranks[t] for t in tokens]
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
            ids_col: str = "token_ids") -> DataFrame:
     """Add the token ids of ``text_col`` as an array of int (null or empty: no ids)."""
-    codec = _codec(df, ranks_path, pattern)
+    tokens, ids = _vocabulary(ranks_path)
+    # A vocabulary file and its model: a few MB, whatever the size of the corpus.
+    shared = df.sparkSession.sparkContext.broadcast((tokens, ids, serialise(tokens)))
 
     def start():
-        of = codec()
+        of = Encoder(*shared.value, pattern)
 
         def make(column: pa.Array) -> list:
             rows = of.encode([t or "" for t in column.to_pylist()])
@@ -157,10 +167,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids",
            bytes_col: str = "decoded") -> DataFrame:
     """Add the bytes that the ids in ``ids_col`` stand for (null ids: no bytes)."""
-    codec = _codec(df, ranks_path, pattern)
+    shared = df.sparkSession.sparkContext.broadcast(_vocabulary(ranks_path))
 
     def start():
-        of = codec()
+        of = Decoder(*shared.value)
 
         def make(column: pa.Array) -> list:
             flat = column.flatten().to_numpy().tolist()

@@ -10,7 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: UTC wall clock (the telemetry is UTC), ANSI on,
-# AQE for runtime coalescing and skew-join splitting.
+# AQE for runtime coalescing and skew-join splitting. Arrow batches end at a number of bytes:
+# Spark's 10,000 rows of whole texts are some 35 MB, held by the JVM and by each Python worker.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -18,6 +19,7 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
