@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from vacfleet.llm.common import enrich
 
 #: Encoded matches that a task remembers before it forgets them all (bounds its memory).
-CACHE_ITEMS = 400_000
+CACHE_ITEMS = 150_000
 #: Matches that go to sentencepiece at once (their pieces come back as Python numbers).
 LEARN_ITEMS = 10_000
 
