@@ -127,3 +127,37 @@ def test_a_raking_round_joins_only_its_factors(spark, monkeypatch):
     assert first <= 7 and max(joins[1:]) == first  # three factors, nested; no targets
     for d, n in zip(mixing.DIMS, (5, 3, 2)):
         assert all(abs(r.now - 1 / n) < 1e-5 for r in out.groupBy(d).agg(F.sum("weight").alias("now")).collect())
+
+
+def test_a_change_batch_sorts_one_row_of_a_run(spark, tmp_path, monkeypatch):
+    """Runs of equal rows go before the sort; values that come back, rows without a snapshot id, rows
+    delivered again and relations without an id leave the log that all rows have."""
+    from vacfleet.streaming import jobs
+    rng, rows = random.Random(11), []
+    for r in [0, 1, 2, None]:
+        v = 0
+        for s in range(150):
+            if rng.random() < 0.06:
+                v = rng.choice([0, 1]) if r == 1 else v + 1
+            rows += [("n0", r, s, s // 24, v)] * rng.choice([1, 1, 1, 2])
+    df = spark.createDataFrame(rows + [("n0", 2, None, 0, 9)], "cluster_id string, relid long, snapshot_id long, collected_day int, n_dead_tup long")
+    df = df.withColumns({c: F.lit(None).cast("long") for c in sparse.SIGNATURE if c != "n_dead_tup"})
+    seen, changes = [], sparse.day_changes
+    monkeypatch.setattr(sparse, "day_changes", lambda c, *keep: (seen.append(c.count()), changes(c, *keep))[1])
+    run = jobs.change_log_batch(str(tmp_path / "state"), str(tmp_path / "log"))
+    early = F.col("snapshot_id").isNull() | (F.col("snapshot_id") <= 70)
+    first, second, third = df.filter(early), df.filter(F.col("snapshot_id").between(60, 110)), df.filter(F.col("snapshot_id") > 100)
+    for k, batch in enumerate((first, second, second, third)):
+        run(batch, (0, 1, 1, 2)[k])
+    assert seen[0] < 0.5 * first.count() and seen[-2] < 0.5 * third.count()
+    got = {(r.relid, r.snapshot_id) for r in spark.read.parquet(str(tmp_path / "log")).collect()}
+    want = {(2, None)}
+    for r in [0, 1, 2, None]:
+        prev = 9 if r == 2 else None
+        for s, day, v in sorted({x[2:] for x in rows if x[1] == r}):
+            if v != prev or (r is None and s % 24 == 0):
+                want.add((r, s))
+            prev = v
+    # without an id no day is joined to the one before: the first row of each day, also of a batch's part of it
+    assert {x for x in got if x[0] is not None} == {x for x in want if x[0] is not None}
+    assert {x for x in want if x[0] is None} <= got

@@ -74,6 +74,45 @@ def day_changes(collected: DataFrame, keep: Column | None = None) -> DataFrame:
     return p.filter(new if keep is None else new | keep).select(*collected.columns)
 
 
+def run_edges(rows: DataFrame, last: DataFrame) -> DataFrame:
+    """The rows of a batch that its change log, and each relation's newest row, come from.
+
+    Rows of a relation-day with equal signatures are one run: hashed, combined map-side, so whole
+    rows are neither shuffled nor sorted. In a day whose runs do not overlap, a run's first row stands
+    for all of it, and for none if the run before it has the same signature. Days with runs that
+    overlap (a signature that came back), reach back to the relation's row in ``last`` or have no
+    snapshot id keep all rows. The relation's newest row always stays."""
+    key = ["cluster_id", "relid"]
+    day_key = [*key, "collected_day"]
+    runs = rows.groupBy(*day_key, *SIGNATURE).agg(
+        F.min("snapshot_id").alias("_first"), F.max("snapshot_id").alias("_end"),
+        (F.count(F.lit(1)) > F.count("snapshot_id")).alias("_torn"), F.lit(True).alias("_new"))
+    stands = last.select(*day_key, *SIGNATURE, F.col("snapshot_id").alias("_first"),
+                         F.col("snapshot_id").alias("_end"), F.lit(False).alias("_torn"), F.lit(False).alias("_new"))
+    # one sort for all windows; a relation-day's is a part of it
+    w = W.partitionBy(*key).orderBy("collected_day", "_first")
+    whole, day = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), W.partitionBy(*day_key)
+    runs = stands.unionByName(runs).withColumn("_seen", F.max(F.when(~F.col("_new"), F.col("_first"))).over(whole))
+    runs = runs.filter(F.col("_new") & (F.col("_seen").isNull() | (F.col("_end") > F.col("_seen"))))
+    before = F.col("_before")
+    overlaps = before["collected_day"].eqNullSafe(F.col("collected_day")) & (before["_end"] >= F.col("_first"))
+    runs = runs.withColumn("_before", F.lag(F.struct("collected_day", "_end", F.struct(*SIGNATURE).alias("_is"))).over(w))
+    runs = runs.withColumn("_torn", F.max(F.col("_torn") | F.coalesce(overlaps, F.lit(False))
+                                          | F.coalesce(F.col("_first") <= F.col("_seen"), F.lit(False))).over(day))
+    # the log joins a day to the one before by its key: without one it logs each day's first row
+    known = F.col("cluster_id").isNotNull() & F.col("relid").isNotNull()
+    goes_on = known & before.isNotNull() & before["_is"].eqNullSafe(F.struct(*SIGNATURE)) & ~F.lag("_torn", 1, False).over(w)
+    runs = runs.withColumns({"_newest": F.lead(F.lit(True)).over(w).isNull(), "_goes_on": goes_on})
+    runs = store(runs.filter(F.col("_torn") | F.col("_newest") | ~F.col("_goes_on")).drop("_before", "_seen", "_goes_on"), "runs")
+    ends = F.when(F.col("_newest"), F.array_distinct(F.array("_first", "_end"))).otherwise(F.array("_first"))
+    few = runs.filter(~F.col("_torn")).withColumn("snapshot_id", F.explode(ends)).select(*rows.columns)
+    torn = runs.filter("_torn").select(*[F.col(c).alias(f"_{c}") for c in day_key]).distinct()
+    if torn.isEmpty():
+        return few
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in day_key]
+    return few.unionByName(rows.join(torn, on, "left_semi"))
+
+
 def sparse_log(collected: DataFrame) -> DataFrame:
     """D2 over a history of collected rows: keep a row only when its signature differs
     from the relation's previous collected row (or it has none).

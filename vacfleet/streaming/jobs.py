@@ -117,17 +117,17 @@ def change_log_batch(state_root: str, log_path: str):
 
     The last-state table is versioned by batch, and the log has a folder a batch: a replayed batch
     reads the version before its own and rewrites what it wrote. Re-delivered rows, and rows not
-    newer than the relation's last state, are dropped. The batch is dealt by relation and sorted
-    once; what goes on from there are the rows that differ from their day's row before, and each
-    relation's newest."""
+    newer than the relation's last state, are dropped. Runs of equal rows go first; what is left of
+    the batch is dealt by relation and sorted once, and what goes on from there are the rows that
+    differ from their day's row before, and each relation's newest."""
     columns = [*KEY, "snapshot_id", "collected_day", *SIGNATURE]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         last = state_version(spark, state_root, "last", batch_id)
-        rows = batch.select(*columns).withColumn("_new", F.lit(True))
         if last is None:
             last = spark.createDataFrame([], batch.select(*columns).schema)
+        rows = sparse.run_edges(batch.select(*columns), last).withColumn("_new", F.lit(True))
         # last states and new rows of a relation in one window: its sort serves all that follows
         of, w = W.partitionBy(*KEY), W.partitionBy(*KEY).orderBy("collected_day", "snapshot_id", "_new")
         history = last.select(*columns).withColumn("_new", F.lit(False)).unionByName(rows)
