@@ -150,3 +150,24 @@ def test_tier_upsert_foreach_batch_equals_batch(spark):
         want = R.rollup(i.samples, i.snapshots)[k]
         keep = ["cluster_id", "relid", "bucket_start", "sample_count", "max_dead_tup"]
         _same(got.select(*keep), want.select(*keep))
+
+
+def test_long_replay_of_the_chain_takes_bounded_batches_in_order(spark, tmp_path, monkeypatch):
+    """Nine days, delivered newest first, in many micro-batches: no row is late, each bucket is whole."""
+    from vacfleet.plans import catalog
+    from vacfleet.plans.inputs import Inputs
+    kinds = F.array(*[F.lit(k) for k in ("view", "click", "purchase", "signup", "error")])
+    events = spark.range(1800, 0, -1, 3).select(
+        F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"),
+        F.expr("timestamp_ntz '2024-03-01 00:05:00' + make_dt_interval(0, 0, id * 7)").alias("ts"),
+        F.element_at(kinds, (F.col("id") * 31 % 5 + 1).cast("int")).alias("event_type"), F.lit(1.0).alias("value"))
+    i = Inputs(spark, "/own/replay")
+    i.__dict__["events"] = events
+    monkeypatch.setattr(catalog, "inputs", lambda *_: i)
+    monkeypatch.setattr(catalog, "_stream_dir", lambda *_: str(tmp_path / "st"))
+    monkeypatch.setattr(jobs, "BATCH_BYTES", 40_000, raising=False)
+    got = catalog.QUERIES["stream_rollup_1d"](spark, "/own/replay")
+    want = catalog.finish(R.rollup(i.samples, i.snapshots)[2])
+    assert want.agg(F.countDistinct("bucket_start")).first()[0] == 9
+    _same(got, want)
+    assert len([f for f in os.listdir(tmp_path / "st" / "ck" / "sources" / "0") if f.isdigit()]) >= 3

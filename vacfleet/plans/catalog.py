@@ -941,18 +941,23 @@ def q_stream_change_detection(spark, d):
 @register("stream_rollup_1d")
 def q_stream_rollup_1d(spark, d):
     """ST1: the 1d tier at the end of a chain of streaming windows (samples, minutes, hours,
-    days). A last row of no cluster, long after all others, lets the watermark close every window,
-    as a heartbeat does for a source that has gone quiet."""
+    days). Micro-batches of bounded size come in the order of days, so the state holds the rows of
+    the lookback and of one micro-batch, not of the whole history. A last row of no cluster, long after
+    all others, lets the watermark close every window, as a heartbeat does for a source that has gone quiet."""
     from vacfleet.streaming import jobs
     i = inputs(spark, d)
     root = _stream_dir(spark, "st1d")
     rows = jobs.with_event_time(i.samples, i.snapshots)
-    rows.write.parquet(f"{root}/in")
-    read = spark.read.parquet(f"{root}/in")
-    beat = read.orderBy(F.col("event_time").desc()).limit(1).withColumns(
+    ordered = jobs.store_by_day(rows, f"{root}/in")
+    read = spark.read.schema(rows.withColumn("event_day", F.lit(0)).schema).parquet(f"{root}/in")
+    last = read.agg(F.max("event_day")).first()[0]
+    beat = read.filter(F.col("event_day") == last).drop("event_day").orderBy(F.col("event_time").desc()).limit(1).withColumns(
         {"cluster_id": F.lit(""), "event_time": F.col("event_time") + F.expr("INTERVAL 40 DAYS")})
-    beat.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    src = spark.readStream.schema(read.schema).parquet(f"{root}/in")
+    ordered &= jobs.store_by_day(store(beat, "beat"), f"{root}/in")
+    src = spark.readStream.schema(read.schema)
+    if ordered:
+        src = src.option("maxBytesPerTrigger", str(jobs.BATCH_BYTES))
+    src = src.parquet(f"{root}/in").drop("event_day")
     q = (jobs.coarse_rollup_stream(src, "1d", "1 day").writeStream.outputMode("append").format("parquet")
          .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
     q.awaitTermination()

@@ -28,6 +28,8 @@ from vacfleet.operators.sparse import SIGNATURE
 from vacfleet.session import store, stored_or_none
 
 KEY = ["cluster_id", "relid"]
+#: Stored bytes that a micro-batch of a long replay takes. Its state holds the lookback and these rows.
+BATCH_BYTES = 64 << 20
 
 
 # ---- ST1 / ST2 / ST8 -------------------------------------------------------------------
@@ -74,6 +76,27 @@ def coarse_rollup_stream(rows: DataFrame, tier: str, lookback: str = "3 days") -
     return _buckets(_tumbling(hours.withColumn("_at", F.window_time("window")), "_at", "1 day", R.coarse_measures()), X.epoch_month)
 
 
+def store_by_day(rows: DataFrame, path: str) -> bool:
+    """Add ``rows`` to the files of a stream, in a folder an event day (column ``event_day``), and date
+    each day's files a second after those of the day before: a file stream takes files by their dates,
+    so micro-batches of any size come in the order of days, and none is late for a watermark of a day or
+    more. Returns False where the file system does not keep the dates: the order of files is unknown then."""
+    spark = rows.sparkSession
+    (rows.withColumn("event_day", F.unix_date(F.to_date("event_time")))
+     .write.mode("append").partitionBy("event_day").parquet(path))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    days = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
+    number = lambda p: int(n) if (n := p.getName().partition("=")[2]).lstrip("-").isdigit() else -(1 << 31)
+    days, files = sorted(days, key=number), []
+    first = max((s.getModificationTime() for s in fs.listStatus(root)), default=0) // 1000 * 1000
+    for k, day in enumerate(days):
+        files += [(s.getPath(), first + 1000 * k) for s in fs.listStatus(day)]
+    for at, date in files:
+        fs.setTimes(at, date, -1)
+    return all(fs.getFileStatus(at).getModificationTime() == date for at, date in files)
+
+
 def tier_upsert_batch(tier_root: str, snapshots: DataFrame):
     """ST2 as ``foreachBatch``: the A3 cascade for what this micro-batch touched. The 1m
     tier is recomputed from all raw samples of the touched days (absorbing late rows);
