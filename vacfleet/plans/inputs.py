@@ -16,7 +16,6 @@ from vacfleet.sources import derive as D
 #: Days of a backfill chunk: 384 of the stand-in's hourly snapshots.
 CHUNK_DAYS = 16
 _CACHE: dict = {}
-_RUN = uuid.uuid4().hex[:12]
 _LOCK = threading.RLock()    # derived tables are written once even if queries run in threads
 
 
@@ -24,6 +23,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.run = uuid.uuid4().hex[:12]     # stored tables of another Inputs of this directory stay
         self.paths: dict[str, str] = {}      # folder of each stored stand-in table
 
     def table(self, name: str) -> DataFrame:
@@ -39,7 +39,7 @@ class Inputs:
     def _stored(self, name, df, partition_by):
         root = ensure_checkpoint_dir(self.spark).rstrip("/")
         tag = self.sf_dir.strip("/").replace("/", "_")
-        path = f"{root}/vacfleet-inputs-{_RUN}/{tag}/{name}"
+        path = f"{root}/vacfleet-inputs-{self.run}/{tag}/{name}"
         w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
